@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a terminal must not get raw, in valid text.
 UNSAFE = "\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\u202A-\\u202E\\u2066-\\u2069"
@@ -36,7 +37,7 @@ def escape_json(text: str) -> str:
     return re.sub("[\x7f-\x9f‪-‮⁦-⁩]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def escape_lines(lines: pd.Series) -> pd.Series:
     """Whole lines for a terminal; Arrow batches, as no built-in function works on invalid UTF-8."""
     return lines.map(lambda x: None if x is None else escape_bytes(bytes(x)))
