@@ -74,7 +74,10 @@ class _Input(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.items = [Item(**i) for i in json.loads(options["items"])]
+        self.names, self.items = {}, []
+        for i in json.loads(options["items"]):
+            self.names[i["index"]] = tuple(i.pop("names"))
+            self.items.append(Item(**i))
         self.options = _options(json.loads(options.get("walk", "{}")))
 
     def partitions(self):
@@ -86,8 +89,7 @@ class ArchiveReader(DataSourceReader):
             return
         o = self.options
         if o.globs:
-            names = tuple(os.path.relpath(p) if os.path.isabs(p) and not os.path.relpath(p).startswith("..") else p for p in (item.path, *item.aliases))
-            o = Options(o.globs, o.text, o.crlf, o.lines, names)
+            o = Options(o.globs, o.text, o.crlf, o.lines, self.names[item.index])
         try:
             f = open(item.path, "rb")  # noqa: SIM115
         except OSError as e:
@@ -119,7 +121,7 @@ def _options(d: dict) -> Options:
 
 
 def _items_json(items: list[Item]) -> str:
-    return json.dumps([vars(i) for i in items])
+    return json.dumps([vars(i) | {"names": i.names() if i.path != STDIN and i.display != "<stdin>" else []} for i in items])
 
 
 def scan(spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True) -> tuple[DataFrame, Resolved]:

@@ -15,7 +15,7 @@ STDIN = "-"
 
 @dataclass
 class Item:
-    """One input: its place in the order, its path, how it is shown and what else it is called."""
+    """One input: its place in the order, its absolute path, how it is shown and what else it is called."""
 
     index: int
     path: str
@@ -24,6 +24,11 @@ class Item:
     named: bool = True
     size: int | None = None
 
+    def names(self) -> list[str]:
+        """Its names as globs judge them: relative to the working folder where they are below it."""
+        short = [os.path.relpath(os.path.abspath(p)) for p in (self.display, *self.aliases)]
+        return [p if s.startswith("..") else s for p, s in zip((self.display, *self.aliases), short)]
+
 
 @dataclass
 class Resolved:
@@ -76,10 +81,10 @@ def resolve(paths: list[str], archive_globs: list[str] | None = None) -> Resolve
             st, identity = None, None
         if identity is not None and identity in seen:
             first = seen[identity]
-            if path != first.path and path not in first.aliases:
+            if path != first.display and path not in first.aliases:
                 first.aliases.append(path)
             return
-        item = Item(len(out.items), path, path, [], named, st.st_size if st and stat.S_ISREG(st.st_mode) else None)
+        item = Item(len(out.items), os.path.abspath(path), path, [], named, st.st_size if st and stat.S_ISREG(st.st_mode) else None)
         out.items.append(item)
         if identity is not None:
             seen[identity] = item
