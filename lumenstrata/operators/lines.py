@@ -4,6 +4,8 @@ A row is a member: its text is cut into lines inside the row, all positional
 work (limits, context, offsets) is done by array expressions over those lines,
 and only the selected lines are exploded.  Nothing is shuffled, whatever the
 keys, and a member is never spread over tasks that would have to meet again.
+Arrays that belong together are zipped, not indexed inside lambdas: what a
+lambda refers to from outside may be evaluated again for every element.
 """
 
 from __future__ import annotations
@@ -108,14 +110,25 @@ def only_matching(df: DataFrame, keys: list[str], m: Match, text: str = "text",
     if not offsets:
         out = lines.select(*keys, "line_no", F.posexplode(found).alias("_n", "match"))
         return out.filter("match <> ''").select(*keys, "line_no", (F.col("_n") + 1).cast("long").alias("match_no"), "match")
-    gaps = F.split(m.matched(F.col("line")), m.java, -1)
-    sized = F.transform(found, lambda x, i: (F.octet_length(x) + F.octet_length(F.get(gaps, i))).cast("long"))
-    lines = lines.withColumns({"_m": found, "_g": gaps}).withColumn("_o", running_sum(sized, inclusive=False))
-    item = F.transform("_m", lambda x, i: F.struct((i + 1).cast("long").alias("match_no"), x.alias("match"), (F.get(F.col("_o"), i) + F.octet_length(F.get(F.col("_g"), i))).cast("long").alias("start")))
-    out = lines.select(*keys, "line_no", F.explode(item).alias("x")).select(*keys, "line_no", "x.*").filter("match <> ''")
+    item = F.transform(located(), lambda z, i: F.struct((i + 1).cast("long").alias("match_no"), z["m"].alias("match"), z["start"].alias("start")))
+    out = _with_gaps(lines, m.matched(F.col("line")), m.java).select(*keys, "line_no", F.explode(item).alias("x")).select(*keys, "line_no", "x.*").filter("match <> ''")
     return out.withColumn("end", F.col("start") + F.octet_length("match").cast("long"))
 
 
+def _with_gaps(lines: DataFrame, body: Column, java: str) -> DataFrame:
+    """``lines`` with the matches of a line, the gaps around them and the bytes of each gap and match together."""
+    lines = lines.withColumns({"_m": F.regexp_extract_all(body, F.lit(java), F.lit(0)), "_g": F.split(body, java, -1)})
+    sized = F.transform(F.arrays_zip(F.col("_g").alias("g"), F.col("_m").alias("m")), lambda z: (F.octet_length(z["g"]) + F.coalesce(F.octet_length(z["m"]), F.lit(0))).cast("long"))
+    return lines.withColumn("_b", sized)
+
+
+def located() -> Column:
+    """Matches with the byte offsets at which they start, over the columns of ``_with_gaps``."""
+    n = F.size("_m")
+    zipped = F.arrays_zip(F.col("_m").alias("m"), F.slice("_g", 1, n).alias("g"), F.slice(running_sum(F.col("_b"), inclusive=False), 1, n).alias("o"))
+    return F.transform(zipped, lambda z: F.struct(z["m"].alias("m"), (z["o"] + F.octet_length(z["g"])).cast("long").alias("start")))
+
+
 def context_lines(df: DataFrame, keys: list[str], m: Match, before: int = 0, after: int = 0, limit: int | None = None, text: str = "text") -> DataFrame:
     """(keys, line_no, line, kind, group_break): selected lines with their context, overlapping windows merged.
 
@@ -131,15 +144,17 @@ def context_lines(df: DataFrame, keys: list[str], m: Match, before: int = 0, aft
         rows = rows.withColumn("_r", running_sum(F.col("_h")))
         rows = rows.withColumn("_p", F.transform("_r", lambda r: F.least(r, F.lit(limit).cast("long"))))
     # _p: windows opened up to each line; a line is shown if one opened between ``after`` lines before and ``before`` lines behind it
-    n, p = F.size("_l"), F.col("_p")
-    at = lambda i: F.when(i < 0, F.lit(0).cast("long")).otherwise(F.get(p, F.least(i, n - 1)))
-    rows = rows.withColumn("_s", F.transform("_l", lambda x, i: (at(i + before) - at(i - after - 1) > 0).cast("long")))
-    first = F.array_position("_s", F.lit(1).cast("long"))
+    n, zero = F.size("_l"), F.lit(0).cast("long")
+    ahead = F.slice(F.concat(F.slice("_p", before + 1, n), F.array_repeat(F.element_at("_p", -1), before)), 1, n)
+    behind = F.slice(F.concat(F.array_repeat(zero, after + 1), F.col("_p")), 1, n)
+    rows = rows.withColumn("_s", F.transform(F.arrays_zip(ahead.alias("a"), behind.alias("b")), lambda z: (z["a"] > z["b"]).cast("long")))
+    earlier = F.slice(F.concat(F.array(F.lit(1).cast("long")), F.col("_s")), 1, n)
+    zipped = F.arrays_zip(F.col("_l").alias("l"), F.col("_h").alias("h"), F.col("_s").alias("s"), earlier.alias("e"), running_sum(F.col("_s"), inclusive=False).alias("r"))
     item = F.transform(
-        "_l",
-        lambda x, i: F.struct(
-            (i + 1).cast("long").alias("line_no"), x.alias("line"), F.when(F.get(F.col("_h"), i) == 1, F.lit("match")).otherwise(F.lit("context")).alias("kind"),
-            ((i + 1 > first) & (F.coalesce(F.get(F.col("_s"), i - 1), F.lit(1)) == 0)).alias("group_break"), F.get(F.col("_s"), i).alias("shown"),
+        zipped,
+        lambda z, i: F.struct(
+            (i + 1).cast("long").alias("line_no"), z["l"].alias("line"), F.when(z["h"] == 1, F.lit("match")).otherwise(F.lit("context")).alias("kind"),
+            ((z["r"] > 0) & (z["e"] == 0)).alias("group_break"), z["s"].alias("shown"),
         ),
     )
     shown = F.filter(item, lambda x: x["shown"] == 1)
@@ -157,7 +172,8 @@ def max_count(df: DataFrame, keys: list[str], m: Match, limit: int, text: str =
 def byte_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, line_no, byte_offset, line): where every line starts in its member."""
     rows = df.withColumn("_l", line_array(F.col(text)))
-    rows = rows.withColumn("_o", running_sum(F.transform("_l", lambda x: (F.octet_length(x) + 1).cast("long")), inclusive=False))
+    rows = rows.withColumn("_b", F.transform("_l", lambda x: (F.octet_length(x) + 1).cast("long")))
+    rows = rows.withColumn("_o", running_sum(F.col("_b"), inclusive=False))
     cut = rows.select(*keys, F.posexplode(F.arrays_zip("_l", "_o")).alias("_n", "x"))
     return cut.select(*keys, (F.col("_n") + 1).cast("long").alias("line_no"), F.col("x._o").alias("byte_offset"), F.col("x._l").alias("line"))
 
@@ -198,11 +214,8 @@ def json_events(df: DataFrame, path: Column, m: Match, text: str = "text") -> Da
     offs = byte_offsets(df.withColumn("_path", path), ["_path"], text).withColumn("_hit", m.hit(F.col("line")))
     hits = offs.filter("_hit")
     java = m.java
-    found, gaps = F.regexp_extract_all("line", F.lit(java), F.lit(0)), F.split("line", java, -1)
-    sized = F.transform(found, lambda x, i: (F.octet_length(x) + F.octet_length(F.get(gaps, i))).cast("long"))
-    hits = hits.withColumns({"_m": found, "_g": gaps}).withColumn("_o", running_sum(sized, inclusive=False))
-    start = lambda i: (F.get(F.col("_o"), i) + F.octet_length(F.get(F.col("_g"), i))).cast("long")
-    subs = F.transform("_m", lambda x, i: F.struct(F.struct(x.alias("text")).alias("match"), start(i).alias("start"), (start(i) + F.octet_length(x)).alias("end")))
+    hits = _with_gaps(hits, F.col("line"), java)
+    subs = F.transform(located(), lambda z: F.struct(F.struct(z["m"].alias("text")).alias("match"), z["start"].alias("start"), (z["start"] + F.octet_length(z["m"])).alias("end")))
     name = F.struct(F.col("_path").alias("text"))
     match = F.struct(F.lit("match").alias("type"), F.struct(name.alias("path"), F.struct(F.concat("line", F.lit("\n")).alias("text")).alias("lines"), F.col("line_no").alias("line_number"), F.col("byte_offset").alias("absolute_offset"), subs.alias("submatches")).alias("data"))
     rows = hits.select(F.col("_path").alias("path"), F.col("line_no").alias("seq"), F.to_json(match).alias("event"), F.size("_m").cast("long").alias("_n"))

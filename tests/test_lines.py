@@ -73,3 +73,14 @@ def test_plans_shuffle_nothing(spark, capsys):
     df = frame(spark)
     for out in (L.match_lines(df, ["k"], Match.of("N")), L.context_lines(df, ["k"], Match.of("N"), 2, 2, 1), L.byte_offsets(df, ["k"]), L.count_matches(df, ["k"], Match.of("N"))):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_members(spark):
+    """The work for a line does not grow with the number of lines."""
+    import time
+
+    df = frame(spark, {"x": "\n".join("hit" if i % 50 == 0 else f"line {i}" for i in range(60_000))})
+    began = time.time()
+    assert L.context_lines(df, ["k"], Match.of("hit"), 2, 2).count() == 1200 * 5 - 2
+    assert L.byte_offsets(df, ["k"]).count() == 60_000
+    assert time.time() - began < 90
