@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,14 +28,14 @@ from pyspark.sql import types as T
 from .common import fresh, held_out, map_text
 
 #: Bound of the labelled documents that a fit reads.
-FIT_DOCS = 6000
+FIT_DOCS = 5000
 WORD = re.compile(r"[^\W\d_]+")
 CONTEXT = 6
 #: Words that mark reported speech, and words that address someone.
 REPORTING = frozenset("said says say wrote writes quoted quote called calls reported claimed stated dit écrit déclaré cité sagte schrieb zitiert nannte dijo escribió citó llamó".split())
 ADDRESS = frozenset("you your youre u tu te vous toi du dich ihr sie usted tú eres".split())
 OPEN_QUOTES, CLOSE_QUOTES, BOTH_QUOTES = "“«„", "”»‟", '"'
-FEATURES = 4
+FEATURES = 5
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -126,34 +126,49 @@ class FuzzyTrie:
 
 @dataclass
 class ToxicityModel:
-    words: list[str] = field(default_factory=list)
-    stems: list[str] = field(default_factory=list)
+    """Terms with their log odds, fuzzy matches to ignore, and the weights of the features."""
+
+    words: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
     banned: frozenset = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.array(PRIOR))
 
 
-#: Bias, direct hits, quoted hits, misspelled hits: what the fit starts from and is drawn to.
-PRIOR = (-4.0, 5.0, 1.0, 3.0)
+#: Bias, direct hits, quoted hits, misspelled hits, length: what the fit starts from and is drawn to.
+PRIOR = (-4.0, 3.0, 0.5, 2.0, 0.0)
+#: Shares of a direct hit's weight that quoted and misspelled hits have where the labelled rows show none.
+UNSEEN = (0.2, 0.9)
 
 
 class Scorer:
     def __init__(self, model: ToxicityModel):
-        self.model, self.trie, self.memo = model, FuzzyTrie(model.words, model.stems), {}
+        self.model, self.trie, self.memo = model, FuzzyTrie(list(model.words), list(model.stems)), {}
+        odds = [*model.words.values(), *model.stems.values()]
+        self.misspelled = sum(odds) / max(1, len(odds))
 
-    def lookup(self, word: str) -> int | None:
+    def lookup(self, word: str) -> tuple[int, float] | None:
+        """(edits, log odds) of the lexicon's nearest term."""
         memo = self.memo
         if word not in memo:
             if len(memo) > 500_000:
                 memo.clear()
-            memo[word] = None if word in self.model.banned else self.trie.match(word)
+            edits = None if word in self.model.banned else self.trie.match(word)
+            if edits:
+                memo[word] = edits, self.misspelled
+            elif edits == 0:
+                stems = self.model.stems
+                memo[word] = 0, max(self.model.words.get(word, 0.0), *(stems.get(word[:n], 0.0) for n in range(1, len(word) + 1)))
+            else:
+                memo[word] = None
         return memo[word]
 
     def features(self, text: str | None) -> list[float]:
-        """Bias, and log counts of direct, quoted and misspelled hits."""
+        """Bias; logarithms of the log odds summed over direct, quoted and misspelled hits; logarithm of the length."""
         low = (text or "").lower()
         lookup = self.lookup
-        hits = {w for w in set(WORD.findall(low)) if lookup(w) is not None}
-        out = [1.0, 0.0, 0.0, 0.0]
+        found = WORD.findall(low)
+        hits = {w for w in set(found) if lookup(w) is not None}
+        out = [1.0, 0.0, 0.0, 0.0, math.log1p(len(found) / 100)]
         if hits:
             tokens = [(m[0], m.start()) for m in WORD.finditer(low)]
             for i, (w, at) in enumerate(tokens):
@@ -162,9 +177,9 @@ class Scorer:
                     after = [x for x, _ in tokens[i + 1 : i + 1 + CONTEXT // 2]]
                     addressed = any(x in ADDRESS for x in near[-3:] + after)
                     quoted = in_quotes(low, at) or any(x in REPORTING for x in near)
-                    weight = 1.5 if addressed and not quoted else 1.0
-                    out[2 if quoted else 3 if lookup(w) else 1] += weight
-            out[1:] = [math.log1p(x) for x in out[1:]]
+                    edits, odds = lookup(w)
+                    out[2 if quoted else 3 if edits else 1] += odds * (1.5 if addressed and not quoted else 1.0)
+            out[1:4] = [math.log1p(x) for x in out[1:4]]
         return out
 
     def score(self, text: str | None) -> float:
@@ -181,21 +196,31 @@ def in_quotes(text: str, at: int) -> bool:
     return line.count(BOTH_QUOTES) % 2 == 1 and BOTH_QUOTES in text[at : min(at + 400, end if end >= 0 else len(text))]
 
 
-def learn_lexicon(rows: list[tuple[str | None, int]], least: float = 14.0, precision: float = 0.97) -> tuple[list[str], list[str]]:
-    """Words and stems that mark label 1.
+def learn_lexicon(rows: list[tuple[str | None, int]], least: float = 14.0, precision: float = 0.6) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems that mark label 1, with their log odds.
 
     Support is counted over distinct (previous word, next word) contexts, so
     copies of a text count once; a term needs a log likelihood ratio of
     ``least`` against chance and stands in label-1 contexts with ``precision``.
     """
-    seen: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+    number: dict[str, int] = {"": 0}
+    parts: list[list[np.ndarray]] = [[], []]
     for text, label in rows:
         tokens = WORD.findall((text or "").lower())
-        for a, w, b in zip(["", *tokens], tokens, [*tokens[1:], ""]):
-            seen[w][label].add((a, b))
-    total = [sum(len(v[k]) for v in seen.values()) for k in (0, 1)]
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in ["", *tokens, ""]), np.int64, len(tokens) + 2)
+        parts[label].append(np.unique(np.stack([ids[1:-1], ids[:-2] << 32 | ids[2:]]), axis=1))
+    counts = []
+    for own in parts:
+        each = np.concatenate([np.empty((2, 0), np.int64), *own], axis=1)
+        order = np.lexsort(each)
+        each = each[:, order]
+        new = np.ones(each.shape[1], bool)
+        new[1:] = (each[:, 1:] != each[:, :-1]).any(axis=0)
+        counts.append(np.bincount(each[0][new], minlength=len(number)))
+    clean_of, toxic_of = counts
+    total = [int(c.sum()) for c in counts]
     if not all(total):
-        return [], []
+        return {}, {}
     share = total[1] / sum(total)
 
     def marks(clean: int, toxic: int) -> bool:
@@ -205,21 +230,33 @@ def learn_lexicon(rows: list[tuple[str | None, int]], least: float = 14.0, preci
         q = toxic / n
         return toxic * math.log(q / share) + (clean * math.log((1 - q) / (1 - share)) if clean else 0) >= least
 
-    words = sorted(w for w, v in seen.items() if len(w) >= 3 and marks(len(v[0]), len(v[1])))
-    prefixes: dict[str, list] = defaultdict(lambda: [0, 0, 0])
-    for w, v in seen.items():
+    def odds(clean: int, toxic: int) -> float:
+        return max(0.0, math.log((toxic + 0.5) / (clean + 0.5)) - math.log(share / (1 - share)))
+
+    names = list(number)
+    words = sorted(names[k] for k in np.flatnonzero(toxic_of) if len(names[k]) >= 3 and marks(int(clean_of[k]), int(toxic_of[k])))
+    support: Counter = Counter()
+    for k in np.flatnonzero(toxic_of):
+        w = names[k]
+        for n in range(4, min(len(w), 12)):
+            support[w[:n]] += int(toxic_of[k])
+    # what stands too seldom in label-1 texts is no stem, however it stands elsewhere
+    support = Counter({p: n for p, n in support.items() if n * -math.log(share) >= least})
+    clean_support: Counter = Counter()
+    forms: Counter = Counter()
+    for k in range(1, len(names)):
+        w = names[k]
         for n in range(4, min(len(w), 12)):
-            p = prefixes[w[:n]]
-            p[0] += len(v[0])
-            p[1] += len(v[1])
-            p[2] += 1
-    stems: list[str] = []
+            if w[:n] in support:
+                clean_support[w[:n]] += int(clean_of[k])
+                forms[w[:n]] += 1
+    stems: dict[str, float] = {}
     taken: set[str] = set()
-    for p, (clean, toxic, forms) in sorted(prefixes.items(), key=lambda x: (len(x[0]), x[0])):
-        if forms >= 4 and marks(clean, toxic) and not any(p[:n] in taken for n in range(4, len(p))):
-            stems.append(p)
+    for p in sorted(support, key=lambda p: (len(p), p)):
+        if forms[p] >= 4 and marks(clean_support[p], support[p]) and not any(p[:n] in taken for n in range(4, len(p))):
+            stems[p] = odds(clean_support[p], support[p])
             taken.add(p)
-    return [w for w in words if not any(w[:n] in taken for n in range(4, len(w) + 1))], stems
+    return {w: odds(int(clean_of[number[w]]), int(toxic_of[number[w]])) for w in words}, stems
 
 
 def fit(rows: list[tuple[str | None, int]], rounds: int = 300) -> ToxicityModel:
@@ -229,7 +266,7 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 300) -> ToxicityModel:
     scorer = Scorer(model)
     loose = [Counter(), Counter()]
     for text, label in rows:
-        loose[label].update(w for w in set(WORD.findall((text or "").lower())) if scorer.lookup(w))
+        loose[label].update(w for w in set(WORD.findall((text or "").lower())) if (scorer.lookup(w) or (0,))[0])
     model.banned = frozenset(w for w, n in loose[0].items() if n > loose[1][w])
     if rows and {y for _, y in rows} == {0, 1}:
         scorer = Scorer(model)
@@ -242,6 +279,9 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 300) -> ToxicityModel:
             w = w + step
             if np.abs(step).max() < 1e-6:
                 break
+        for k, share in zip((2, 3), UNSEEN):
+            if not x[:, k].any():
+                w[k] = share * w[1]
         model.weights = w
     return model
 
@@ -255,7 +295,7 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, label: str = "toxic", te
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """Add ``tox_score`` (double, 0 to 1) and ``tox_hits`` (hits by kind: direct, quoted, misspelled) to every row."""
+    """Add ``tox_score`` (double, 0 to 1) and ``tox_hits`` (log odds summed over direct, quoted and misspelled hits) to every row."""
     names = fresh(docs.columns, "tox_score", "tox_hits")
 
     def make():
@@ -264,7 +304,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
         def each(texts, _):
             features = [scorer.features(t.decode() if t is not None else None) for t in texts]
             z = np.clip(np.array(features).reshape(-1, FEATURES) @ model.weights, -30, 30)
-            return [(1 / (1 + np.exp(-z))).tolist(), [[math.expm1(x) for x in f[1:]] for f in features]]
+            return [(1 / (1 + np.exp(-z))).tolist(), [[math.expm1(x) for x in f[1:4]] for f in features]]
 
         return each
 
