@@ -35,6 +35,8 @@ VALID_IP = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Identifier-like words: with a digit, between white space, trimmed of outer punctuation.
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Code points of a stretch in which spans of one text meet.
+STRETCH = 256
 ROUNDS, LEAST_SUPPORT, LEAST_CONFIDENCE = 3, 3, 0.7
 SPAN = "array<struct<kind:int,start:long,end:long>>"
 
@@ -76,15 +78,16 @@ def _search(df: DataFrame, text: str, pattern: str, out: str, hint: Column | Non
     df = df.withColumn("_m", F.when(some, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(t, pattern, -1)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.col("_g")))
-    df = df.withColumn("_l", F.transform("_m", lambda m, i: (F.length(m) + F.length(F.get(F.col("_g"), i))).cast("long")))
+    df = df.withColumn("_l", F.transform(F.arrays_zip(F.col("_m").alias("m"), F.col("_g").alias("g")), lambda z: (F.coalesce(F.length(z["m"]), F.lit(0)) + F.length(z["g"])).cast("long")))
     df = df.withColumn("_s", F.when(F.size("_m") > 0, _running(F.col("_l"))))
+    # zipped, not indexed: what a lambda refers to from outside may be evaluated again for every element
+    n = F.size("_m")
+    zipped = F.arrays_zip(F.col("_m").alias("m"), F.slice("_s", 1, n).alias("s"), F.slice("_g", 1, n).alias("g"), F.slice("_g", 2, n).alias("h"))
     item = F.transform(
-        "_m",
-        lambda m, i: F.struct(
-            (F.get(F.col("_s"), i) + F.length(F.get(F.col("_g"), i))).cast("long").alias("start"), m.alias("match"),
-            F.right(F.get(F.col("_g"), i), F.lit(64)).alias("before"), F.left(F.get(F.col("_g"), i + 1), F.lit(64)).alias("after"),
-        ),
+        F.when(n > 0, zipped),
+        lambda z: F.struct((z["s"] + F.length(z["g"])).cast("long").alias("start"), z["m"].alias("match"), F.right(z["g"], F.lit(64)).alias("before"), F.left(z["h"], F.lit(64)).alias("after")),
     )
+    item = F.coalesce(item, F.array().cast("array<struct<start:long,match:string,before:string,after:string>>"))
     return df.withColumn(out, item).drop("_m", "_g", "_l", "_s")
 
 
@@ -109,8 +112,8 @@ def _validated(found: str, kind: str, number: int) -> Column:
 
 def _restored(matches: str, gaps: str, kind: str) -> Column:
     """The gaps, each with the match behind it or that one's placeholder."""
-    m = lambda i: F.get(F.col(matches), i)
-    return F.transform(gaps, lambda x, i: F.concat(x, F.coalesce(F.when(valid(kind, m(i)), F.lit(f"<{kind}>")).otherwise(m(i)), F.lit(""))))
+    zipped = F.arrays_zip(F.col(gaps).alias("g"), F.col(matches).alias("m"))
+    return F.transform(zipped, lambda z: F.concat(z["g"], F.coalesce(F.when(z["m"].isNotNull() & valid(kind, z["m"]), F.lit(f"<{kind}>")).otherwise(z["m"]), F.lit(""))))
 
 
 def _ends(x: Column) -> Column:
@@ -146,8 +149,15 @@ def occurrences(found: DataFrame) -> DataFrame:
             F.lower(core(x["match"])).alias("instance"), _patterns(x["before"], x["after"]).alias("ps"),
         ),
     )
-    free = F.filter(rest, lambda x: (F.length(x["instance"]) >= 5) & ~F.exists(F.col("seeds"), lambda s: (s["start"] < x["end"]) & (_ends(s) > x["start"])))
-    rows = found.select("id", "key", F.explode(F.concat(base, free)).alias("o")).select("id", "key", "o.*")
+    own = found.select("id", "key", F.explode(base).alias("o")).select("id", "key", "o.*")
+    other = found.select("id", "key", F.explode(rest).alias("o")).select("id", "key", "o.*").filter(F.length("instance") >= 5)
+    # a word that touches a seed is no news; both are dealt into stretches of the text that they touch, and meet there
+    parts = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.col("end") - 1) / STRETCH))).alias("part")
+    seeds = own.select(F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("start").alias("from"), F.col("end").alias("to"), parts.alias("part_"))
+    touch = F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("part") == F.col("part_")) & (F.col("from") < F.col("end")) & (F.col("to") > F.col("start"))
+    touching = other.select("id", "key", "start", "end", parts).join(seeds, touch, "left_semi").select(F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("start").alias("from")).distinct()
+    free = other.join(touching, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("start") == F.col("from")), "left_anti")
+    rows = own.unionByName(free)
     return rows.select("id", "key", "kind", "start", "end", "instance", F.explode("ps").alias("pattern")).distinct()
 
 
@@ -197,8 +207,8 @@ def spell(spans: Column) -> Column:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every base match, and every discovered identifier, replaced by a placeholder; all columns and rows are kept.
 
-    Kinds are replaced one after the other in an order that leaves no base
-    match of a later kind half hidden behind an earlier one.
+    Kinds are replaced one after the other, the numeric ones twice: what stood
+    beside a replaced match may be one of its own then.
     """
     key, old, new = fresh(docs.columns, "_key", "_id2", "_added")
     found = find_pii(docs, doc_id, text)
@@ -210,7 +220,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     names = F.array(*map(F.lit, KINDS))
     hidden = F.when(F.size(new) > 0, F.aggregate(pieces, t, lambda acc, x: F.replace(acc, x["m"], F.concat(F.lit("<"), F.get(names, x["k"]), F.lit(">"))))).otherwise(t)
     df = df.withColumn(text, hidden)
-    for kind in ("email", "phone", "card", "ip"):
+    for kind in ("email", "ip", "phone", "card", "ip", "phone", "card"):
         t = F.col(text)
         hint = F.rlike(t, F.lit(r"@[A-Za-z0-9-]" if kind == "email" else r"\+[0-9]" if kind == "phone" else r"[0-9][\x20-]?[0-9]" if kind == "card" else r"[0-9]\.[0-9]"))
         m, g = fresh(df.columns, "_m", "_g")
