@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, langid, ngram_join, pieces, pii, quality, substring_dedup, token_rollup, toxicity
 from .common import held_out, scratch_path, table
+from .oracles import ORACLE_SQL
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("LUMENSTRATA_TOKENIZERS", "/opt/tokenizers")
@@ -96,8 +97,5 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
-ORACLE_SQL: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
