@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenstrata.llm import decontaminate, ngram_join, pieces, pii, queries, toxicity
-from lumenstrata.llm.common import materialize, table
+from lumenstrata.llm.common import fresh, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.fit_from_tables(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).filter("tox_score < 0.5").select(*docs.columns)
+    scored = toxicity.score_toxicity(docs, model)
+    (score,) = fresh(docs.columns, "tox_score")
+    return scored.filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    (flag,) = fresh(docs.columns, "contaminated")
+    return found.filter(~F.col(flag)).select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +43,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of the best segmentation, and the scores of the best few."""
+    docs = docs.select("doc_id", "text", "lang", "source")
     out = pieces.encode_pieces(docs, f"{queries.TOKENIZERS}/{queries.PIECE_MODEL}")
     return out.select("doc_id", "text", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "nbest_scores", "round_trip", "piece_ids")
 
