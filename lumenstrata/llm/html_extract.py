@@ -41,6 +41,8 @@ BAD_TOKENS = frozenset(
     "subscription signup login share sharing social related recommended recommendations trending pagination pager comment comments commentlist respond discussion disqus "
     "replies reply complementary contentinfo search toolbar skip hidden legal disclaimer paywall".split()
 )
+#: Those of them that make even an article element no main text.
+BAD_ARTICLES = frozenset("ad ads advert promo sponsored comment comments reply replies related teaser".split())
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -89,7 +91,7 @@ class _Events(HTMLParser):
             self.links += 1
         if tag in VOID:
             return
-        if tag in CONTAINERS and self._bad() and not any(e == "template" or e in CONTAINERS for e, _, _ in self.stack):
+        if tag in CONTAINERS and self._bad() and not self._marked(tag, attrs, 0) and not any(e == "template" or e in CONTAINERS for e, _, _ in self.stack):
             while self.stack and self.stack[-1][1]:  # an unclosed menu or banner before the article
                 self.stack.pop()
         zone, bad = self._zone(), self._bad()
@@ -102,8 +104,9 @@ class _Events(HTMLParser):
 
     @staticmethod
     def _marked(tag, attrs, zone) -> bool:
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "main"):
             return False
+        tokens_of = BAD_ARTICLES if tag == "article" else BAD_TOKENS
         for name, value in attrs:
             if not value:
                 if name == "hidden":
@@ -113,7 +116,7 @@ class _Events(HTMLParser):
                 low = value.lower()
                 for whole in low.split():
                     tokens = _TOKEN.findall(whole)
-                    if any(t in BAD_TOKENS and not (t == "header" and zone) for t in tokens):
+                    if any(t in tokens_of and not (t == "header" and zone) for t in tokens):
                         return True
             elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return True
@@ -205,7 +208,8 @@ def extract(html: str | None, sigma: float = 1.0) -> list[str]:
     zones = [z for z in mass if z]
     if zones:  # the container with the most content text, the first of equals, with all its lines
         best = max(zones, key=lambda z: (mass[z], sum(len(x.text) for x in lines if x.zone == z), -z))
-        return [x.text for x in lines if x.zone == best]
+        if mass.get(0, 0) <= 2 * mass[best]:  # else the containers are asides of a text that stands in none
+            return [x.text for x in lines if x.zone == best]
     prose = [i for i, (x, c) in enumerate(zip(lines, content)) if c and 2 * x.linked <= len(x.text)]
     if not prose:
         return [x.text for x in lines if 2 * x.linked <= len(x.text)]

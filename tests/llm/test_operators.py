@@ -518,6 +518,8 @@ PAGES = [
     ("<body><div id=cookie-notice>Accept</div><main><header><h1>H</h1></header><p>Text of it</p><aside>more</aside><form>f</form><section class='comments'><p>Nice!</p></section></main><div class=sidebar>s</div>", ["H", "Text of it"]),
     ("<body><header>Site</header><ul class='menu'><li><a href=1>a</a></ul><div><p>" + "long prose " * 30 + "</p><p>" + "more prose " * 30 + "</p></div><footer>f</footer>", [("long prose " * 30).strip(), ("more prose " * 30).strip()]),
     ("<nav>never closed <a>x</a><article><p>Still read</p></article>", ["Still read"]), ("<article><p>a<!-- no --><b>b</b>c <i>d</i></p></article>", ["abc d"]),
+    ("<div><p>" + "the text " * 40 + "</p></div><section class=comments><article class=comment><p>me too</p></article></section>", [("the text " * 40).strip()]),
+    ("<article><p>Text</p></article><article class='teaser'><p>" + "other " * 50 + "</p></article>", ["Text"]),
     ("<article><![foo[x]]><p>ok</p></article>", None), ("<" * 3000, None),
 ]
 
@@ -528,7 +530,7 @@ def test_html(spark):
         assert want is None or got == want, html
     df = spark.createDataFrame([(i, "u", h, "x") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, main_text string")
     got = rows(html_extract.extract_main_text(df), "page_id")
-    assert [got[i]["main_text_"] for i in range(9)] == ["\n\n".join(w) for _, w in PAGES[:9]]
+    assert [got[i]["main_text_"] for i in range(11)] == ["\n\n".join(w) for _, w in PAGES[:11]]
     assert html_extract.extract_main_text(empty(df)).count() == 0
 
 
