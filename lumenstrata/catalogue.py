@@ -365,6 +365,68 @@ def json_events(spark, sf_dir):
     return e.select("path", "seq", F.col("e.type").alias("type"), F.col("e.data.absolute_offset").alias("absolute_offset"), n.alias("n"), F.get("e.data.submatches", F.lit(0))["start"].alias("first_start"))
 
 
+# archives: the documents are packed, a bounded number of them into each archive, and read back through the format's reader
+
+MEMBERS_PER_ARCHIVE = 64
+
+
+def _through_archives(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def pack_and_read(batches):
+            import io
+
+            import pyarrow as pa
+
+            from .sources.build import archive
+            from .sources.walk import Options, walk
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, MEMBERS_PER_ARCHIVE):
+                    part = batch.slice(at, MEMBERS_PER_ARCHIVE)
+                    data = archive([(str(k), t.encode()) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], kind)
+                    names: dict = {}
+                    for e in walk(io.BytesIO(data), len(data), Options()):
+                        if e[0] == "member":
+                            names[e[1]] = int(e[2])
+                        elif e[0] == "lines":
+                            n = len(e[3])
+                            yield pa.RecordBatch.from_arrays([pa.array([names[e[1]]] * n, pa.int64()), pa.array(range(e[2], e[2] + n), pa.int64()), pa.array([x[1].decode() for x in e[3]])], names=["doc_id", "line_no", "line"])
+                        elif e[0] == "diag":
+                            raise ValueError(e[4])
+
+        lines = _docs(spark, sf_dir).select("doc_id", "text").filter("text is not null").mapInArrow(pack_and_read, "doc_id long, line_no long, line string")
+        m = Match.of("ation")
+        return lines.filter(m.hit(F.col("line")))
+
+    return run
+
+
+for _kind in ("tar", "zip", "tar.gz", "tar.bz2", "tar.xz", "tar.zst", "tar.lz4", "tar.lz4l", "tar.Z"):
+    _name = "archive_scan_" + _kind.removeprefix("tar.").lower()
+    QUERIES[_name], ORACLES[_name] = _through_archives(_kind), _match_sql("contains(line, 'ation')")
+
+
+# formats by content
+
+
+@query(
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'gzip' WHEN 1 THEN 'zstd' WHEN 2 THEN 'xz' WHEN 3 THEN 'zip' WHEN 4 THEN 'unreadable:7z' ELSE 'plain' END AS format FROM documents"
+)
+def format_sniff(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from .sources.sniff import SNIFF_LENGTH, sniff
+
+    heads = ["1F8B08", "28B52FFD", "FD377A585A00", "504B0304", "377ABCAF271C", ""]
+    raw = F.concat(F.unhex(F.get(F.array(*map(F.lit, heads)), (F.col("doc_id") % 6).cast("int"))), F.encode("text", "UTF-8"))
+
+    @F.pandas_udf(T.StringType())
+    def of(column):
+        return column.map(lambda b: sniff(bytes(b)))
+
+    return _docs(spark, sf_dir).select("doc_id", of(F.substring(raw, 1, SNIFF_LENGTH)).alias("format"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

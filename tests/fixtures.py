@@ -1,48 +1,8 @@
 """Archives of every kind, built from (name, bytes) members."""
 
-import bz2
-import gzip
-import io
-import lzma
-import tarfile
-import zipfile
+from lumenstrata.sources.build import CODECS, legacy_lz4, tar, zip_
 
-import pyarrow as pa
-import zstandard
-
-from lumenstrata.sources import lzw
-
-
-def tar(members, **kw) -> bytes:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w", **kw) as t:
-        for name, data in members:
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            t.addfile(info, io.BytesIO(data))
-    return out.getvalue()
-
-
-def zip_(members, method=zipfile.ZIP_DEFLATED) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", method) as z:
-        for name, data in members:
-            z.writestr(name, data)
-    return out.getvalue()
-
-
-def legacy_lz4(data: bytes, step: int = 1 << 20) -> bytes:
-    codec, out = pa.Codec("lz4_raw"), b"\x02\x21\x4c\x18"
-    for i in range(0, len(data), step):
-        block = codec.compress(data[i : i + step], asbytes=True)
-        out += len(block).to_bytes(4, "little") + block
-    return out
-
-
-CODECS = {
-    "gz": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress, "zst": zstandard.compress, "lz4": lambda d: pa.compress(d, codec="lz4", asbytes=True), "Z": lzw.encode,
-    "lz4l": legacy_lz4,
-}
+__all__ = ["CODECS", "archives", "legacy_lz4", "tar", "zip_"]
 
 
 def archives(members) -> dict[str, bytes]:
