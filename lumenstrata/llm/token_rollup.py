@@ -31,9 +31,9 @@ DELTAS = "source string, lang string, version string, d_docs long, d_tokens long
 
 
 class BpeCounter:
-    """Token counts of a byte-level BPE by rank file; a bounded memo holds the counts of space-led chunks."""
+    """Token counts of a byte-level BPE by rank file."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 400_000):
+    def __init__(self, path: str, pattern: str):
         import base64
 
         import tiktoken
@@ -41,26 +41,9 @@ class BpeCounter:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.memo: dict[str, int] = {}
-        self.keep = keep
 
     def __call__(self, text: str) -> int:
-        parts = text.split(" ")
-        for p in parts:  # only single spaces between words are safe to cut at
-            if not p or p[0].isspace() or p[-1].isspace():
-                return len(self.encoding.encode_ordinary(text))
-        memo = self.memo
-        total = len(self.encoding.encode_ordinary(parts[0]))
-        rest = parts[1:]
-        try:
-            return total + sum(map(memo.__getitem__, rest))
-        except KeyError:
-            if len(memo) > self.keep:
-                memo.clear()
-            new = list(set(rest).difference(memo))
-            for p, ids in zip(new, self.encoding.encode_ordinary_batch([" " + p for p in new], num_threads=1)):
-                memo[p] = len(ids)
-            return total + sum(map(memo.__getitem__, rest))
+        return len(self.encoding.encode_ordinary(text))
 
 
 def count_words(text: str) -> int:
