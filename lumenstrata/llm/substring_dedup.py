@@ -4,10 +4,12 @@ A window is ``WINDOW`` consecutive words.  Each window is represented in the
 index by its minimizer, the smallest hash of the grams inside it: equal windows
 have equal minimizers, and neighbouring windows share theirs, so the index is a
 small multiple of a seventh of the words.  Every batch of documents becomes one
-immutable run, sorted by fingerprint; runs are merge-joined to find the
-fingerprints that repeat, and compacted into one sorted run when they are many.
-Only windows under a repeated fingerprint are then verified, by two independent
-64-bit hashes of their words, against the first document that has them.
+immutable run, sorted by fingerprint; an arriving batch is merge-joined with the
+runs before it to find the fingerprints that repeat, and the runs are compacted
+into one sorted run when they are many, and at the end of a call.  Only windows
+under a repeated fingerprint are then verified, by two independent 64-bit hashes
+of their words, against the first document that has them, of the batch or before
+it.  An index that is kept holds its documents' texts beside the runs for that.
 
 Defined results: null texts and texts shorter than a window lose nothing; rows
 are ordered by id (null first), then by a hash of the text, and of rows alike
@@ -32,6 +34,7 @@ WINDOW, GRAM = 20, 8
 #: Ingested batches, and runs from which they are compacted.
 BATCHES, FAN_IN = 2, 4
 NULL_ID = -(1 << 63)
+FOUND = "h long, v long, ord long, pos int"
 
 
 def minimizers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +81,11 @@ def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fingerprint, number of places) below one shared folder."""
+    """Sorted immutable runs of (fingerprint, number of places), and the documents behind them, below one shared folder."""
 
     def __init__(self, spark: SparkSession, path: str, fan_in: int = FAN_IN):
         self.spark, self.path, self.fan_in, self.runs = spark, path.rstrip("/"), fan_in, []
+        self.kept, self.next = [], 0  # tables of kept documents, the order number of the next call's first one
 
     schema = "g long, n long"
 
@@ -92,11 +96,31 @@ class FingerprintIndex:
 
     def add(self, sketches: DataFrame) -> None:
         """One more run from the fingerprints of a batch; compacts when the fan-in is reached."""
+        drop_table(self.ingest(sketches))
+
+    def ingest(self, sketches: DataFrame) -> DataFrame:
+        """As ``add``; (g, old): the batch's fingerprints that stand at another place too, ``old`` if one of an earlier batch."""
         counts = sketches.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-        self.runs.append(self._write(counts))
+        path = self._write(counts)
+        run = self.read(path)
+        history = self.merged().withColumnRenamed("n", "m")
+        met = run.join(history.hint("merge"), "g", "left") if self.runs else run.withColumn("m", F.lit(None).cast("long"))
+        flagged = materialize(met.filter("n > 1 or m is not null").select("g", F.col("m").isNotNull().alias("old")), "flagged")
+        self.runs.append(path)
         release(self.spark)
         if len(self.runs) >= self.fan_in:
             self.compact()
+        return flagged
+
+    def keep(self, docs: DataFrame) -> None:
+        """Keep (ord, grams, text) of a call's distinct documents, against which later calls are verified."""
+        path = f"{self.path}/docs-{len(self.kept):06d}-{uuid.uuid4().hex}"
+        docs.select("ord", "grams", "text").write.option("compression", "zstd").parquet(path)
+        self.kept.append(path)
+
+    def documents(self) -> DataFrame | None:
+        schema = "ord long, grams array<long>, text string"
+        return self.spark.read.schema(schema).parquet(*self.kept) if self.kept else None
 
     def read(self, run: str) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(run)
@@ -128,38 +152,64 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_words, n_removed, kept_sha256) for every row.
 
     A word is removed if a window over it starts earlier with the same words in
-    a document before it or in its own.  ``index`` may be given to keep the runs.
+    a document before it or in its own.  ``index`` keeps runs and documents for
+    later calls; the documents of earlier calls with it come before all of ``docs``.
     """
     spark = docs.sparkSession
     raw = materialize(sketch(docs, doc_id, text, window, gram), "sketch")
     # range partitions in ascending order and rows sorted inside: the generated number follows (id, t)
     order = [F.coalesce("id", F.lit(NULL_ID)), F.col("t")]
-    sketches = materialize(raw.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), *order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()), "ordered")
+    start = index.next if index else 0
+    number = (F.monotonically_increasing_id() + F.lit(start)).alias("ord")
+    sketches = materialize(raw.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), *order).sortWithinPartitions(*order).select("*", number), "ordered")
     drop_table(raw)
     long_ = sketches.filter(F.col("n_words") >= window)
     first = materialize(long_.groupBy("whole").agg(F.min("ord").alias("first")).select("first"), "first")
     distinct = materialize(long_.join(first, F.col("ord") == F.col("first"), "left_semi").select("ord", "id", "t", "grams"), "distinct")
-    index = index or FingerprintIndex(spark, scratch_path(spark, "runs"))
+    texts = _own(docs, doc_id, text).filter("text is not null").select(F.coalesce("id", F.lit(NULL_ID)).alias("id_"), "t", "text")
+    with_text = lambda part: part.withColumn("id_", F.coalesce("id", F.lit(NULL_ID))).drop("id").join(texts, ["id_", "t"])
+    runs = index or FingerprintIndex(spark, scratch_path(spark, "runs"))
+    earlier = runs.documents()
     cuts = distinct.approxQuantile("ord", [k / batches for k in range(1, batches)], 0.05) if batches > 1 else []
-    edges = [None, *cuts, None]
-    for a, b in zip(edges, edges[1:]):
-        part = distinct if a is None else distinct.filter(F.col("ord") > a)
-        index.add(part if b is None else part.filter(F.col("ord") <= b))
-    repeated = materialize(index.repeated(), "repeated")
-    hits = distinct.select("ord", "id", "t", F.explode(F.array_distinct("grams")).alias("g")).join(repeated, "g")
-    dirty = materialize(hits.groupBy("ord", "id", "t").agg(F.collect_list("g").alias("gs")), "dirty")
+    cuts = sorted({int(c) for c in cuts})
+    done = []
+    for a, b in zip([start - 1, *cuts], [*cuts, None]):
+        part = distinct.filter(F.col("ord") > a)
+        part = part if b is None else part.filter(F.col("ord") <= b)
+        flagged = runs.ingest(part)
+        dirty = materialize(_under(part, flagged, "ord", "id", "t"), "dirty")
+        matched = materialize(with_text(dirty).select("ord", "text", "gs"), "texts")
+        drop_table(dirty)
+        # the documents before the batch that share a fingerprint with it: of this call, and of the calls before
+        shared = flagged.filter("old")
+        before = []
+        if a >= start:
+            before.append(with_text(_under(distinct.filter(F.col("ord") <= a), shared, "ord", "id", "t")).select("ord", "text", "gs"))
+        if earlier is not None:
+            before.append(_under(earlier, shared, "ord").join(earlier.select("ord", "text"), "ord").select("ord", "text", "gs"))
+        found = matched.mapInArrow(_windows(window, gram), FOUND)
+        every = found
+        for x in before:
+            every = every.unionByName(x.mapInArrow(_windows(window, gram), FOUND))
+        firsts = every.groupBy("h", "v").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter((F.col("first") < F.col("last")) & (F.col("last") > a))
+        firsts = materialize(firsts.drop("last"), "firsts")
+        drop_table(flagged)
+        later = materialize(found.join(firsts, ["h", "v"]).filter("ord > first").groupBy("ord").agg(F.collect_list("pos").alias("starts")), "later")
+        drop_table(firsts)
+        cut = matched.select("ord", "text").join(later, "ord", "left")
+        cut = map_text(cut, [("n_removed", T.LongType()), ("left", T.StringType())], "text", _cutter(window)).select("ord", "n_removed", "left")
+        done.append(materialize(cut.dropDuplicates(["ord"]), "cut"))
+        drop_table(matched)
+    if index:
+        index.keep(with_text(distinct).dropDuplicates(["ord"]))
+        last = sketches.agg(F.max("ord")).first()[0]
+        index.next = start if last is None else last + 1
     drop_table(distinct)
-    texts = _own(docs, doc_id, text).filter("text is not null")
-    matched = dirty.withColumn("id_", F.coalesce("id", F.lit(NULL_ID))).drop("id").join(texts.select(F.coalesce("id", F.lit(NULL_ID)).alias("id_"), "t", "text"), ["id_", "t"])
-    matched = materialize(matched.select("ord", "text", "gs"), "texts")
-    found = matched.mapInArrow(_windows(window, gram), "h long, v long, ord long, pos int")
-    firsts = materialize(found.groupBy("h", "v").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "firsts")
-    later = found.join(firsts, ["h", "v"]).filter("ord > first").groupBy("ord").agg(F.collect_list("pos").alias("starts"))
-    later = materialize(later, "later")
-    drop_table(firsts)
-    cut = matched.select("ord", "text").join(later, "ord", "left")
-    cut = materialize(map_text(cut, [("n_removed", T.LongType()), ("left", T.StringType())], "text", _cutter(window)).select("ord", "n_removed", "left").dropDuplicates(["ord"]), "cut")
-    drop_table(matched)
+    if len(runs.runs) > 1:
+        runs.compact()
+    cut = done[0]
+    for x in done[1:]:
+        cut = cut.unionByName(x)
     out = sketches.drop("grams", "whole", "t").join(first.withColumn("is_first", F.lit(True)), F.col("ord") == F.col("first"), "left").join(cut, "ord", "left")
     copy = (F.col("n_words") >= window) & F.col("is_first").isNull()
     return out.select(
@@ -169,6 +219,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
+def _under(docs: DataFrame, flagged: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the documents that hold flagged fingerprints, with those as ``gs``."""
+    hits = docs.select(*columns, F.explode(F.array_distinct("grams")).alias("g")).join(flagged.select("g"), "g")
+    return hits.groupBy(*columns).agg(F.collect_list("g").alias("gs"))
+
+
 def _hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of every window."""
     return windows(h, window), windows((h ^ (h >> np.uint64(29))) * MIX_B, window)

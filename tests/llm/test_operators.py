@@ -141,6 +141,25 @@ def test_runs_are_merged_and_compacted(spark, tmp_path):
     assert sorted(r["g"] for r in index.repeated().collect()) == [1, 2, 3]
 
 
+def test_repeats_across_calls(spark, docs, tmp_path):
+    """Calls with one index find what stood in the calls before, though it stands once in their own."""
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/runs")
+    rng = random.Random(3)
+    shared = [f"s{k}" for k in range(25)]
+    texts = dict(list(docs.items())[:60])
+    for k in (1001, 2001, 3001):
+        texts[k] = " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(30)), *shared[: 20 + k // 1000], *(f"b{rng.randrange(10**6)}" for _ in range(30))])
+    texts[1002] = texts[2002] = " ".join(f"c{k}" for k in range(40))
+    bounds = [(-1, 1999), (2000, 2999), (3000, 9999)]
+    want, got = substring(list(texts.items())), {}
+    for a, b in bounds:
+        part = spark.createDataFrame([(k, t) for k, t in texts.items() if a < k <= b], "doc_id long, text string")
+        got |= {k: tuple(r)[1:] for k, r in rows(substring_dedup.remove_repeats(part, index=index)).items()}
+        assert len(index.runs) == 1
+    assert got == want
+    assert want[2001][1] == 21 and want[2002][1] == 40 and want[3001][1] == 22
+
+
 def test_equal_windows_have_equal_minimizers():
     h = WordHasher()(b" ".join(x.encode() for x in PROSE * 9).split())
     _, g = substring_dedup.minimizers(h)
