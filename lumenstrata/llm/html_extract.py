@@ -5,8 +5,9 @@ per block together with the number of tags and of linked characters in it.
 Zones that can't be article text (menus, forms, adverts, comments, ...) are
 left out by element name or by class, id and role tokens.  The lines' ratios of
 text to tags are smoothed with a Gaussian and clustered by a threshold; the
-clusters select the container (article, main, or the body) that holds the most
-content, and every line of it is kept in page order.
+clusters select the outermost container (article, main, or the body) that holds
+the most content; every line of it, of the containers inside it and of the parts
+beside it in one element is kept in page order.
 
 Defined results: null, empty and text-free pages give an empty text; repeated
 pages are extracted alike; unclosed and badly nested elements are tolerated.
@@ -60,11 +61,13 @@ class _Events(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.stack: list[tuple[str, bool, int]] = []  # element, left out, zone
+        self.stack: list[tuple[str, bool, int, int]] = []  # element, left out, zone, number
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.links = 0
-        self.zones = 0
+        self.zones: list[int] = [0]  # the container around each container
+        self.hosts: list[int] = [0]  # the element around it, by number
+        self.elements = 0
 
     def _bad(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
@@ -91,16 +94,18 @@ class _Events(HTMLParser):
             self.links += 1
         if tag in VOID:
             return
-        if tag in CONTAINERS and self._bad() and not self._marked(tag, attrs, 0) and not any(e == "template" or e in CONTAINERS for e, _, _ in self.stack):
+        if tag in CONTAINERS and self._bad() and not self._marked(tag, attrs, 0) and not any(e == "template" or e in CONTAINERS for e, *_ in self.stack):
             while self.stack and self.stack[-1][1]:  # an unclosed menu or banner before the article
                 self.stack.pop()
         zone, bad = self._zone(), self._bad()
         if not bad:
             bad = tag in NEVER or (tag == "header" and not zone) or self._marked(tag, attrs, zone)
             if tag in CONTAINERS and not bad:
-                self.zones += 1
-                zone = self.zones
-        self.stack.append((tag, bad, zone))
+                self.zones.append(zone)
+                self.hosts.append(self.stack[-1][3] if self.stack else 0)
+                zone = len(self.zones) - 1
+        self.elements += 1
+        self.stack.append((tag, bad, zone, self.elements))
 
     @staticmethod
     def _marked(tag, attrs, zone) -> bool:
@@ -157,7 +162,7 @@ class _Events(HTMLParser):
                 self.linked += len(data)
 
 
-def parse_lines(html: str) -> list[_Line]:
+def parse(html: str) -> _Events:
     try:
         p = _Events()
         p.feed(html)
@@ -167,7 +172,7 @@ def parse_lines(html: str) -> list[_Line]:
         p.feed(html.replace("<![", "&lt;!["))
         p.close()
     p.flush()
-    return p.lines
+    return p
 
 
 def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -198,27 +203,27 @@ def content_lines(lines: list[_Line], sigma: float = 1.0) -> list[bool]:
 
 def extract(html: str | None, sigma: float = 1.0) -> list[str]:
     """The main text's blocks in page order."""
-    lines = parse_lines(html) if html else []
-    if not lines:
+    page = parse(html) if html else None
+    if not page or not page.lines:
         return []
+    lines = page.lines
     content = content_lines(lines, sigma)
+    outer = [0] * len(page.zones)
+    for z in range(1, len(outer)):  # a container stands behind the one around it
+        outer[z] = outer[page.zones[z]] or z
     mass: dict[int, int] = {}
+    chars: dict[int, int] = {}
     for x, c in zip(lines, content):
-        mass[x.zone] = mass.get(x.zone, 0) + (len(x.text) - x.linked if c else 0)
+        z = outer[x.zone]
+        mass[z] = mass.get(z, 0) + (len(x.text) - x.linked if c else 0)
+        chars[z] = chars.get(z, 0) + len(x.text)
     zones = [z for z in mass if z]
-    if zones:  # the container with the most content text, the first of equals, with all its lines
-        best = max(zones, key=lambda z: (mass[z], sum(len(x.text) for x in lines if x.zone == z), -z))
+    if zones:  # the outermost container with the most content text, the first of equals, and the parts beside it, with all their lines
+        host = lambda z: page.hosts[z]
+        best = max(zones, key=lambda z: (mass[z], chars[z], -z))
         if mass.get(0, 0) <= 2 * mass[best]:  # else the containers are asides of a text that stands in none
-            return [x.text for x in lines if x.zone == best]
-    prose = [i for i, (x, c) in enumerate(zip(lines, content)) if c and 2 * x.linked <= len(x.text)]
-    if not prose:
-        return [x.text for x in lines if 2 * x.linked <= len(x.text)]
-    first, last = prose[0], prose[-1]
-    while first and 2 * lines[first - 1].linked <= len(lines[first - 1].text):  # headings and short blocks that lead in
-        first -= 1
-    while last + 1 < len(lines) and 2 * lines[last + 1].linked <= len(lines[last + 1].text):
-        last += 1
-    return [x.text for x in lines[first : last + 1] if 2 * x.linked <= len(x.text)]
+            return [x.text for x in lines if x.zone and host(outer[x.zone]) == host(best)]
+    return [x.text for x in lines]
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", sigma: float = 1.0) -> DataFrame:

@@ -554,6 +554,14 @@ def test_html(spark):
     assert html_extract.extract_main_text(empty(df)).count() == 0
 
 
+def test_html_keeps_nested_and_sibling_containers():
+    long = "word " * 60
+    assert html_extract.extract(f"<main><h1>Title</h1><p>Lead</p><article><p>{long}</p></article><p>End</p></main>") == ["Title", "Lead", long.strip(), "End"]
+    assert html_extract.extract(f"<article><h1>T</h1><article><p>{long}</p></article><article><p>part 2</p></article></article><div>x</div>") == ["T", long.strip(), "part 2"]
+    assert html_extract.extract(f"<div><article><p>{long}</p></article><article><p>part 2</p></article></div><div><article><p>card</p></article></div>") == [long.strip(), "part 2"]
+    assert html_extract.extract(f"<body><p>{long}</p><p><a href=1>A reference</a> 1</p><p>{long}</p><p><a href=2>Another one</a></p></body>") == [long.strip(), "A reference 1", long.strip(), "Another one"]
+
+
 def test_html_of_the_pages(spark):
     import re
     from html import unescape
