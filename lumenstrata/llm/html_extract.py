@@ -3,7 +3,8 @@
 The standard library's parser streams events; text is gathered into one line
 per block together with the number of tags and of linked characters in it.
 Zones that can't be article text (menus, forms, adverts, comments, ...) are
-left out by element name or by class, id and role tokens.  The lines' ratios of
+left out by element name or by whole class, id and role names, unless an element
+so named holds most of the content.  The lines' ratios of
 text to tags are smoothed with a Gaussian and clustered by a threshold; the
 clusters select the outermost container (article, main, or the body) that holds
 the most content; every line of it, of the containers inside it and of the parts
@@ -44,24 +45,37 @@ BAD_TOKENS = frozenset(
 )
 #: Those of them that make even an article element no main text.
 BAD_ARTICLES = frozenset("ad ads advert promo sponsored comment comments reply replies related teaser".split())
+#: Words that make a compound name of a zone say no more than its other words do.
+NEUTRAL = frozenset("site page main top bottom left right box block slot list wrap wrapper container area bar section link links button buttons item items unit post article js primary secondary global".split())
+#: Tokens of zones that are no main text, however much text they hold.
+FIRM_TOKENS = BAD_ARTICLES | frozenset(
+    "adv adverts advertisement advertising adsense banner promotion sponsor sponsors cookie cookies consent gdpr newsletter popup modal overlay commentlist respond disqus hidden skip".split()
+)
+#: Text blocks, whose ids are often made from a title.
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p li ul ol dl dt dd pre blockquote table tbody tr td th figure figcaption section".split())
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: How an element is marked: so that content can overrule it, so that it can't, or as not shown.
+LOOSE, FIRM, HIDDEN = 1, 2, 3
+
+
 class _Line:
-    __slots__ = ("text", "tags", "linked", "zone")
+    __slots__ = ("text", "tags", "linked", "zone", "mark")
 
-    def __init__(self, text, tags, linked, zone):
-        self.text, self.tags, self.linked, self.zone = text, tags, linked, zone
+    def __init__(self, text, tags, linked, zone, mark):
+        self.text, self.tags, self.linked, self.zone, self.mark = text, tags, linked, zone, mark
 
 
 class _Events(HTMLParser):
-    """Turns parser events into lines; ``zone`` is the innermost container (0: none)."""
+    """Turns parser events into lines; ``zone`` is the innermost container (0: none), ``mark`` the innermost marked element (0: none)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.stack: list[tuple[str, bool, int, int]] = []  # element, left out, zone, number
+        self.stack: list[tuple[str, bool, int, int, int]] = []  # element, left out, zone, number, mark
+        self.marks: list[tuple[int, int, bool]] = [(0, 0, True)]  # the mark around each mark, its zone, whether content can't overrule it
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.links = 0
@@ -75,11 +89,14 @@ class _Events(HTMLParser):
     def _zone(self) -> int:
         return self.stack[-1][2] if self.stack else 0
 
+    def _mark(self) -> int:
+        return self.stack[-1][4] if self.stack else 0
+
     def flush(self):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append(_Line(text, self.tags, self.linked, self._zone()))
+                self.lines.append(_Line(text, self.tags, self.linked, self._zone(), self._mark()))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -94,38 +111,50 @@ class _Events(HTMLParser):
             self.links += 1
         if tag in VOID:
             return
-        if tag in CONTAINERS and self._bad() and not self._marked(tag, attrs, 0) and not any(e == "template" or e in CONTAINERS for e, *_ in self.stack):
-            while self.stack and self.stack[-1][1]:  # an unclosed menu or banner before the article
+        if tag in CONTAINERS and (self._bad() or self._mark()) and not self._marked(tag, attrs, 0) and not any(e == "template" or e in CONTAINERS for e, *_ in self.stack):
+            while self.stack and (self.stack[-1][1] or self.stack[-1][4]):  # an unclosed menu or banner before the article
                 self.stack.pop()
-        zone, bad = self._zone(), self._bad()
+        zone, bad, mark = self._zone(), self._bad(), self._mark()
         if not bad:
-            bad = tag in NEVER or (tag == "header" and not zone) or self._marked(tag, attrs, zone)
+            marked = self._marked(tag, attrs, zone)
+            bad = tag in NEVER or (tag == "header" and not zone) or marked == HIDDEN
+            if marked and not bad:
+                self.marks.append((mark, zone, marked == FIRM))
+                mark = len(self.marks) - 1
             if tag in CONTAINERS and not bad:
                 self.zones.append(zone)
                 self.hosts.append(self.stack[-1][3] if self.stack else 0)
                 zone = len(self.zones) - 1
         self.elements += 1
-        self.stack.append((tag, bad, zone, self.elements))
+        self.stack.append((tag, bad, zone, self.elements, mark))
 
     @staticmethod
-    def _marked(tag, attrs, zone) -> bool:
+    def _marked(tag, attrs, zone) -> int:
+        """0, or how firmly the element's own attributes mark it as a zone without article text."""
         if tag in ("html", "body", "main"):
-            return False
-        tokens_of = BAD_ARTICLES if tag == "article" else BAD_TOKENS
+            return 0
+        tokens_of, mark = BAD_ARTICLES if tag == "article" else BAD_TOKENS, 0
         for name, value in attrs:
             if not value:
                 if name == "hidden":
-                    return True
+                    return HIDDEN
                 continue
             if name in ("class", "id", "role"):
-                low = value.lower()
-                for whole in low.split():
-                    tokens = _TOKEN.findall(whole)
-                    if any(t in tokens_of and not (t == "header" and zone) for t in tokens):
-                        return True
+                for whole in [value.lower()] if name == "id" else value.lower().split():
+                    if name == "id" and zone and tag in TITLED:
+                        bad = {whole} & BAD_ARTICLES if tag == "section" else set()
+                    elif name == "id" and zone:
+                        bad = {whole} & tokens_of
+                    else:
+                        tokens = set(_TOKEN.findall(whole))
+                        bad = tokens & tokens_of if tokens <= tokens_of | NEUTRAL else set()
+                    if zone:
+                        bad -= {"header"}
+                    if bad:
+                        mark = max(mark, FIRM if bad & FIRM_TOKENS else LOOSE)
             elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True
-        return False
+                return HIDDEN
+        return mark
 
     def _close_p(self):
         for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 64), -1):
@@ -201,12 +230,39 @@ def content_lines(lines: list[_Line], sigma: float = 1.0) -> list[bool]:
     return [x >= cut for x in ratios]
 
 
+def unmarked(page: _Events, sigma: float) -> list[_Line]:
+    """The lines outside marked elements, or inside such as hold most of the page's content.
+
+    A mark outside the containers stands where a container holds text.
+    """
+    if len(page.marks) == 1:
+        return page.lines
+    loose = any(not firm for _, _, firm in page.marks[1:])
+    stands = [False] + [True] * (len(page.marks) - 1)
+    if loose and page.lines:
+        content = content_lines(page.lines, sigma)
+        total, mass = 0, [0] * len(page.marks)
+        contained = any(x.zone and not x.mark for x in page.lines)
+        for x, c in zip(page.lines, content):
+            if c:
+                n = len(x.text) - x.linked
+                total += n
+                mass[x.mark] += n
+        for m in range(len(mass) - 1, 0, -1):  # a mark stands behind the one around it
+            mass[page.marks[m][0]] += mass[m] if page.marks[m][0] else 0
+        for m, (_, zone, firm) in enumerate(page.marks):
+            stands[m] = bool(m) and (firm or 2 * mass[m] <= total or not zone and contained)
+    for m in range(1, len(stands)):
+        stands[m] = stands[m] or stands[page.marks[m][0]]
+    return [x for x in page.lines if not stands[x.mark]]
+
+
 def extract(html: str | None, sigma: float = 1.0) -> list[str]:
     """The main text's blocks in page order."""
     page = parse(html) if html else None
-    if not page or not page.lines:
+    lines = unmarked(page, sigma) if page else []
+    if not lines:
         return []
-    lines = page.lines
     content = content_lines(lines, sigma)
     outer = [0] * len(page.zones)
     for z in range(1, len(outer)):  # a container stands behind the one around it

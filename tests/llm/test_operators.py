@@ -562,6 +562,16 @@ def test_html_keeps_nested_and_sibling_containers():
     assert html_extract.extract(f"<body><p>{long}</p><p><a href=1>A reference</a> 1</p><p>{long}</p><p><a href=2>Another one</a></p></body>") == [long.strip(), "A reference 1", long.strip(), "Another one"]
 
 
+def test_html_marks_are_whole_names():
+    article = '<article><h2 id="related-work">A</h2><section id="search-algorithms"><p>B</p></section><p id="legal-background">C</p><p id="legal">D</p><div class="notice-board-history">E</div><div class="related">x</div><div class="ad-slot">y</div></article>'
+    assert html_extract.extract(article) == ["A", "B", "C", "D", "E"]
+    long = "word " * 60
+    assert html_extract.extract(f'<body><div class="content with-sidebar"><p>{long}</p></div><div class="site-footer">f</div></body>') == [long.strip()]
+    assert html_extract.extract(f'<body><div class="content paywall"><p>{long}</p></div><div class="sidebar">s</div></body>') == [long.strip()]
+    assert html_extract.extract(f'<body><div class="sidebar"><p>{long}</p></div><article><p>short</p></article></body>') == ["short"]
+    assert html_extract.extract(f'<body><p>A text</p><div class="comments"><p>{long}</p></div></body>') == ["A text"]
+
+
 def test_html_of_the_pages(spark):
     import re
     from html import unescape
