@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -30,12 +31,17 @@ from .common import fresh, held_out, map_text
 #: Bound of the labelled documents that a fit reads.
 FIT_DOCS = 5000
 WORD = re.compile(r"[^\W\d_]+")
+#: Words with digits and signs inside; they are looked up whole where none of their parts is a hit.
+JOINED = re.compile(r"[^\W\d_]+(?:(?:[^\w\s]|[\d_]){1,2}[^\W\d_]+)+")
+QUOTE = re.compile("[“«„”»‟\"]")
 CONTEXT = 6
 #: Words that mark reported speech, and words that address someone.
 REPORTING = frozenset("said says say wrote writes quoted quote called calls reported claimed stated dit écrit déclaré cité sagte schrieb zitiert nannte dijo escribió citó llamó".split())
 ADDRESS = frozenset("you your youre u tu te vous toi du dich ihr sie usted tú eres".split())
 OPEN_QUOTES, CLOSE_QUOTES, BOTH_QUOTES = "“«„", "”»‟", '"'
 FEATURES = 5
+#: Letters from which a stem allows an edit.
+STEM_EDIT = 5
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -43,19 +49,30 @@ def edits_allowed(term: str, stem: bool) -> int:
     return (n >= 8) if stem else (n >= 5) + (n >= 9)
 
 
+def edits_allowed_anywhere(term: str, stem: bool) -> int:
+    n = len(term)
+    return (n >= STEM_EDIT) if stem else (n >= 4) + (n >= 9)
+
+
 class FuzzyTrie:
-    """The lexicon's trie with its Levenshtein automata; the first letter of a term is never edited."""
+    """The lexicon's trie with its Levenshtein automata.
+
+    With ``anywhere`` (what scoring uses) first letters are edited too, terms of
+    four letters allow an edit, and a swap of two neighbours is one edit; without
+    it the first letter of a term is never edited.
+    """
 
     DEAD = 0
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], anywhere: bool = False):
+        self.anywhere, allowed = anywhere, edits_allowed_anywhere if anywhere else edits_allowed
         self.children: list[dict[str, int]] = [{}]
         self.cap = [0]
         self.word_end: dict[int, int] = {}
         self.stem_end: dict[int, int] = {}
         for terms, ends, stem in ((words, self.word_end, False), (stems, self.stem_end, True)):
             for term in terms:
-                cap, node = edits_allowed(term, stem), 0
+                cap, node = allowed(term, stem), 0
                 for c in term:
                     nxt = self.children[node].get(c)
                     if nxt is None:
@@ -64,12 +81,14 @@ class FuzzyTrie:
                         self.cap.append(0)
                     node = nxt
                     self.cap[node] = max(self.cap[node], cap)
+                self.cap[0] = max(self.cap[0], cap * anywhere)
                 ends[node] = max(ends.get(node, 0), cap)
         self._start()
 
     def _start(self):
-        self.states: list[dict[int, int]] = [{}, {0: 0}]
-        self.index = {frozenset(): 0, frozenset({(0, 0)}): 1}
+        first = self._close({0: 0})
+        self.states: list[dict] = [{}, first]  # edits by node, or by (node behind a swap, its second letter)
+        self.index = {frozenset(): 0, frozenset(first.items()): 1}
         self.steps: dict[tuple[int, str], int] = {}
         self.accepts = [None, None]  # (stem edits or None, word edits or None)
 
@@ -77,7 +96,7 @@ class FuzzyTrie:
         todo = list(state.items())
         while todo:  # a term's character that the word lacks
             node, e = todo.pop()
-            if node and e == state.get(node):
+            if (node or self.anywhere) and not isinstance(node, tuple) and e == state.get(node):
                 for child in self.children[node].values():
                     if e + 1 <= self.cap[child] and e + 1 < state.get(child, 99):
                         state[child] = e + 1
@@ -92,9 +111,19 @@ class FuzzyTrie:
                 new[node] = e
 
         for node, e in self.states[at].items():
+            if isinstance(node, tuple):
+                if node[1] == c:
+                    put(node[0], e)
+                continue
             for d, child in self.children[node].items():
-                put(child, e) if d == c else node and put(child, e + 1)
-            if node:
+                if d == c:
+                    put(child, e)
+                elif node or self.anywhere:
+                    put(child, e + 1)
+                    behind = self.children[child].get(c) if self.anywhere else None
+                    if behind is not None and e + 1 <= self.cap[behind]:
+                        new[behind, d] = min(e + 1, new.get((behind, d), 99))
+            if node or self.anywhere:
                 put(node, e + 1)
         self._close(new)
         key = frozenset(new.items())
@@ -142,7 +171,7 @@ UNSEEN = (0.2, 0.9)
 
 class Scorer:
     def __init__(self, model: ToxicityModel):
-        self.model, self.trie, self.memo = model, FuzzyTrie(list(model.words), list(model.stems)), {}
+        self.model, self.trie, self.memo = model, FuzzyTrie(list(model.words), list(model.stems), anywhere=True), {}
         odds = [*model.words.values(), *model.stems.values()]
         self.misspelled = sum(odds) / max(1, len(odds))
 
@@ -168,17 +197,21 @@ class Scorer:
         lookup = self.lookup
         found = WORD.findall(low)
         hits = {w for w in set(found) if lookup(w) is not None}
+        joined = {w for w in set(JOINED.findall(low)) if hits.isdisjoint(WORD.findall(w)) and lookup(w) is not None}
         out = [1.0, 0.0, 0.0, 0.0, math.log1p(len(found) / 100)]
-        if hits:
-            tokens = [(m[0], m.start()) for m in WORD.finditer(low)]
-            for i, (w, at) in enumerate(tokens):
-                if w in hits:
-                    near = [x for x, _ in tokens[max(0, i - CONTEXT) : i]]
-                    after = [x for x, _ in tokens[i + 1 : i + 1 + CONTEXT // 2]]
-                    addressed = any(x in ADDRESS for x in near[-3:] + after)
-                    quoted = in_quotes(low, at) or any(x in REPORTING for x in near)
-                    edits, odds = lookup(w)
-                    out[2 if quoted else 3 if edits else 1] += odds * (1.5 if addressed and not quoted else 1.0)
+        if hits or joined:
+            at = [m.start() for m in WORD.finditer(low)]
+            marks = quotations(low)
+            places = [(i, i + 1, w) for i, w in enumerate(found) if w in hits]
+            if joined:
+                places += [(bisect_left(at, m.start()), bisect_left(at, m.end()), m[0]) for m in JOINED.finditer(low) if m[0] in joined]
+            for i, j, w in places:
+                near = found[max(0, i - CONTEXT) : i]
+                after = found[j : j + CONTEXT // 2]
+                addressed = any(x in ADDRESS for x in near[-3:] + after)
+                quoted = in_quotes(marks, at[i]) or any(x in REPORTING for x in near)
+                edits, odds = lookup(w)
+                out[2 if quoted else 3 if edits else 1] += odds * (1.5 if addressed and not quoted else 1.0)
             out[1:4] = [math.log1p(x) for x in out[1:4]]
         return out
 
@@ -186,14 +219,45 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.features(text), self.model.weights))))))
 
 
-def in_quotes(text: str, at: int) -> bool:
-    """Whether an opened quotation in the same line still stands open before ``at``; looks 400 characters around."""
-    line = text[max(text.rfind("\n", 0, at) + 1, at - 400) : at]
-    opened = sum(line.count(c) for c in OPEN_QUOTES) - sum(line.count(c) for c in CLOSE_QUOTES)
-    if opened > 0:
-        return True
-    end = text.find("\n", at)
-    return line.count(BOTH_QUOTES) % 2 == 1 and BOTH_QUOTES in text[at : min(at + 400, end if end >= 0 else len(text))]
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the outermost quotations of the whole text, in order.
+
+    One with an opening mark that is never closed ends with its line, one with a
+    straight mark is none.  A straight mark opens before and closes behind a
+    character that is no space; “ closes what „ opened.
+    """
+    spans: list[tuple[int, int]] = []
+    stack: list[tuple[int, str]] = []
+    straight = -1
+    for m in QUOTE.finditer(text):
+        i, c = m.start(), m[0]
+        if c in BOTH_QUOTES:
+            if straight >= 0 and not text[i - 1].isspace():
+                spans.append((straight, i))
+                straight = -1
+            elif i + 1 < len(text) and not text[i + 1].isspace():
+                straight = i
+        elif c in CLOSE_QUOTES or c == "“" and stack and stack[-1][1] == "„":
+            if stack:
+                spans.append((stack.pop()[0], i))
+        else:
+            stack.append((i, c))
+    for i, _ in stack:
+        end = text.find("\n", i)
+        spans.append((i, end if end >= 0 else len(text)))
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def in_quotes(marks: tuple[list[int], list[int]], at: int) -> bool:
+    k = bisect_right(marks[0], at) - 1
+    return k >= 0 and at < marks[1][k]
 
 
 def learn_lexicon(rows: list[tuple[str | None, int]], least: float = 14.0, precision: float = 0.6) -> tuple[dict[str, float], dict[str, float]]:
@@ -266,7 +330,8 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 300) -> ToxicityModel:
     scorer = Scorer(model)
     loose = [Counter(), Counter()]
     for text, label in rows:
-        loose[label].update(w for w in set(WORD.findall((text or "").lower())) if (scorer.lookup(w) or (0,))[0])
+        low = (text or "").lower()
+        loose[label].update(w for w in {*WORD.findall(low), *JOINED.findall(low)} if (scorer.lookup(w) or (0,))[0])
     model.banned = frozenset(w for w, n in loose[0].items() if n > loose[1][w])
     if rows and {y for _, y in rows} == {0, 1}:
         scorer = Scorer(model)

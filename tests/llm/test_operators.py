@@ -289,6 +289,27 @@ def test_levenshtein_automaton():
     assert stems.match("loweischaft") == 0 and stems.match("lowe") is None and stems.match("lostrxyzend") == 1 and stems.match("lost") is None
 
 
+def test_misspellings_anywhere():
+    trie = toxicity.FuzzyTrie(["idiot", "moron", "scum", "clown", "stupid", "pathetic"], [], anywhere=True)
+    for w in ("jdiot", "diot", "didiot", "scuum", "scumm", "cum", "clwon", "lcown", "moorn", "id1ot", "st*pid", "m0ron", "iditos"[:5]):
+        assert trie.match(w) == 1, w
+    assert trie.match("idiot") == 0 and trie.match("jdoit") is None and trie.match("lcwon") is None
+    model = toxicity.ToxicityModel({"idiot": 5.0, "stupid": 5.0, "moron": 5.0})
+    s = toxicity.Scorer(model)
+    for w in ("id1ot", "st*pid", "m0ron", "jdiot"):
+        assert s.features(f"the {w} is here")[3] > 0 and s.features(f"the {w} is here")[2] == 0, w
+    assert s.features("idiot-like")[1] > 0
+
+
+def test_long_quotations():
+    s = toxicity.Scorer(toxicity.ToxicityModel({"idiot": 5.0}))
+    long = "words here\n" * 90
+    for a, b in ("“”", "„“", "«»", '""'):
+        assert s.features(f"{a}{long}idiot {long}end{b} more")[1:3] == [0.0, math.log1p(5.0)], a
+        assert s.features(f"{a}quoted{b} {long} idiot {long}")[1:3] == [math.log1p(5.0), 0.0], a
+    assert s.features("a “stray mark\n the idiot")[2] == 0 and s.features('a 5" board, the idiot, a 6" board')[2] == 0
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(4)
     plain = lambda n: " ".join(rng.choice(PROSE) + rng.choice(["", "ly", "ed"]) for _ in range(n))
