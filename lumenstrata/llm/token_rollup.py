@@ -10,8 +10,10 @@ Defined results: null texts count 0 tokens and one document, null sources and
 languages are groups of their own; inserting a known document revises it;
 deleting or revising an unknown document does as much as there is to do;
 several changes of one document in a batch count in the order given, else the
-last by the change's own columns; rows without an id are one document; an empty
-batch is a valid batch.
+last by the change's own columns; where that one inserts, all rows that insert
+the document at its place in the order count; every row without an id is a
+document of its own, which later changes don't name (deleting one does
+nothing); an empty batch is a valid batch.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,14 +107,19 @@ class TokenRollup:
         """
         if batch in self.batches():
             return False
-        last = F.max_by(F.struct("source", "lang", "n_tokens", "op"), F.struct(F.col("seq") if "seq" in changes.columns else F.lit(0), "n_tokens", "source", "lang", "op"))
         known = bool(self.batches())
-        new = changes.withColumn("op", F.coalesce(F.lower("op"), F.lit("insert"))).groupBy("doc_id", "version").agg(last.alias("c"))
-        new = new.select("doc_id", "version", "c.*")
-        plus = new.filter("op <> 'delete'").select("doc_id", *KEYS, F.lit(1).cast("long").alias("d_docs"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("d_tokens"))
+        own = changes.withColumns({"op": F.coalesce(F.lower("op"), F.lit("insert")), "seq": F.col("seq") if "seq" in changes.columns else F.lit(0)})
+        total = F.sum(F.coalesce("n_tokens", F.lit(0))).alias("total")
+        new = own.groupBy("doc_id", *KEYS, "op", "seq").agg(F.max("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n"), total)
+        change = F.struct("seq", "n_tokens", "source", "lang", "op")
+        new = new.withColumn("last", F.max(change).over(Window.partitionBy("doc_id", "version")))
+        each = F.col("doc_id").isNull() | (F.col("op") == "insert") & (F.col("last.op") == "insert") & F.col("seq").eqNullSafe(F.col("last.seq"))
+        plus = new.filter((F.col("op") != "delete") & (each | change.eqNullSafe(F.col("last"))))
+        one = F.lit(1).cast("long"), F.coalesce("n_tokens", F.lit(0))
+        plus = plus.select("doc_id", *KEYS, F.when(each, F.col("n")).otherwise(one[0]).alias("d_docs"), F.when(each, F.col("total")).otherwise(one[1]).cast("long").alias("d_tokens"))
         entries = plus
         if known:
-            touched = new.select(F.col("doc_id").alias("i"), F.col("version").alias("v"))
+            touched = new.filter("doc_id is not null").select(F.col("doc_id").alias("i"), F.col("version").alias("v"))
             minus = self.state().join(touched, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("version").eqNullSafe(F.col("v")), "left_semi")
             entries = plus.unionByName(minus.withColumns({"d_docs": -F.col("d_docs"), "d_tokens": -F.col("d_tokens")}))
         staging = f"{self.path}/staging/{batch}"

@@ -544,6 +544,16 @@ def test_rollup(spark, tmp_path):
     assert {tuple(x)[:3]: tuple(x)[3:] for x in state} == total()
 
 
+def test_rollup_counts_rows_without_id_and_repeated_rows(spark, tmp_path):
+    r = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup")
+    make = lambda xs: spark.createDataFrame(xs, "doc_id long, source string, lang string, version string, n_tokens long, op string")
+    total = lambda: {(x["source"], x["lang"]): (x["n_docs"], x["n_tokens"]) for x in r.totals().collect()}
+    r.commit("b1", make([(None, "a", "en", "v", 3, "insert"), (None, "a", "en", "v", 3, None), (None, "b", None, "v", 5, "insert"), (7, "a", "en", "v", 10, "insert"), (7, "a", "en", "v", 10, "insert"), (7, "c", "en", "v", 4, "insert")]))
+    assert total() == {("a", "en"): (4, 26), ("b", None): (1, 5), ("c", "en"): (1, 4)}
+    r.commit("b2", make([(None, "a", "en", "v", 1, "insert"), (None, "a", "en", "v", 3, "delete"), (7, "d", "en", "v", 2, "revise")]))
+    assert total() == {("a", "en"): (3, 7), ("b", None): (1, 5), ("d", "en"): (1, 2)}
+
+
 def test_token_counts(spark, odd):
     out = token_rollup.count_tokens(odd, {"words": lambda: token_rollup.count_words})
     assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == {i: len(space_words(t)) for i, t in enumerate(odd_texts())}
