@@ -2,104 +2,88 @@
 
 from __future__ import annotations
 
+import stat
+import struct
+from collections.abc import Callable
+
+from .tar import is_tar_header
+
 SNIFF_LENGTH = 512
-#: The magics, in the order in which they are tried.
-GZIP, COMPRESS = b"\x1f\x8b", b"\x1f\x9d"
-ZIP = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")
-ZSTD, LZ4_FRAME, LZ4_LEGACY = b"\x28\xb5\x2f\xfd", b"\x04\x22\x4d\x18", b"\x02\x21\x4c\x18"
-XZ = b"\xfd7zXZ\x00"
-BZIP2_BLOCK, BZIP2_END = b"\x31\x41\x59\x26\x53\x59", b"\x17\x72\x45\x38\x50\x90"
-UNREADABLE = ((b"7z\xbc\xaf\x27\x1c", "7z"), (b"Rar!\x1a\x07", "rar"), (b"\x89LZO\x00\r\n\x1a\n", "lzop"))
 CODECS = ("gzip", "compress", "zstd", "lz4", "xz", "bzip2")
+#: First bytes by format.
+ZSTD, LZ4_FRAME, LZ4_LEGACY = b"\x28\xb5\x2f\xfd", b"\x04\x22\x4d\x18", b"\x02\x21\x4c\x18"
+MAGICS = {
+    "gzip": (b"\x1f\x8b",), "compress": (b"\x1f\x9d",), "zip": (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"), "zstd": (ZSTD,), "lz4": (LZ4_FRAME, LZ4_LEGACY), "xz": (b"\xfd7zXZ\x00",),
+    "unreadable:lzip": (b"LZIP\x00", b"LZIP\x01"), "unreadable:7z": (b"7z\xbc\xaf\x27\x1c",), "unreadable:rar": (b"Rar!\x1a\x07",), "unreadable:lzop": (b"\x89LZO\x00\r\n\x1a\n",),
+}
+#: What follows the level digit of a bzip2 stream, a block or the end.
+BZIP2_MARKS = (b"\x31\x41\x59\x26\x53\x59", b"\x17\x72\x45\x38\x50\x90")
+#: Magic of skippable frames, whose last four bits are free.
+SKIPPABLE = 0x184D2A50
+#: Text forms of cpio: magic, digits of a number, bytes of a header.
+CPIO_TEXT = {b"070707": (b"01234567", 76), b"070701": (b"0123456789abcdefABCDEF", 110), b"070702": (b"0123456789abcdefABCDEF", 110)}
+#: File types that a cpio entry can have.
+FILE_TYPES = {stat.S_IFIFO, stat.S_IFCHR, stat.S_IFDIR, stat.S_IFBLK, stat.S_IFREG, stat.S_IFLNK, stat.S_IFSOCK}
+#: Dictionary sizes that encoders of the bare LZMA form write: powers of two from 64 KiB, and those and a half.
+LZMA_DICTIONARIES = {x for n in range(16, 32) for x in (1 << n, 3 << n >> 1)}
+
+
+def is_skippable(head: bytes) -> bool:
+    return len(head) >= 4 and struct.unpack_from("<I", head)[0] & ~0xF == SKIPPABLE
+
+
+def _magic(kind: str) -> Callable[[bytes], str | None]:
+    return lambda head: kind if head.startswith(MAGICS[kind]) else None
+
+
+def _skippable(head: bytes) -> str | None:
+    """Skippable frames belong to zstd and lz4; what stands behind them tells which, as far as it can be seen."""
+    if not is_skippable(head):
+        return None
+    while is_skippable(head) and len(head) >= 8:
+        head = head[8 + struct.unpack_from("<I", head, 4)[0] :]
+    return _magic("lz4")(head) or "zstd"
+
+
+def _bzip2(head: bytes) -> str | None:
+    return "bzip2" if head[:3] == b"BZh" and b"1" <= head[3:4] <= b"9" and head[4:].startswith(BZIP2_MARKS) else None
+
+
+def _tar(head: bytes) -> str | None:
+    return "tar" if is_tar_header(head) else None
+
+
+def _cpio(head: bytes) -> str | None:
+    """Text forms are all digits up to the name; the binary form is thirteen words in either order, then the name."""
+    digits, length = CPIO_TEXT.get(head[:6], (b"", 0))
+    if length and len(head) >= length and not head[:length].strip(digits):
+        return "unreadable:cpio"
+    for order in "<>":
+        if len(head) < 26 or struct.unpack_from(f"{order}H", head)[0] != 0o070707:
+            continue
+        _, _, _, mode, *_, n_name, _, _ = struct.unpack_from(f"{order}13H", head)
+        name = head[26 : 26 + n_name]
+        if stat.S_IFMT(mode) in FILE_TYPES and n_name and name.find(b"\0") == n_name - 1:
+            return "unreadable:cpio"
+    return None
+
+
+def _lzma(head: bytes) -> str | None:
+    """The bare form: usual properties, dictionary size, size (or all ones), and the range coder's first byte, a zero."""
+    if len(head) < 14:
+        return None
+    properties, dictionary, size, coder = struct.unpack_from("<BIQB", head)
+    usual = properties == 3 + 9 * (0 + 5 * 2) and dictionary in LZMA_DICTIONARIES and coder == 0
+    return "unreadable:lzma" if usual and (size == 2**64 - 1 or size < 2**40) else None
 
 
-def is_skippable(b: bytes) -> bool:
-    return len(b) >= 4 and 0x50 <= b[0] <= 0x5F and b[1:4] == b"\x2a\x4d\x18"
-
-
-def octal(field: bytes) -> int | None:
-    """A tar number in octal: spaces and NULs around it, empty is zero."""
-    text = field.split(b"\0")[0].strip(b" ")
-    if not text:
-        return 0
-    return int(text, 8) if all(0x30 <= c <= 0x37 for c in text) else None
-
-
-def is_tar_header(block: bytes) -> bool:
-    """A whole 512-byte block whose checksum holds, summed as unsigned or as signed bytes."""
-    if len(block) < 512:
-        return False
-    want = octal(block[148:156])
-    if want is None or not block[148:156].strip(b" \0"):
-        return False
-    body = block[:148] + b" " * 8 + block[156:512]
-    total = sum(body)
-    return want in (total, total - 256 * sum(c > 127 for c in body))
-
-
-def _cpio(b: bytes) -> bool:
-    if b[:6] == b"070707":
-        return len(b) >= 76 and all(c in b"01234567" for c in b[:76])
-    if b[:6] in (b"070701", b"070702"):
-        return len(b) >= 110 and all(c in b"0123456789abcdefABCDEF" for c in b[:110])
-    if b[:2] not in (b"\xc7\x71", b"\x71\xc7") or len(b) < 26:
-        return False
-    order = "little" if b[0] == 0xC7 else "big"
-    mode, size = int.from_bytes(b[6:8], order), int.from_bytes(b[20:22], order)
-    name = b[26 : 26 + size]
-    return mode >> 12 in (1, 2, 4, 6, 8, 10, 12) and size > 0 and len(name) == size and name[-1:] == b"\0" and b"\0" not in name[:-1]
-
-
-def _lzma(b: bytes) -> bool:
-    if len(b) < 14 or b[0] != 0x5D or b[13]:
-        return False
-    dictionary, size = int.from_bytes(b[1:5], "little"), int.from_bytes(b[5:13], "little")
-    top = 1 << max(dictionary.bit_length() - 1, 0)
-    return dictionary >= 1 << 16 and dictionary in (top, top | top >> 1) and (size == (1 << 64) - 1 or size < 1 << 40)
-
-
-def unreadable(b: bytes) -> str | None:
-    """The name of a format that is known by sight and can't be read."""
-    if b[:4] == b"LZIP" and b[4:5] in (b"\0", b"\1"):
-        return "lzip"
-    for magic, name in UNREADABLE:
-        if b.startswith(magic):
-            return name
-    return "cpio" if _cpio(b) else "lzma" if _lzma(b) else None
-
-
-def skip_frames(b: bytes) -> int | None:
-    """Length of the leading skippable frames; None if one ends behind ``b``."""
-    at = 0
-    while is_skippable(b[at : at + 4]):
-        if len(b) < at + 8:
-            return None
-        at += 8 + int.from_bytes(b[at + 4 : at + 8], "little")
-        if at > len(b):
-            return None
-    return at
+#: In the order in which they are tried.
+CHECKS = (
+    *map(_magic, ("gzip", "compress", "zip", "zstd", "lz4")), _skippable, _magic("xz"), _bzip2, _tar,
+    *map(_magic, ("unreadable:lzip", "unreadable:7z", "unreadable:rar", "unreadable:lzop")), _cpio, _lzma,
+)
 
 
 def sniff(head: bytes) -> str:
     """gzip, compress, zip, zstd, lz4, xz, bzip2, tar, unreadable:<kind> or plain."""
-    if head[:2] == GZIP:
-        return "gzip"
-    if head[:2] == COMPRESS:
-        return "compress"
-    if head[:4] in ZIP:
-        return "zip"
-    if head[:4] == ZSTD:
-        return "zstd"
-    if head[:4] in (LZ4_FRAME, LZ4_LEGACY):
-        return "lz4"
-    if is_skippable(head):
-        at = skip_frames(head)
-        return "lz4" if at is not None and head[at : at + 4] in (LZ4_FRAME, LZ4_LEGACY) else "zstd"
-    if head[:6] == XZ:
-        return "xz"
-    if head[:3] == b"BZh" and head[3:4] in tuple(b"%d" % n for n in range(1, 10)) and head[4:10] in (BZIP2_BLOCK, BZIP2_END):
-        return "bzip2"
-    if is_tar_header(head):
-        return "tar"
-    kind = unreadable(head)
-    return f"unreadable:{kind}" if kind else "plain"
+    return next((kind for check in CHECKS if (kind := check(head))), "plain")

@@ -217,9 +217,7 @@ def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tupl
                 head = body.peek(SNIFF_LENGTH)
             if kind == "tar" or kind in CODECS and _is_tar(body):
                 tar = Tar(body)
-                k = -1
-                while (name := tar.next()) is not None:
-                    k += 1
+                for k, name in enumerate(tar):
                     seen += 1
                     if globs and not globs.match(name):
                         continue

@@ -141,6 +141,57 @@ def test_sparse_members():
     assert [e[2] for e in evs if e[0] == "member"] == ["real"] and [x for _, _, x in lines(evs)] == [b"\0" * 5 + b"hi\0"]
 
 
+def record(key: bytes, value: bytes) -> bytes:
+    return next(b for n in range(6, 400) if len(b := b"%d %s=%s\n" % (n, key, value)) == n)
+
+
+def extended(*records: bytes, flag=b"x") -> bytes:
+    return header(b"x", len(b"".join(records)), flag) + pad(b"".join(records))
+
+
+def test_sparse_maps_in_extension_headers():
+    at, n = b"GNU.sparse.offset", b"GNU.sparse.numbytes"
+    pairs = [record(at, b"2"), record(n, b"1"), record(at, b"5"), record(n, b"2")]
+    member = header(b"s", 3) + pad(b"abc") + END
+    want = [b"\0\0a\0\0bc\0"]
+    size = record(b"GNU.sparse.size", b"8")
+    assert [x for _, _, x in lines(events(extended(size, *pairs) + member, text=True))] == want
+    assert [x for _, _, x in lines(events(extended(size, record(b"GNU.sparse.map", b"2,1,5,2")) + member, text=True))] == want
+    for bad in ([pairs[1], pairs[0], *pairs[2:]], [pairs[0], pairs[2], pairs[1], pairs[3]], pairs[1:]):
+        assert codes(events(extended(size, *bad) + member)) == ["TAR_PAX_MALFORMED"]
+    for bad in ([record(b"GNU.sparse.map", b"5,2,2,1")], [record(b"GNU.sparse.map", b"2,1,5")], [record(b"GNU.sparse.map", b"2,1,x,2")], pairs[:3], [record(b"GNU.sparse.map", b"2,1,9,2"), size]):
+        assert codes(events(extended(*bad) + member)) == ["TAR_SPARSE_BAD"]
+
+
+def test_a_sparse_map_of_several_blocks():
+    pieces = [(10 * k, 1) for k in range(60)]
+    field = lambda k: b"%011o\0%011o\0" % k
+    h = bytearray(header(b"s", 60, b"S", extra=b"".join(map(field, pieces[:4]))))
+    h[482], h[483:495] = 1, b"%011o\0" % 700
+    h[148:156] = b" " * 8
+    h[148:156] = b"%06o\0 " % sum(h)
+    blocks = [b"".join(map(field, pieces[k : k + 21])) for k in range(4, 60, 21)]
+    more = b"".join(b.ljust(504, b"\0") + (b"\1" if k < len(blocks) - 1 else b"\0") + bytes(7) for k, b in enumerate(blocks))
+    got = [x for _, _, x in lines(events(bytes(h) + more + pad(b"x" * 60) + END, text=True))]
+    assert got == [b"".join(b"x" + bytes(9) for _ in pieces) + bytes(100)]
+    lines_map = b"\n".join([b"60", *(b"%d\n%d" % p for p in pieces), b""])
+    body = pad(lines_map) + pad(b"x" * 60)
+    ext = extended(record(b"GNU.sparse.major", b"1"), record(b"GNU.sparse.realsize", b"700"))
+    assert [x for _, _, x in lines(events(ext + header(b"s", len(pad(lines_map)) + 60) + body + END, text=True))] == got
+    assert codes(events(ext + header(b"s", 512) + body + END)) == ["TAR_SPARSE_BAD"]
+
+
+def test_sizes_of_extensions_and_in_binary():
+    assert lines(events(extended(record(b"size", b"2")) + header(b"s", 0) + pad(b"z\n") + END))[0][2] == b"z"
+    h = bytearray(header(b"s", 0))
+    h[124:136] = b"\x80" + (2).to_bytes(11, "big")
+    h[148:156] = b" " * 8
+    h[148:156] = b"%06o\0 " % sum(h)
+    assert lines(events(bytes(h) + pad(b"z\n") + END))[0][2] == b"z"
+    assert codes(events(extended(record(b"path", b"p")))) == ["TAR_ENTRY"] and codes(events(extended(record(b"path", b"p")) + END)) == ["TAR_ENTRY"]
+    assert [e[2] for e in events(extended(record(b"path", b"p"), flag=b"g") + header(b"s", 2) + pad(b"z\n") + END) if e[0] == "member"] == ["s"]
+
+
 def test_unreadable_and_look_alike():
     lzma_alone = b"\x5d\0\0\x10\0" + b"\xff" * 8 + b"\0" + b"x" * 20
     for head, kind in ((b"LZIP\x01", "lzip"), (b"7z\xbc\xaf\x27\x1c", "7z"), (b"Rar!\x1a\x07\0", "rar"), (b"\x89LZO\0\r\n\x1a\n", "lzop"), (b"070707" + b"0" * 70, "cpio"), (lzma_alone, "lzma")):
