@@ -172,3 +172,22 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
         acc *= POLY
         acc += h[i : i + n]
     return mix(acc)
+
+
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """As ``windows``, put together from windows of half the length."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+
+    def joined(left, n_left, right, n_right):
+        m = len(h) - n_left - n_right + 1
+        return left[:m] * POLY ** np.uint64(n_right) + right[n_left : n_left + m]
+
+    out, size, bit = h, 1, k.bit_length() - 1
+    while bit:
+        bit -= 1
+        out, size = joined(out, size, out, size), 2 * size
+        if k >> bit & 1:
+            out, size = joined(out, size, h, 1), size + 1
+    return mix(out)

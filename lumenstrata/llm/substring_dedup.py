@@ -5,10 +5,10 @@ index by its minimizer, the smallest hash of the grams inside it: equal windows
 have equal minimizers, and neighbouring windows share theirs, so the index is a
 small multiple of a seventh of the words.  Every batch of documents becomes one
 immutable run, sorted by fingerprint; an arriving batch is merge-joined with the
-runs before it to find the fingerprints that repeat, and the runs are compacted
-into one sorted run when they are many, and at the end of a call.  Only windows
-under a repeated fingerprint are then verified, by two independent 64-bit hashes
-of their words, against the first document that has them, of the batch or before
+runs before it to find the fingerprints that repeat, and runs that have become
+many are compacted into one sorted run first.  Only windows under a repeated
+fingerprint are then verified, by two independent 64-bit hashes of their words,
+against the first document that has them, of the call or of the calls before
 it.  An index that is kept holds its documents' texts beside the runs for that.
 
 Defined results: null texts and texts shorter than a window lose nothing; rows
@@ -28,23 +28,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX_B, WordHasher, drop_table, map_text, materialize, release, scratch_path, slices, windows
+from .common import MIX_B, WordHasher, drop_table, map_text, materialize, release, rolled, scratch_path, slices
 
 WINDOW, GRAM = 20, 8
 #: Ingested batches, and runs from which they are compacted.
-BATCHES, FAN_IN = 2, 4
+BATCHES, FAN_IN = 3, 2
 NULL_ID = -(1 << 63)
+#: Rows of one Arrow batch of windows.
+ROWS = 1 << 17
 FOUND = "h long, v long, ord long, pos int"
 
 
-def minimizers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of a sequence of word hashes: the place and the hash of its leftmost smallest gram."""
-    if len(h) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = windows(h, gram)
-    spread = window - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, spread).argmin(axis=1) + np.arange(len(h) - window + 1)
-    return at, grams[at]
+def split_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts, one after the other, and where each text's begin."""
+    words: list[bytes] = []
+    first = [0]
+    for text in texts:
+        if text:
+            words += text.split()
+        first.append(len(words))
+    return words, np.array(first, np.int64)
+
+
+def minimizers(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of several texts' word hashes: its start, and the place and hash of its leftmost smallest gram."""
+    n = np.maximum(np.diff(first) - window + 1, 0)
+    starts = np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    if not len(starts):
+        return starts, starts, np.empty(0, np.uint64)
+    value = rolled(h, gram)
+    place = np.arange(len(value))
+    spread, step = window - gram + 1, 1
+
+    def halves(by: int):
+        left, right = value[: len(value) - by], value[by:]
+        better = left <= right
+        return np.where(better, left, right), np.where(better, place[: len(place) - by], place[by:])
+
+    while 2 * step <= spread:
+        value, place = halves(step)
+        step *= 2
+    if step < spread:
+        value, place = halves(spread - step)
+    return starts, place[starts], value[starts]
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
@@ -56,19 +82,21 @@ def sketch(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) -> D
         def each(texts, _):
             import xxhash
 
-            out = [[] for _ in range(4)]
-            for text in texts:
-                words = text.split() if text else []
-                joined = b" ".join(words)
-                at, g = minimizers(hasher(words), window, gram)
-                places = np.concatenate([at[:1], at[1:][at[1:] != at[:-1]]])  # places never decrease along the windows
-                value, n = np.unique(g[np.searchsorted(at, places)], return_counts=True)
-                out[0].append(len(words))
-                out[1].append(xxhash.xxh3_128_digest(joined))
-                out[2].append(hashlib.sha256(joined).hexdigest())
-                out[3].append(np.repeat(value, np.minimum(n, 2)).view(np.int64))
-            out[3] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[3])]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *out[3]])))
-            return out
+            words, first = split_words(texts)
+            joined = [b" ".join(words[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            starts, at, g = minimizers(hasher(words), first, window, gram)
+            new = np.flatnonzero(np.diff(at, prepend=-1))  # places never decrease along a text's windows
+            g, owner = g[new], np.searchsorted(first, at[new], "right") - 1
+            order = np.lexsort((g, owner))
+            g, owner = g[order], owner[order]
+            same = np.zeros(len(g), bool)
+            same[1:] = (g[1:] == g[:-1]) & (owner[1:] == owner[:-1])
+            third = same.copy()
+            third[1:] &= same[:-1]
+            g, owner = g[~third], owner[~third]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
+            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(g.view(np.int64)))
+            return [np.diff(first).tolist(), [xxhash.xxh3_128_digest(x) for x in joined], [hashlib.sha256(x).hexdigest() for x in joined], grams]
 
         return each
 
@@ -95,11 +123,13 @@ class FingerprintIndex:
         return path
 
     def add(self, sketches: DataFrame) -> None:
-        """One more run from the fingerprints of a batch; compacts when the fan-in is reached."""
+        """One more run from the fingerprints of a batch; the runs before it are compacted first where they are as many as the fan-in."""
         drop_table(self.ingest(sketches))
 
     def ingest(self, sketches: DataFrame) -> DataFrame:
         """As ``add``; (g, old): the batch's fingerprints that stand at another place too, ``old`` if one of an earlier batch."""
+        if len(self.runs) >= self.fan_in:
+            self.compact()
         counts = sketches.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
         path = self._write(counts)
         run = self.read(path)
@@ -108,8 +138,6 @@ class FingerprintIndex:
         flagged = materialize(met.filter("n > 1 or m is not null").select("g", F.col("m").isNotNull().alias("old")), "flagged")
         self.runs.append(path)
         release(self.spark)
-        if len(self.runs) >= self.fan_in:
-            self.compact()
         return flagged
 
     def keep(self, docs: DataFrame) -> None:
@@ -167,49 +195,43 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = materialize(long_.groupBy("whole").agg(F.min("ord").alias("first")).select("first"), "first")
     distinct = materialize(long_.join(first, F.col("ord") == F.col("first"), "left_semi").select("ord", "id", "t", "grams"), "distinct")
     texts = _own(docs, doc_id, text).filter("text is not null").select(F.coalesce("id", F.lit(NULL_ID)).alias("id_"), "t", "text")
-    with_text = lambda part: part.withColumn("id_", F.coalesce("id", F.lit(NULL_ID))).drop("id").join(texts, ["id_", "t"])
     runs = index or FingerprintIndex(spark, scratch_path(spark, "runs"))
     earlier = runs.documents()
     cuts = distinct.approxQuantile("ord", [k / batches for k in range(1, batches)], 0.05) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    done = []
+    flagged = None
     for a, b in zip([start - 1, *cuts], [*cuts, None]):
         part = distinct.filter(F.col("ord") > a)
-        part = part if b is None else part.filter(F.col("ord") <= b)
-        flagged = runs.ingest(part)
-        dirty = materialize(_under(part, flagged, "ord", "id", "t"), "dirty")
-        matched = materialize(with_text(dirty).select("ord", "text", "gs"), "texts")
-        drop_table(dirty)
-        # the documents before the batch that share a fingerprint with it: of this call, and of the calls before
-        shared = flagged.filter("old")
-        before = []
-        if a >= start:
-            before.append(with_text(_under(distinct.filter(F.col("ord") <= a), shared, "ord", "id", "t")).select("ord", "text", "gs"))
-        if earlier is not None:
-            before.append(_under(earlier, shared, "ord").join(earlier.select("ord", "text"), "ord").select("ord", "text", "gs"))
-        found = matched.mapInArrow(_windows(window, gram), FOUND)
-        every = found
-        for x in before:
-            every = every.unionByName(x.mapInArrow(_windows(window, gram), FOUND))
-        firsts = every.groupBy("h", "v").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter((F.col("first") < F.col("last")) & (F.col("last") > a))
-        firsts = materialize(firsts.drop("last"), "firsts")
-        drop_table(flagged)
-        later = materialize(found.join(firsts, ["h", "v"]).filter("ord > first").groupBy("ord").agg(F.collect_list("pos").alias("starts")), "later")
-        drop_table(firsts)
-        cut = matched.select("ord", "text").join(later, "ord", "left")
-        cut = map_text(cut, [("n_removed", T.LongType()), ("left", T.StringType())], "text", _cutter(window)).select("ord", "n_removed", "left")
-        done.append(materialize(cut.dropDuplicates(["ord"]), "cut"))
-        drop_table(matched)
+        met = runs.ingest(part if b is None else part.filter(F.col("ord") <= b))
+        flagged = met if flagged is None else flagged.unionByName(met)
+    flagged = materialize(flagged.groupBy("g").agg(F.bool_or("old").alias("old")), "repeated")
+    # the documents of the call that hold a repeated fingerprint, and those of the calls before that share one with them
+    dirty = materialize(_under(distinct, flagged, "ord", "id", "t"), "dirty")
+    matched = materialize(dirty.withColumn("id_", F.coalesce("id", F.lit(NULL_ID))).drop("id").join(texts, ["id_", "t"]).select("ord", "text", "gs").dropDuplicates(["ord"]), "texts")
+    drop_table(dirty)
+    found = every = matched.mapInArrow(_windows(window, gram), FOUND)
+    if earlier is not None:
+        before = _under(earlier, flagged.filter("old"), "ord").join(earlier.select("ord", "text"), "ord").select("ord", "text", "gs")
+        every = every.unionByName(before.mapInArrow(_windows(window, gram), FOUND))
+    firsts = every.groupBy("h", "v").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter((F.col("first") < F.col("last")) & (F.col("last") >= start))
+    firsts = materialize(firsts.drop("last"), "firsts")
+    drop_table(flagged)
+    later = found.join(firsts, ["h", "v"]).filter("ord > first").groupBy("ord").agg(F.collect_list("pos").alias("starts"))
+    later = materialize(later, "later")
+    drop_table(firsts)
+    cut = matched.select("ord", "text").join(later, "ord", "left")
+    cut = map_text(cut, [("n_removed", T.LongType()), ("left", T.StringType())], "text", _cutter(window)).select("ord", "n_removed", "left")
+    cut = materialize(cut, "cut")
+    drop_table(matched)
+    drop_table(later)
     if index:
-        index.keep(with_text(distinct).dropDuplicates(["ord"]))
+        kept = distinct.withColumn("id_", F.coalesce("id", F.lit(NULL_ID))).drop("id").join(texts, ["id_", "t"])
+        index.keep(kept.dropDuplicates(["ord"]))
         last = sketches.agg(F.max("ord")).first()[0]
         index.next = start if last is None else last + 1
+        if len(index.runs) > 1:
+            index.compact()
     drop_table(distinct)
-    if len(runs.runs) > 1:
-        runs.compact()
-    cut = done[0]
-    for x in done[1:]:
-        cut = cut.unionByName(x)
     out = sketches.drop("grams", "whole", "t").join(first.withColumn("is_first", F.lit(True)), F.col("ord") == F.col("first"), "left").join(cut, "ord", "left")
     copy = (F.col("n_words") >= window) & F.col("is_first").isNull()
     return out.select(
@@ -227,28 +249,34 @@ def _under(docs: DataFrame, flagged: DataFrame, *columns: str) -> DataFrame:
 
 def _hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of every window."""
-    return windows(h, window), windows((h ^ (h >> np.uint64(29))) * MIX_B, window)
+    return rolled(h, window), rolled((h ^ (h >> np.uint64(29))) * MIX_B, window)
 
 
 def _windows(window: int, gram: int):
-    """Rows of the windows under a repeated fingerprint, once a document each."""
+    """Rows of the windows under a repeated fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             texts = batch.column(1)
             for a, b in slices(np.array([len(x.as_buffer()) for x in texts])):
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for ord_, text, gs in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns)):
-                    h = hasher(text.encode().split())
-                    _, g = minimizers(h, window, gram)
-                    pick = np.flatnonzero(np.isin(g, np.array(gs, np.int64).view(np.uint64)))
-                    x, v = _hashes(h, window)
-                    _, first = np.unique(x[pick], return_index=True)
-                    pick = pick[first]
-                    for o, y in zip(out, (x[pick].view(np.int64), v[pick].view(np.int64), np.full(len(pick), ord_, np.int64), pick.astype(np.int32))):
-                        o.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["h", "v", "ord", "pos"])
+                ords, own, gs = (c.slice(a, b - a) for c in batch.columns)
+                words, first = split_words([x.as_buffer().to_pybytes() for x in own])
+                h = hasher(words)
+                starts, at, g = minimizers(h, first, window, gram)
+                edge = np.searchsorted(starts, first)
+                flagged = gs.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                end = np.concatenate([[0], np.cumsum([len(x) for x in gs])])
+                new = np.flatnonzero(np.diff(at, prepend=-1))
+                turn = np.searchsorted(new, edge)
+                hit = np.concatenate([np.empty(0, bool), *(np.isin(g[new[turn[k] : turn[k + 1]]], flagged[end[k] : end[k + 1]]) for k in range(b - a))])
+                pick = np.repeat(hit, np.diff(np.append(new, len(starts))))
+                starts = starts[pick]
+                x, v = _hashes(h, window) if len(starts) else (np.empty(0, np.uint64),) * 2
+                owner = np.searchsorted(first, starts, "right") - 1
+                columns = (x[starts].view(np.int64), v[starts].view(np.int64), ords.to_numpy()[owner], (starts - first[owner]).astype(np.int32))
+                for k in range(0, max(1, len(starts)), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in columns], names=["h", "v", "ord", "pos"])
 
     return run
 
@@ -258,26 +286,30 @@ def _cutter(window: int):
         hasher = WordHasher()
 
         def each(texts, batch):
-            starts = batch.column(batch.schema.get_field_index("starts"))
-            out: list[list] = [[], []]
-            for i, text in enumerate(texts):
-                words = text.split()
-                x, _ = _hashes(hasher(words), window)
-                value, first, inverse = np.unique(x, return_index=True, return_inverse=True)
-                gone = first[inverse] < np.arange(len(x))  # the same window earlier in the document
-                others = starts[i].values
-                if others is not None:  # every place of a window that stands in an earlier document
-                    repeated = np.zeros(len(value), bool)
-                    repeated[inverse[others.to_numpy(zero_copy_only=False)]] = True
-                    gone |= repeated[inverse]
-                edge = np.zeros(len(words) + 1, np.int64)
-                at = np.flatnonzero(gone)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                keep = np.cumsum(edge[:-1]) == 0
-                out[0].append(int(len(words) - keep.sum()))
-                out[1].append(hashlib.sha256(b" ".join([words[k] for k in np.flatnonzero(keep)])).hexdigest())
-            return out
+            words, first = split_words(texts)
+            h = hasher(words)
+            n = np.maximum(np.diff(first) - window + 1, 0)
+            own = np.repeat(np.arange(len(texts)), n)
+            starts = np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            # windows that stand earlier in their own text
+            x = rolled(h, window)[starts] if len(starts) else np.empty(0, np.uint64)
+            order = np.lexsort((x, own))
+            again = np.zeros(len(x), bool)
+            again[order[1:]] = (x[order][1:] == x[order][:-1]) & (own[order][1:] == own[order][:-1])
+            gone = [starts[again]]
+            others = batch.column(batch.schema.get_field_index("starts"))
+            for k, at in enumerate(others):
+                if at.is_valid:
+                    gone.append(at.values.to_numpy(zero_copy_only=False) + first[k])
+            at = np.concatenate(gone).astype(np.int64)
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + window, -1)
+            keep = np.cumsum(edge[:-1]) == 0
+            left = np.concatenate([[0], np.cumsum(keep)])[first]
+            still = np.flatnonzero(keep).tolist()
+            sums = [hashlib.sha256(b" ".join([words[k] for k in still[a:b]])).hexdigest() for a, b in zip(left[:-1].tolist(), left[1:].tolist())]
+            return [(np.diff(first) - np.diff(left)).tolist(), sums]
 
         return each
 

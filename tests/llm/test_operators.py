@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenstrata.llm import decontaminate, html_extract, langid, ngram_join, pieces, pii, queries, substring_dedup, token_rollup, toxicity
 from lumenstrata.llm import quality as quality_op
-from lumenstrata.llm.common import WordHasher, fresh, slices
+from lumenstrata.llm.common import WordHasher, fresh, rolled, slices, windows
 
 SF = "/root/testdata/sf0.001"
 MODEL = f"{queries.TOKENIZERS}/{queries.PIECE_MODEL}"
@@ -162,9 +162,22 @@ def test_repeats_across_calls(spark, docs, tmp_path):
 
 
 def test_equal_windows_have_equal_minimizers():
-    h = WordHasher()(b" ".join(x.encode() for x in PROSE * 9).split())
-    _, g = substring_dedup.minimizers(h)
-    assert all(g[i] == g[i + len(PROSE)] for i in range(len(g) - len(PROSE)))
+    texts = [" ".join(PROSE * 9).encode(), None, b"too short", " ".join(PROSE * 2).encode()]
+    words, first = substring_dedup.split_words(texts)
+    h = WordHasher()(words)
+    starts, at, g = substring_dedup.minimizers(h, first)
+    n = len(PROSE)
+    assert starts.tolist() == [*range(9 * n - 19), *range(first[3], first[3] + 2 * n - 19)]
+    assert all(g[i] == g[i + n] for i in range(8 * n - 19)) and g[: 2 * n - 19].tolist() == g[19 - 2 * n :].tolist()
+    grams = windows(h, substring_dedup.GRAM)
+    for s, a, x in zip(starts, at, g):
+        near = grams[s : s + substring_dedup.WINDOW - substring_dedup.GRAM + 1]
+        assert a == s + near.argmin() and x == near.min()
+
+
+def test_windows_from_halves():
+    h = np.random.default_rng(1).integers(0, 2**63, 200).astype(np.uint64)
+    assert all((windows(h, k) == rolled(h, k)).all() for k in (1, 2, 3, 8, 13, 20, 199, 200, 201))
 
 
 # 5
