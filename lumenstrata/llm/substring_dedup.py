@@ -253,7 +253,7 @@ def _hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(window: int, gram: int):
-    """Rows of the windows under a repeated fingerprint."""
+    """Rows of the windows under a repeated fingerprint, once a document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -274,6 +274,8 @@ def _windows(window: int, gram: int):
                 starts = starts[pick]
                 x, v = _hashes(h, window) if len(starts) else (np.empty(0, np.uint64),) * 2
                 owner = np.searchsorted(first, starts, "right") - 1
+                order, new = _grouped(x[starts], owner)
+                starts, owner = starts[order[new]], owner[order[new]]
                 columns = (x[starts].view(np.int64), v[starts].view(np.int64), ords.to_numpy()[owner], (starts - first[owner]).astype(np.int32))
                 for k in range(0, max(1, len(starts)), ROWS):
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in columns], names=["h", "v", "ord", "pos"])
@@ -281,6 +283,14 @@ def _windows(window: int, gram: int):
     return run
 
 
+def _grouped(x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows of one document stand together, the first first, and where each group begins in it."""
+    order = np.lexsort((x, owner))
+    new = np.ones(len(x), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    return order, new
+
+
 def _cutter(window: int):
     def make():
         hasher = WordHasher()
@@ -291,17 +301,20 @@ def _cutter(window: int):
             n = np.maximum(np.diff(first) - window + 1, 0)
             own = np.repeat(np.arange(len(texts)), n)
             starts = np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            # windows that stand earlier in their own text
             x = rolled(h, window)[starts] if len(starts) else np.empty(0, np.uint64)
-            order = np.lexsort((x, own))
-            again = np.zeros(len(x), bool)
-            again[order[1:]] = (x[order][1:] == x[order][:-1]) & (own[order][1:] == own[order][:-1])
-            gone = [starts[again]]
+            order, new = _grouped(x, own)
+            group = np.empty(len(x), np.int64)
+            group[order] = np.cumsum(new) - 1
+            gone = np.ones(len(x), bool)
+            gone[order[new]] = False  # the first of equal windows stays, unless it stands in an earlier document
             others = batch.column(batch.schema.get_field_index("starts"))
-            for k, at in enumerate(others):
-                if at.is_valid:
-                    gone.append(at.values.to_numpy(zero_copy_only=False) + first[k])
-            at = np.concatenate(gone).astype(np.int64)
+            offset = np.cumsum(n) - n  # a text's windows stand one after the other
+            listed = [at.values.to_numpy(zero_copy_only=False) + offset[k] for k, at in enumerate(others) if at.is_valid]
+            if listed:
+                repeated = np.zeros(int(new.sum()), bool)
+                repeated[group[np.concatenate(listed).astype(np.int64)]] = True
+                gone |= repeated[group]
+            at = starts[gone]
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + window, -1)
