@@ -11,6 +11,7 @@ from .functions.regex_dialect import BadPattern
 from .plans.search import search
 from .plans.spec import Usage, parse
 from .render import one_line_message, output
+from .sources.resolve import STDIN
 
 VERSION = "1.0"
 HELP = """usage: lumenstrata [options] PATTERN PATH...
@@ -59,7 +60,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except (Usage, BadPattern, BadGlob) as e:
         say(str(e))
         return 2
-    out = sys.stdout.buffer
+    if sys.stdout is None:
+        say("STDOUT_CLOSED: standard output is closed")
+        return 2
+    if sys.stdin is None and STDIN in spec.paths:
+        say("STDIN_CLOSED: standard input is closed")
+        return 2
+    out, run = sys.stdout.buffer, None
     try:
         if spec.show:
             out.write({"help": HELP, "examples": EXAMPLES, "version": f"lumenstrata {VERSION}\n"}[spec.show].encode())
@@ -72,13 +79,17 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         terminal = out.isatty() if hasattr(out, "isatty") else False
         escape = spec.escape == "always" or spec.escape == "auto" and terminal
         color = spec.color == "always" or spec.color == "auto" and terminal
-        closed = False
+        closed = lost = False
+        chunks = output(run, escape, raw_names=spec.escape == "never", color=color)
         try:
-            for chunk in output(run, escape, raw_names=spec.escape == "never", color=color):
+            for chunk in chunks:
                 out.write(chunk)
             out.flush()
         except BrokenPipeError:
             closed = True
+        except OSError as e:
+            say(f"WRITE_FAILED: the output could not be written: {e.strerror}")
+            lost = True
         verdict = run.verdict()
         for _, message in verdict["errors"]:
             say(message)
@@ -87,10 +98,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 say(f"{r['archive']}: {r['message']}")
         if closed:
             os.dup2(os.open(os.devnull, os.O_WRONLY), 1)
-        return verdict["exit_code"]
+        return 2 if lost else verdict["exit_code"]
     except OSError as e:
         say(str(e))
         return 2
+    finally:
+        if run is not None:
+            run.close()
 
 
 def _session(spec):

@@ -20,14 +20,19 @@ def one_line(name: Column) -> Column:
     return F.replace(F.replace(name, F.lit("\n"), F.lit("\\x0a")), F.lit("\r"), F.lit("\\x0d"))
 
 
+def _shown(char: str) -> str:
+    """One unsafe character: a byte in hexadecimal, what needs more by its code point."""
+    return f"\\x{ord(char):02x}" if ord(char) < 0x80 else f"\\u{{{ord(char):x}}}"
+
+
 def escape_text(text: str) -> str:
-    """Control characters of valid text in hexadecimal; tabs, line feeds and CR LF stay."""
-    return _UNSAFE.sub(lambda m: "".join(f"\\x{b:02x}" for b in m[0].encode()), text)
+    """Control characters of valid text by number; tabs, line feeds and CR LF stay."""
+    return _UNSAFE.sub(lambda m: _shown(m[0]), text)
 
 
 def escape_bytes(data: bytes) -> bytes:
     """The same for bytes: invalid UTF-8 passes, but for stray control bytes 0x80 to 0x9F."""
-    text = _UNSAFE.sub(lambda m: "".join(f"\\x{b:02x}" for b in m[0].encode()), data.decode("utf-8", "surrogateescape"))
+    text = escape_text(data.decode("utf-8", "surrogateescape"))
     text = re.sub("[\udc80-\udc9f]", lambda m: f"\\x{ord(m[0]) - 0xDC00:02x}", text)
     return text.encode("utf-8", "surrogateescape")
 
@@ -44,11 +49,12 @@ def escape_lines(lines: pd.Series) -> pd.Series:
 
 
 def escape_column(text: Column) -> Column:
-    """Valid text for a terminal with built-in functions: each unsafe character between its neighbours as hexadecimal."""
+    """Valid text for a terminal with built-in functions: each unsafe character between its neighbours by its number."""
     pieces = F.split(text, f"(?<=[{UNSAFE}])|(?=[{UNSAFE}])|(?<=\\r)(?!\\n)|(?=\\r(?!\\n))", -1)
     shown = F.transform(
         pieces,
-        lambda p: F.when(F.rlike(p, F.lit(f"^(?:[{UNSAFE}]|\\r)$")), F.regexp_replace(F.lower(F.hex(F.encode(p, "UTF-8"))), "(..)", r"\\x$1")).otherwise(p),
+        lambda p: F.when(F.rlike(p, F.lit("^[\\x00-\\x08\\x0B-\\x1F\\x7F]$")), F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(p))), 2, "0")))
+        .when(F.rlike(p, F.lit(f"^[{UNSAFE}]$")), F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(p))), F.lit("}"))).otherwise(p),
     )
     return F.array_join(shown, "")
 

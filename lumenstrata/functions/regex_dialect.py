@@ -288,3 +288,71 @@ def plain_literal(patterns: list[str], fixed: bool = False, ignore_case: bool =
         return None
     p = patterns[0]
     return p if p and (fixed or re.fullmatch(r"[\w ,:;!@%&='\"<>/~`-]+", p)) and "\n" not in p else None
+
+
+def needed_literal(patterns: list[str], fixed: bool = False, ignore_case: bool = False, smart_case: bool = False, word: bool = False) -> str | None:
+    """The longest literal that every match holds, as far as it is plain to see; None if there is none.
+
+    Only literals outside groups and classes count, and such as nothing makes optional.
+    """
+    if len(patterns) != 1 or ignore_case or smart_case and not any(c.isupper() for c in patterns[0]):
+        return None
+    p = patterns[0]
+    if fixed:
+        return p or None
+    runs, run, i, depth = [], "", 0, 0
+    while i < len(p):
+        c, step = p[i], 1
+        literal = None
+        if c == "\\":
+            step = 2
+            if i + 1 < len(p) and not p[i + 1].isalnum() and p[i + 1] not in "<>":
+                literal = p[i + 1]
+            elif p[i + 1 : i + 2] in ("p", "P", "x", "u", "U"):  # the escape goes on
+                return max(runs, key=len, default=None) if depth else None
+        elif c == "|" and not depth:
+            return None
+        elif c == "(":
+            if p.startswith("(?", i) and not p.startswith("(?:", i):
+                return None  # flags change what follows
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "[":
+            step = _class_end(p, i) - i
+        elif c not in ".^$*+?{}|":
+            literal = c
+        behind = p[i + step : i + step + 1]
+        if depth or literal is None or behind in ("*", "?", "{"):
+            runs.append(run)
+            run = ""
+            if c == "{":  # a count
+                step = max(1, p.find("}", i) + 1 - i)
+        elif behind == "+":
+            runs.append(run + literal)
+            run = ""
+        else:
+            run += literal
+        i += step
+    return max([*runs, run], key=len) or None
+
+
+def _class_end(p: str, i: int) -> int:
+    """Where the class that opens at ``i`` ends."""
+    depth = 0
+    k = i
+    while k < len(p):
+        if p[k] == "\\":
+            k += 1
+        elif p[k] == "[":
+            depth += 1
+            if p[k + 1 : k + 2] == "^":
+                k += 1
+            if p[k + 1 : k + 2] == "]":
+                k += 1
+        elif p[k] == "]":
+            depth -= 1
+            if not depth:
+                return k + 1
+        k += 1
+    return len(p)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import running_sum
-from ..functions.regex_dialect import compile_patterns, plain_literal
+from ..functions.regex_dialect import compile_patterns, needed_literal, plain_literal
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,11 @@ class Match:
     def literal(self) -> str | None:
         return plain_literal(list(self.patterns), self.fixed, self.ignore_case, self.smart_case, self.word)
 
+    @property
+    def needed(self) -> str | None:
+        """A literal that every line with a match holds."""
+        return needed_literal(list(self.patterns), self.fixed, self.ignore_case, self.smart_case, self.word)
+
     def matched(self, line: Column) -> Column:
         """The body of a line under ``--crlf``: without one trailing carriage return."""
         return F.regexp_replace(line, "\\r$", "") if self.crlf else line

@@ -7,7 +7,9 @@ was.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from ..operators.lines import Match, display_path
 from ..sources import archive
 from ..sources.resolve import Resolved
+from .scratch import remove, written
+from .select import select_lines
 from .spec import SearchSpec
 
 MEMBER = ["item_index", "member_index"]
@@ -28,7 +32,7 @@ def matched_text(line: Column) -> Column:
 
 
 def with_context(lines: DataFrame, m: Match, before: int, after: int, limit: int | None, member: list[str] | None = None) -> DataFrame:
-    """``lines`` with ``kind`` and ``group_break``: hits and the lines around them.
+    """``lines`` in any order with ``kind`` and ``group_break``: hits and the lines around them.  (A scan's lines are in order: see ``select``.)
 
     Windows are cut into blocks of a member with their edges, so a member of
     any length spreads over many tasks.  A limit becomes the line number of the
@@ -57,64 +61,94 @@ def with_context(lines: DataFrame, m: Match, before: int, after: int, limit: int
 
 @dataclass
 class Run:
-    """The parts of a run; ``scanned`` is read more than once, so cache or rewrite it for large inputs."""
+    """The parts of a run.  ``table`` reads every input once: what is shown of it, and all records that are no lines."""
 
     spec: SearchSpec
     resolved: Resolved
     scanned: DataFrame
 
-    @property
-    def lines(self) -> DataFrame:
-        return archive.lines(self.scanned)
-
     def display(self, sep: str | None = None) -> Column:
         return display_path(F.col("archive"), F.col("member"), sep or self.spec.separator)
 
+    def selected(self) -> DataFrame:
+        """``scanned`` without the lines that are not shown, with kind, group_break and ``n``, the matches in a line; nothing is shuffled."""
+        s = self.spec
+        text = matched_text(F.col("line"))
+        is_line = F.col("rec_type") == "line"
+        hit = is_line & (s.match.hit(text) if s.max_count != 0 and not s.list_members else F.lit(False))
+        lines_only = s.mode in ("lines", "json")
+        before, after = (s.lines_before, s.lines_after) if lines_only else (0, 0)
+        if before or after or s.max_count:
+            out = select_lines(self.scanned.withColumn("_hit", hit), "_hit", before, after, s.max_count or None)
+        else:
+            out = self.scanned.filter(~is_line | hit).withColumns({"kind": F.when(is_line, "match"), "group_break": F.lit(False)})
+        single = s.invert or s.list_members
+        n = F.when(is_line & (F.col("kind") == "match"), F.lit(1) if single else F.regexp_count(s.match.matched(text), F.lit(s.match.java)))
+        out = out.withColumn("n", n.cast("long"))
+        return out if lines_only else out.withColumns({"line": F.lit(None).cast("binary"), "eol": F.lit(None).cast("binary")})
+
+    @cached_property
+    def table(self) -> DataFrame:
+        out, self._path = written(self.selected(), "run")
+        return out
+
+    def close(self) -> None:
+        """Remove what the run has written, the copy of standard input included."""
+        for item in self.resolved.items:
+            if item.display == "<stdin>" and os.path.exists(item.path):
+                os.unlink(item.path)
+        if "table" in self.__dict__:
+            remove(self.scanned.sparkSession, self._path)
+            del self.table
+
     def hits(self) -> DataFrame:
         """Lines to show, in no order: kind, group_break, display and the rest of the line's columns."""
-        s = self.spec
-        if s.max_count == 0:
-            return with_context(self.lines.filter(F.lit(False)), s.match, 0, 0, None).withColumn("display", self.display())
-        return with_context(self.lines, s.match, s.lines_before, s.lines_after, s.max_count).withColumn("display", self.display())
+        return self.table.filter("rec_type = 'line'").withColumn("display", self.display())
 
     def counts(self) -> DataFrame:
-        """(item_index, member_index, display, n): lines, or with -o matches, of members that have any."""
+        """(item_index, member_index, display, n): lines, or with -o matches, of members that have any; with -m, of the first so many lines."""
         s = self.spec
-        text = matched_text(F.col("line"))
-        hit = self.lines.filter(s.match.hit(text) if s.max_count != 0 else F.lit(False))
-        n = F.sum(F.regexp_count(s.match.matched(text), F.lit(s.match.java))) if s.only_matching and not s.invert else F.count(F.lit(1))
-        out = hit.groupBy(*MEMBER, self.display().alias("display")).agg(n.cast("long").alias("n"))
-        return out.withColumn("n", F.least("n", F.lit(s.max_count).cast("long"))) if s.max_count is not None and not s.only_matching else out
+        n = F.sum("n") if s.only_matching and not s.invert else F.count(F.lit(1))
+        hits = self.hits().filter("kind = 'match'")
+        rank = F.row_number().over(Window.partitionBy(*MEMBER).orderBy("line_no"))
+        if s.max_count and s.mode in ("lines", "json"):  # windows hold further hits
+            hits = hits.withColumn("_k", rank).filter(F.col("_k") <= s.max_count)
+        return hits.groupBy(*MEMBER, "display").agg(n.cast("long").alias("n"))
 
     def members(self) -> DataFrame:
-        return archive.members(self.scanned).withColumn("display", self.display())
+        return archive.members(self.table).withColumn("display", self.display())
 
     def binary_matches(self) -> DataFrame:
         """Members whose hits are in muted lines: what the notice says about them."""
-        s = self.spec
-        found = self.lines.filter("muted").filter(s.match.hit(matched_text(F.col("line"))) if s.max_count != 0 else F.lit(False)).select(*MEMBER).distinct()
-        return self.scanned.filter("rec_type = 'binary'").select(*MEMBER, "archive", "member", F.col("byte_offset").alias("offset")).join(found, MEMBER).withColumn("display", self.display())
+        found = self.hits().filter("muted and kind = 'match'").select(*MEMBER).distinct()
+        return self.table.filter("rec_type = 'binary'").select(*MEMBER, "archive", "member", F.col("byte_offset").alias("offset")).join(found, MEMBER).withColumn("display", self.display())
 
     def diagnostics(self) -> DataFrame:
-        return archive.diagnostics(self.scanned)
+        """Errors and notes; an input without either or a match, whose format can't tell a whole stream from a cut one, gets a note."""
+        said = archive.diagnostics(self.table)
+        clear = F.count_if((F.col("rec_type") == "diag") & (F.col("severity") == "error") | (F.col("kind") == "match")) == 0
+        ends = self.table.groupBy("item_index", "archive").agg(F.max(F.when(F.col("rec_type") == "end", F.col("message"))).alias("message"), clear.alias("clear")).filter("clear and message is not null")
+        note = ends.select("item_index", "archive", F.lit(None).cast("long").alias("member_index"), F.lit(None).cast("string").alias("member"), F.lit("note").alias("severity"), F.lit("UNVERIFIED_END").alias("code"), "message")
+        return said.unionByName(note)
+
+    def outcomes(self) -> DataFrame:
+        return archive.outcomes(self.table)
+
+    def figures(self) -> DataFrame:
+        """One row: what the verdict is made of, over every record of the run."""
+        s = self.spec
+        end = F.col("rec_type") == "end"
+        hit = F.col("rec_type") == "member" if s.list_members else F.col("kind") == "match"
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+        return self.table.agg(
+            F.coalesce(F.bool_or(hit), F.lit(False)).alias("matched"), F.count_if((F.col("rec_type") == "diag") & (F.col("severity") == "error")).alias("errors"), F.count_if(end).alias("ends"),
+            F.count_if(F.col("rec_type") == "member").alias("members"), total(F.when(end, F.col("seen"))).alias("seen"), F.count_if(hit).alias("matched_lines"), total("n").alias("matches"),
+            F.count_distinct(F.when(F.col("kind") == "match", F.struct(*MEMBER))).alias("searches_with_match"), total(F.when(end, F.col("byte_offset"))).alias("bytes_searched"),
+        )
 
     def verdict(self) -> dict:
-        """matched, partial, exit_code and the figures of the run, from one aggregate over the whole scan."""
-        s = self.spec
-        line = F.col("rec_type") == "line"
-        if s.list_members:
-            hit = F.col("rec_type") == "member"
-        elif s.max_count == 0:
-            hit = F.lit(False)
-        else:
-            hit = line & s.match.hit(matched_text(F.col("line")))
-        zero = F.lit(0).cast("long")
-        row = self.scanned.agg(
-            F.coalesce(F.bool_or(hit), F.lit(False)).alias("matched"), F.count_if((F.col("rec_type") == "diag") & (F.col("severity") == "error")).alias("errors"),
-            F.count_if(F.col("rec_type") == "end").alias("ends"), F.count_if(F.col("rec_type") == "member").alias("members"),
-            F.coalesce(F.sum(F.when(F.col("rec_type") == "end", F.col("seen"))), zero).alias("seen"), F.count_if(hit).alias("matched_lines"),
-            F.coalesce(F.sum(F.when(line, F.length("line") + F.length("eol"))), zero).alias("bytes_searched"),
-        ).first()
+        """matched, partial, exit_code and the figures of the run."""
+        s, row = self.spec, self.figures().first()
         errors = [*self.resolved.errors]
         if len(self.resolved.items) > row["ends"]:
             errors.append(("WORKER_DIED", "an input was not walked to its end"))
@@ -123,10 +157,13 @@ class Run:
         partial = bool(errors) or row["errors"] > 0
         return {
             "matched": row["matched"], "partial": partial, "exit_code": 2 if partial else 0 if row["matched"] else 1, "errors": errors,
-            "stats": {"searches": row["members"], "matched_lines": row["matched_lines"], "bytes_searched": row["bytes_searched"]},
+            "stats": {"searches": row["members"], "searches_with_match": row["searches_with_match"], "matched_lines": row["matched_lines"], "matches": row["matches"], "bytes_searched": row["bytes_searched"]},
         }
 
 
 def search(spark: SparkSession, spec: SearchSpec) -> Run:
-    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members)
+    """A run over the named inputs.  A literal that every hit holds is looked for before lines are cut."""
+    narrow = not (spec.invert or spec.list_members or spec.mode in ("lines", "json") and (spec.lines_before or spec.lines_after))
+    literal = spec.match.needed if narrow else None
+    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "")
     return Run(spec, found, scanned)

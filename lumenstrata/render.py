@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import functions as F
@@ -48,7 +49,8 @@ def _lines(run: Run, clean, raw_names: bool, color: bool) -> Iterator[bytes]:
     if s.only_matching and not s.invert:
         hits = hits.withColumn("found", F.when(F.col("kind") == "match", F.filter(F.regexp_extract_all(s.match.matched(text), F.lit(s.match.java), F.lit(0)), lambda x: x != "")))
         hits = hits.filter("kind = 'match'")
-    notices = {(r["item_index"], r["member_index"]): (r["display"], r["offset"]) for r in run.binary_matches().toLocalIterator()}
+    notices = run.binary_matches().orderBy(*MEMBER).toLocalIterator()
+    waiting = next(notices, None)
     context = s.lines_before or s.lines_after
     rows = (hits.orderBy(*MEMBER, "line_no") if s.sort else hits.sortWithinPartitions(*MEMBER, "line_no")).toLocalIterator(True)
     previous, printed = None, False
@@ -56,9 +58,10 @@ def _lines(run: Run, clean, raw_names: bool, color: bool) -> Iterator[bytes]:
     eol = b"\r\n" if s.crlf else b"\n"
 
     def notice(upto) -> Iterator[bytes]:
-        for key in sorted(k for k in notices if upto is None or k < upto):
-            display, offset = notices.pop(key)
-            yield clean(_name(display, raw_names)) + b': binary file matches (found "\\0" byte around offset %d)\n' % offset
+        nonlocal waiting
+        while waiting is not None and (upto is None or (waiting["item_index"], waiting["member_index"]) < upto):
+            yield clean(_name(waiting["display"], raw_names)) + b': binary file matches (found "\\0" byte around offset %d)\n' % waiting["offset"]
+            waiting = next(notices, None)
 
     for r in rows:
         key = (r["item_index"], r["member_index"])
@@ -87,9 +90,14 @@ def _text(b: bytes) -> dict:
 def _json(run: Run, escape: bool) -> Iterator[bytes]:
     """JSON lines: begin, match and context, end of every member with a match, then the summary."""
     s = run.spec
-    dump = lambda x: ((escape_json if escape else str)(json.dumps(x, ensure_ascii=False, separators=(",", ":"))) + "\n").encode("utf-8", "surrogateescape")
+
+    def dump(x: dict) -> bytes:
+        out = ((escape_json if escape else str)(json.dumps(x, ensure_ascii=False, separators=(",", ":"))) + "\n").encode("utf-8", "surrogateescape")
+        total["bytes_printed"] += len(out)
+        return out
+
     rows = run.hits().withColumn("found", F.regexp_extract_all(s.match.matched(matched_text(F.col("line"))), F.lit(s.match.java), F.lit(0))).orderBy(*MEMBER, "line_no")
-    key, stats, total = None, None, {"searches_with_match": 0, "matches": 0}
+    key, stats, total, began = None, None, {"bytes_printed": 0}, time.monotonic()
 
     def end():
         return dump({"type": "end", "data": {"path": _text(stats["path"]), "binary_offset": None, "stats": {"matched_lines": stats["lines"], "matches": stats["matches"]}}})
@@ -101,7 +109,6 @@ def _json(run: Run, escape: bool) -> Iterator[bytes]:
             if stats:
                 yield end()
             key, stats = own, {"path": path, "lines": 0, "matches": 0}
-            total["searches_with_match"] += 1
             yield dump({"type": "begin", "data": {"path": _text(path)}})
         line = bytes(r["line"])
         subs, at = [], 0
@@ -115,13 +122,14 @@ def _json(run: Run, escape: bool) -> Iterator[bytes]:
                 at = i + max(1, len(b))
         stats["lines"] += r["kind"] == "match"
         stats["matches"] += len(subs)
-        total["matches"] += len(subs)
         data = {"path": _text(path), "lines": _text(line + bytes(r["eol"] or b"")), "line_number": r["line_no"], "absolute_offset": r["byte_offset"], "submatches": subs}
         yield dump({"type": r["kind"], "data": data})
     if stats:
         yield end()
     if s.max_count != 0:
-        yield dump({"type": "summary", "data": {"stats": run.verdict()["stats"] | total}})
+        seconds = time.monotonic() - began
+        elapsed = {"secs": int(seconds), "nanos": int(seconds % 1 * 1e9), "human": f"{seconds:.6f}s"}
+        yield dump({"type": "summary", "data": {"elapsed_total": elapsed, "stats": run.verdict()["stats"] | dict(total) | {"elapsed": elapsed}}})
 
 
 def one_line_message(text: str) -> str:

@@ -4,8 +4,8 @@
 an end row for every input that was walked to its end - from which ``members``,
 ``lines`` and ``diagnostics`` are filters.  Inputs on a file system that the
 executors mount are read by a Python data source, one partition an input,
-largest first, streaming in Arrow batches; inputs that only Spark can open go
-through its ``binaryFile`` source and the same walker.
+largest first, streaming in Arrow batches; inputs whose paths have a scheme go
+through Spark's ``binaryFile`` source and the same walker.
 """
 
 from __future__ import annotations
@@ -14,14 +14,17 @@ import io
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import replace
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .resolve import STDIN, Item, Resolved, resolve, spool_stdin
-from .walk import Options, walk
+from .resolve import STDIN, Item, Resolved, has_scheme, resolve, spool_stdin
+from .walk import Lines, Options, walk
 
 SCHEMA = (
     "rec_type string, item_index long, archive string, member_index long, member string, format string, codec string, "
@@ -35,35 +38,70 @@ _FIELDS = [
 ARROW = pa.schema(_FIELDS)
 
 
+#: Lines that one batch holds at least, unless it is the last.
+BATCH_LINES = 1 << 14
+
+
+def _constant(value, kind: pa.DataType, n: int) -> pa.Array:
+    return pa.nulls(n, kind) if value is None else pa.repeat(pa.scalar(value, kind), n)
+
+
 def _batch(n: int, **columns) -> pa.RecordBatch:
     """Columns by name; single values are repeated, the rest is null."""
     arrays = []
     for name, kind in _FIELDS:
         v = columns.get(name)
-        arrays.append(pa.array(v, kind) if isinstance(v, list) else pa.array([v] * n, kind))
+        arrays.append(v if isinstance(v, pa.Array) else pa.array(v, kind) if isinstance(v, (list, np.ndarray)) else _constant(v, kind, n))
     return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
 
 
+def _lines_batch(blocks: list[tuple[int, str, Lines]], own: dict) -> pa.RecordBatch:
+    """Blocks of several members' lines as one batch."""
+    sizes = [len(x) for _, _, x in blocks]
+    which = pa.array(np.repeat(np.arange(len(blocks)), sizes))
+    names = pa.array([name for _, name, _ in blocks], pa.string()).take(which)
+    return _batch(
+        sum(sizes), rec_type="line", **own, member_index=np.repeat([k for k, _, _ in blocks], sizes), member=names, line_no=np.concatenate([x.numbers for _, _, x in blocks]),
+        byte_offset=np.concatenate([x.offsets for _, _, x in blocks]), line=pa.concat_arrays([x.lines for _, _, x in blocks]), eol=list(chain.from_iterable(x.ends for _, _, x in blocks)),
+        muted=list(chain.from_iterable(x.muted for _, _, x in blocks)),
+    )
+
+
 def event_batches(events: Iterator[tuple], index: int, archive: str) -> Iterator[pa.RecordBatch]:
-    """The walker's events as rows of ``SCHEMA``."""
-    names: dict[int, str] = {}
-    own = {"item_index": index, "archive": archive}
+    """The walker's events as rows of ``SCHEMA``: a member's lines stay together and in order, other rows come before or after them."""
+    name, own = "", {"item_index": index, "archive": archive}
+    blocks: list[tuple[int, str, Lines]] = []
+    other: list[dict] = []
+    held = n_bytes = 0
+
+    def flush():
+        nonlocal held
+        if other:
+            yield _batch(len(other), **own, **{c: [x.get(c) for x in other] for c in dict.fromkeys(chain.from_iterable(other))})
+            other.clear()
+        if blocks:
+            yield _lines_batch(blocks, own)
+            blocks.clear()
+        held = 0
+
     for e in events:
         if e[0] == "lines":
-            _, k, first, rows = e
-            yield _batch(
-                len(rows), rec_type="line", **own, member_index=k, member=names.get(k, ""), line_no=list(range(first, first + len(rows))), byte_offset=[r[0] for r in rows],
-                line=[r[1] for r in rows], eol=[r[2] for r in rows], muted=[r[3] for r in rows],
-            )
+            blocks.append((e[1], name, e[3]))
+            held += len(e[3])
         elif e[0] == "member":
-            names[e[1]] = e[2]
-            yield _batch(1, rec_type="member", **own, member_index=e[1], member=e[2], format=e[3], codec=e[4])
+            name = e[2]
+            other.append({"rec_type": "member", "member_index": e[1], "member": name, "format": e[3], "codec": e[4]})
         elif e[0] == "binary":
-            yield _batch(1, rec_type="binary", **own, member_index=e[1], member=names.get(e[1], ""), byte_offset=e[2])
+            other.append({"rec_type": "binary", "member_index": e[1], "member": name, "byte_offset": e[2]})
+        elif e[0] == "size":
+            n_bytes += e[3]
         elif e[0] == "diag":
-            yield _batch(1, rec_type="diag", **own, member_index=e[1], member=names.get(e[1]) if e[1] is not None else None, severity=e[2], code=e[3], message=e[4])
+            other.append({"rec_type": "diag", "member_index": e[1], "member": name if e[1] is not None else None, "severity": e[2], "code": e[3], "message": e[4]})
         else:
-            yield _batch(1, rec_type="end", **own, seen=e[1], searched=e[2], message=e[3])
+            other.append({"rec_type": "end", "seen": e[1], "searched": e[2], "message": e[3], "byte_offset": n_bytes})
+        if held >= BATCH_LINES or len(other) >= BATCH_LINES:
+            yield from flush()
+    yield from flush()
 
 
 class _Input(InputPartition):
@@ -89,7 +127,7 @@ class ArchiveReader(DataSourceReader):
             return
         o = self.options
         if o.globs:
-            o = Options(o.globs, o.text, o.crlf, o.lines, self.names[item.index])
+            o = replace(o, names=self.names[item.index])
         try:
             f = open(item.path, "rb")  # noqa: SIM115
         except OSError as e:
@@ -117,36 +155,63 @@ class ArchiveSource(DataSource):
 
 
 def _options(d: dict) -> Options:
-    return Options(tuple(d.get("globs", ())), d.get("text", False), d.get("crlf", False), d.get("lines", True), tuple(d.get("names", ())))
+    return Options(tuple(d.get("globs", ())), d.get("text", False), d.get("crlf", False), d.get("lines", True), tuple(d.get("names", ())), d.get("literal", "").encode())
 
 
 def _items_json(items: list[Item]) -> str:
     return json.dumps([vars(i) | {"names": i.names() if i.path != STDIN and i.display != "<stdin>" else []} for i in items])
 
 
-def scan(spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True) -> tuple[DataFrame, Resolved]:
+#: What one cell of Spark's ``binaryFile`` source can hold.
+CELL_MOST = (1 << 31) - 1
+
+
+def scan(
+    spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True, literal: str = ""
+) -> tuple[DataFrame, Resolved]:
     """The tagged table of all inputs, and how the paths were resolved."""
-    found = resolve(paths, archive_globs)
+    found = resolve(paths, archive_globs, spark)
     for item in found.items:
         if item.path == STDIN:
             item.path = spool_stdin()
     spark.dataSource.register(ArchiveSource)
-    how = {"globs": list(globs or ()), "text": text, "crlf": crlf, "lines": lines}
-    return spark.read.format("archive").option("items", _items_json(found.items)).option("walk", json.dumps(how)).load(), found
+    how = {"globs": list(globs or ()), "text": text, "crlf": crlf, "lines": lines, "literal": literal}
+    remote = [i for i in found.items if i.remote]
+    own = [i for i in found.items if not i.remote]
+    scanned = spark.read.format("archive").option("items", _items_json(own)).option("walk", json.dumps(how)).load()
+    if remote:
+        through = _through_spark(spark, remote, _options(how))
+        scanned = scanned.unionByName(through) if own else through
+    return scanned, found
 
 
-def scan_binary(spark: SparkSession, path: str, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True) -> DataFrame:
-    """The same table for inputs in any store that Spark reads; a file is one cell, so at most 2 GiB."""
-    o = Options(tuple(globs or ()), text, crlf, lines)
+def _through_spark(spark: SparkSession, items: list[Item], o: Options) -> DataFrame:
+    """The rows of inputs in a store that only Spark opens: a file is one cell, and a larger one than a cell holds is reported as not read."""
+    index = {i.path: (i.index, i.display) for i in items}
 
     def run(batches):
         for b in batches:
-            for p, content in zip(b.column(0).to_pylist(), b.column(1)):
-                data = content.as_buffer()
-                yield from event_batches(walk(io.BytesIO(data), len(data), o), 0, p)
+            for p, content, length in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                k, display = index[p]
+                if content.is_valid:
+                    data = content.as_buffer()
+                    events = walk(io.BytesIO(data), len(data), replace(o, names=(display,)) if o.globs else o)
+                else:
+                    events = iter([("diag", None, "error", "OPEN_FAILED", f"{length} bytes are more than Spark reads at once"), ("end", 0, 0, None)])
+                yield from event_batches(events, k, display)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load([i.path for i in items])
+    fits = F.col("length") <= CELL_MOST
+    whole = files.filter(fits).select("path", "content", "length")
+    if any((i.size or 0) > CELL_MOST for i in items):
+        whole = whole.unionByName(files.filter(~fits).select("path", F.lit(None).cast("binary").alias("content"), "length"))
+    return whole.mapInArrow(run, SCHEMA)
+
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+def scan_binary(spark: SparkSession, path: str, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True) -> DataFrame:
+    """The table of the inputs at one path, read by Spark's own source."""
+    found = resolve([path if has_scheme(path) else f"file://{os.path.abspath(path)}"], spark=spark)
+    return _through_spark(spark, found.items, Options(tuple(globs or ()), text, crlf, lines))
 
 
 def members(scanned: DataFrame) -> DataFrame:

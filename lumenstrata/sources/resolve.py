@@ -1,8 +1,12 @@
-"""Paths to inputs, in order: files as they are, folders by their regular files, each file once."""
+"""Paths to inputs, in order: files as they are, folders by their regular files, each file once.
+
+A path with a scheme (``hdfs://``, ``s3a://``, ``file://``) is looked up in the file system that Spark has for it.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 import stat
 import sys
 import tempfile
@@ -24,8 +28,14 @@ class Item:
     named: bool = True
     size: int | None = None
 
+    @property
+    def remote(self) -> bool:
+        return has_scheme(self.path)
+
     def names(self) -> list[str]:
         """Its names as globs judge them: relative to the working folder where they are below it."""
+        if self.remote:
+            return [self.display, *self.aliases]
         short = [os.path.relpath(os.path.abspath(p)) for p in (self.display, *self.aliases)]
         return [p if s.startswith("..") else s for p, s in zip((self.display, *self.aliases), short)]
 
@@ -36,6 +46,25 @@ class Resolved:
     errors: list[tuple[str, str]] = field(default_factory=list)
 
 
+def has_scheme(path: str) -> bool:
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path) is not None
+
+
+def _remote(spark, path: str) -> tuple[list[tuple[str, int]] | None, bool]:
+    """(path, length) of the files at or below a path with a scheme, and whether it is a folder; None if there is nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None, False
+    if fs.getFileStatus(at).isFile():
+        return [(path, fs.getFileStatus(at).getLen())], False
+    files, found = fs.listFiles(at, True), []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen()))
+    return sorted(found), True
+
+
 def _walk(top: str, errors: list[tuple[str, str]]) -> list[str]:
     """Regular files below a folder by path; links are followed, loops and broken links are errors."""
     out: list[str] = []
@@ -67,7 +96,7 @@ def _walk(top: str, errors: list[tuple[str, str]]) -> list[str]:
     return sorted(out)
 
 
-def resolve(paths: list[str], archive_globs: list[str] | None = None) -> Resolved:
+def resolve(paths: list[str], archive_globs: list[str] | None = None, spark=None) -> Resolved:
     """Inputs and errors of the named paths.  Archive globs judge what folders hold, never named files."""
     out, seen = Resolved(), {}
     globs = Globs(archive_globs) if archive_globs else None
@@ -93,6 +122,21 @@ def resolve(paths: list[str], archive_globs: list[str] | None = None) -> Resolve
         if path == STDIN:
             if not any(i.path == STDIN for i in out.items):
                 out.items.append(Item(len(out.items), STDIN, "<stdin>"))
+        elif has_scheme(path):
+            files, folder = _remote(spark, path)
+            if files is None:
+                out.errors.append(("PATH_MISSING", f"{path}: no such file or folder"))
+            elif folder and not files:
+                out.errors.append(("EMPTY_DIR", f"{path}: no files in it"))
+            walked |= folder and bool(files)
+            for name, length in files or ():
+                below = name[name.find(path.split("://", 1)[1].lstrip("/").rstrip("/")) :].removeprefix(path.split("://", 1)[1].lstrip("/").rstrip("/")).lstrip("/")
+                if folder and globs is not None and not archive_globs_match(globs, below):
+                    continue
+                kept |= folder
+                if name not in seen:
+                    seen[name] = item = Item(len(out.items), name, name, [], not folder, length)
+                    out.items.append(item)
         elif not os.path.exists(path):
             out.errors.append(("PATH_MISSING", f"{path}: no such file or folder"))
         elif os.path.isdir(path):

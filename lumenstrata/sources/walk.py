@@ -1,16 +1,24 @@
 """One input as a sequence of events: its members, their lines, diagnostics, and the proof that it was read.
 
 Events are tuples: ("member", index, name, format, codec), ("lines", index,
-first line number, list of (offset, line, eol, muted)), ("diag", index or None,
-severity, code, message) and ("end", members seen, members searched, what the
-end leaves unverified).  A damaged input never raises; what was read before the
+first line number, ``Lines``), ("binary", index, offset of what makes the member
+binary), ("size", index, lines, bytes), ("diag", index or None, severity, code,
+message) and ("end", members seen, members searched, what the end leaves
+unverified).  A damaged input never raises; what was read before the
 damage stands.
 """
 
 from __future__ import annotations
 
+import re
+from codecs import getincrementaldecoder
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..functions.escapes import truncate_name
 from ..functions.globs import Globs
@@ -19,8 +27,10 @@ from .sniff import CODECS, SNIFF_LENGTH, sniff
 from .streams import CHUNK, ReadError, Stream, file_chunks
 from .tar import Tar
 
+#: Byte order marks.
+MARKS = (("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"))
 LINE_MOST, DIAGNOSTICS_MOST, FIRST_FILL = 16 << 20, 100, 64 << 10
-BATCH_LINES, BATCH_BYTES = 16384, 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -33,92 +43,156 @@ class Options:
     lines: bool = True
     #: Rules of ``globs`` judge members; a plain input is judged by its own names.
     names: tuple[str, ...] = field(default=())
+    #: Lines without it need not be given, where the caller shows none of them; lines of binary members are all given.
+    literal: bytes = b""
 
 
-def lines_of(chunks: Iterator[bytes], index: int, o: Options) -> Iterator[tuple]:
-    """A member's lines.  Unless ``text``, a NUL ends a line and mutes what it makes binary.
+class Lines(NamedTuple):
+    """Consecutive lines of a member, or with a literal those of them that hold it, as columns."""
+
+    numbers: np.ndarray
+    offsets: np.ndarray
+    lines: pa.BinaryArray
+    ends: list[bytes]
+    muted: list[bool]
+
+    def __iter__(self):
+        return zip(self.offsets.tolist(), self.lines.to_pylist(), self.ends, self.muted)
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+
+def _binary(data: bytes, edges: np.ndarray) -> pa.BinaryArray:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+
+
+class _Cutter:
+    """Cuts a member's bytes into lines.  Unless ``text``, a NUL ends a line and mutes what it makes binary.
 
     A NUL within the first fill mutes the whole member, a later one the lines
     from its own on.
     """
-    number, offset, rest, muted, first, binary = 1, 0, b"", False, True, None
-    batch: list[tuple] = []
-    size = 0
-
-    def cut(data: bytes, last: bool):
-        nonlocal number, offset, size, muted, binary
-        pieces = data.split(b"\n")
-        tail = pieces.pop()
-        for p in pieces:
-            yield from lines(p, b"\n")
-        if last and tail:
-            yield from lines(tail, b"")
-            tail = b""
-        return tail
-
-    def lines(p: bytes, eol: bytes):
-        nonlocal number, offset, size, muted, binary
-        parts = [p] if o.text or b"\0" not in p else p.split(b"\0")
-        for k, part in enumerate(parts):
-            end = eol if k == len(parts) - 1 else b"\0"
-            if end == b"" and not part and k:
+
+    def __init__(self, o: Options):
+        self.o, self.number, self.offset, self.rest, self.muted, self.binary = o, 1, 0, b"", False, None
+
+    def first(self, data: bytes) -> None:
+        at = -1 if self.o.text else data.find(b"\0", 0, FIRST_FILL)
+        if at >= 0:
+            self.muted, self.binary = True, at
+
+    def cut(self, data: bytes, last: bool) -> Lines | None:
+        data = self.rest + data
+        end = len(data) if last else data.rfind(b"\n") + 1
+        self.rest, data = data[end:], data[:end]
+        if len(self.rest) > LINE_MOST:
+            raise ReadError("SEARCH_FAILED", "a line is longer than 16 MiB")
+        if not data:
+            return None
+        return self._plain(data) if self.o.text or b"\0" not in data else self._with_nuls(data)
+
+    def _plain(self, data: bytes) -> Lines:
+        """Lines between line feeds only."""
+        feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        open_end = not data.endswith(b"\n")
+        stops = np.append(feeds, len(data)) if open_end else feeds  # where each line's text ends
+        starts = np.concatenate([[0], feeds[: len(stops) - 1] + 1])
+        if len(stops) and (stops - starts).max() > LINE_MOST:
+            raise ReadError("SEARCH_FAILED", "a line is longer than 16 MiB")
+        numbers, offsets = self.number + np.arange(len(stops)), self.offset + starts
+        lines = _binary(data.replace(b"\n", b""), np.concatenate([[0], np.cumsum(stops - starts)]))
+        ends = [b"\n"] * len(feeds) + [b""] * open_end
+        self.number, self.offset = self.number + len(stops), self.offset + len(data)
+        if self.o.crlf:
+            ended = pc.and_(pc.ends_with(lines, b"\r"), pa.array([e == b"\n" for e in ends]))
+            lines = pc.if_else(ended, pc.binary_slice(lines, 0, -1), lines)
+            ends = [b"\r\n" if x else e for x, e in zip(ended.to_pylist(), ends)]
+        if self.o.literal:
+            pick = _holding(data, self.o.literal, stops)
+            numbers, offsets, lines, ends = numbers[pick], offsets[pick], lines.take(pa.array(pick)), [ends[k] for k in pick.tolist()]
+        return Lines(numbers, offsets, lines, ends, [self.muted] * len(numbers))
+
+    def _with_nuls(self, data: bytes) -> Lines:
+        """NULs end lines too; the first one mutes."""
+        texts, ends, muted, offsets = [], [], [], []
+        for text, end in re.findall(rb"([^\n\0]*)([\n\0]|\Z)", data):
+            if not text and not end:
                 break
-            if len(part) > LINE_MOST:
+            if len(text) > LINE_MOST:
                 raise ReadError("SEARCH_FAILED", "a line is longer than 16 MiB")
-            if len(parts) > 1 and not muted:
-                muted = True
-                binary = offset + len(part) if binary is None else binary
-            shown, ending = (part[:-1], b"\r" + end) if o.crlf and part.endswith(b"\r") and end == b"\n" else (part, end)
-            yield offset, shown, ending, muted
-            offset += len(part) + len(end)
-
-    pending: list[bytes] = []
-    held = 0
-
-    def emit(data: bytes, last: bool):
-        nonlocal rest, batch, size, number
-        it = cut(rest + data, last)
-        while True:
-            try:
-                line = next(it)
-            except StopIteration as stop:
-                rest = stop.value or b""
-                break
-            batch.append(line)
-            size += len(line[1])
-            if len(batch) >= BATCH_LINES or size >= BATCH_BYTES:
-                yield "lines", index, number, batch
-                number, batch, size = number + len(batch), [], 0
-        if len(rest) > LINE_MOST:
-            raise ReadError("SEARCH_FAILED", "a line is longer than 16 MiB")
-
-    pieces: list[bytes] = []
-    waiting = 0
+            if end == b"\0" and not self.muted:
+                self.muted, self.binary = True, self.offset + len(text) if self.binary is None else self.binary
+            offsets.append(self.offset)
+            muted.append(self.muted)
+            self.offset += len(text) + len(end)
+            if self.o.crlf and end == b"\n" and text.endswith(b"\r"):
+                text, end = text[:-1], b"\r\n"
+            texts.append(text)
+            ends.append(end)
+        numbers = self.number + np.arange(len(texts))
+        self.number += len(texts)
+        return Lines(numbers, np.array(offsets, np.int64), pa.array(texts, pa.binary()), ends, muted)
+
+
+def _holding(data: bytes, literal: bytes, stops: np.ndarray) -> np.ndarray:
+    """Indexes of the lines, by their ends, that hold a literal."""
+    out, at = [], data.find(literal)
+    while at >= 0:
+        k = int(np.searchsorted(stops, at))
+        out.append(k)
+        at = data.find(literal, int(stops[k]))
+    return np.array(out, np.int64)
+
+
+def _decoded(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes behind a UTF-8 mark; UTF-16 with a mark as UTF-8."""
+    head = b""
     for chunk in chunks:
+        head += chunk
+        if len(head) >= 3:
+            break
+    kind = next((k for k, mark in MARKS if head.startswith(mark)), None)
+    if kind == "utf-8":
+        yield head[3:]
+    elif kind:
+        decoder = getincrementaldecoder(kind)("replace")
+        yield decoder.decode(head[2:]).encode()
+        for chunk in chunks:
+            yield decoder.decode(chunk).encode()
+        yield decoder.decode(b"", True).encode()
+    else:
+        yield head
+    yield from chunks
+
+
+def lines_of(chunks: Iterator[bytes], index: int, o: Options) -> Iterator[tuple]:
+    """A member's lines in blocks, then where it turned out binary and how much it was."""
+    cutter, parts, held, fill = _Cutter(o), [], 0, FIRST_FILL
+    first = True
+
+    def cut(last: bool):
+        nonlocal first
+        data = b"".join(parts)
         if first:
-            pending.append(chunk)
-            held += len(chunk)
-            if held < FIRST_FILL:
-                continue
-            chunk, first = b"".join(pending), False
-            if not o.text and b"\0" in chunk[:FIRST_FILL]:
-                muted, binary = True, chunk.index(b"\0")
-        pieces.append(chunk)
-        waiting += len(chunk)
-        if b"\n" not in chunk and b"\0" not in chunk and waiting + len(rest) <= LINE_MOST:
-            continue  # a long line is put together once
-        yield from emit(b"".join(pieces), False)
-        pieces, waiting = [], 0
-    tail = b"".join(pieces)
-    if first:
-        tail = b"".join(pending)
-        if not o.text and b"\0" in tail:
-            muted, binary = True, tail.index(b"\0")
-    yield from emit(tail, True)
-    if batch:
-        yield "lines", index, number, batch
-    if binary is not None:
-        yield "binary", index, binary
+            cutter.first(data)
+            first = False
+        found = cutter.cut(data, last)
+        if found:
+            yield "lines", index, int(found.numbers[0]), found
+
+    for chunk in _decoded(iter(chunks)):
+        parts.append(chunk)
+        held += len(chunk)
+        if held >= fill:
+            if held + len(cutter.rest) <= LINE_MOST and not first and not any(b"\n" in p or b"\0" in p for p in parts):
+                continue  # a long line is put together once
+            yield from cut(False)
+            parts, held, fill = [], 0, BATCH_BYTES
+    yield from cut(True)
+    if cutter.binary is not None:
+        yield "binary", index, cutter.binary
+    yield "size", index, cutter.number - 1, cutter.offset
 
 
 class _Diagnostics:

@@ -1,3 +1,4 @@
+import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,7 +71,9 @@ def test_running_sum(spark):
 def test_escaped_text_is_safe_and_invertible(s):
     shown = escapes.escape_text(s)
     assert not escapes._UNSAFE.search(shown)
-    assert escapes.escape_bytes(s.encode("utf-8", "surrogatepass")).decode("utf-8", "replace").isprintable() or True
+    back = re.sub(r"\\x([0-9a-f]{2})|\\u\{([0-9a-f]+)\}", lambda m: chr(int(m[1] or m[2], 16)), shown)
+    assert back == s or "\\" in s
+    assert escapes.escape_bytes(s.encode("utf-8", "replace")).decode() == escapes.escape_text(s.encode("utf-8", "replace").decode())
 
 
 def test_escapes(spark):
