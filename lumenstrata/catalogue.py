@@ -92,9 +92,9 @@ def match_smart_case_upper(spark, sf_dir):
     return L.match_lines(_docs(spark, sf_dir), ["doc_id"], Match.of("License", smart_case=True))
 
 
-@query("WITH l0 AS (SELECT * FROM documents WHERE lang = 'en'), " + _lines("l0") + r" SELECT doc_id, line_no, line FROM l WHERE regexp_matches(line, '(^|[^0-9A-Za-z_\x80-\x{10FFFF}])(idiot|the)($|[^0-9A-Za-z_\x80-\x{10FFFF}])')")
+@query(f"WITH {_lines()}" + r" SELECT doc_id, line_no, line FROM l WHERE regexp_matches(line, '(^|[^\p{L}\p{M}\p{N}_])(idiot|the)($|[^\p{L}\p{M}\p{N}_])')")
 def match_word(spark, sf_dir):
-    return L.match_lines(_docs(spark, sf_dir).filter("lang = 'en'"), ["doc_id"], Match.of("idiot|the", word=True))
+    return L.match_lines(_docs(spark, sf_dir), ["doc_id"], Match.of("idiot|the", word=True))
 
 
 @query(_match_sql("NOT regexp_matches(line, 'tion')"))
@@ -307,15 +307,16 @@ def distinct_tokens(spark, sf_dir):
 # names and texts
 
 
-@query("SELECT doc_id, replace(replace(left(text, 200), chr(10), '\\x0a'), chr(13), '\\x0d') AS name FROM documents")
+@query("SELECT doc_id, replace(replace(text, chr(10), '\\x0a'), chr(13), '\\x0d') AS name FROM documents")
 def escape_names(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", one_line(F.left("text", F.lit(200))).alias("name"))
+    return _docs(spark, sf_dir).select("doc_id", one_line(F.col("text")).alias("name"))
 
 
-@query("SELECT doc_id, replace(replace('a' || chr(27) || '[1m' || left(text, 50) || chr(7) || chr(9), chr(27), '\\x1b'), chr(7), '\\x07') AS shown FROM documents")
+@query("SELECT doc_id, replace(replace(replace(replace('a' || chr(27) || '[1m' || replace(replace(text, ' t', chr(155) || chr(8238)), '. ', chr(13) || '. ') || chr(7) || chr(9), chr(27), '\\x1b'), chr(7), '\\x07'), chr(155), '\\u{9b}'), chr(8238), '\\u{202e}').replace(chr(13), '\\x0d') AS shown FROM documents")
 def escape_controls(spark, sf_dir):
-    raw = F.concat(F.lit("a\x1b[1m"), F.left("text", F.lit(50)), F.lit("\x07\t"))
-    return _docs(spark, sf_dir).select("doc_id", escape_column(raw).alias("shown"))
+    """C0, C1 and direction controls, and carriage returns that end no line"""
+    text = F.replace(F.replace("text", F.lit(" t"), F.lit("\x9b\u202e")), F.lit(". "), F.lit("\r. "))
+    return _docs(spark, sf_dir).select("doc_id", escape_column(F.concat(F.lit("a\x1b[1m"), text, F.lit("\x07\t"))).alias("shown"))
 
 
 @query("SELECT doc_id, CASE WHEN strlen(text) <= 1024 THEN text ELSE left(text, n) || '…' END AS name FROM (SELECT doc_id, text, list_max(list_filter(range(250, 1025), lambda k: strlen(left(text, k)) <= 1024)) AS n FROM documents)")
@@ -365,47 +366,6 @@ def json_events(spark, sf_dir):
     return e.select("path", "seq", F.col("e.type").alias("type"), F.col("e.data.absolute_offset").alias("absolute_offset"), n.alias("n"), F.get("e.data.submatches", F.lit(0))["start"].alias("first_start"))
 
 
-# archives: the documents are packed, a bounded number of them into each archive, and read back through the format's reader
-
-MEMBERS_PER_ARCHIVE = 64
-
-
-def _through_archives(kind: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        def pack_and_read(batches):
-            import io
-
-            import pyarrow as pa
-
-            from .sources.build import archive
-            from .sources.walk import Options, walk
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, MEMBERS_PER_ARCHIVE):
-                    part = batch.slice(at, MEMBERS_PER_ARCHIVE)
-                    data = archive([(str(k), t.encode()) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], kind)
-                    names: dict = {}
-                    for e in walk(io.BytesIO(data), len(data), Options()):
-                        if e[0] == "member":
-                            names[e[1]] = int(e[2])
-                        elif e[0] == "lines":
-                            n = len(e[3])
-                            yield pa.RecordBatch.from_arrays([pa.array([names[e[1]]] * n, pa.int64()), pa.array(range(e[2], e[2] + n), pa.int64()), pa.array([x[1].decode() for x in e[3]])], names=["doc_id", "line_no", "line"])
-                        elif e[0] == "diag":
-                            raise ValueError(e[4])
-
-        lines = _docs(spark, sf_dir).select("doc_id", "text").filter("text is not null").mapInArrow(pack_and_read, "doc_id long, line_no long, line string")
-        m = Match.of("ation")
-        return lines.filter(m.hit(F.col("line")))
-
-    return run
-
-
-for _kind in ("tar", "zip", "tar.gz", "tar.bz2", "tar.xz", "tar.zst", "tar.lz4", "tar.lz4l", "tar.Z"):
-    _name = "archive_scan_" + _kind.removeprefix("tar.").lower()
-    QUERIES[_name], ORACLES[_name] = _through_archives(_kind), _match_sql("contains(line, 'ation')")
-
-
 # formats by content
 
 
@@ -428,10 +388,14 @@ def format_sniff(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalogue_sources  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalogue_sources  # noqa: F401
+
     return dict(ORACLES)
 
 

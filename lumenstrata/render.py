@@ -8,9 +8,10 @@ import re
 import time
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.escapes import escape_bytes, escape_json
+from .functions.escapes import escape_bytes, escape_json, one_line
 from .plans.search import MEMBER, Run, matched_text
 
 #: Colours of path, line number and match.
@@ -42,6 +43,14 @@ def output(run: Run, escape: bool = False, raw_names: bool = False, color: bool
         yield from _lines(run, clean, raw_names, color)
 
 
+def standard(run: Run) -> DataFrame:
+    """Standard output as rows (item_index, member_index, line_no, text, group_break), names on one line, without colours or escapes."""
+    mark = F.when(F.col("kind") == "match", ":").otherwise("-")
+    number = F.concat(F.col("line_no").cast("string"), mark) if run.spec.line_numbers else F.lit("")
+    text = F.concat(one_line(F.col("display")), mark, number, F.col("line").cast("string"))
+    return run.hits().filter("not muted").select(*MEMBER, "line_no", text.alias("text"), "group_break")
+
+
 def _lines(run: Run, clean, raw_names: bool, color: bool) -> Iterator[bytes]:
     s = run.spec
     text = matched_text(F.col("line"))

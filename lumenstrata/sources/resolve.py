@@ -47,7 +47,7 @@ class Resolved:
 
 
 def has_scheme(path: str) -> bool:
-    return re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path) is not None
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path) is not None
 
 
 def _remote(spark, path: str) -> tuple[list[tuple[str, int]] | None, bool]:
@@ -56,8 +56,9 @@ def _remote(spark, path: str) -> tuple[list[tuple[str, int]] | None, bool]:
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return None, False
-    if fs.getFileStatus(at).isFile():
-        return [(path, fs.getFileStatus(at).getLen())], False
+    own = fs.getFileStatus(at)
+    if own.isFile():
+        return [(own.getPath().toString(), own.getLen())], False
     files, found = fs.listFiles(at, True), []
     while files.hasNext():
         status = files.next()
@@ -129,13 +130,13 @@ def resolve(paths: list[str], archive_globs: list[str] | None = None, spark=None
             elif folder and not files:
                 out.errors.append(("EMPTY_DIR", f"{path}: no files in it"))
             walked |= folder and bool(files)
+            inside = re.sub(r"^[^:]+:/+", "", path).rstrip("/") + "/"
             for name, length in files or ():
-                below = name[name.find(path.split("://", 1)[1].lstrip("/").rstrip("/")) :].removeprefix(path.split("://", 1)[1].lstrip("/").rstrip("/")).lstrip("/")
-                if folder and globs is not None and not archive_globs_match(globs, below):
+                if folder and globs is not None and not archive_globs_match(globs, name.partition(inside)[2]):
                     continue
                 kept |= folder
                 if name not in seen:
-                    seen[name] = item = Item(len(out.items), name, name, [], not folder, length)
+                    seen[name] = item = Item(len(out.items), name, name if folder else path, [], not folder, length)
                     out.items.append(item)
         elif not os.path.exists(path):
             out.errors.append(("PATH_MISSING", f"{path}: no such file or folder"))
