@@ -32,6 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = getattr(spark, "_lumenstrata_scratch", None)
         if root is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="lumenstrata-")
             spark._lumenstrata_scratch = root
     return root.rstrip("/")
@@ -83,13 +85,15 @@ def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
 
 
 def map_text(
-    df: DataFrame, fields: list[tuple[str, T.DataType]], text: str, make: Callable[[], Callable[[list[bytes | None], pa.RecordBatch], list]]
+    df: DataFrame, fields: list[tuple[str, T.DataType]], text: str, make: Callable[[], Callable[[list[bytes | None], pa.RecordBatch], list]], limit: int = SLICE_BYTES
 ) -> DataFrame:
     """Add columns computed from the whole text of each row.
 
     ``make()`` runs once per task and returns a function from a list of UTF-8
     texts (None for null) and their batch to one Python or Arrow column per
-    field.  All columns of ``df`` are kept.
+    field; it gets slices of at most ``limit`` bytes of text, or single longer
+    texts.  Its attribute ``done``, if it has one, is called after the task's
+    last batch.  All columns of ``df`` are kept.
     """
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t, True) for n, t in fields)])
     arrow = [_arrow_type(t) for _, t in fields]
@@ -100,11 +104,12 @@ def map_text(
             column = batch.column(batch.schema.get_field_index(text))
             column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
             ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
-            for a, b in slices(np.diff(ends)):
+            for a, b in slices(np.diff(ends), limit):
                 part = batch.slice(a, b - a)
                 out = each(column.slice(a, b - a).to_pylist(), part)
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *(n for n, _ in fields)])
+        getattr(each, "done", int)()
 
     return df.mapInArrow(run, schema)
 

@@ -45,6 +45,8 @@ UNITS = 1 << 16
 #: Chunks of more characters are searched one by one, others so many at a time.
 TOGETHER, STEP = 64, 4096
 NEVER = -(1 << 62)
+#: Bytes of text that are searched together.
+SLICE = 2 << 20
 
 
 def backward_a_star(best: list[int], into, end: int, n: int, most: float = math.inf) -> list[tuple[int, tuple, tuple]]:
@@ -84,7 +86,7 @@ def backward_a_star(best: list[int], into, end: int, n: int, most: float = math.
 class PieceModel:
     """Vocabulary, scores and lattice search of one model file."""
 
-    def __init__(self, pieces: list[tuple[str, float, str]], keep: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float, str]], keep: int = 150_000):
         """``pieces``: (text, log-probability, kind) by id; kind is normal, unknown, control or byte."""
         self.pieces, self.keep = pieces, keep
         self.weight = {p: round(s * UNITS) for p, s, kind in pieces if kind == "normal"}
@@ -407,9 +409,10 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", nbest: i
             lists = pa.ListArray.from_arrays(pa.array(id_at, pa.int32()), pa.array(ids), mask=null)
             return [lists, scores, ok]
 
+        each.done = model._forget  # an idle worker keeps the model only
         return each
 
-    return map_text(docs, [(names[0], T.ArrayType(T.IntegerType())), (names[1], T.ArrayType(T.DoubleType())), (names[2], T.BooleanType())], text, make)
+    return map_text(docs, [(names[0], T.ArrayType(T.IntegerType())), (names[1], T.ArrayType(T.DoubleType())), (names[2], T.BooleanType())], text, make, SLICE)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "piece_ids") -> DataFrame:
