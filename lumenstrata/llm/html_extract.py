@@ -8,7 +8,8 @@ so named holds most of the content.  The lines' ratios of
 text to tags are smoothed with a Gaussian and clustered by a threshold; the
 clusters select the outermost container (article, main, or the body) that holds
 the most content; every line of it, of the containers inside it and of the parts
-beside it in one element is kept in page order.
+beside it in one element is kept in page order.  A page without a container
+loses the lines of links, but for paragraphs, outside its clusters at either end.
 
 Defined results: null, empty and text-free pages give an empty text; repeated
 pages are extracted alike; unclosed and badly nested elements are tolerated.
@@ -32,7 +33,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul head td th option select".split()
 )
-NEVER = frozenset("script style noscript template head title nav footer aside form iframe object svg canvas button select textarea input dialog menu audio video".split())
+NEVER = frozenset("script style noscript template head title nav footer aside iframe object svg canvas button select textarea input dialog menu audio video".split())
 CONTAINERS = frozenset(["article", "main"])
 CLOSES_P = BLOCK - {"td", "th", "option", "body", "html"}
 SECTIONING = frozenset("article main section div body html table ul ol dl td th li blockquote".split())
@@ -51,6 +52,8 @@ NEUTRAL = frozenset("site page main top bottom left right box block slot list wr
 FIRM_TOKENS = BAD_ARTICLES | frozenset(
     "adv adverts advertisement advertising adsense banner promotion sponsor sponsors cookie cookies consent gdpr newsletter popup modal overlay commentlist respond disqus hidden skip".split()
 )
+#: Tokens of zones of reader comments, in which an article is a comment.
+COMMENT_TOKENS = frozenset("comment comments commentlist respond discussion disqus replies reply".split())
 #: Text blocks, whose ids are often made from a title.
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 p li ul ol dl dt dd pre blockquote table tbody tr td th figure figcaption section".split())
 _TOKEN = re.compile(r"[a-z]+")
@@ -62,10 +65,10 @@ LOOSE, FIRM, HIDDEN = 1, 2, 3
 
 
 class _Line:
-    __slots__ = ("text", "tags", "linked", "zone", "mark")
+    __slots__ = ("text", "tags", "linked", "zone", "mark", "prose")
 
-    def __init__(self, text, tags, linked, zone, mark):
-        self.text, self.tags, self.linked, self.zone, self.mark = text, tags, linked, zone, mark
+    def __init__(self, text, tags, linked, zone, mark, prose):
+        self.text, self.tags, self.linked, self.zone, self.mark, self.prose = text, tags, linked, zone, mark, prose
 
 
 class _Events(HTMLParser):
@@ -75,7 +78,9 @@ class _Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self.stack: list[tuple[str, bool, int, int, int]] = []  # element, left out, zone, number, mark
+        self.open: dict[str, list[int]] = {}  # places in the stack by element, and of what bounds a paragraph or a stray end tag
         self.marks: list[tuple[int, int, bool]] = [(0, 0, True)]  # the mark around each mark, its zone, whether content can't overrule it
+        self.comments: list[int] = []  # places in the stack of zones of reader comments
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.links = 0
@@ -89,6 +94,28 @@ class _Events(HTMLParser):
     def _zone(self) -> int:
         return self.stack[-1][2] if self.stack else 0
 
+    def _push(self, tag, *rest):
+        for key in (tag, *self._bounds(tag)):
+            self.open.setdefault(key, []).append(len(self.stack))
+        self.stack.append((tag, *rest))
+
+    @staticmethod
+    def _bounds(tag) -> list[str]:
+        return ["/section"] * (tag in SECTIONING) + ["/container"] * (tag in ("article", "main", "body"))
+
+    def _cut(self, i: int):
+        """Close all elements from a place of the stack on."""
+        for tag, *_ in reversed(self.stack[i:]):
+            for key in (tag, *self._bounds(tag)):
+                self.open[key].pop()
+        del self.stack[i:]
+        while self.comments and self.comments[-1] >= i:
+            self.comments.pop()
+
+    def _last(self, key: str) -> int:
+        places = self.open.get(key)
+        return places[-1] if places else -1
+
     def _mark(self) -> int:
         return self.stack[-1][4] if self.stack else 0
 
@@ -96,7 +123,7 @@ class _Events(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append(_Line(text, self.tags, self.linked, self._zone(), self._mark()))
+                self.lines.append(_Line(text, self.tags, self.linked, self._zone(), self._mark(), self._last("p") > self._last("/section")))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -111,12 +138,18 @@ class _Events(HTMLParser):
             self.links += 1
         if tag in VOID:
             return
-        if tag in CONTAINERS and (self._bad() or self._mark()) and not self._marked(tag, attrs, 0) and not any(e == "template" or e in CONTAINERS for e, *_ in self.stack):
-            while self.stack and (self.stack[-1][1] or self.stack[-1][4]):  # an unclosed menu or banner before the article
-                self.stack.pop()
+        inside = self.comments or max(self._last(e) for e in ("template", *CONTAINERS)) >= 0
+        if tag in CONTAINERS and (self._bad() or self._mark()) and not inside and not self._marked(tag, attrs, 0)[0]:
+            i = len(self.stack)
+            while i and (self.stack[i - 1][1] or self.stack[i - 1][4]):  # an unclosed menu or banner before the article
+                i -= 1
+            self._cut(i)
         zone, bad, mark = self._zone(), self._bad(), self._mark()
         if not bad:
-            marked = self._marked(tag, attrs, zone)
+            marked, comments = self._marked(tag, attrs, zone)
+            if comments:
+                self.comments.append(len(self.stack))
+            marked = marked or LOOSE * (tag == "form")
             bad = tag in NEVER or (tag == "header" and not zone) or marked == HIDDEN
             if marked and not bad:
                 self.marks.append((mark, zone, marked == FIRM))
@@ -126,18 +159,18 @@ class _Events(HTMLParser):
                 self.hosts.append(self.stack[-1][3] if self.stack else 0)
                 zone = len(self.zones) - 1
         self.elements += 1
-        self.stack.append((tag, bad, zone, self.elements, mark))
+        self._push(tag, bad, zone, self.elements, mark)
 
     @staticmethod
-    def _marked(tag, attrs, zone) -> int:
-        """0, or how firmly the element's own attributes mark it as a zone without article text."""
+    def _marked(tag, attrs, zone) -> tuple[int, bool]:
+        """0, or how firmly the element's own attributes mark it as a zone without article text; and whether as one of reader comments."""
         if tag in ("html", "body", "main"):
-            return 0
-        tokens_of, mark = BAD_ARTICLES if tag == "article" else BAD_TOKENS, 0
+            return 0, False
+        tokens_of, mark, comments = BAD_ARTICLES if tag == "article" else BAD_TOKENS, 0, False
         for name, value in attrs:
             if not value:
                 if name == "hidden":
-                    return HIDDEN
+                    return HIDDEN, False
                 continue
             if name in ("class", "id", "role"):
                 for whole in [value.lower()] if name == "id" else value.lower().split():
@@ -152,17 +185,15 @@ class _Events(HTMLParser):
                         bad -= {"header"}
                     if bad:
                         mark = max(mark, FIRM if bad & FIRM_TOKENS else LOOSE)
+                        comments |= bool(bad & COMMENT_TOKENS)
             elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return HIDDEN
-        return mark
+                return HIDDEN, False
+        return mark, comments
 
     def _close_p(self):
-        for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 64), -1):
-            if self.stack[i][0] == "p":
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in SECTIONING:
-                return
+        i = self._last("p")
+        if i > self._last("/section"):
+            self._cut(i)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -177,12 +208,10 @@ class _Events(HTMLParser):
             self.links -= 1
         if tag in VOID:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in ("article", "main", "body") and tag not in ("main", "body", "html", "article"):
-                return  # a stray end tag closes nothing outside its container
+        i = self._last(tag)
+        if i < 0 or i < self._last("/container") and tag not in ("main", "body", "html", "article"):
+            return  # a stray end tag closes nothing outside its container
+        self._cut(i)
 
     def handle_data(self, data):
         if not self._bad():
@@ -279,7 +308,9 @@ def extract(html: str | None, sigma: float = 1.0) -> list[str]:
         best = max(zones, key=lambda z: (mass[z], chars[z], -z))
         if mass.get(0, 0) <= 2 * mass[best]:  # else the containers are asides of a text that stands in none
             return [x.text for x in lines if x.zone and host(outer[x.zone]) == host(best)]
-    return [x.text for x in lines]
+    # no container: all but the lines of links before and behind the content
+    good = [k for k, (x, c) in enumerate(zip(lines, content)) if x.prose or c and x.linked < len(x.text) or 2 * x.linked <= len(x.text)]
+    return [x.text for x in lines[good[0] : good[-1] + 1]] if good else []
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", sigma: float = 1.0) -> DataFrame:

@@ -709,6 +709,21 @@ def test_html_keeps_nested_and_sibling_containers():
     assert html_extract.extract(f"<body><p>{long}</p><p><a href=1>A reference</a> 1</p><p>{long}</p><p><a href=2>Another one</a></p></body>") == [long.strip(), "A reference 1", long.strip(), "Another one"]
 
 
+def test_html_zones_and_wrappers():
+    a = "The quick brown fox jumps over the lazy dog and runs away. " * 4
+    p, text = f"<p>{a}</p>", a.strip()
+    get = html_extract.extract
+    assert get(f"<main><article><h1>T</h1>{p}</article><section class='comments'><article>{p * 3}</article><article>{p}</article></section></main>") == ["T", text]
+    assert get(f"<article><h1>T</h1>{p}</article><section class='comments'><article>{p * 3}</article><article>{p}</article></section>") == ["T", text]
+    assert get(f"<form id='f'><div class='content'><h1>T</h1>{p}{p}</div><input type=text></form>") == ["T", text, text]
+    assert get(f"<article>{p}<form><label>Your mail</label><input></form></article>") == [text]
+    assert get(f"<article><p class='share-price'>It rose.</p><div class='side-effects'>{p}</div></article>") == ["It rose.", text]
+    assert get(f"<div><a href=/>Home</a> <a href=/a>About</a></div><div><h1>T</h1>{p}{p}</div><div><a href=z>Imprint</a></div>") == ["T", text, text]
+    assert get(f"<nav><ul><li><a href=1>x</a></li></ul><article>{p}</article>") == [text]
+    deep = f"<article><p>open{'<span>' * 3000}x{'</span>' * 3000}<div>{p}</div></article>"
+    assert get(deep) == ["openx", text] and get("<div>" * 20000 + a + "</b>" * 20000) == [text]
+
+
 def test_html_marks_are_whole_names():
     article = '<article><h2 id="related-work">A</h2><section id="search-algorithms"><p>B</p></section><p id="legal-background">C</p><p id="legal">D</p><div class="notice-board-history">E</div><div class="related">x</div><div class="ad-slot">y</div></article>'
     assert html_extract.extract(article) == ["A", "B", "C", "D", "E"]
