@@ -32,7 +32,7 @@ from .common import fresh, held_out, map_text
 FIT_DOCS = 5000
 WORD = re.compile(r"[^\W\d_]+")
 #: Words with digits and signs inside; they are looked up whole where none of their parts is a hit.
-JOINED = re.compile(r"[^\W\d_]+(?:(?:[^\w\s]|[\d_]){1,2}[^\W\d_]+)+")
+JOINED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:(?:[^\w\s]|[\d_]){1,2}+[^\W\d_]++)+")
 QUOTE = re.compile("[“«„”»‟\"]")
 CONTEXT = 6
 #: Words that mark reported speech, and words that address someone.
