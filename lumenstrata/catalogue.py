@@ -22,7 +22,15 @@ ORACLES: dict[str, str] = {}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark, f"{sf_dir}/documents.parquet")
+
+
+def spread(spark: SparkSession, path: str) -> DataFrame:
+    """A table; the rows of a single file, which can be one row group and so one task, are dealt out to all cores."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    table = spark.read.parquet(path)
+    return table.repartition(spark.sparkContext.defaultParallelism) if single else table
 
 
 def query(sql: str | None = None):

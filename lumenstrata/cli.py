@@ -111,7 +111,7 @@ def _session(spec):
     from pyspark.sql import SparkSession
 
     cores = "*" if spec.turbo and spec.jobs is None else max(1, spec.jobs or 1)
-    return SparkSession.builder.master(f"local[{cores}]").appName("lumenstrata").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    return SparkSession.builder.master(f"local[{cores}]").appName("lumenstrata").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
 
 
 if __name__ == "__main__":

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 128
+BLOCK = 32
 
 
 def running_sum(values: Column, inclusive: bool = True) -> Column:
     """Prefix sums of an array of longs.
 
-    Summed in blocks: a long array costs a bounded number of additions for each
-    element instead of one for every element before it.
+    Summed in blocks of blocks: what is copied for each element is bounded by
+    the block, and by a thirty-second of the array for the blocks' own sums.
     """
     zero = F.lit(0).cast("long")
     total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
+    steps = lambda a, start: F.aggregate(a, F.array(start), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
-    offsets = F.aggregate(blocks, F.array(zero), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + total(b)))
-    pairs = F.arrays_zip(blocks.alias("b"), F.slice(offsets, 1, F.size(blocks)).alias("o"))
-    take = (lambda i: i + 1) if inclusive else (lambda i: i)
-    return F.flatten(F.transform(pairs, lambda z: F.transform(z["b"], lambda x, i: z["o"] + total(F.slice(z["b"], 1, take(i))))))
+    pairs = F.arrays_zip(blocks.alias("b"), steps(F.transform(blocks, total), zero).alias("o"))
+    sums = F.transform(F.filter(pairs, lambda z: z["b"].isNotNull()), lambda z: F.slice(steps(z["b"], z["o"]), 2 if inclusive else 1, F.size(z["b"])))
+    return F.flatten(sums)

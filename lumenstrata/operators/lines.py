@@ -54,14 +54,18 @@ class Match:
 
     def hit(self, line: Column) -> Column:
         """Whether a line is selected, the inversion included."""
-        literal = self.literal
-        found = F.contains(line, F.lit(literal)) if literal else F.rlike(self.matched(line), F.lit(self.java))
+        literal, needed = self.literal, self.needed
+        if literal:
+            found = F.contains(line, F.lit(literal))
+        else:
+            found = F.rlike(self.matched(line), F.lit(self.java))
+            found = F.contains(line, F.lit(needed)) & found if needed else found
         return ~found if self.invert else found
 
     def may_hit(self, text: Column) -> Column | None:
         """A test of the whole text that every text with a hit passes, to be applied before lines are cut."""
-        literal = self.literal
-        return F.contains(text, F.lit(literal)) if literal and not self.invert else None
+        needed = self.needed
+        return F.contains(text, F.lit(needed)) if needed and not self.invert else None
 
 
 def line_array(text: Column) -> Column:
@@ -72,14 +76,15 @@ def line_array(text: Column) -> Column:
 
 def lines_from_text(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, line_no, line), one row a line."""
-    cut = df.select(*keys, F.posexplode(line_array(F.col(text))).alias("_n", "line"))
+    t = F.col(text)
+    pieces = F.split(F.when(F.endswith(t, F.lit("\n")), F.left(t, F.length(t) - 1)).otherwise(t), "\n", -1)
+    cut = df.filter(t != "").select(*keys, F.posexplode(pieces).alias("_n", "line"))
     return cut.select(*keys, (F.col("_n") + 1).cast("long").alias("line_no"), "line")
 
 
 def match_lines(df: DataFrame, keys: list[str], m: Match, text: str = "text") -> DataFrame:
     """(keys, line_no, line) of the selected lines."""
-    hits = F.filter(F.transform(line_array(F.col(text)), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"))), lambda x: m.hit(x["line"]))
-    return _prefiltered(df, m, text).select(*keys, F.explode(hits).alias("h")).select(*keys, "h.line_no", "h.line")
+    return lines_from_text(_prefiltered(df, m, text), keys, text).filter(m.hit(F.col("line")))
 
 
 def _prefiltered(df: DataFrame, m: Match, text: str) -> DataFrame:
@@ -140,30 +145,16 @@ def context_lines(df: DataFrame, keys: list[str], m: Match, before: int = 0, aft
     With ``limit`` only the first so many hits of a member open a window;
     further hits inside the last one are still of kind ``match``.
     """
-    rows = _prefiltered(df, m, text).withColumn("_l", line_array(F.col(text)))
-    rows = rows.withColumn("_h", F.transform("_l", lambda x: m.hit(x).cast("long")))
-    rows = rows.filter(F.exists("_h", lambda x: x == 1))
-    if limit is None:
-        rows = rows.withColumn("_p", running_sum(F.col("_h")))
-    else:
-        rows = rows.withColumn("_r", running_sum(F.col("_h")))
-        rows = rows.withColumn("_p", F.transform("_r", lambda r: F.least(r, F.lit(limit).cast("long"))))
-    # _p: windows opened up to each line; a line is shown if one opened between ``after`` lines before and ``before`` lines behind it
-    n, zero = F.size("_l"), F.lit(0).cast("long")
-    ahead = F.slice(F.concat(F.slice("_p", before + 1, n), F.array_repeat(F.element_at("_p", -1), before)), 1, n)
-    behind = F.slice(F.concat(F.array_repeat(zero, after + 1), F.col("_p")), 1, n)
-    rows = rows.withColumn("_s", F.transform(F.arrays_zip(ahead.alias("a"), behind.alias("b")), lambda z: (z["a"] > z["b"]).cast("long")))
-    earlier = F.slice(F.concat(F.array(F.lit(1).cast("long")), F.col("_s")), 1, n)
-    zipped = F.arrays_zip(F.col("_l").alias("l"), F.col("_h").alias("h"), F.col("_s").alias("s"), earlier.alias("e"), running_sum(F.col("_s"), inclusive=False).alias("r"))
-    item = F.transform(
-        zipped,
-        lambda z, i: F.struct(
-            (i + 1).cast("long").alias("line_no"), z["l"].alias("line"), F.when(z["h"] == 1, F.lit("match")).otherwise(F.lit("context")).alias("kind"),
-            ((z["r"] > 0) & (z["e"] == 0)).alias("group_break"), z["s"].alias("shown"),
-        ),
-    )
-    shown = F.filter(item, lambda x: x["shown"] == 1)
-    return rows.select(*keys, F.explode(shown).alias("x")).select(*keys, "x.line_no", "x.line", "x.kind", "x.group_break")
+    rows = _prefiltered(df, m, text).select(*keys, line_array(F.col(text)).alias("_l"))
+    hits = F.array_remove(F.transform("_l", lambda x, i: F.when(m.hit(x), i + 1).otherwise(0)), 0)
+    rows = rows.withColumn("_k", hits if limit is None else F.slice(hits, 1, limit))
+    # windows ascend, so their lines do too
+    around = F.transform("_k", lambda k: F.sequence(F.greatest(k - before, F.lit(1)), F.least(k + after, F.size("_l"))))
+    rows = rows.withColumn("_s", F.array_distinct(F.flatten(around))).filter(F.size("_s") > 0)
+    pairs = F.arrays_zip(F.col("_s").alias("n"), F.slice(F.concat(F.array(F.get("_s", F.lit(0))), F.col("_s")), 1, F.size("_s")).alias("p"))
+    item = F.transform(pairs, lambda z: F.struct(z["n"].cast("long").alias("line_no"), F.get("_l", z["n"] - 1).alias("line"), (z["n"] - z["p"] > 1).alias("group_break")))
+    shown = rows.select(*keys, F.explode(item).alias("x"))
+    return shown.select(*keys, "x.line_no", "x.line", F.when(m.hit(F.col("x.line")), "match").otherwise("context").alias("kind"), "x.group_break")
 
 
 def max_count(df: DataFrame, keys: list[str], m: Match, limit: int, text: str = "text") -> DataFrame:
@@ -185,13 +176,12 @@ def byte_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
 
 def member_stats(df: DataFrame, keys: list[str], m: Match, text: str = "text") -> DataFrame:
     """(keys, matched_lines, matches, bytes_searched, has_match) of every member."""
-    rows = df.withColumn("_l", line_array(F.col(text)))
     zero = F.lit(0).cast("long")
-    return rows.select(
-        *keys, F.size(F.filter("_l", lambda x: m.hit(x))).cast("long").alias("matched_lines"),
-        F.aggregate(F.transform("_l", lambda x: F.when(m.hit(x), F.regexp_count(m.matched(x), F.lit(m.java))).otherwise(0).cast("long")), zero, lambda s, x: s + x).alias("matches"),
-        F.octet_length(text).cast("long").alias("bytes_searched"), F.exists("_l", lambda x: m.hit(x)).alias("has_match"),
-    )
+    count = lambda x: F.regexp_count(m.matched(x), F.lit(m.java)).cast("long")
+    # of an inverted search, lines without a match: no matches in them
+    each = lambda x: F.when(m.hit(x), F.lit(0).cast("long") if m.invert else F.greatest(count(x), F.lit(1).cast("long")))
+    rows = df.select(*keys, F.octet_length(text).cast("long").alias("bytes_searched"), F.array_compact(F.transform(line_array(F.col(text)), each)).alias("_c"))
+    return rows.select(*keys, F.size("_c").cast("long").alias("matched_lines"), F.aggregate("_c", zero, lambda s, x: s + x).alias("matches"), "bytes_searched", (F.size("_c") > 0).alias("has_match"))
 
 
 def run_summary(stats: DataFrame) -> DataFrame:
@@ -216,19 +206,22 @@ def text_object(value: Column) -> Column:
 
 def json_events(df: DataFrame, path: Column, m: Match, text: str = "text") -> DataFrame:
     """(path, seq, event): JSON lines of every member with a match - begin, its matches, end - with byte offsets."""
-    offs = byte_offsets(df.withColumn("_path", path), ["_path"], text).withColumn("_hit", m.hit(F.col("line")))
-    hits = offs.filter("_hit")
-    java = m.java
-    hits = _with_gaps(hits, F.col("line"), java)
+    rows = _prefiltered(df, m, text).select(path.alias("path"), line_array(F.col(text)).alias("_l"))
+    rows = rows.withColumn("_o", running_sum(F.transform("_l", lambda x: (F.octet_length(x) + 1).cast("long")), inclusive=False))
+    zipped = F.transform(F.arrays_zip("_l", "_o"), lambda z, i: F.when(m.hit(z["_l"]), F.struct((i + 1).cast("long").alias("seq"), z["_o"].alias("at"), z["_l"].alias("line"), F.regexp_count(z["_l"], F.lit(m.java)).cast("long").alias("n"))))
+    rows = rows.select("path", F.array_compact(zipped).alias("_h")).filter(F.size("_h") > 0)
+    null = lambda kind: F.lit(None).cast(kind)
+    edge = lambda seq, n, total: F.array(F.struct(F.lit(seq).cast("long").alias("seq"), n.cast("long").alias("at"), null("string").alias("line"), total.alias("n")))
+    total = F.aggregate("_h", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    rows = rows.select("path", F.explode(F.concat(edge(0, F.lit(None), null("long")), F.col("_h"), edge(1 << 62, F.size("_h"), total))).alias("x")).select("path", "x.*")
+    rows = _with_gaps(rows, F.col("line"), m.java)
+    name = F.struct(F.col("path").alias("text")).alias("path")
     subs = F.transform(located(), lambda z: F.struct(F.struct(z["m"].alias("text")).alias("match"), z["start"].alias("start"), (z["start"] + F.octet_length(z["m"])).alias("end")))
-    name = F.struct(F.col("_path").alias("text"))
-    match = F.struct(F.lit("match").alias("type"), F.struct(name.alias("path"), F.struct(F.concat("line", F.lit("\n")).alias("text")).alias("lines"), F.col("line_no").alias("line_number"), F.col("byte_offset").alias("absolute_offset"), subs.alias("submatches")).alias("data"))
-    rows = hits.select(F.col("_path").alias("path"), F.col("line_no").alias("seq"), F.to_json(match).alias("event"), F.size("_m").cast("long").alias("_n"))
-    ends = rows.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum("_n").alias("n"))
-    begin = F.struct(F.lit("begin").alias("type"), F.struct(F.struct(F.col("path").alias("text")).alias("path")).alias("data"))
-    end = F.struct(F.lit("end").alias("type"), F.struct(F.struct(F.col("path").alias("text")).alias("path"), F.struct(F.col("lines").alias("matched_lines"), F.col("n").alias("matches")).alias("stats")).alias("data"))
-    frame = ends.select("path", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.to_json(begin).alias("event")), F.struct(F.lit(1 << 62).alias("seq"), F.to_json(end).alias("event")))).alias("x")).select("path", "x.*")
-    return rows.drop("_n").unionByName(frame)
+    match = F.struct(F.lit("match").alias("type"), F.struct(name, F.struct(F.concat("line", F.lit("\n")).alias("text")).alias("lines"), F.col("seq").alias("line_number"), F.col("at").alias("absolute_offset"), subs.alias("submatches")).alias("data"))
+    begin = F.struct(F.lit("begin").alias("type"), F.struct(name).alias("data"))
+    end = F.struct(F.lit("end").alias("type"), F.struct(name, F.struct(F.col("at").alias("matched_lines"), F.col("n").alias("matches")).alias("stats")).alias("data"))
+    event = F.when(F.col("seq") == 0, F.to_json(begin)).when(F.col("line").isNull(), F.to_json(end)).otherwise(F.to_json(match))
+    return rows.select("path", "seq", event.alias("event"))
 
 
 def capped(df: DataFrame, keys: list[str], order: list[str], limit: int = 100) -> DataFrame:
