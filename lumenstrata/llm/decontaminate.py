@@ -6,9 +6,11 @@ search may jump when a block ends at the current word, the buckets behind a
 shift of zero (by suffix block, then by prefix block) give the few test
 strings that a direct comparison then confirms.
 
-Benchmark items are searched in blocks of bounded size, each block in one more
-narrow map over the documents, so neither the driver nor a closure holds more
-than ``BLOCK_BYTES`` of item text (a single longer item is a block of its own).
+Benchmark items are searched in blocks of ``BLOCK_BYTES`` of item text (a single
+longer item is a block of its own): one narrow map over the documents has them
+in packed form and compiles one after the other for each slice of documents.  A
+map takes ``MAP_BYTES`` of items at most, a larger benchmark takes several, so
+neither the driver nor a closure holds more.
 
 Defined results: null and empty texts have no words and are never hit; items
 without words are never found; items that share an id are one item; a null
@@ -17,16 +19,19 @@ item id counts as the id ``""``; repeated documents are judged row by row.
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_text
+from .common import fresh, map_text, slices
 
 WINDOW = 10
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES, MAP_BYTES = 512 << 10, 64 << 20
 #: Lower-cases A-Z and turns every byte that can't be in a word into a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -102,43 +107,52 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, map_bytes: int = MAP_BYTES
+) -> DataFrame:
     """Add ``n_words``, ``hit_ranges`` (word ranges, end exclusive, flattened), ``item_ids`` and ``contaminated`` to every document."""
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).cast("string").alias("t")).filter(F.col("t").isNotNull())
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
+    maps = max(1, math.ceil(total / map_bytes))
     n_words, ranges, ids, flag = fresh(docs.columns, "n_words", "hit_ranges", "item_ids", "contaminated")
     out = docs
-    for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        rows = sorted((r["i"], r["t"]) for r in part.distinct().collect())
-        last = k == 0
-        names = (n_words, ranges, ids) if last else fresh(out.columns, "n", "r", "i")
-        out = map_text(out, [(names[0], T.LongType()), (names[1], T.ArrayType(T.IntegerType())), (names[2], T.ArrayType(T.StringType()))], text, _searcher(rows, window, None if last else (ranges, ids)))
-        if not last:
+    for k in range(maps):
+        part = items if maps == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(maps)) == k)
+        blocks = packed(sorted((r["i"], r["t"]) for r in part.distinct().collect()), block_bytes)  # the bound: map_bytes, or one item
+        names = fresh(out.columns, "n", "r", "i") if k else (n_words, ranges, ids)
+        fields = [(names[0], T.LongType()), (names[1], T.ArrayType(T.IntegerType())), (names[2], T.ArrayType(T.StringType()))]
+        out = map_text(out, fields, text, _searcher(blocks, window, (ranges, ids) if k else None))
+        if k:
             out = out.drop(n_words, ranges, ids).withColumnsRenamed(dict(zip(names, (n_words, ranges, ids))))
     return out.withColumn(flag, F.size(ranges) > 0)
 
 
-def _searcher(rows: list[tuple[str, str]], window: int, so_far: tuple[str, str] | None):
+def packed(rows: list[tuple[str, str]], block_bytes: int) -> list[bytes]:
+    """The items in blocks of bounded size, each packed."""
+    sizes = np.array([len(t.encode()) for _, t in rows])
+    return [zlib.compress(json.dumps(rows[a:b]).encode()) for a, b in slices(sizes, block_bytes)]
+
+
+def _searcher(blocks: list[bytes], window: int, so_far: tuple[str, str] | None):
     def make():
-        searchers = compile_items(rows, window)
+        def opened(data: bytes) -> tuple[list[WuManber], list[str]]:
+            rows = json.loads(zlib.decompress(data))
+            return compile_items(rows, window), [i for i, _ in rows]
+
+        only = opened(blocks[0]) if len(blocks) == 1 else None
 
         def each(texts, batch):
-            lengths, ranges, ids = [], [], []
-            before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in so_far] if so_far else None
-            for i, text in enumerate(texts):
-                words = words_of(text)
-                hit, found = search(words, searchers)
-                names = {rows[k][0] for k in found}
-                if before:
-                    was = before[0][i] or []
-                    hit = merge_ranges([*zip(hit[::2], hit[1::2]), *zip(was[::2], was[1::2])])
-                    names |= set(before[1][i] or [])
-                lengths.append(len(words))
-                ranges.append(hit)
-                ids.append(sorted(names))
-            return [lengths, ranges, ids]
+            words = [words_of(t) for t in texts]
+            before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in so_far] if so_far else [[None] * len(texts)] * 2
+            hits, names = [x or [] for x in before[0]], [set(x or ()) for x in before[1]]
+            for data in blocks:
+                searchers, own = only or opened(data)
+                for k, w in enumerate(words):
+                    hit, found = search(w, searchers)
+                    if hit:
+                        hits[k] = merge_ranges([*zip(hit[::2], hit[1::2]), *zip(hits[k][::2], hits[k][1::2])])
+                        names[k].update(own[i] for i in found)
+            return [list(map(len, words)), hits, list(map(sorted, names))]
 
         return each
 

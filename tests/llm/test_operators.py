@@ -67,11 +67,11 @@ def test_decontamination(spark, docs):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, hit, len(found), sha(",".join(found)), hit > 0)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination_of_odd_rows(spark, odd, block):
+@pytest.mark.parametrize("block, most", [(1 << 20, 1 << 26), (40, 1 << 26), (40, 60)])
+def test_decontamination_of_odd_rows(spark, odd, block, most):
     own = [("1", "The CAT sat"), ("2", "x x x x x x x x x x x x"), ("2", "word"), (None, "é ñ"), ("4", None), ("5", "!!!"), ("6", " ".join(PROSE))]
     items = spark.createDataFrame(own, "item_id string, text string")
-    got = rows(decontaminate.find_contamination(odd, items, block_bytes=block))
+    got = rows(decontaminate.find_contamination(odd, items, block_bytes=block, map_bytes=most))
     for i, t in enumerate(odd_texts()):
         n, hit, found = contamination(t, [(a or "", b) for a, b in own if b is not None])
         r = got[i]
@@ -653,13 +653,39 @@ def test_rollup(spark, tmp_path):
     assert r.commit("b2", second) and not r.commit("b2", second)
     assert total()["s0", "en", "v1"] == (8, sum(10 + i for i in range(9, 30, 3)) + 2) and total()["s1", "de", "v1"] == (1, 100)
     assert r.commit("b3", make([]))
-    # a staged batch whose driver died is done again
-    spark.range(1).write.parquet(f"file://{tmp_path}/rollup/staging/b4/entries")
+    # a batch whose driver died, and a manifest that was not written whole, change nothing
+    spark.range(1).write.parquet(f"file://{tmp_path}/rollup/data/batch-dead/entries")
+    (tmp_path / "rollup/manifests" / f"{99:012d}").write_text('{"batches": [')
     assert r.commit("b4", make([(0, "s0", "en", "v1", 5, "insert", 0)])) and total()["s0", "en", "v1"][0] == 9
     state = r.state().groupBy("source", "lang", "version").agg(F.sum("d_docs"), F.sum("d_tokens")).collect()
     assert {tuple(x)[:3]: tuple(x)[3:] for x in state} == total()
 
 
+def test_rollup_compacts_and_gives_way(spark, tmp_path):
+    make = lambda xs: spark.createDataFrame(xs, "doc_id long, source string, lang string, version string, n_tokens long, op string")
+    a, b = (token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup", fan_in=2) for _ in range(2))
+    for k in range(5):
+        assert a.commit(f"b{k}", make([(i, "s", "en", "v", k + 1, "revise") for i in range(k, 8)]))
+        assert len(a._manifest()[1]["folders"]) <= 2
+    assert [tuple(r)[3:] for r in b.totals().collect()] == [(8, 1 + 2 + 3 + 4 + 5 * 4)] and a.batches() == [f"b{k}" for k in range(5)]
+    number, said = a._manifest()
+    assert b.commit("other", make([(0, "s", "en", "v", 100, "revise")]))
+    assert not a._publish(number, said)  # the other driver came first
+    assert a.commit("mine", make([(0, "s", "en", "v", 7, "revise")])) and [tuple(r)[3:] for r in b.totals().collect()] == [(8, 7 + 2 + 3 + 4 + 5 * 4)]
+
+
+def test_token_count_query_against_brute_force(spark, docs):
+    meta = {i: (s, l) for i, s, l in duckdb.sql(f"SELECT doc_id, source, lang FROM '{SF}/documents.parquet'").fetchall()}
+    bpe = token_rollup.BpeCounter(f"{queries.TOKENIZERS}/{queries.BPE_RANKS}", queries.BPE_PATTERN)
+    want: dict = {}
+    for i, t in docs.items():
+        for version, n in (("byte_bpe_50k", bpe(t or "")), ("words", len(space_words(t)))):
+            if n:
+                old = want.get((*meta[i], version), (0, 0))
+                want[(*meta[i], version)] = (old[0] + 1, old[1] + n)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op8_token_counts(spark, SF).collect()} == want
+
+
 def test_rollup_counts_rows_without_id_and_repeated_rows(spark, tmp_path):
     r = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup")
     make = lambda xs: spark.createDataFrame(xs, "doc_id long, source string, lang string, version string, n_tokens long, op string")
