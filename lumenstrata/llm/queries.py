@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, langid, ngram_join, pieces, pii, quality, substring_dedup, token_rollup, toxicity
-from .common import held_out, scratch_path, table
+from .common import held_out, materialize, scratch_path, table
 from .oracles import ORACLE_SQL
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -67,13 +67,25 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), quality.passes(F.col("rule_bits")).alias("kept"), "rule_bits")
 
 
+def ablation_of_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone and beside the others."""
+    return quality.ablation(quality.evaluate_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("rule_bits"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = f"{TOKENIZERS}/{BPE_RANKS}"
     counters = {"byte_bpe_50k": lambda: token_rollup.BpeCounter(ranks, BPE_PATTERN), "words": lambda: token_rollup.count_words}
-    changes = token_rollup.count_tokens(table(spark, sf_dir, "documents"), counters).withColumn("op", F.lit("insert"))
-    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "rollup"))
-    rollup.commit("load-documents", changes)
-    rollup.commit("load-documents", changes)  # a repeated commit changes nothing
+    docs = table(spark, sf_dir, "documents")
+    arrived = docs.select("doc_id", "source", "lang", F.explode(F.array(*map(F.lit, counters))).alias("version"), F.lit(0).cast("long").alias("n_tokens"), F.lit("insert").alias("op"))
+    counts = materialize(token_rollup.count_tokens(docs, counters), "counts")
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "rollup"), fan_in=2)
+    rollup.commit("arrive", arrived.filter("doc_id is not null"))  # documents are entered as they arrive,
+    counted = counts.withColumn("op", F.lit("insert"))
+    rollup.commit("count", counted)  # and revised when they are counted
+    rollup.commit("count", counted)  # a repeated commit changes nothing
+    empty = counts.filter("doc_id is not null").groupBy("doc_id", "version").agg(F.sum("n_tokens").alias("n_tokens")).filter("n_tokens = 0")
+    null = F.lit(None).cast("string")
+    rollup.commit("withdraw", empty.select("doc_id", null.alias("source"), null.alias("lang"), "version", "n_tokens", F.lit("delete").alias("op")))  # documents without a token go
     return rollup.totals().select("source", "lang", F.col("version").alias("tokenizer_version"), "n_docs", "n_tokens")
 
 
@@ -93,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language_id, op2_pii, op3_decontamination, op4_sentencepiece, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_html_extraction, pipeline)
+    own = (op1_language_id, op2_pii, op3_decontamination, op4_sentencepiece, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_html_extraction, pipeline, ablation_of_quality_rules)
     return {f.__name__: f for f in own}
 
 
