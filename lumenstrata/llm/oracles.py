@@ -35,4 +35,9 @@ k AS (SELECT doc_id, count(*) FILTER (WHERE cut) AS n, string_agg(word, ' ' ORDE
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_decontamination": WINDOWED, "op7_quality_rules": LEDGER, "op9_substring_dedup": REPEATS}
+_LEDGER = LEDGER.rsplit("SELECT doc_id, n_words", 1)[0]
+ABLATION = f"""{_LEDGER}, rules AS (SELECT unnest(range(7)) AS bit, unnest(['few_words', 'repeated_windows', 'symbol_heavy', 'repeated_lines', 'long_words', 'short_words', 'shouting']) AS rule)
+SELECT 2 AS policy, bit::INT AS bit, rule, count(*) FILTER (WHERE rule_bits & (1 << bit) <> 0) AS n_failed, count(*) FILTER (WHERE rule_bits = (1 << bit)) AS n_failed_alone,
+ count(*) FILTER (WHERE rule_bits & ~(1 << bit) = 0) AS n_kept_without FROM b, rules GROUP BY bit, rule"""
+
+ORACLE_SQL = {"op3_decontamination": WINDOWED, "op7_quality_rules": LEDGER, "op9_substring_dedup": REPEATS, "ablation_of_quality_rules": ABLATION}
