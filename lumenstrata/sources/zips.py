@@ -47,7 +47,8 @@ class Zip:
         try:
             self.zip = zipfile.ZipFile(f)
         except (zipfile.BadZipFile, ValueError, OSError, struct.error, NotImplementedError) as e:
-            raise ReadError("ZIP_UNREADABLE", str(e)) from None
+            at_fault = "central directory" in str(e) or "zip64" in str(e)  # there is an end record, but not what it points at
+            raise ReadError("ZIP_NO_DIR" if at_fault else "ZIP_UNREADABLE", str(e)) from None
 
     def members(self) -> Iterator[zipfile.ZipInfo]:
         for info in self.zip.infolist():

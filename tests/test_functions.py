@@ -1,4 +1,5 @@
 import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenstrata.functions import escapes
 from lumenstrata.functions.arrays import running_sum
 from lumenstrata.functions.globs import BadGlob, Globs, glob_to_regex
-from lumenstrata.functions.regex_dialect import BadPattern, compile_patterns
+from lumenstrata.functions.regex_dialect import BadPattern, compile_patterns, needed_literal
 
 CASES = [
     ("é", r"^\w$", {}, True), ("٣", r"\d", {}, True), ("É", "é", {"ignore_case": True}, True), ("a\r", "a$", {}, False), ("a\rb", "a.b", {}, True), ("a\x85b", "a.b", {}, True),
@@ -96,3 +97,25 @@ def test_sizes():
     assert [escapes.parse_size(x) for x in ("1", "2K", "3m", "1G")] == [1, 2048, 3 << 20, 1 << 30]
     with pytest.raises(ValueError):
         escapes.parse_size("x")
+
+
+@pytest.mark.parametrize(
+    "pattern, want",
+    [("[a-z]+ation", "ation"), ("ation|tion", None), ("a+b", "a"), ("xa+b", "xa"), ("ab?cd", "cd"), ("ab*c", "a"), ("a{0}bc", "bc"), ("(?i)abc", None), ("(?:ab)?cde", "cde"), (r"the\.$", "the."), (r"\bword\b", "word"),
+     (r"\p{L}x", None), ("[]a]bc", "bc"), (r"[^\]x]yz", "yz"), ("a.b", "a"), ("^", None), (r"a\{2", "a{2")],
+)
+def test_needed_literals(pattern, want):
+    assert needed_literal([pattern]) == want
+    if want:
+        assert needed_literal([pattern], ignore_case=True) is None and needed_literal([pattern, "x"]) is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab.+*?|()[]{}1\\^$", max_size=7), st.lists(st.text("ab1.", max_size=8), max_size=6))
+def test_needed_literals_are_needed(pattern, lines):
+    try:
+        compiled = re.compile(pattern)
+    except re.error:
+        return
+    needed = needed_literal([pattern])
+    assert all(needed in x for x in lines if needed and compiled.search(x)), (pattern, needed)

@@ -146,3 +146,99 @@ def test_both_readers_agree(spark, tmp_path):
     out = archive.outcomes(a).first()
     assert out["walked"] and out["members_seen"] == 1 and out["n_errors"] == 0
     assert spark.read.format("archive").load(str(tmp_path / "x.tgz")).filter("rec_type = 'line'").count() == 6
+
+
+def test_matches_of_the_first_lines(run):
+    put("x.log", b"a a\na a a\nb\na\n")
+    assert run("-c", "-o", "-m", "1", "a", "x.log")[1] == "x.log:2\n"
+    assert run("-c", "-o", "-m", "2", "a", "x.log")[1] == "x.log:5\n"
+    assert run("-c", "-o", "a", "x.log")[1] == "x.log:6\n" and run("-c", "-m", "2", "a", "x.log")[1] == "x.log:2\n"
+
+
+def test_unverified_ends_are_noted(run):
+    put("x.Z", archives([("a.log", LOG)])["tar.Z"])
+    code, out, err = run("absent", "x.Z")
+    assert (code, out) == (1, "") and "x.Z: the format can't tell" in err
+    assert run("NEEDLE", "x.Z")[2] == ""
+    put("y.gz", gzip.compress(b"x\n"))
+    assert run("absent", "y.gz") == (1, "", "")
+
+
+def test_byte_order_marks(run):
+    put("a.log", b"\xef\xbb\xbfNEEDLE one\n")
+    put("b.log", "x\nNEEDLE two\n".encode("utf-16"))
+    assert run("^NEEDLE", "a.log", "b.log")[1] == "a.log:1:NEEDLE one\nb.log:2:NEEDLE two\n"
+
+
+def test_lost_output(run, monkeypatch):
+    put("a.log", LOG)
+    monkeypatch.setattr(sys, "stdout", None)
+    assert run("NEEDLE", "a.log")[0] == 2
+
+    class Full(io.RawIOBase):
+        def writable(self):
+            return True
+
+        def write(self, b):
+            raise OSError(28, "No space left on device")
+
+    monkeypatch.setattr(sys, "stdout", io.TextIOWrapper(io.BufferedWriter(Full())))
+    code, _, err = run("NEEDLE", "a.log")
+    assert code == 2 and "WRITE_FAILED" in err
+
+
+def test_json_summary_has_all_figures(run):
+    put("x.tgz", gzip.compress(tar([("a.log", LOG), ("b.log", b"none\n")])))
+    events = [json.loads(x) for x in run("--json", "NEEDLE", "x.tgz")[1].splitlines()]
+    stats = events[-1]["data"]["stats"]
+    assert (stats["searches"], stats["searches_with_match"], stats["matched_lines"], stats["matches"], stats["bytes_searched"]) == (2, 1, 1, 1, len(LOG) + 5)
+    assert stats["bytes_printed"] > 0 and "elapsed" in stats and "elapsed_total" in events[-1]["data"]
+
+
+def test_an_input_is_opened_once_a_run(run, tmp_path):
+    """Whatever is shown and told: a pipe that is written once is enough."""
+    import threading
+
+    os.mkfifo("pipe")
+    data = gzip.compress(tar([("a.log", LOG * 50), ("b.log", b"none\n")]))
+
+    def feed():
+        with open("pipe", "wb") as f:
+            f.write(data)
+
+    for args, lines in ((["-B1", "NEEDLE"], 149), (["--json", "NEEDLE"], 53), (["-c", "NEEDLE"], 1)):
+        t = threading.Thread(target=feed)
+        t.start()
+        code, out, err = run(*args, "pipe")
+        t.join()
+        assert (code, err, len(out.splitlines())) == (0, "", lines)
+
+
+def test_paths_with_a_scheme(run, tmp_path):
+    put("d/x.tgz", gzip.compress(tar([("a.log", LOG)])))
+    put("d/cut.tgz", gzip.compress(tar([("a.log", LOG)]))[:-9])
+    code, out, err = run("NEEDLE", f"file://{tmp_path}/d/x.tgz")
+    assert code == 0 and out == f"file://{tmp_path}/d/x.tgz:a.log:2:NEEDLE one\n"
+    code, out, err = run("-c", "NEEDLE", f"file://{tmp_path}/d")
+    assert code == 2 and len(out.splitlines()) == 2 and "cut.tgz" in err
+    assert run("NEEDLE", "--archive-glob", "x*", f"file://{tmp_path}/d")[0] == 0
+    assert run("NEEDLE", f"file://{tmp_path}/none")[0] == 2
+
+
+def test_context_of_lines_in_many_batches(spark, tmp_path):
+    """Windows over the edges of Arrow batches, limits, and lines that a literal lets the reader leave out."""
+    import random
+
+    from lumenstrata.plans.search import search
+
+    rng = random.Random(4)
+    lines = [rng.choice(["x", "y NEEDLE", "z"] + ["filler"] * 9) for _ in range(40000)]
+    put(str(tmp_path / "a.log"), "\n".join(lines).encode())
+    for before, after, limit, invert in ((0, 0, None, False), (3, 2, None, False), (2, 0, 7, False), (0, 4, 1, False), (0, 0, 5, False), (1, 1, 3, True)):
+        args = [*(["-B", str(before)] if before else []), *(["-A", str(after)] if after else []), *(["-m", str(limit)] if limit else []), *(["-v"] if invert else [])]
+        got = {r["line_no"]: (r["kind"], r["group_break"]) for r in search(spark, parse([*args, "NEEDLE", str(tmp_path / "a.log")])).hits().collect()}
+        hit = [("NEEDLE" in x) != invert for x in lines]
+        kept = [k for k, h in enumerate(hit) if h][:limit]
+        shown = sorted({j for k in kept for j in range(max(0, k - before), min(len(lines), k + after + 1))})
+        want = {j + 1: ("match" if hit[j] else "context", bool((before or after) and i and j - shown[i - 1] > 1)) for i, j in enumerate(shown)}
+        assert got == want, (before, after, limit, invert)
