@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import scratch_path
+
 #: Bytes of text handed to one step of a Python operator; an Arrow batch above it is processed in slices.
 SLICE_BYTES = 8 << 20
 
@@ -26,23 +26,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark, "_lumenstrata_scratch", None)
-        if root is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="lumenstrata-")
-            spark._lumenstrata_scratch = root
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back.
 

@@ -347,6 +347,45 @@ def test_levenshtein_automaton():
     assert stems.match("loweischaft") == 0 and stems.match("lowe") is None and stems.match("lostrxyzend") == 1 and stems.match("lost") is None
 
 
+def test_automaton_against_plain_edit_distance():
+    """What scoring uses: edits at any place, a swap of neighbours is one."""
+
+    def distance(a, b):
+        d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(12)
+    terms = ["idiot", "moron", "pathetic", "disgusting", "scum", "trashcans", "ass"]
+    trie = toxicity.FuzzyTrie(terms, [], anywhere=True)
+    for _ in range(6000):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w)) if w else 0
+            if rng.random() < 0.3:
+                w[i : i + 2] = w[i : i + 2][::-1]
+            else:
+                w[i : i + rng.randrange(2)] = rng.choice(["", "a", "t", "1", "zz"])
+        w = "".join(w)
+        want = min((d for t in terms if (d := distance(w, t)) <= toxicity.edits_allowed_anywhere(t, False)), default=None)
+        assert trie.match(w) == want, w
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """By label: the documents of the held-out fold, which the fit never sees."""
+    at = "/root/testdata/sf0.01"
+    label = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{at}/labels.parquet'").fetchall())
+    got = [(r["score"], r["predicted"], label[r["doc_id"]]) for r in queries.op6_toxicity(spark, at).filter("held_out").collect() if r["doc_id"] in label]
+    good, bad = [x for x in got if not x[2]], [x for x in got if x[2]]
+    assert len(bad) >= 3 and len(good) >= 30
+    above = sum((b[0] > g[0]) + (b[0] == g[0]) / 2 for b in bad for g in good) / (len(bad) * len(good))
+    assert above >= 0.98 and sum(x[1] for x in bad) >= 0.8 * len(bad) and sum(x[1] for x in good) <= 0.05 * len(good)
+
+
 def test_misspellings_anywhere():
     trie = toxicity.FuzzyTrie(["idiot", "moron", "scum", "clown", "stupid", "pathetic"], [], anywhere=True)
     for w in ("jdiot", "diot", "didiot", "scuum", "scumm", "cum", "clwon", "lcown", "moorn", "id1ot", "st*pid", "m0ron", "iditos"[:5]):
