@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     flagged = materialize(flagged.groupBy("g").agg(F.bool_or("old").alias("old")), "repeated")
     # the documents of the call that hold a repeated fingerprint, and those of the calls before that share one with them
     dirty = materialize(_under(distinct, flagged, "ord", "id", "t"), "dirty")
-    matched = materialize(dirty.withColumn("id_", F.coalesce("id", F.lit(NULL_ID))).drop("id").join(texts, ["id_", "t"]).select("ord", "text", "gs").dropDuplicates(["ord"]), "texts")
+    matched = materialize(dirty.withColumn("id_", F.coalesce("id", F.lit(NULL_ID))).drop("id").join(texts, ["id_", "t"]).select("ord", "text", "gs"), "texts")  # rows alike in id and text come as often
     drop_table(dirty)
     found = every = matched.mapInArrow(_windows(window, gram), FOUND)
     if earlier is not None:
@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drop_table(firsts)
     cut = matched.select("ord", "text").join(later, "ord", "left")
     cut = map_text(cut, [("n_removed", T.LongType()), ("left", T.StringType())], "text", _cutter(window)).select("ord", "n_removed", "left")
-    cut = materialize(cut, "cut")
+    cut = materialize(cut.dropDuplicates(["ord"]), "cut")
     drop_table(matched)
     drop_table(later)
     if index:
