@@ -15,6 +15,8 @@ from ..plans.scratch import scratch_path
 
 #: Bytes of text handed to one step of a Python operator; an Arrow batch above it is processed in slices.
 SLICE_BYTES = 8 << 20
+#: Bytes of a join's side that may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_side(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table as the side of a join: broadcast if its rows, by their count, take at most ``most`` bytes; else both sides are shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
