@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenstrata.llm import decontaminate, ngram_join, pieces, pii, queries, toxicity
-from lumenstrata.llm.common import fresh, materialize, table
+from lumenstrata.llm.common import fresh, materialize, small_side, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id.  Rows without an id, and all rows of a kept id, stay."""
-    firsts = ngram_join.ngram_classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(materialize(firsts, "firsts"), "doc_id", "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    classes = ngram_join.ngram_classes(docs).filter("doc_id is not null")
+    later = classes.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("class_id")).alias("first")).filter("not first").select("doc_id")
+    return docs.join(small_side(materialize(later, "later"), 16), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
