@@ -368,17 +368,23 @@ def json_events(spark, sf_dir):
 
 # formats by content
 
+#: Leading bytes and what they say; a dictionary size and the rest of a bare LZMA header, a whole text cpio header.
+HEADS = [
+    ("1F8B08", "gzip"), ("1F9D90", "compress"), ("504B0304", "zip"), ("504B0506", "zip"), ("28B52FFD", "zstd"), ("04224D18", "lz4"), ("02214C18", "lz4"), ("502A4D1800000000" + "04224D18", "lz4"),
+    ("5F2A4D18FFFFFF00", "zstd"), ("FD377A585A00", "xz"), ("425A6839314159265359", "bzip2"), ("425A6831177245385090", "bzip2"), ("425A6839202020", "plain"), ("4C5A495001", "unreadable:lzip"),
+    ("377ABCAF271C", "unreadable:7z"), ("526172211A07", "unreadable:rar"), ("894C5A4F000D0A1A0A", "unreadable:lzop"), ("303730373037" + "30" * 70, "unreadable:cpio"),
+    ("5D00008000" + "FF" * 8 + "00", "unreadable:lzma"), ("5D00008101" + "FF" * 8 + "00", "plain"), ("", "plain"),
+]
 
-@query(
-    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'gzip' WHEN 1 THEN 'zstd' WHEN 2 THEN 'xz' WHEN 3 THEN 'zip' WHEN 4 THEN 'unreadable:7z' ELSE 'plain' END AS format FROM documents"
-)
+
+@query("SELECT doc_id, ([" + ", ".join(f"'{kind}'" for _, kind in HEADS) + f"])[doc_id % {len(HEADS)} + 1] AS format FROM documents")
 def format_sniff(spark, sf_dir):
     from pyspark.sql import types as T
 
     from .sources.sniff import SNIFF_LENGTH, sniff
 
-    heads = ["1F8B08", "28B52FFD", "FD377A585A00", "504B0304", "377ABCAF271C", ""]
-    raw = F.concat(F.unhex(F.get(F.array(*map(F.lit, heads)), (F.col("doc_id") % 6).cast("int"))), F.encode("text", "UTF-8"))
+    heads = F.array(*(F.lit(head) for head, _ in HEADS))
+    raw = F.concat(F.unhex(F.get(heads, (F.col("doc_id") % len(HEADS)).cast("int"))), F.encode("text", "UTF-8"))
 
     @F.pandas_udf(T.StringType())
     def of(column):

@@ -300,6 +300,62 @@ def _codes(r: Run) -> DataFrame:
     return named(said).groupBy("k", "severity", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT DISTINCT {NAMED[0]} AS k, 'error' AS severity, 'ZIP_UNCOVERED' AS code, 1::BIGINT AS n FROM documents")
+def source_zip_uncovered(spark, sf_dir):
+    """Bytes of a zip that stand in no entry"""
+    return _codes(run(spark, sf_dir, "zip", "ation", around=lambda b: b + b"and more"))
+
+
+@query(f"SELECT {NAMED[0]} AS k, 'error' AS severity, 'ZIP_ENCRYPTED' AS code, count(*) AS n FROM documents GROUP BY ALL")
+def source_zip_encrypted(spark, sf_dir):
+    """Entries that need a password are errors, and the walk goes on"""
+    return _codes(run(spark, sf_dir, "zip", "ation", around=_locked))
+
+
+def _locked(data: bytes) -> bytes:
+    """A zip whose entries say that they are encrypted."""
+    import io
+    import zipfile
+
+    out, z = bytearray(data), zipfile.ZipFile(io.BytesIO(data))
+    at = z.start_dir
+    for info in z.infolist():
+        out[info.header_offset + 6] |= 1
+        out[at + 8] |= 1
+        at += 46 + len(info.orig_filename.encode()) + len(info.extra) + len(info.comment)
+    return bytes(out)
+
+
+@query(_hits_sql())
+def source_behind_zeros(spark, sf_dir):
+    """A tar behind blocks of zeros"""
+    return shown(run(spark, sf_dir, "tar.gz", "ation", around=_behind_zeros))
+
+
+def _behind_zeros(data: bytes) -> bytes:
+    import gzip
+
+    return gzip.compress(bytes(4096) + gzip.decompress(data))
+
+
+@query("SELECT false AS matched, true AS partial, 2 AS exit_code, 'MEMBER_GLOB_EMPTY' AS code")
+def source_glob_keeps_nothing(spark, sf_dir):
+    """Globs that leave no member of any archive are an error of the run"""
+    v = run(spark, sf_dir, "tar.gz", "-g", "*.none", "ation").verdict()
+    return spark.createDataFrame([(v["matched"], v["partial"], v["exit_code"], v["errors"][0][0])], "matched boolean, partial boolean, exit_code int, code string")
+
+
+@query("SELECT unnest(['PATH_MISSING', 'EMPTY_DIR', 'WALK_ERROR']) AS code")
+def source_path_errors(spark, sf_dir):
+    """Paths that are not there, empty folders, links that lead nowhere"""
+    folder = scratch_path(spark, "archives").removeprefix("file://")
+    os.makedirs(f"{folder}/empty")
+    os.makedirs(f"{folder}/links")
+    os.symlink(f"{folder}/nothing", f"{folder}/links/broken")
+    found = resolve([f"{folder}/none", f"{folder}/empty", f"{folder}/links"])
+    return spark.createDataFrame([(code,) for code, _ in found.errors], "code string")
+
+
 @query(_hits_sql())
 def source_stream(spark, sf_dir):
     """A folder of archives as a stream, read until nothing new is there"""

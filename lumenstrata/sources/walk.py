@@ -214,17 +214,17 @@ class _Diagnostics:
 
 def _member(index: int, name: str, s: Stream, o: Options, diag: _Diagnostics, outer: str) -> Iterator[tuple]:
     """One member: at most one level of compression is taken off.  Returns whether it was read whole."""
-    head = s.peek(SNIFF_LENGTH)
-    kind, codec = sniff(head), ""
-    inner = s
-    if kind in CODECS:
-        codec = kind
-        inner = Stream(codecs.decode(kind, s))
-    whole = True
+    told = False
+    codec, whole, inner = "", True, s
     try:
-        head = inner.peek(SNIFF_LENGTH) if codec else head
-        kind = sniff(head) if codec else kind
+        head = s.peek(SNIFF_LENGTH)
+        kind = sniff(head)
+        if kind in CODECS:
+            codec = kind
+            inner = Stream(codecs.decode(kind, s))
+            kind = sniff(inner.peek(SNIFF_LENGTH))
         yield "member", index, name, outer, codec
+        told = True
         where = truncate_name(name) + ": " if name else ""
         if kind in CODECS and codec:
             yield from diag("error", "STILL_COMPRESSED", f"{where}still compressed after one level", index)
@@ -243,6 +243,8 @@ def _member(index: int, name: str, s: Stream, o: Options, diag: _Diagnostics, ou
             for _ in s:
                 pass
     except ReadError as e:
+        if not told:
+            yield "member", index, name, outer, codec
         code = e.code if e.code not in ("READ_FAILED", "SEARCH_FAILED") or not name else "MEMBER_FAILED"
         yield from diag("error", code, f"{truncate_name(name)}: {e}" if name else str(e), index)
         whole = False
