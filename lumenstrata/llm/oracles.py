@@ -40,4 +40,30 @@ ABLATION = f"""{_LEDGER}, rules AS (SELECT unnest(range(7)) AS bit, unnest(['few
 SELECT 2 AS policy, bit::INT AS bit, rule, count(*) FILTER (WHERE rule_bits & (1 << bit) <> 0) AS n_failed, count(*) FILTER (WHERE rule_bits = (1 << bit)) AS n_failed_alone,
  count(*) FILTER (WHERE rule_bits & ~(1 << bit) = 0) AS n_kept_without FROM b, rules GROUP BY bit, rule"""
 
-ORACLE_SQL = {"op3_decontamination": WINDOWED, "op7_quality_rules": LEDGER, "op9_substring_dedup": REPEATS, "ablation_of_quality_rules": ABLATION}
+
+
+def _lloyd(rounds: int = 10, k: int = 8) -> str:
+    """Rounds of assignment and exact floor means, as one chain of materialized CTEs."""
+    steps = [
+        f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT rid, unnest(range(64)) AS i, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM e),
+f AS MATERIALIZED (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1 AS c FROM e QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, i, x FROM f JOIN v USING (rid))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS MATERIALIZED (SELECT rid, c, sum((v.x - q.x) * (v.x - q.x))::BIGINT AS d FROM v JOIN c{r} q USING (i) GROUP BY rid, c)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS MATERIALIZED (SELECT c, i, ((s - (s % n + n) % n) // n)::BIGINT AS x FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{r} JOIN v USING (rid) GROUP BY c, i))")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, i, coalesce(m.x, q.x) AS x FROM c{r} q LEFT JOIN m{r} m USING (c, i))")
+    return (
+        ",\n".join(steps)
+        + f""",
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN e USING (rid) JOIN h USING (c)"""
+    )
+
+
+LLOYD = _lloyd()
+
+ORACLE_SQL = {"op3_decontamination": WINDOWED, "op7_quality_rules": LEDGER, "op9_substring_dedup": REPEATS, "ablation_of_quality_rules": ABLATION, "op11_centroid_clustering": LLOYD}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, ngram_join, pieces, pii, quality, substring_dedup, token_rollup, toxicity
+from . import centroids, decontaminate, html_extract, langid, ngram_join, pieces, pii, quality, substring_dedup, token_rollup, toxicity
 from .common import held_out, materialize, scratch_path, table
 from .oracles import ORACLE_SQL
 
@@ -98,6 +98,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, final = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    digests = F.array(*map(F.lit, centroids.centroid_digests(final))) if len(final) else F.array().cast("array<string>")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.get(digests, F.col("cluster")).alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language_id, op2_pii, op3_decontamination, op4_sentencepiece, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_html_extraction, pipeline, ablation_of_quality_rules)
+    own = (op1_language_id, op2_pii, op3_decontamination, op4_sentencepiece, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_html_extraction, op11_centroid_clustering, pipeline, ablation_of_quality_rules)
     return {f.__name__: f for f in own}
 
 
