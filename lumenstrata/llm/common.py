@@ -28,15 +28,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back.
+def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
+    """Write ``df`` as Parquet into the shared scratch folder, with the writer's ``options``, and read it back.
 
     The result has no lineage, survives lost executors, and lets Spark drop the
     shuffle files behind it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     schema = df.schema
     del df
     release(spark)

@@ -35,6 +35,17 @@ k AS (SELECT doc_id, count(*) FILTER (WHERE cut) AS n, string_agg(word, ' ' ORDE
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
+BYTES = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')::BLOB) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT rid, doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE doc_id IS NOT NULL)),
+gone AS (SELECT rid, p FROM (SELECT rid, p, doc_id, min(doc_id) OVER (PARTITION BY g) AS earliest FROM w) WHERE earliest < doc_id),
+runs AS (SELECT rid, p, p - coalesce(lag(p) OVER (PARTITION BY rid ORDER BY p), -1000) > 50 AS fresh FROM gone),
+spans AS (SELECT rid, min(p) AS a, max(p) + 50 AS z FROM (SELECT rid, p, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY p) AS k FROM runs) GROUP BY rid, k),
+kept AS (SELECT rid, a, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS s, z FROM spans),
+s AS (SELECT rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * s + 1, 2 * (a - s)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS left_over FROM kept JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256 FROM d LEFT JOIN s USING (rid)
+"""
+
 _LEDGER = LEDGER.rsplit("SELECT doc_id, n_words", 1)[0]
 ABLATION = f"""{_LEDGER}, rules AS (SELECT unnest(range(7)) AS bit, unnest(['few_words', 'repeated_windows', 'symbol_heavy', 'repeated_lines', 'long_words', 'short_words', 'shouting']) AS rule)
 SELECT 2 AS policy, bit::INT AS bit, rule, count(*) FILTER (WHERE rule_bits & (1 << bit) <> 0) AS n_failed, count(*) FILTER (WHERE rule_bits = (1 << bit)) AS n_failed_alone,
@@ -66,4 +77,4 @@ SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c)):
 
 LLOYD = _lloyd()
 
-ORACLE_SQL = {"op3_decontamination": WINDOWED, "op7_quality_rules": LEDGER, "op9_substring_dedup": REPEATS, "ablation_of_quality_rules": ABLATION, "op11_centroid_clustering": LLOYD}
+ORACLE_SQL = {"op3_decontamination": WINDOWED, "op7_quality_rules": LEDGER, "op9_substring_dedup": REPEATS, "ablation_of_quality_rules": ABLATION, "op11_centroid_clustering": LLOYD, "op12_suffix_dedup": BYTES}

@@ -1,19 +1,21 @@
-"""The ten operators on the driver's tables, with production parameters."""
+"""The operators on the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
 import os
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, html_extract, langid, ngram_join, pieces, pii, quality, substring_dedup, token_rollup, toxicity
+from . import centroids, decontaminate, html_extract, langid, ngram_join, pieces, pii, quality, substring_dedup, suffix_dedup, token_align, token_rollup, toxicity
 from .common import held_out, materialize, scratch_path, table
 from .oracles import ORACLE_SQL
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("LUMENSTRATA_TOKENIZERS", "/opt/tokenizers")
 PIECE_MODEL = "piece_bpe_32k.model"
+BPE_JSON = "byte_bpe_50k.json"
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer's pattern that goes with the rank file, as its library publishes it.
 BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -104,6 +106,17 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.get(digests, F.col("cluster")).alias("centroid_sha256"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_earlier_bytes(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/{PIECE_MODEL}"
+    make_a, make_b = partial(token_align.ByteBpe, f"{TOKENIZERS}/{BPE_JSON}", BPE_PATTERN), partial(token_align.Pieces, model)
+    out = token_align.link_figures(table(spark, sf_dir, "documents").select("doc_id", "text"), make_a, make_b, token_align.Pieces(model).size)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,7 +124,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language_id, op2_pii, op3_decontamination, op4_sentencepiece, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_html_extraction, op11_centroid_clustering, pipeline, ablation_of_quality_rules)
+    own = (op1_language_id, op2_pii, op3_decontamination, op4_sentencepiece, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_html_extraction, op11_centroid_clustering, op12_suffix_dedup, op13_token_alignment, pipeline, ablation_of_quality_rules)
     return {f.__name__: f for f in own}
 
 
