@@ -75,10 +75,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for w in spec.warnings:
             say(w)
         spark = spark or _session(spec)
-        run = search(spark, spec)
         terminal = out.isatty() if hasattr(out, "isatty") else False
         escape = spec.escape == "always" or spec.escape == "auto" and terminal
-        color = spec.color == "always" or spec.color == "auto" and terminal
+        spec.painted = color = spec.color == "always" or spec.color == "auto" and terminal
+        run = search(spark, spec)
         closed = lost = False
         chunks = output(run, escape, raw_names=spec.escape == "never", color=color)
         try:
@@ -94,8 +94,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for _, message in verdict["errors"]:
             say(message)
         for r in run.diagnostics().orderBy("item_index", "member_index").toLocalIterator():
-            if r["severity"] == "error" or not verdict["matched"]:
-                say(f"{r['archive']}: {r['message']}")
+            say(f"{r['archive']}: {r['message']}")
         if closed:
             os.dup2(os.open(os.devnull, os.O_WRONLY), 1)
         return 2 if lost else verdict["exit_code"]

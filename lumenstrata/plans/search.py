@@ -14,49 +14,15 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.lines import Match, display_path
+from ..operators.lines import display_path
 from ..sources import archive
+from ..sources.matching import Wanted
 from ..sources.resolve import Resolved
 from .scratch import remove, written
 from .select import select_lines
 from .spec import SearchSpec
 
 MEMBER = ["item_index", "member_index"]
-#: Lines of a member that a context window's task gets together, besides those at its edges.
-CONTEXT_BLOCK = 1 << 20
-
-
-def matched_text(line: Column) -> Column:
-    """A line as text for the regular expression engine; the bytes stay as they are."""
-    return line.cast("string")
-
-
-def with_context(lines: DataFrame, m: Match, before: int, after: int, limit: int | None, member: list[str] | None = None) -> DataFrame:
-    """``lines`` in any order with ``kind`` and ``group_break``: hits and the lines around them.  (A scan's lines are in order: see ``select``.)
-
-    Windows are cut into blocks of a member with their edges, so a member of
-    any length spreads over many tasks.  A limit becomes the line number of the
-    last hit that counts, found from at most ``limit`` rows a member and task.
-    """
-    member = member or MEMBER
-    rows = lines.withColumn("_hit", m.hit(matched_text(F.col("line"))))
-    kept = F.col("_hit")
-    if limit is not None:
-        rank = F.row_number().over(Window.partitionBy(*member).orderBy("line_no"))
-        last = rows.filter("_hit").select(*member, "line_no").withColumn("_k", rank).filter(F.col("_k") <= limit).groupBy(*member).agg(F.max("line_no").alias("_last"))
-        rows = rows.join(last, member)
-        kept = kept & (F.col("line_no") <= F.col("_last"))
-    if not before and not after:
-        shown = rows.filter(kept)
-    else:
-        low, high = F.floor((F.col("line_no") - before) / CONTEXT_BLOCK), F.floor((F.col("line_no") + after) / CONTEXT_BLOCK)
-        rows = rows.withColumn("_kept", kept.cast("int")).withColumn("_block", F.explode(F.sequence(low, high)))
-        around = Window.partitionBy(*member, "_block").orderBy("line_no").rowsBetween(-after, before)
-        rows = rows.withColumn("_shown", F.max("_kept").over(around))
-        shown = rows.filter((F.col("_shown") == 1) & (F.col("_block") == F.floor(F.col("line_no") / CONTEXT_BLOCK)))
-    gap = F.col("line_no") - F.lag("line_no").over(Window.partitionBy(*member).orderBy("line_no"))
-    out = shown.withColumn("group_break", F.coalesce(gap > 1, F.lit(False)) if before or after else F.lit(False))
-    return out.withColumn("kind", F.when(F.col("_hit"), "match").otherwise("context")).drop("_hit", "_kept", "_block", "_shown", "_last")
 
 
 @dataclass
@@ -71,21 +37,11 @@ class Run:
         return display_path(F.col("archive"), F.col("member"), sep or self.spec.separator)
 
     def selected(self) -> DataFrame:
-        """``scanned`` without the lines that are not shown, with kind, group_break and ``n``, the matches in a line; nothing is shuffled."""
+        """``scanned`` with kind and group_break, without the lines that are not shown; ``n_lines`` and ``n`` are the lines and matches that a row stands for."""
         s = self.spec
-        text = matched_text(F.col("line"))
-        is_line = F.col("rec_type") == "line"
-        hit = is_line & (s.match.hit(text) if s.max_count != 0 and not s.list_members else F.lit(False))
-        lines_only = s.mode in ("lines", "json")
-        before, after = (s.lines_before, s.lines_after) if lines_only else (0, 0)
-        if before or after or s.max_count:
-            out = select_lines(self.scanned.withColumn("_hit", hit), "_hit", before, after, s.max_count or None)
-        else:
-            out = self.scanned.filter(~is_line | hit).withColumns({"kind": F.when(is_line, "match"), "group_break": F.lit(False)})
-        single = s.invert or s.list_members
-        n = F.when(is_line & (F.col("kind") == "match"), F.lit(1) if single else F.regexp_count(s.match.matched(text), F.lit(s.match.java)))
-        out = out.withColumn("n", n.cast("long"))
-        return out if lines_only else out.withColumns({"line": F.lit(None).cast("binary"), "eol": F.lit(None).cast("binary")})
+        if s.what == "whole":
+            return select_lines(self.scanned, "hit", s.lines_before, s.lines_after, s.max_count or None)
+        return self.scanned.drop("hit").withColumns({"kind": F.when(F.col("rec_type").isin("line", "hits"), "match"), "group_break": F.lit(False)})
 
     @cached_property
     def table(self) -> DataFrame:
@@ -108,11 +64,11 @@ class Run:
     def counts(self) -> DataFrame:
         """(item_index, member_index, display, n): lines, or with -o matches, of members that have any; with -m, of the first so many lines."""
         s = self.spec
-        n = F.sum("n") if s.only_matching and not s.invert else F.count(F.lit(1))
-        hits = self.hits().filter("kind = 'match'")
-        rank = F.row_number().over(Window.partitionBy(*MEMBER).orderBy("line_no"))
-        if s.max_count and s.mode in ("lines", "json"):  # windows hold further hits
+        hits = self.table.filter("kind = 'match'").withColumn("display", self.display())
+        if s.max_count and s.what == "whole":  # windows hold further hits
+            rank = F.row_number().over(Window.partitionBy(*MEMBER).orderBy("line_no"))
             hits = hits.withColumn("_k", rank).filter(F.col("_k") <= s.max_count)
+        n = F.sum("n") if s.only_matching and not s.invert else F.sum("n_lines")
         return hits.groupBy(*MEMBER, "display").agg(n.cast("long").alias("n"))
 
     def members(self) -> DataFrame:
@@ -142,7 +98,7 @@ class Run:
         total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
         return self.table.agg(
             F.coalesce(F.bool_or(hit), F.lit(False)).alias("matched"), F.count_if((F.col("rec_type") == "diag") & (F.col("severity") == "error")).alias("errors"), F.count_if(end).alias("ends"),
-            F.count_if(F.col("rec_type") == "member").alias("members"), total(F.when(end, F.col("seen"))).alias("seen"), F.count_if(hit).alias("matched_lines"), total("n").alias("matches"),
+            F.count_if(F.col("rec_type") == "member").alias("members"), total(F.when(end, F.col("seen"))).alias("seen"), (F.count_if(hit) if s.list_members else total(F.when(hit, F.col("n_lines")))).alias("matched_lines"), total(F.when(F.col("kind") == "match", F.col("n"))).alias("matches"),
             F.count_distinct(F.when(F.col("kind") == "match", F.struct(*MEMBER))).alias("searches_with_match"), total(F.when(end, F.col("byte_offset"))).alias("bytes_searched"),
         )
 
@@ -163,7 +119,11 @@ class Run:
 
 def search(spark: SparkSession, spec: SearchSpec) -> Run:
     """A run over the named inputs.  A literal that every hit holds is looked for before lines are cut."""
-    narrow = not (spec.invert or spec.list_members or spec.mode in ("lines", "json") and (spec.lines_before or spec.lines_after))
-    literal = spec.match.needed if narrow else None
-    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "")
+    literal = None if spec.invert or spec.list_members or spec.what == "whole" else spec.match.needed
+    m = spec.match
+    wanted = None
+    if not spec.list_members:
+        patterns = dict(patterns=m.patterns, fixed=m.fixed, ignore_case=m.ignore_case, smart_case=m.smart_case, word=m.word, invert=m.invert, crlf=m.crlf)
+        wanted = Wanted(**patterns, what=spec.what, spans=spec.spans, limit=spec.max_count, together=spec.mode == "quiet")
+    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "", wanted=wanted)
     return Run(spec, found, scanned)

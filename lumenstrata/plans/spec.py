@@ -51,6 +51,8 @@ class SearchSpec:
     load_limit: float | None = None
     show: str | None = None
     warnings: list[str] = field(default_factory=list)
+    #: Matches are shown in colour, so where they stand is asked for.
+    painted: bool = False
 
     @property
     def mode(self) -> str:
@@ -65,6 +67,19 @@ class SearchSpec:
     def lines_after(self) -> int:
         return self.after if self.after is not None else self.context or 0
 
+    @property
+    def what(self) -> str:
+        """What of the lines the reader has to find."""
+        if self.max_count == 0:
+            return "none"
+        if self.mode in ("lines", "json"):
+            return "whole" if self.lines_before or self.lines_after else "lines"
+        return "count" if self.mode == "count" else "first"
+
+    @property
+    def spans(self) -> bool:
+        return not self.invert and (self.mode == "json" or self.painted and self.mode == "lines" or self.only_matching)
+
     @property
     def match(self) -> Match:
         return Match(tuple(self.patterns), self.fixed, self.ignore_case, self.smart_case, self.word, self.invert, self.crlf)

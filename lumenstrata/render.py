@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.escapes import escape_bytes, escape_json, one_line
-from .plans.search import MEMBER, Run, matched_text
+from .plans.search import MEMBER, Run
 
 #: Colours of path, line number and match.
 PATH, NUMBER, MATCH, RESET = b"\x1b[0m\x1b[35m", b"\x1b[0m\x1b[32m", b"\x1b[0m\x1b[1m\x1b[31m", b"\x1b[0m"
@@ -53,10 +53,9 @@ def standard(run: Run) -> DataFrame:
 
 def _lines(run: Run, clean, raw_names: bool, color: bool) -> Iterator[bytes]:
     s = run.spec
-    text = matched_text(F.col("line"))
+    only = s.only_matching and not s.invert
     hits = run.hits().filter("not muted")
-    if s.only_matching and not s.invert:
-        hits = hits.withColumn("found", F.when(F.col("kind") == "match", F.filter(F.regexp_extract_all(s.match.matched(text), F.lit(s.match.java), F.lit(0)), lambda x: x != "")))
+    if only:
         hits = hits.filter("kind = 'match'")
     notices = run.binary_matches().orderBy(*MEMBER).toLocalIterator()
     waiting = next(notices, None)
@@ -81,14 +80,28 @@ def _lines(run: Run, clean, raw_names: bool, color: bool) -> Iterator[bytes]:
         mark = b":" if r["kind"] == "match" else b"-"
         head = paint(clean(_name(r["display"], raw_names)), PATH) + mark + (paint(b"%d" % r["line_no"], NUMBER) + mark if s.line_numbers else b"")
         ending = bytes(r["eol"]) if r["eol"] and b"\n" in bytes(r["eol"]) else b"\n"
-        bodies = [x.encode("utf-8", "surrogateescape") for x in r["found"]] if s.only_matching and not s.invert else [bytes(r["line"])]
+        line, found = bytes(r["line"]), [(a, z) for a, z in _spans(r) if a < z]
+        if only:
+            bodies = [paint(clean(line[a:z]), MATCH) for a, z in found]
+        elif color and r["kind"] == "match" and found:
+            edges = [0, *(x for span in found for x in span), len(line)]
+            parts = [clean(line[a:z]) for a, z in zip(edges, edges[1:])]
+            bodies = [b"".join(paint(x, MATCH) if k % 2 else x for k, x in enumerate(parts))]
+        else:
+            bodies = [clean(line)]
         for body in bodies:
-            yield head + clean(body) + ending
+            yield head + body + ending
             if s.spaced:
                 yield ending
     yield from notice(None)
 
 
+def _spans(r) -> list[tuple[int, int]]:
+    """Start and end of the matches in a row's line."""
+    flat = r["spans"] or []
+    return list(zip(flat[::2], flat[1::2]))
+
+
 def _text(b: bytes) -> dict:
     try:
         return {"text": b.decode()}
@@ -105,11 +118,17 @@ def _json(run: Run, escape: bool) -> Iterator[bytes]:
         total["bytes_printed"] += len(out)
         return out
 
-    rows = run.hits().withColumn("found", F.regexp_extract_all(s.match.matched(matched_text(F.col("line"))), F.lit(s.match.java), F.lit(0))).orderBy(*MEMBER, "line_no")
+    rows = run.hits().orderBy(*MEMBER, "line_no")
+    binary = run.table.filter("rec_type = 'binary'").select(*MEMBER, "byte_offset").orderBy(*MEMBER).toLocalIterator()
+    mark = next(binary, None)
     key, stats, total, began = None, None, {"bytes_printed": 0}, time.monotonic()
 
     def end():
-        return dump({"type": "end", "data": {"path": _text(stats["path"]), "binary_offset": None, "stats": {"matched_lines": stats["lines"], "matches": stats["matches"]}}})
+        nonlocal mark
+        while mark is not None and (mark[0], mark[1]) < key:
+            mark = next(binary, None)
+        binary_offset = mark[2] if mark is not None and (mark[0], mark[1]) == key else None
+        return dump({"type": "end", "data": {"path": _text(stats["path"]), "binary_offset": binary_offset, "stats": {"matched_lines": stats["lines"], "matches": stats["matches"]}}})
 
     for r in rows.toLocalIterator(True):
         own = (r["item_index"], r["member_index"])
@@ -120,15 +139,7 @@ def _json(run: Run, escape: bool) -> Iterator[bytes]:
             key, stats = own, {"path": path, "lines": 0, "matches": 0}
             yield dump({"type": "begin", "data": {"path": _text(path)}})
         line = bytes(r["line"])
-        subs, at = [], 0
-        if not s.invert and r["kind"] == "match":
-            for x in r["found"]:
-                b = x.encode("utf-8", "surrogateescape")
-                i = line.find(b, at)
-                if i < 0:
-                    continue
-                subs.append({"match": _text(b), "start": i, "end": i + len(b)})
-                at = i + max(1, len(b))
+        subs = [{"match": _text(line[a:z]), "start": a, "end": z} for a, z in _spans(r)] if r["kind"] == "match" else []
         stats["lines"] += r["kind"] == "match"
         stats["matches"] += len(subs)
         data = {"path": _text(path), "lines": _text(line + bytes(r["eol"] or b"")), "line_number": r["line_no"], "absolute_offset": r["byte_offset"], "submatches": subs}

@@ -19,21 +19,24 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .matching import Wanted
 from .resolve import STDIN, Item, Resolved, has_scheme, resolve, spool_stdin
 from .walk import Lines, Options, walk
 
 SCHEMA = (
     "rec_type string, item_index long, archive string, member_index long, member string, format string, codec string, "
-    "line_no long, byte_offset long, line binary, eol binary, muted boolean, severity string, code string, message string, seen long, searched long"
+    "line_no long, byte_offset long, line binary, eol binary, muted boolean, severity string, code string, message string, seen long, searched long, "
+    "hit boolean, spans array<long>, n_lines long, n long"
 )
 _FIELDS = [
     ("rec_type", pa.string()), ("item_index", pa.int64()), ("archive", pa.string()), ("member_index", pa.int64()), ("member", pa.string()), ("format", pa.string()), ("codec", pa.string()),
     ("line_no", pa.int64()), ("byte_offset", pa.int64()), ("line", pa.binary()), ("eol", pa.binary()), ("muted", pa.bool_()), ("severity", pa.string()), ("code", pa.string()),
-    ("message", pa.string()), ("seen", pa.int64()), ("searched", pa.int64()),
+    ("message", pa.string()), ("seen", pa.int64()), ("searched", pa.int64()), ("hit", pa.bool_()), ("spans", pa.list_(pa.int64())), ("n_lines", pa.int64()), ("n", pa.int64()),
 ]
 ARROW = pa.schema(_FIELDS)
 
@@ -46,12 +49,12 @@ def _constant(value, kind: pa.DataType, n: int) -> pa.Array:
     return pa.nulls(n, kind) if value is None else pa.repeat(pa.scalar(value, kind), n)
 
 
-def _batch(n: int, **columns) -> pa.RecordBatch:
+def _batch(size: int, **columns) -> pa.RecordBatch:
     """Columns by name; single values are repeated, the rest is null."""
     arrays = []
     for name, kind in _FIELDS:
         v = columns.get(name)
-        arrays.append(v if isinstance(v, pa.Array) else pa.array(v, kind) if isinstance(v, (list, np.ndarray)) else _constant(v, kind, n))
+        arrays.append(v if isinstance(v, pa.Array) else pa.array(v, kind) if isinstance(v, (list, np.ndarray)) else _constant(v, kind, size))
     return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
 
 
@@ -60,10 +63,17 @@ def _lines_batch(blocks: list[tuple[int, str, Lines]], own: dict) -> pa.RecordBa
     sizes = [len(x) for _, _, x in blocks]
     which = pa.array(np.repeat(np.arange(len(blocks)), sizes))
     names = pa.array([name for _, name, _ in blocks], pa.string()).take(which)
+    found = {}
+    if blocks[0][2].hits is not None:
+        hits = np.concatenate([x.hits for _, _, x in blocks])
+        found = {"hit": hits, "n_lines": pa.array(hits.astype(np.int64)), "n": pa.array(hits.astype(np.int64))}
+    if blocks[0][2].spans is not None:
+        spans = pa.concat_arrays([x.spans for _, _, x in blocks])
+        found |= {"spans": spans, "n": pc.cast(pc.divide(spans.value_lengths(), 2), pa.int64())}
     return _batch(
         sum(sizes), rec_type="line", **own, member_index=np.repeat([k for k, _, _ in blocks], sizes), member=names, line_no=np.concatenate([x.numbers for _, _, x in blocks]),
         byte_offset=np.concatenate([x.offsets for _, _, x in blocks]), line=pa.concat_arrays([x.lines for _, _, x in blocks]), eol=list(chain.from_iterable(x.ends for _, _, x in blocks)),
-        muted=list(chain.from_iterable(x.muted for _, _, x in blocks)),
+        muted=list(chain.from_iterable(x.muted for _, _, x in blocks)), **found,
     )
 
 
@@ -93,6 +103,8 @@ def event_batches(events: Iterator[tuple], index: int, archive: str) -> Iterator
             other.append({"rec_type": "member", "member_index": e[1], "member": name, "format": e[3], "codec": e[4]})
         elif e[0] == "binary":
             other.append({"rec_type": "binary", "member_index": e[1], "member": name, "byte_offset": e[2]})
+        elif e[0] == "hits":
+            other.append({"rec_type": "hits", "member_index": e[1], "member": name, "n_lines": e[2], "n": e[3]})
         elif e[0] == "size":
             n_bytes += e[3]
         elif e[0] == "diag":
@@ -155,7 +167,7 @@ class ArchiveSource(DataSource):
 
 
 def _options(d: dict) -> Options:
-    return Options(tuple(d.get("globs", ())), d.get("text", False), d.get("crlf", False), d.get("lines", True), tuple(d.get("names", ())), d.get("literal", "").encode())
+    return Options(tuple(d.get("globs", ())), d.get("text", False), d.get("crlf", False), d.get("lines", True), tuple(d.get("names", ())), d.get("literal", "").encode(), Wanted.read(d.get("wanted")))
 
 
 def _items_json(items: list[Item]) -> str:
@@ -167,15 +179,15 @@ CELL_MOST = (1 << 31) - 1
 
 
 def scan(
-    spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True, literal: str = ""
+    spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True, literal: str = "", wanted: Wanted | None = None
 ) -> tuple[DataFrame, Resolved]:
-    """The tagged table of all inputs, and how the paths were resolved."""
+    """The tagged table of all inputs, and how the paths were resolved; with ``wanted`` it has only the lines that a search asks for."""
     found = resolve(paths, archive_globs, spark)
     for item in found.items:
         if item.path == STDIN:
             item.path = spool_stdin()
     spark.dataSource.register(ArchiveSource)
-    how = {"globs": list(globs or ()), "text": text, "crlf": crlf, "lines": lines, "literal": literal}
+    how = {"globs": list(globs or ()), "text": text, "crlf": crlf, "lines": lines, "literal": literal, "wanted": wanted and wanted.written()}
     remote = [i for i in found.items if i.remote]
     own = [i for i in found.items if not i.remote]
     scanned = spark.read.format("archive").option("items", _items_json(own)).option("walk", json.dumps(how)).load()
@@ -208,12 +220,6 @@ def _through_spark(spark: SparkSession, items: list[Item], o: Options) -> DataFr
     return whole.mapInArrow(run, SCHEMA)
 
 
-def scan_binary(spark: SparkSession, path: str, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True) -> DataFrame:
-    """The table of the inputs at one path, read by Spark's own source."""
-    found = resolve([path if has_scheme(path) else f"file://{os.path.abspath(path)}"], spark=spark)
-    return _through_spark(spark, found.items, Options(tuple(globs or ()), text, crlf, lines))
-
-
 def members(scanned: DataFrame) -> DataFrame:
     return scanned.filter("rec_type = 'member'").select("item_index", "archive", "member_index", "member", F.col("format").alias("outer_format"), F.col("codec").alias("inner_codec"))
 

@@ -3,7 +3,8 @@
 Events are tuples: ("member", index, name, format, codec), ("lines", index,
 first line number, ``Lines``), ("binary", index, offset of what makes the member
 binary), ("size", index, lines, bytes), ("diag", index or None, severity, code,
-message) and ("end", members seen, members searched, what the end leaves
+message) ("hits", index, lines, matches) where matches
+are only counted, and ("end", members seen, members searched, what the end leaves
 unverified).  A damaged input never raises; what was read before the
 damage stands.
 """
@@ -23,6 +24,7 @@ import pyarrow.compute as pc
 from ..functions.escapes import truncate_name
 from ..functions.globs import Globs
 from . import codecs, zips
+from .matching import Selection, Wanted
 from .sniff import CODECS, SNIFF_LENGTH, sniff
 from .streams import CHUNK, ReadError, Stream, file_chunks
 from .tar import Tar
@@ -45,6 +47,8 @@ class Options:
     names: tuple[str, ...] = field(default=())
     #: Lines without it need not be given, where the caller shows none of them; lines of binary members are all given.
     literal: bytes = b""
+    #: What of the lines is wanted; None: all of them, unsearched.
+    wanted: Wanted | None = None
 
 
 class Lines(NamedTuple):
@@ -55,6 +59,16 @@ class Lines(NamedTuple):
     lines: pa.BinaryArray
     ends: list[bytes]
     muted: list[bool]
+    hits: np.ndarray | None = None
+    spans: pa.ListArray | None = None
+
+    def taken(self, at: np.ndarray) -> Lines:
+        """The lines at the given places."""
+        places = at.tolist()
+        return Lines(self.numbers[at], self.offsets[at], self.lines.take(pa.array(at)), [self.ends[k] for k in places], [self.muted[k] for k in places])
+
+    def told(self, hits: np.ndarray, spans: pa.ListArray | None) -> Lines:
+        return Lines(self.numbers, self.offsets, self.lines, self.ends, self.muted, hits, spans)
 
     def __iter__(self):
         return zip(self.offsets.tolist(), self.lines.to_pylist(), self.ends, self.muted)
@@ -166,8 +180,12 @@ def _decoded(chunks: Iterator[bytes]) -> Iterator[bytes]:
     yield from chunks
 
 
-def lines_of(chunks: Iterator[bytes], index: int, o: Options) -> Iterator[tuple]:
-    """A member's lines in blocks, then where it turned out binary and how much it was."""
+def lines_of(chunks: Iterator[bytes], index: int, o: Options, search: Selection | None = None) -> Iterator[tuple]:
+    """A member's lines in blocks, or what is wanted of them, then where it turned out binary and how much it was."""
+    if search:
+        search.member()
+        if search.done:
+            return
     cutter, parts, held, fill = _Cutter(o), [], 0, FIRST_FILL
     first = True
 
@@ -178,18 +196,28 @@ def lines_of(chunks: Iterator[bytes], index: int, o: Options) -> Iterator[tuple]
             cutter.first(data)
             first = False
         found = cutter.cut(data, last)
+        if found and search:
+            found = search.take(found) if len(found) else None
         if found:
             yield "lines", index, int(found.numbers[0]), found
 
-    for chunk in _decoded(iter(chunks)):
-        parts.append(chunk)
-        held += len(chunk)
-        if held >= fill:
-            if held + len(cutter.rest) <= LINE_MOST and not first and not any(b"\n" in p or b"\0" in p for p in parts):
-                continue  # a long line is put together once
-            yield from cut(False)
-            parts, held, fill = [], 0, BATCH_BYTES
-    yield from cut(True)
+    try:
+        for chunk in _decoded(iter(chunks)):
+            parts.append(chunk)
+            held += len(chunk)
+            if held >= fill:
+                if held + len(cutter.rest) <= LINE_MOST and not first and not any(b"\n" in p or b"\0" in p for p in parts):
+                    continue  # a long line is put together once
+                yield from cut(False)
+                parts, held, fill = [], 0, BATCH_BYTES
+                if search and search.done:
+                    break
+        else:
+            yield from cut(True)
+    finally:  # what was found before a damage counts
+        counts = list(search.counted(index)) if search else []
+        if counts:
+            yield from counts
     if cutter.binary is not None:
         yield "binary", index, cutter.binary
     yield "size", index, cutter.number - 1, cutter.offset
@@ -212,7 +240,7 @@ class _Diagnostics:
                 yield "diag", None, severity, "CAPPED_ERRORS" if severity == "error" else "CAPPED_NOTES", f"and {n - DIAGNOSTICS_MOST} more"
 
 
-def _member(index: int, name: str, s: Stream, o: Options, diag: _Diagnostics, outer: str) -> Iterator[tuple]:
+def _member(index: int, name: str, s: Stream, o: Options, diag: _Diagnostics, outer: str, search: Selection | None) -> Iterator[tuple]:
     """One member: at most one level of compression is taken off.  Returns whether it was read whole."""
     told = False
     codec, whole, inner = "", True, s
@@ -236,7 +264,7 @@ def _member(index: int, name: str, s: Stream, o: Options, diag: _Diagnostics, ou
             if name and kind in ("zip", "tar"):
                 yield from diag("note", "NESTED_ZIP" if kind == "zip" else "NESTED_TAR", f"{where}an archive inside an archive is searched as one binary", index)
             if o.lines:
-                yield from lines_of(iter(inner), index, o)
+                yield from lines_of(iter(inner), index, o, search)
         for _ in inner:  # to the checksum, whatever was searched
             pass
         if codec:
@@ -257,6 +285,7 @@ def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tupl
     """All events of one open binary file; ``stream``: it can't be sought."""
     globs = Globs(list(o.globs)) if o.globs else None
     diag = _Diagnostics()
+    search = Selection(o.wanted) if o.wanted else None
     seen = read = 0
     unverified = None
     try:
@@ -276,7 +305,7 @@ def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tupl
                 seen += 1
                 if globs and not globs.match(info.filename):
                     continue
-                whole = yield from _member(k, info.filename, Stream(_zip_chunks(z, info)), o, diag, "zip")
+                whole = yield from _member(k, info.filename, Stream(_zip_chunks(z, info)), o, diag, "zip", search)
                 read += whole
                 failed = 0 if whole else failed + 1
                 if failed >= zips.GAVE_UP:
@@ -291,13 +320,13 @@ def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tupl
             if kind in CODECS:
                 body = Stream(codecs.decode(kind, s))
                 head = body.peek(SNIFF_LENGTH)
-            if kind == "tar" or kind in CODECS and _is_tar(body):
+            if kind == "tar" or (kind == "plain" or kind in CODECS) and _is_tar(body):
                 tar = Tar(body)
                 for k, name in enumerate(tar):
                     seen += 1
                     if globs and not globs.match(name):
                         continue
-                    whole = yield from _member(k, name, Stream(tar.content()), o, diag, "tar" if kind == "tar" else f"tar.{kind}")
+                    whole = yield from _member(k, name, Stream(tar.content()), o, diag, "tar" if kind == "tar" else f"tar.{kind}", search)
                     read += whole
             else:
                 inner = sniff(head) if kind in CODECS else "plain"
@@ -313,7 +342,7 @@ def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tupl
                 else:
                     yield "member", 0, "", outer, ""
                     if o.lines:
-                        yield from lines_of(iter(body), 0, o)
+                        yield from lines_of(iter(body), 0, o, search)
                     read = 1
                 if seen or kind in CODECS:
                     for _ in body:
@@ -335,15 +364,18 @@ def _zip_chunks(z: zips.Zip, info) -> Iterator[bytes]:
 
 def _is_tar(body: Stream) -> bool:
     """A tar, possibly behind up to a mebibyte of zero blocks."""
-    zeros = 0
-    while zeros <= 1 << 20:
-        block = body.peek(zeros + 512)[zeros:]
-        if len(block) < 512:
+    size = 512
+    while True:
+        head = body.peek(size)
+        zeros = len(head) - len(head.lstrip(b"\0"))
+        start = zeros // 512 * 512
+        if start > 1 << 20:
             return False
-        if block.strip(b"\0"):
-            return sniff(block) == "tar"
-        zeros += 512
-    return False
+        if len(head) >= start + 512:
+            return sniff(head[start : start + 512]) == "tar"
+        if len(head) < size:
+            return False  # no whole block is left
+        size *= 2
 
 
 def read_all(f, size: int | None = None, o: Options | None = None, stream: bool = False) -> list[tuple]:

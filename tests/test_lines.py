@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from lumenstrata.operators import lines as L
 from lumenstrata.operators.lines import Match
-from lumenstrata.plans.search import with_context
 
 TEXTS = {
     "none": None, "empty": "", "newline": "\n", "one": "a", "ended": "a\nNEEDLE\n", "open": "a\nNEEDLE", "blank": "\n\nNEEDLE\n\n", "crlf": "NEEDLE\r\nx\r\n", "tail": "a\nNEEDLE\nb\nc\nNEEDLE\nd",
@@ -28,10 +27,7 @@ def shown(df, k):
 
 
 def both(spark, m, **kw):
-    df = frame(spark)
-    yield L.context_lines(df, ["k"], m, **kw)
-    lines = L.lines_from_text(df, ["k"])
-    yield with_context(lines, m, kw.get("before", 0), kw.get("after", 0), kw.get("limit"), ["k"])
+    yield L.context_lines(frame(spark), ["k"], m, **kw)
 
 
 def test_inverted_limits_with_context(spark):
@@ -49,18 +45,6 @@ def test_context(spark):
         assert sorted((r["k"], r["line_no"]) for r in df.filter("group_break").collect()) == [("tail", 5)]
 
 
-def test_context_blocks_meet(spark, monkeypatch):
-    from lumenstrata.plans import search
-
-    monkeypatch.setattr(search, "CONTEXT_BLOCK", 3)
-    text = "\n".join("hit" if i % 11 in (0, 3) else f"l{i}" for i in range(100))
-    df = frame(spark, {"x": text})
-    m = Match.of("hit")
-    want = L.context_lines(df, ["k"], m, before=2, after=4).collect()
-    got = with_context(L.lines_from_text(df, ["k"]), m, 2, 4, None, ["k"]).select("k", "line_no", "line", "kind", "group_break").collect()
-    assert sorted(want) == sorted(got)
-
-
 def test_counts_and_crlf(spark):
     df = spark.createDataFrame([("x", "GET GET x/GET/none\nnone\n"), ("c", "one NEEDLE\r\nNEEDLE two\r\n")], "k string, text string")
     assert [(r["k"], r["n"]) for r in L.count_matches(df, ["k"], Match.of("GET")).collect()] == [("x", 3)]

@@ -8,6 +8,7 @@ import pytest
 from fixtures import archives, tar, zip_
 
 from lumenstrata import cli
+from lumenstrata.plans.search import search
 from lumenstrata.plans.spec import Usage, parse
 from lumenstrata.sources import archive
 from lumenstrata.sources.resolve import resolve
@@ -104,6 +105,73 @@ def test_json(run):
     assert rows[-1]["data"]["stats"]["searches"] == 2 and rows[-1]["data"]["stats"]["matches"] == 3
 
 
+def test_spans_are_those_of_the_bytes(run):
+    """Submatches and matched parts as the engine found them, whatever stands around them."""
+    put("x.log", b"other the end\naab a\nGET /NEEDLE?q=\xff\xfe\n\xc3\xa9 the\xc3\xa9 the\n")
+
+    def subs(*args):
+        rows = [json.loads(x) for x in run("--json", *args, "x.log")[1].splitlines()]
+        return {r["data"]["line_number"]: [(m["start"], m["end"]) for m in r["data"]["submatches"]] for r in rows if r["type"] == "match"}
+
+    assert subs("-w", "the") == {1: [(6, 9)], 4: [(9, 12)]}
+    assert subs("a$") == {2: [(4, 5)]}
+    assert subs("^|b") == {1: [(0, 0)], 2: [(0, 0), (2, 3)], 3: [(0, 0)], 4: [(0, 0)]}
+    assert subs("NEEDLE.*") == {3: [(5, 14)]}
+    raw(run, ["-o", "-N", "NEEDLE.{3}", "x.log"], b"x.log:NEEDLE?q=\n")
+    raw(run, ["-o", "-N", "[^ ]+EEDLE(?s:.)*", "x.log"], b"x.log:/NEEDLE?q=\n")
+    raw(run, ["-o", "-N", "(a+)+$", "x.log"], b"x.log:a\n")
+
+
+def raw(run, args, want):
+    assert run(*args)[1].encode("utf-8", "surrogateescape") == want
+
+
+def test_matches_are_painted(run):
+    put("x.log", b"a the b the\n")
+    assert run("--color", "always", "-N", "the", "x.log")[1] == "\x1b[0m\x1b[35mx.log\x1b[0m:a \x1b[0m\x1b[1m\x1b[31mthe\x1b[0m b \x1b[0m\x1b[1m\x1b[31mthe\x1b[0m\n"
+    assert run("--color", "always", "-o", "-N", "th", "x.log")[1] == "\x1b[0m\x1b[35mx.log\x1b[0m:\x1b[0m\x1b[1m\x1b[31mth\x1b[0m\n" * 2
+    assert "\x1b" not in run("the", "x.log")[1]
+
+
+def test_notes_stand_beside_matches(run):
+    put("x.tar", tar([("in.zip", zip_([("a", b"x\n")])), ("b.log", LOG)]))
+    code, out, err = run("NEEDLE", "x.tar")
+    assert code == 0 and "x.tar:b.log:2:NEEDLE one" in out and "archive inside an archive" in err
+
+
+def test_a_tar_behind_zeros(run):
+    put("x.tar", bytes(512 * 2048) + tar([("a.log", LOG)]))
+    assert run("NEEDLE", "x.tar")[:2] == (0, "x.tar:a.log:2:NEEDLE one\n")
+    put("y.tar", bytes(512 * 2049) + tar([("a.log", LOG)]))
+    assert "y.tar: binary file matches" in run("NEEDLE", "y.tar")[1]
+    put("z.tar", bytes(700) + tar([("a.log", LOG)]))
+    assert "binary file matches" in run("NEEDLE", "z.tar")[1]
+
+
+def test_where_a_member_turns_binary_in_json(run):
+    put("x.log", b"NEEDLE\n" + b"filler\n" * 20000 + b"\0 NEEDLE\n")
+    ends = [json.loads(x)["data"] for x in run("--json", "NEEDLE", "x.log")[1].splitlines() if '"type":"end"' in x]
+    assert [e["binary_offset"] for e in ends] == [7 + 7 * 20000]
+    put("y.log", b"NEEDLE\n")
+    ends = [json.loads(x)["data"] for x in run("--json", "NEEDLE", "y.log")[1].splitlines() if '"type":"end"' in x]
+    assert [e["binary_offset"] for e in ends] == [None]
+
+
+def test_answers_that_are_known_early(spark, tmp_path):
+    """-l and -q give one row a member or input and stop matching there; damage behind it is still found."""
+    whole = gzip.compress(tar([("a.log", b"NEEDLE\n" * 400_000), ("b.log", LOG), ("c.log", b"x\n")]))
+    put(str(tmp_path / "x.tgz"), whole)
+    for flag, members in (("-l", [0, 1]), ("-q", [0]), ("-c", [0, 1])):
+        r = search(spark, parse([flag, "NEEDLE", str(tmp_path / "x.tgz")]))
+        rows = r.table.filter("kind = 'match'").select("rec_type", "member_index", "n_lines").collect()
+        assert sorted(x["member_index"] for x in rows) == members and {x["rec_type"] for x in rows} == {"hits"}
+        assert [x["n_lines"] for x in sorted(rows, key=lambda x: x["member_index"])][0] == (400_000 if flag == "-c" else 1)
+        assert r.verdict()["exit_code"] == 0
+    put(str(tmp_path / "y.tgz"), whole[:-12])
+    for flag in ("-l", "-q", "-c"):
+        assert search(spark, parse([flag, "NEEDLE", str(tmp_path / "y.tgz")])).verdict()["exit_code"] == 2
+
+
 def test_names_and_escapes(run):
     put("x.tar", tar([("new\nline\r", b"NEEDLE \x1b[1m\n")]))
     assert run("NEEDLE", "x.tar")[1] == "x.tar:new\\x0aline\\x0d:1:NEEDLE \x1b[1m\n"
@@ -140,7 +208,7 @@ def test_resolution(tmp_path):
 def test_both_readers_agree(spark, tmp_path):
     put(str(tmp_path / "x.tgz"), gzip.compress(tar([("a.log", LOG)])))
     a, _ = archive.scan(spark, [str(tmp_path)])
-    b = archive.scan_binary(spark, str(tmp_path))
+    b, _ = archive.scan(spark, [f"file://{tmp_path}"])
     cols = ["rec_type", "member_index", "member", "line_no", "byte_offset", "line"]
     assert sorted(map(repr, a.select(cols).collect())) == sorted(map(repr, b.select(cols).collect()))
     out = archive.outcomes(a).first()
