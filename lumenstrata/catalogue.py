@@ -108,6 +108,8 @@ def match_crlf(spark, sf_dir):
     return L.match_lines(docs, ["doc_id"], Match.of(r"the\.$", crlf=True))
 
 
+
+
 @query(_match_sql("false"))
 def match_nothing(spark, sf_dir):
     return L.max_count(_docs(spark, sf_dir), ["doc_id"], Match.of("tion"), 0)
@@ -366,6 +368,36 @@ def json_events(spark, sf_dir):
     return e.select("path", "seq", F.col("e.type").alias("type"), F.col("e.data.absolute_offset").alias("absolute_offset"), n.alias("n"), F.get("e.data.submatches", F.lit(0))["start"].alias("first_start"))
 
 
+MARKED = "regexp_replace(line, '(' || pattern || ')', chr(10) || '\\1' || chr(10), 'g')"
+
+
+def _spans_sql(lines: str, patterns: dict[str, str]) -> str:
+    """(keys, pattern, match_no, start, end) of all matches: each is put between line feeds, which no line holds."""
+    named = ", ".join(f"('{k}', '{v}')" for k, v in patterns.items())
+    return f"""WITH {lines}, q AS (SELECT * FROM (VALUES {named}) AS v(name, pattern)),
+    m AS (SELECT doc_id, line_no, name, string_split({MARKED}, chr(10)) AS p FROM l, q WHERE regexp_matches(line, pattern)),
+    x AS (SELECT doc_id, line_no, name, generate_subscripts(p, 1) AS k, unnest(p) AS piece FROM m),
+    y AS (SELECT *, sum(strlen(piece)) OVER (PARTITION BY doc_id, line_no, name ORDER BY k)::BIGINT AS e FROM x)
+    SELECT doc_id, line_no, name, (k // 2)::BIGINT AS match_no, e - strlen(piece) AS start, e AS "end" FROM y WHERE k % 2 = 0"""
+
+
+#: Anchors, empty matches, alternatives by preference and lazy repetition; RE2 reads them as the dialect does.
+SPANNED = {"last": "[a-z]+[.]?$", "first": "^[A-Z][a-z]*", "edge": "^|ation", "preferred": "a(?:b|bc|t)i?|th", "lazy": "n[a-z]*?o+?"}
+
+
+@query(_spans_sql(_lines(), SPANNED))
+def match_spans(spark, sf_dir):
+    """Where the matches of five patterns stand in their lines, in bytes"""
+    from .operators.spans import matching_lines
+
+    docs, out = _docs(spark, sf_dir), None
+    for name, pattern in SPANNED.items():
+        found = matching_lines(docs, ["doc_id"], Match.of(pattern)).select("doc_id", "line_no", F.lit(name).alias("name"), F.posexplode("matches").alias("_n", "x"))
+        found = found.select("doc_id", "line_no", "name", (F.col("_n") + 1).cast("long").alias("match_no"), "x.start", "x.end")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # formats by content
 
 #: Leading bytes and what they say; a dictionary size and the rest of a bare LZMA header, a whole text cpio header.

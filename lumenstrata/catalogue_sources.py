@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import ORACLES, QUERIES, _context, _docs, _lines, query
+from .catalogue import ORACLES, QUERIES, SPANNED, _context, _docs, _lines, _spans_sql, query
 from .plans.scratch import scratch_path
 from .plans.search import Run, search
 from .plans.spec import parse
@@ -220,6 +220,66 @@ def source_binary_notice(spark, sf_dir):
     return named(r.binary_matches()).select("k", "doc_id", "offset")
 
 
+def _events(r: Run) -> DataFrame:
+    """The matches that ``--json`` tells, a row each."""
+    found = r.hits().filter("kind = 'match'").withColumn("pairs", F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)))
+    one = lambda i: F.struct((i / 2 + 1).cast("long").alias("match_no"), F.get("spans", i).alias("start"), F.get("spans", i + 1).alias("end"))
+    return named(found).select("doc_id", "line_no", F.explode(F.transform("pairs", one)).alias("x")).select("doc_id", "line_no", "x.*")
+
+
+@query(_spans_sql(_lines(), SPANNED))
+def source_json_spans(spark, sf_dir):
+    """--json: submatches of five patterns"""
+    folder, out = scratch_path(spark, "archives").removeprefix("file://"), None
+    pack(_docs(spark, sf_dir), folder, "tar.zst")
+    for name, pattern in SPANNED.items():
+        found = _events(search(spark, parse(["--json", "-e", pattern, folder]))).withColumn("name", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(
+    f"""WITH {_lines()}, t AS (SELECT doc_id, line_no, regexp_extract_all(line, '[\pL\pM\p{{Nd}}\p{{Pc}}]+|[^\pL\pM\p{{Nd}}\p{{Pc}}]+') AS p FROM l WHERE contains(line, 'on') OR contains(line, 'ré')),
+    x AS (SELECT doc_id, line_no, generate_subscripts(p, 1) AS k, unnest(p) AS piece FROM t), y AS (SELECT *, sum(strlen(piece)) OVER (PARTITION BY doc_id, line_no ORDER BY k)::BIGINT AS e FROM x)
+    SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) AS match_no, e - strlen(piece) AS start, e AS "end" FROM y WHERE piece IN ('on', 'ré')"""
+)
+def source_json_words(spark, sf_dir):
+    """--json -w: words by Unicode's rules, beside letters that are not ASCII"""
+    return _events(run(spark, sf_dir, "zip", "--json", "-w", "-e", "on", "-e", "ré"))
+
+
+@query(rf"WITH {_lines()}, m AS (SELECT doc_id, line_no, regexp_extract_all(line, '[\x00-\x1f\x21-\x7f]+tion[^a-z \x80-\x{{10ffff}}]*') AS g FROM l) SELECT doc_id, line_no, generate_subscripts(g, 1)::BIGINT AS match_no, unnest(g) AS match FROM m")
+def source_only_matching(spark, sf_dir):
+    """-o over bytes that are not UTF-8: they match nothing, and what stands between them is cut out as it is"""
+    r = run(spark, sf_dir, "tar.xz", "-o", r"[^ ]+tion[^a-z ]*", body=F.encode("text", "ISO-8859-1"))
+    found = named(r.hits()).select("doc_id", "line_no", "line", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.slice("spans", i + 1, F.lit(2)))).alias("_n", "s"))
+    part = F.expr("substring(line, cast(s[0] + 1 as int), cast(s[1] - s[0] as int))")
+    return found.select("doc_id", "line_no", (F.col("_n") + 1).cast("long").alias("match_no"), part.cast("string").alias("match"))
+
+
+@query("SELECT false AS matched, false AS partial, 1 AS exit_code, count(*) AS searches, 0::BIGINT AS matched_lines FROM documents")
+def source_searches_nothing(spark, sf_dir):
+    """-m 0 matches nothing, and still reads every archive to its end"""
+    r = run(spark, sf_dir, "tar.gz", "-m", "0", "ation")
+    v = r.verdict()
+    return r.figures().select("matched", F.lit(v["partial"]).alias("partial"), F.lit(v["exit_code"]).alias("exit_code"), F.col("members").alias("searches"), "matched_lines")
+
+
+@query("SELECT false AS matched, true AS partial, 2 AS exit_code, count(DISTINCT doc_id // 64) AS errors FROM documents")
+def source_searches_nothing_of_cut_archives(spark, sf_dir):
+    """-m 0 over archives that lack their last bytes"""
+    r = run(spark, sf_dir, "tar.gz", "-m", "0", "ation", around=lambda b: b[:-6])
+    v = r.verdict()
+    return r.figures().select("matched", F.lit(v["partial"]).alias("partial"), F.lit(v["exit_code"]).alias("exit_code"), "errors")
+
+
+@query(f"WITH {_lines()} SELECT DISTINCT {NAMED[0]} AS k, {NAMED[1]} AS member, 1::BIGINT AS n_lines FROM l JOIN documents USING (doc_id) WHERE contains(line, 'tion')")
+def source_early_stop(spark, sf_dir):
+    """-l: a row a member, whatever it holds"""
+    r = run(spark, sf_dir, "tar.bz2", "-l", "tion", wrap=lambda b: b * 3)
+    return named(r.table.filter("kind = 'match'")).select("k", "member", "n_lines")
+
+
 # whether all was read
 
 
@@ -328,8 +388,9 @@ def _locked(data: bytes) -> bytes:
 
 @query(_hits_sql())
 def source_behind_zeros(spark, sf_dir):
-    """A tar behind blocks of zeros"""
-    return shown(run(spark, sf_dir, "tar.gz", "ation", around=_behind_zeros))
+    """A tar behind blocks of zeros, compressed or not"""
+    packed = shown(run(spark, sf_dir, "tar.gz", "ation", around=_behind_zeros))
+    return packed.intersect(shown(run(spark, sf_dir, "tar", "ation", around=lambda b: bytes(4096) + b)))
 
 
 def _behind_zeros(data: bytes) -> bytes:
@@ -345,15 +406,23 @@ def source_glob_keeps_nothing(spark, sf_dir):
     return spark.createDataFrame([(v["matched"], v["partial"], v["exit_code"], v["errors"][0][0])], "matched boolean, partial boolean, exit_code int, code string")
 
 
-@query("SELECT unnest(['PATH_MISSING', 'EMPTY_DIR', 'WALK_ERROR']) AS code")
+@query("""WITH a AS (SELECT DISTINCT doc_id // 64 AS k FROM documents) SELECT code, sum(n)::BIGINT AS n FROM (SELECT 'PATH_MISSING' AS code, count(*) FILTER (WHERE k % 3 = 0) AS n FROM a
+    UNION ALL SELECT 'EMPTY_DIR', count(*) FILTER (WHERE k % 3 = 1) FROM a UNION ALL SELECT 'WALK_ERROR', count(*) FILTER (WHERE k % 3 = 2) FROM a) GROUP BY code HAVING sum(n) > 0""")
 def source_path_errors(spark, sf_dir):
-    """Paths that are not there, empty folders, links that lead nowhere"""
-    folder = scratch_path(spark, "archives").removeprefix("file://")
-    os.makedirs(f"{folder}/empty")
-    os.makedirs(f"{folder}/links")
-    os.symlink(f"{folder}/nothing", f"{folder}/links/broken")
-    found = resolve([f"{folder}/none", f"{folder}/empty", f"{folder}/links"])
-    return spark.createDataFrame([(code,) for code, _ in found.errors], "code string")
+    """Of the archives of the documents one third is named where it is not, one third has a folder of its own that was emptied, one third is a link to what is gone"""
+    folder = pack(_docs(spark, sf_dir), scratch_path(spark, "archives").removeprefix("file://"), "tar")
+    paths = []
+    for name in sorted(os.listdir(folder)):
+        own = f"{folder}/{name}"
+        if int(name[:6]) % 3 == 0:
+            paths.append(f"{own}.moved")
+        else:
+            os.makedirs(f"{own}.d")
+            if int(name[:6]) % 3 == 2:
+                os.symlink(f"{own}.moved", f"{own}.d/link")
+            paths.append(f"{own}.d")
+    found = resolve(paths)
+    return spark.createDataFrame([(code,) for code, _ in found.errors], "code string").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_hits_sql())

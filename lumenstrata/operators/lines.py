@@ -84,10 +84,11 @@ def lines_from_text(df: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 def match_lines(df: DataFrame, keys: list[str], m: Match, text: str = "text") -> DataFrame:
     """(keys, line_no, line) of the selected lines."""
-    return lines_from_text(_prefiltered(df, m, text), keys, text).filter(m.hit(F.col("line")))
+    return lines_from_text(prefiltered(df, m, text), keys, text).filter(m.hit(F.col("line")))
 
 
-def _prefiltered(df: DataFrame, m: Match, text: str) -> DataFrame:
+def prefiltered(df: DataFrame, m: Match, text: str) -> DataFrame:
+    """Members that can have a hit."""
     test = m.may_hit(F.col(text))
     return df if test is None else df.filter(test)
 
@@ -97,46 +98,32 @@ def count_lines(df: DataFrame, keys: list[str], m: Match, text: str = "text", li
     n = F.size(F.filter(line_array(F.col(text)), lambda x: m.hit(x))).cast("long")
     if limit is not None:
         n = F.least(n, F.lit(limit).cast("long"))
-    return _prefiltered(df, m, text).select(*keys, n.alias("n")).filter("n > 0")
+    return prefiltered(df, m, text).select(*keys, n.alias("n")).filter("n > 0")
 
 
 def count_matches(df: DataFrame, keys: list[str], m: Match, text: str = "text") -> DataFrame:
     """(keys, n) of single matches, several a line."""
     each = F.transform(line_array(F.col(text)), lambda x: F.regexp_count(m.matched(x), F.lit(m.java)).cast("long"))
-    return _prefiltered(df, m, text).select(*keys, F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).filter("n > 0")
+    return prefiltered(df, m, text).select(*keys, F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).filter("n > 0")
 
 
 def members_with_match(df: DataFrame, keys: list[str], m: Match, text: str = "text", without: bool = False) -> DataFrame:
     """The members with a selected line, or those without one."""
     has = F.exists(line_array(F.col(text)), lambda x: m.hit(x))
-    return df.filter(~F.coalesce(has, F.lit(False))).select(*keys) if without else _prefiltered(df, m, text).filter(has).select(*keys)
+    return df.filter(~F.coalesce(has, F.lit(False))).select(*keys) if without else prefiltered(df, m, text).filter(has).select(*keys)
 
 
 def only_matching(df: DataFrame, keys: list[str], m: Match, text: str = "text", offsets: bool = False) -> DataFrame:
     """(keys, line_no, match_no, match), one row a non-empty match; with ``offsets`` also its byte offset in the line."""
-    java = F.lit(m.java)
-    lines = match_lines(df, keys, m, text)
-    found = F.regexp_extract_all(m.matched(F.col("line")), java, F.lit(0))
-    if not offsets:
-        out = lines.select(*keys, "line_no", F.posexplode(found).alias("_n", "match"))
-        return out.filter("match <> ''").select(*keys, "line_no", (F.col("_n") + 1).cast("long").alias("match_no"), "match")
-    item = F.transform(located(), lambda z, i: F.struct((i + 1).cast("long").alias("match_no"), z["m"].alias("match"), z["start"].alias("start")))
-    out = _with_gaps(lines, m.matched(F.col("line")), m.java).select(*keys, "line_no", F.explode(item).alias("x")).select(*keys, "line_no", "x.*").filter("match <> ''")
-    return out.withColumn("end", F.col("start") + F.octet_length("match").cast("long"))
-
-
-def _with_gaps(lines: DataFrame, body: Column, java: str) -> DataFrame:
-    """``lines`` with the matches of a line, the gaps around them and the bytes of each gap and match together."""
-    lines = lines.withColumns({"_m": F.regexp_extract_all(body, F.lit(java), F.lit(0)), "_g": F.split(body, java, -1)})
-    sized = F.transform(F.arrays_zip(F.col("_g").alias("g"), F.col("_m").alias("m")), lambda z: (F.octet_length(z["g"]) + F.coalesce(F.octet_length(z["m"]), F.lit(0))).cast("long"))
-    return lines.withColumn("_b", sized)
-
+    if offsets:
+        from .spans import matching_lines
 
-def located() -> Column:
-    """Matches with the byte offsets at which they start, over the columns of ``_with_gaps``."""
-    n = F.size("_m")
-    zipped = F.arrays_zip(F.col("_m").alias("m"), F.slice("_g", 1, n).alias("g"), F.slice(running_sum(F.col("_b"), inclusive=False), 1, n).alias("o"))
-    return F.transform(zipped, lambda z: F.struct(z["m"].alias("m"), (z["o"] + F.octet_length(z["g"])).cast("long").alias("start")))
+        each = matching_lines(df, keys, m, text).select(*keys, "line_no", F.posexplode("matches").alias("_n", "x")).filter("x.text <> ''")
+        return each.select(*keys, "line_no", (F.col("_n") + 1).cast("long").alias("match_no"), F.col("x.text").alias("match"), "x.start", "x.end")
+    lines = match_lines(df, keys, m, text)
+    found = F.regexp_extract_all(m.matched(F.col("line")), F.lit(m.java), F.lit(0))
+    out = lines.select(*keys, "line_no", F.posexplode(found).alias("_n", "match"))
+    return out.filter("match <> ''").select(*keys, "line_no", (F.col("_n") + 1).cast("long").alias("match_no"), "match")
 
 
 def context_lines(df: DataFrame, keys: list[str], m: Match, before: int = 0, after: int = 0, limit: int | None = None, text: str = "text") -> DataFrame:
@@ -145,7 +132,7 @@ def context_lines(df: DataFrame, keys: list[str], m: Match, before: int = 0, aft
     With ``limit`` only the first so many hits of a member open a window;
     further hits inside the last one are still of kind ``match``.
     """
-    rows = _prefiltered(df, m, text).select(*keys, line_array(F.col(text)).alias("_l"))
+    rows = prefiltered(df, m, text).select(*keys, line_array(F.col(text)).alias("_l"))
     hits = F.array_remove(F.transform("_l", lambda x, i: F.when(m.hit(x), i + 1).otherwise(0)), 0)
     rows = rows.withColumn("_k", hits if limit is None else F.slice(hits, 1, limit))
     # windows ascend, so their lines do too
@@ -162,7 +149,7 @@ def max_count(df: DataFrame, keys: list[str], m: Match, limit: int, text: str =
     if limit <= 0:
         return match_lines(df, keys, m, text).filter(F.lit(False))
     hits = F.filter(F.transform(line_array(F.col(text)), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"))), lambda x: m.hit(x["line"]))
-    return _prefiltered(df, m, text).select(*keys, F.explode(F.slice(hits, 1, limit)).alias("h")).select(*keys, "h.line_no", "h.line")
+    return prefiltered(df, m, text).select(*keys, F.explode(F.slice(hits, 1, limit)).alias("h")).select(*keys, "h.line_no", "h.line")
 
 
 def byte_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -198,30 +185,19 @@ def display_path(archive: Column, member: Column, separator: str = ":") -> Colum
     return F.when(member == "", archive).otherwise(F.concat(archive, F.lit(separator), member))
 
 
-def text_object(value: Column) -> Column:
-    """A text in an event: as text, or base64 bytes where it is not UTF-8."""
-    good = F.is_valid_utf8(value)
-    return F.struct(F.when(good, value).alias("text"), F.when(~good, F.base64(value.cast("binary"))).alias("bytes"))
-
-
 def json_events(df: DataFrame, path: Column, m: Match, text: str = "text") -> DataFrame:
     """(path, seq, event): JSON lines of every member with a match - begin, its matches, end - with byte offsets."""
-    rows = _prefiltered(df, m, text).select(path.alias("path"), line_array(F.col(text)).alias("_l"))
-    rows = rows.withColumn("_o", running_sum(F.transform("_l", lambda x: (F.octet_length(x) + 1).cast("long")), inclusive=False))
-    zipped = F.transform(F.arrays_zip("_l", "_o"), lambda z, i: F.when(m.hit(z["_l"]), F.struct((i + 1).cast("long").alias("seq"), z["_o"].alias("at"), z["_l"].alias("line"), F.regexp_count(z["_l"], F.lit(m.java)).cast("long").alias("n"))))
-    rows = rows.select("path", F.array_compact(zipped).alias("_h")).filter(F.size("_h") > 0)
-    null = lambda kind: F.lit(None).cast(kind)
-    edge = lambda seq, n, total: F.array(F.struct(F.lit(seq).cast("long").alias("seq"), n.cast("long").alias("at"), null("string").alias("line"), total.alias("n")))
-    total = F.aggregate("_h", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    rows = rows.select("path", F.explode(F.concat(edge(0, F.lit(None), null("long")), F.col("_h"), edge(1 << 62, F.size("_h"), total))).alias("x")).select("path", "x.*")
-    rows = _with_gaps(rows, F.col("line"), m.java)
+    from .spans import matching_lines
+
+    rows = matching_lines(df.select(path.alias("path"), text), ["path"], m, text, totals=True)
     name = F.struct(F.col("path").alias("text")).alias("path")
-    subs = F.transform(located(), lambda z: F.struct(F.struct(z["m"].alias("text")).alias("match"), z["start"].alias("start"), (z["start"] + F.octet_length(z["m"])).alias("end")))
-    match = F.struct(F.lit("match").alias("type"), F.struct(name, F.struct(F.concat("line", F.lit("\n")).alias("text")).alias("lines"), F.col("seq").alias("line_number"), F.col("at").alias("absolute_offset"), subs.alias("submatches")).alias("data"))
+    subs = F.transform("matches", lambda x: F.struct(F.struct(x["text"].alias("text")).alias("match"), x["start"].alias("start"), x["end"].alias("end")))
+    match = F.struct(F.lit("match").alias("type"), F.struct(name, F.struct(F.concat("line", F.lit("\n")).alias("text")).alias("lines"), F.col("line_no").alias("line_number"), F.col("byte_offset").alias("absolute_offset"), subs.alias("submatches")).alias("data"))
     begin = F.struct(F.lit("begin").alias("type"), F.struct(name).alias("data"))
-    end = F.struct(F.lit("end").alias("type"), F.struct(name, F.struct(F.col("at").alias("matched_lines"), F.col("n").alias("matches")).alias("stats")).alias("data"))
-    event = F.when(F.col("seq") == 0, F.to_json(begin)).when(F.col("line").isNull(), F.to_json(end)).otherwise(F.to_json(match))
-    return rows.select("path", "seq", event.alias("event"))
+    end = F.struct(F.lit("end").alias("type"), F.struct(name, F.struct(F.col("member_lines").alias("matched_lines"), F.col("member_matches").alias("matches")).alias("stats")).alias("data"))
+    event = lambda seq, body: F.struct(seq.cast("long").alias("seq"), F.to_json(body).alias("event"))
+    events = F.array(F.when(F.col("first"), event(F.lit(0), begin)), event(F.col("line_no"), match), F.when(F.col("last"), event(F.lit(1 << 62), end)))
+    return rows.select("path", F.inline(F.array_compact(events)))
 
 
 def capped(df: DataFrame, keys: list[str], order: list[str], limit: int = 100) -> DataFrame:
