@@ -153,7 +153,7 @@ def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _segments(window: int, gram: int):
-    """(anchor, part, id, row, at, segment): the text under all windows of a repeated anchor, and the first one's start."""
+    """(anchor, part, id, row, at, segment): the text under all windows of a repeated anchor, and the first one's starts; segments alike in a document go once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,16 +176,29 @@ def _segments(window: int, gram: int):
                 owner = np.searchsorted(first, start, "right") - 1
                 rows, own_ids = row.to_numpy()[a:b][owner], ids.to_numpy()[a:b][owner]
                 part = np.where(parts > 1, (mix(rows.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1)  # -1: the anchor's only part
-                for s in range(0, len(start), 1 << 14):
-                    e = slice(s, s + (1 << 14))
+                order = np.lexsort((anchor, owner))
+                again = np.zeros(len(order), bool)
+                again[1:] = (owner[order[1:]] == owner[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]])
+                several = np.flatnonzero(again | np.append(again[1:], False))  # in that order: anchors at several places of a document
+                alike, known = np.arange(len(start)), {}
+                for i in order[several].tolist():
+                    alike[i] = known.setdefault((int(owner[i]), data[start[i] : start[i] + count[i] + window - 1]), i)
+                order = np.argsort(alike, kind="stable")
+                one = np.flatnonzero(np.diff(alike[order], prepend=-1))
+                lists, at = np.append(one, len(order)), (start - first[owner])[order].astype(np.int64)
+                one = order[one]
+                for s in range(0, len(one), 1 << 14):
+                    e = one[s : s + (1 << 14)]
                     cut = [data[x:y] for x, y in zip(start[e].tolist(), (start[e] + count[e] + window - 1).tolist())]
-                    columns = (anchor[e], part[e].astype(np.int32), own_ids[e], rows[e], (start[e] - first[owner[e]]).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cut, pa.binary())], names=["anchor", "part", "id", "row", "at", "segment"])
+                    ends = lists[s : s + len(e) + 1]
+                    places = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(at[ends[0] : ends[-1]]))
+                    columns = (anchor[e], part[e].astype(np.int32), own_ids[e], rows[e])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), places, pa.array(cut, pa.binary())], names=["anchor", "part", "id", "row", "at", "segment"])
 
     return run
 
 
-SEGMENTS = "anchor long, part int, id long, row long, at long, segment binary"
+SEGMENTS = "anchor long, part int, id long, row long, at array<long>, segment binary"
 #: Window starts from ``start`` to ``stop`` (exclusive) of a row; with a digest it is a window that is the first of its part.
 FOUND = "row long, start long, stop long, id long, high long, low long"
 
@@ -197,7 +210,9 @@ def _sorted_parts(window: int):
         t = pa.Table.from_batches(held)
         known: dict[bytes, int] = {}
         segment = np.array([known.setdefault(x, len(known)) for x in t.column("segment").to_pylist()], np.int64)
-        ids, rows, at, part = (t.column(n).to_numpy() for n in ("id", "row", "at", "part"))
+        ids, rows, part = (t.column(n).to_numpy() for n in ("id", "row", "part"))
+        listed = t.column("at").combine_chunks()
+        sizes, at = listed.value_lengths().to_numpy(), listed.flatten().to_numpy()
         smallest = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(smallest, segment, ids)
         texts = list(known)
@@ -207,7 +222,8 @@ def _sorted_parts(window: int):
         size = np.diff(np.append(group, len(order)))
         earliest = np.full(len(data), -1, np.int64)  # by window start: the smallest id that has it
         earliest[order] = np.repeat(np.minimum.reduceat(smallest[np.searchsorted(first, order, "right") - 1], group), size)
-        # every window of every row
+        # every window of every place
+        segment, ids, rows, part = (np.repeat(x, sizes) for x in (segment, ids, rows, part))
         n = np.diff(first)[segment] - window + 1
         own = np.repeat(np.arange(len(rows)), n)
         within = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
