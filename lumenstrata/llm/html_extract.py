@@ -3,8 +3,10 @@
 The standard library's parser streams events; text is gathered into one line
 per block together with the number of tags and of linked characters in it.
 Zones that can't be article text (menus, forms, adverts, comments, ...) are
-left out by element name or by whole class, id and role names, unless an element
-so named holds most of the content.  The lines' ratios of
+left out by element name or by class, id and role names; a name that says so
+only in part makes its element suspect, and so do some whole names.  The
+clusters below decide about suspect elements: one that holds most of the page's
+content stays.  The lines' ratios of
 text to tags are smoothed with a Gaussian and clustered by a threshold; the
 clusters select the outermost container (article, main, or the body) that holds
 the most content; every line of it, of the containers inside it and of the parts
@@ -54,14 +56,18 @@ FIRM_TOKENS = BAD_ARTICLES | frozenset(
 )
 #: Tokens of zones of reader comments, in which an article is a comment.
 COMMENT_TOKENS = frozenset("comment comments commentlist respond discussion disqus replies reply".split())
+#: Tokens that make an element of any further name suspect; how much of the page's content it holds then decides.
+SUSPECT_TOKENS = (BAD_TOKENS | BAD_ARTICLES) - frozenset("side nav header head footer foot copyright alert notice notices login search toolbar skip hidden legal disclaimer paywall modal overlay menu respond complementary contentinfo".split())
 #: Text blocks, whose ids are often made from a title.
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 p li ul ol dl dt dd pre blockquote table tbody tr td th figure figcaption section".split())
+#: Elements that group blocks, which a name in part makes suspect.
+GROUPS = frozenset("div section ul ol dl form".split())
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-#: How an element is marked: so that content can overrule it, so that it can't, or as not shown.
-LOOSE, FIRM, HIDDEN = 1, 2, 3
+#: How an element is marked: by a part of its name, so that content can overrule it, so that it can't, or as not shown.
+SUSPECT, LOOSE, FIRM, HIDDEN = 1, 2, 3, 4
 
 
 class _Line:
@@ -79,7 +85,7 @@ class _Events(HTMLParser):
         self.lines: list[_Line] = []
         self.stack: list[tuple[str, bool, int, int, int]] = []  # element, left out, zone, number, mark
         self.open: dict[str, list[int]] = {}  # places in the stack by element, and of what bounds a paragraph or a stray end tag
-        self.marks: list[tuple[int, int, bool]] = [(0, 0, True)]  # the mark around each mark, its zone, whether content can't overrule it
+        self.marks: list[tuple[int, int, int]] = [(0, 0, HIDDEN)]  # the mark around each mark, its zone, how it is marked
         self.comments: list[int] = []  # places in the stack of zones of reader comments
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -139,7 +145,7 @@ class _Events(HTMLParser):
         if tag in VOID:
             return
         inside = self.comments or max(self._last(e) for e in ("template", *CONTAINERS)) >= 0
-        if tag in CONTAINERS and (self._bad() or self._mark()) and not inside and not self._marked(tag, attrs, 0)[0]:
+        if tag in CONTAINERS and (self._bad() or self._mark() and self.marks[self._mark()][2] > SUSPECT) and not inside and not self._marked(tag, attrs, 0)[0]:
             i = len(self.stack)
             while i and (self.stack[i - 1][1] or self.stack[i - 1][4]):  # an unclosed menu or banner before the article
                 i -= 1
@@ -152,7 +158,7 @@ class _Events(HTMLParser):
             marked = marked or LOOSE * (tag == "form")
             bad = tag in NEVER or (tag == "header" and not zone) or marked == HIDDEN
             if marked and not bad:
-                self.marks.append((mark, zone, marked == FIRM))
+                self.marks.append((mark, zone, marked))
                 mark = len(self.marks) - 1
             if tag in CONTAINERS and not bad:
                 self.zones.append(zone)
@@ -181,6 +187,9 @@ class _Events(HTMLParser):
                     else:
                         tokens = set(_TOKEN.findall(whole))
                         bad = tokens & tokens_of if tokens <= tokens_of | NEUTRAL else set()
+                        if not bad and tokens & SUSPECT_TOKENS and tag in GROUPS:
+                            mark = max(mark, SUSPECT)
+                            comments |= bool(tokens & COMMENT_TOKENS)
                     if zone:
                         bad -= {"header"}
                     if bad:
@@ -266,7 +275,7 @@ def unmarked(page: _Events, sigma: float) -> list[_Line]:
     """
     if len(page.marks) == 1:
         return page.lines
-    loose = any(not firm for _, _, firm in page.marks[1:])
+    loose = any(how < FIRM for _, _, how in page.marks[1:])
     stands = [False] + [True] * (len(page.marks) - 1)
     if loose and page.lines:
         content = content_lines(page.lines, sigma)
@@ -279,8 +288,8 @@ def unmarked(page: _Events, sigma: float) -> list[_Line]:
                 mass[x.mark] += n
         for m in range(len(mass) - 1, 0, -1):  # a mark stands behind the one around it
             mass[page.marks[m][0]] += mass[m] if page.marks[m][0] else 0
-        for m, (_, zone, firm) in enumerate(page.marks):
-            stands[m] = bool(m) and (firm or 2 * mass[m] <= total or not zone and contained)
+        for m, (_, zone, how) in enumerate(page.marks):
+            stands[m] = bool(m) and (how >= FIRM or 2 * mass[m] <= total or not zone and contained)
     for m in range(1, len(stands)):
         stands[m] = stands[m] or stands[page.marks[m][0]]
     return [x for x in page.lines if not stands[x.mark]]

@@ -799,6 +799,27 @@ def test_html_marks_are_whole_names():
     assert html_extract.extract(f'<body><p>A text</p><div class="comments"><p>{long}</p></div></body>') == ["A text"]
 
 
+@pytest.mark.parametrize("name", ["related-posts", "user-comments", "comment-body", "newsletter-form", "ad-300x250", "cookie-message", "social-icons", "related-articles", "promo-text", "reader-replies"])
+def test_html_zones_of_any_company(name):
+    long = "A long sentence of the article that goes on for a while, as such sentences do. " * 3
+    zone = f'<div class="{name}"><p>{long[:90]}</p><article><p>Inside</p></article></div>'
+    for page in (f"<article><h1>Head</h1><p>{long}</p>{zone}<p>End</p></article>", f"<body><h1>Head</h1><p>{long}</p>{zone}<p>End</p></body>", f"<body><article><h1>Head</h1><p>{long}</p><p>End</p></article>{zone}</body>"):
+        assert html_extract.extract(page) == ["Head", long.strip(), "End"]
+    assert html_extract.extract(f'<body><div class="has-{name}"><article><p>{long}</p></article></div></body>') == [long.strip()]
+    assert html_extract.extract(f'<body><div class="has-{name}"><p>{long}</p></div></body>') == [long.strip()]
+
+
+def test_html_clusters_decide_about_suspects(monkeypatch):
+    """Many short lines don't make a suspect zone content; without the clusters they would."""
+    zone = "".join(f"<p><b>{k}</b> <i>x</i> <u>y</u> <s>short words</s></p>" for k in range(80))
+    page = f'<body><div class="my-sidebar-box">{zone}</div><div><p>{"A real text with few tags in it. " * 12}</p></div></body>'
+    want = [("A real text with few tags in it. " * 12).strip()]
+    assert html_extract.extract(page) == want
+    for flag in (True, False):
+        monkeypatch.setattr(html_extract, "content_lines", lambda lines, sigma=1.0: [flag] * len(lines))  # noqa: B023
+        assert (html_extract.extract(page) != want) == flag
+
+
 def test_html_of_the_pages(spark):
     import re
     from html import unescape
