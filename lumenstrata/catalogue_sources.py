@@ -127,6 +127,17 @@ def source_plain(spark, sf_dir):
     return named(r.hits()).select("k", "line_no", F.col("line").cast("string").alias("line"))
 
 
+_JOINED = "p AS (SELECT doc_id // 64 AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY ALL), "
+
+
+@query(_context("regexp_matches(line, '[a-z]+ation')", 2, 1).replace("WITH ", "WITH " + _JOINED, 1).replace("FROM documents", "FROM p").replace("FROM p GROUP BY ALL", "FROM documents GROUP BY ALL"))
+def source_plain_ranges(spark, sf_dir):
+    """Plain files in many ranges each: line numbers, windows and breaks go on over their edges"""
+    folder = pack(_docs(spark, sf_dir), scratch_path(spark, "archives").removeprefix("file://"), "plain")
+    found = search(spark, parse(["-B", "2", "-A", "1", "[a-z]+ation", folder]), range_bytes=20_000).hits()
+    return named(found).select(F.col("k").cast("long").alias("doc_id"), "line_no", F.col("line").cast("string").alias("line"), "kind", "group_break")
+
+
 @query(_hits_sql())
 def source_nested(spark, sf_dir):
     """Members are taken out of one level of compression"""

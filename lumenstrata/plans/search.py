@@ -18,6 +18,7 @@ from ..operators.lines import display_path
 from ..sources import archive
 from ..sources.matching import Wanted
 from ..sources.resolve import Resolved
+from ..sources.walk import FIRST_FILL
 from .scratch import remove, written
 from .select import select_lines
 from .spec import SearchSpec
@@ -25,6 +26,36 @@ from .spec import SearchSpec
 MEMBER = ["item_index", "member_index"]
 
 
+def joined_ranges(table: DataFrame, windows: bool) -> DataFrame:
+    """A run's table with the ranges of plain inputs put together: lines are numbered, muted behind a NUL, and end where a range failed.
+
+    A range has one row of figures; their running sums, a row a range as well,
+    are what the lines are joined with.
+    """
+    key = ["item_index", "part"]
+    ranges = table.filter("rec_type = 'range'").select(*key, F.col("line_no").alias("_n"), F.col("n").alias("_nul"), F.col("muted").alias("_failed"))
+    if windows:
+        edge = table.filter("rec_type = 'line' and part is not null").groupBy(*key).agg(F.min("line_no").alias("_first"), F.max("line_no").alias("_end"))
+        ranges = ranges.join(edge, key, "left")
+    before = Window.partitionBy("item_index").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("item_index")
+    ranges = ranges.withColumns({
+        "_base": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_nul_at": F.min("_nul").over(whole), "_muted": F.min("_nul").over(before).isNotNull() | F.coalesce(F.min("_nul").over(whole) < FIRST_FILL, F.lit(False)),
+        "_gone": F.coalesce(F.bool_or("_failed").over(before), F.lit(False)),
+    })
+    if windows:
+        ranges = ranges.withColumn("_last", F.max(F.col("_end") + F.col("_base")).over(before))
+    out = table.join(ranges.drop("_n", "_nul", "_failed", "_end"), key, "left")
+    later = F.col("part").isNotNull() & (F.col("_gone") | (F.col("rec_type") == "binary") & (F.col("byte_offset") != F.col("_nul_at")))
+    out = out.filter(~F.coalesce(later, F.lit(False)) | F.col("rec_type").isin("member", "end"))
+    is_line = (F.col("rec_type") == "line") & F.col("part").isNotNull()
+    if windows:
+        apart = F.coalesce(F.col("line_no") + F.col("_base") - F.col("_last") > 1, F.lit(False))
+        out = out.withColumn("group_break", F.when(is_line & (F.col("line_no") == F.col("_first")), apart).otherwise(F.col("group_break")))
+    out = out.withColumns({"line_no": F.when(is_line, F.col("line_no") + F.col("_base")).otherwise(F.col("line_no")), "muted": F.when(is_line, F.col("muted") | F.col("_muted")).otherwise(F.col("muted"))})
+    return out.select(*table.columns)
+
+
 @dataclass
 class Run:
     """The parts of a run.  ``table`` reads every input once: what is shown of it, and all records that are no lines."""
@@ -32,6 +63,8 @@ class Run:
     spec: SearchSpec
     resolved: Resolved
     scanned: DataFrame
+    #: Some inputs are read in ranges.
+    ranged: bool = False
 
     def display(self, sep: str | None = None) -> Column:
         return display_path(F.col("archive"), F.col("member"), sep or self.spec.separator)
@@ -45,8 +78,9 @@ class Run:
 
     @cached_property
     def table(self) -> DataFrame:
+        """What ``selected`` gives, written once."""
         out, self._path = written(self.selected(), "run")
-        return out
+        return joined_ranges(out, self.spec.what == "whole") if self.ranged else out
 
     def close(self) -> None:
         """Remove what the run has written, the copy of standard input included."""
@@ -99,7 +133,7 @@ class Run:
         return self.table.agg(
             F.coalesce(F.bool_or(hit), F.lit(False)).alias("matched"), F.count_if((F.col("rec_type") == "diag") & (F.col("severity") == "error")).alias("errors"), F.count_if(end).alias("ends"),
             F.count_if(F.col("rec_type") == "member").alias("members"), total(F.when(end, F.col("seen"))).alias("seen"), (F.count_if(hit) if s.list_members else total(F.when(hit, F.col("n_lines")))).alias("matched_lines"), total(F.when(F.col("kind") == "match", F.col("n"))).alias("matches"),
-            F.count_distinct(F.when(F.col("kind") == "match", F.struct(*MEMBER))).alias("searches_with_match"), total(F.when(end, F.col("byte_offset"))).alias("bytes_searched"),
+            F.count_distinct(F.when(F.col("kind") == "match", F.struct(*MEMBER))).alias("searches_with_match"), total(F.when(end | (F.col("rec_type") == "range"), F.col("byte_offset"))).alias("bytes_searched"),
         )
 
     def verdict(self) -> dict:
@@ -117,13 +151,14 @@ class Run:
         }
 
 
-def search(spark: SparkSession, spec: SearchSpec) -> Run:
-    """A run over the named inputs.  A literal that every hit holds is looked for before lines are cut."""
+def search(spark: SparkSession, spec: SearchSpec, range_bytes: int | None = None) -> Run:
+    """A run over the named inputs.  A literal that every hit holds is looked for before lines are cut; plain inputs beyond ``range_bytes`` are read in ranges."""
     literal = None if spec.invert or spec.list_members or spec.what == "whole" else spec.match.needed
     m = spec.match
     wanted = None
     if not spec.list_members:
         patterns = dict(patterns=m.patterns, fixed=m.fixed, ignore_case=m.ignore_case, smart_case=m.smart_case, word=m.word, invert=m.invert, crlf=m.crlf)
         wanted = Wanted(**patterns, what=spec.what, spans=spec.spans, limit=spec.max_count, together=spec.mode == "quiet")
-    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "", wanted=wanted)
-    return Run(spec, found, scanned)
+    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "", wanted=wanted, around=max(spec.lines_before, spec.lines_after), range_bytes=range_bytes)
+    ranged = wanted is not None and not wanted.limit and any(archive.in_ranges(i, range_bytes) for i in found.items if not i.remote)
+    return Run(spec, found, scanned, ranged)

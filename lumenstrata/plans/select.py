@@ -63,6 +63,8 @@ def select_lines(rows: DataFrame, hit: str, before: int, after: int, limit: int
             member.open_to = max(member.open_to, int(at[-1]) + after)
         keep = (number > number[-1] - before) & ~show if before and (limit is None or member.hits < limit) else np.zeros(len(number), bool)
         member.waiting = part.filter(pa.array(keep))
+        beside = part.column("beside").to_numpy(zero_copy_only=False) if "beside" in part.schema.names else np.zeros(len(show), bool)
+        show &= np.array(beside, object) != True  # noqa: E712  nulls are false
         if not show.any():
             return None
         out, lines = part.filter(pa.array(show)), number[show]

@@ -4,7 +4,8 @@
 an end row for every input that was walked to its end - from which ``members``,
 ``lines`` and ``diagnostics`` are filters.  Inputs on a file system that the
 executors mount are read by a Python data source, one partition an input,
-largest first, streaming in Arrow batches; inputs whose paths have a scheme go
+largest first, streaming in Arrow batches; a search of large plain inputs has one
+partition a range; inputs whose paths have a scheme go
 through Spark's ``binaryFile`` source and the same walker.
 """
 
@@ -26,17 +27,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .matching import Wanted
 from .resolve import STDIN, Item, Resolved, has_scheme, resolve, spool_stdin
-from .walk import Lines, Options, walk
+from .walk import Lines, Options, splittable, walk, walk_range
 
 SCHEMA = (
     "rec_type string, item_index long, archive string, member_index long, member string, format string, codec string, "
     "line_no long, byte_offset long, line binary, eol binary, muted boolean, severity string, code string, message string, seen long, searched long, "
-    "hit boolean, spans array<long>, n_lines long, n long"
+    "hit boolean, spans array<long>, n_lines long, n long, part long, beside boolean"
 )
 _FIELDS = [
     ("rec_type", pa.string()), ("item_index", pa.int64()), ("archive", pa.string()), ("member_index", pa.int64()), ("member", pa.string()), ("format", pa.string()), ("codec", pa.string()),
     ("line_no", pa.int64()), ("byte_offset", pa.int64()), ("line", pa.binary()), ("eol", pa.binary()), ("muted", pa.bool_()), ("severity", pa.string()), ("code", pa.string()),
-    ("message", pa.string()), ("seen", pa.int64()), ("searched", pa.int64()), ("hit", pa.bool_()), ("spans", pa.list_(pa.int64())), ("n_lines", pa.int64()), ("n", pa.int64()),
+    ("message", pa.string()), ("seen", pa.int64()), ("searched", pa.int64()), ("hit", pa.bool_()), ("spans", pa.list_(pa.int64())), ("n_lines", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("beside", pa.bool_()),
 ]
 ARROW = pa.schema(_FIELDS)
 
@@ -77,9 +78,9 @@ def _lines_batch(blocks: list[tuple[int, str, Lines]], own: dict) -> pa.RecordBa
     )
 
 
-def event_batches(events: Iterator[tuple], index: int, archive: str) -> Iterator[pa.RecordBatch]:
+def event_batches(events: Iterator[tuple], index: int, archive: str, part: int | None = None) -> Iterator[pa.RecordBatch]:
     """The walker's events as rows of ``SCHEMA``: a member's lines stay together and in order, other rows come before or after them."""
-    name, own = "", {"item_index": index, "archive": archive}
+    name, own = "", {"item_index": index, "archive": archive, "part": part}
     blocks: list[tuple[int, str, Lines]] = []
     other: list[dict] = []
     held = n_bytes = 0
@@ -103,6 +104,11 @@ def event_batches(events: Iterator[tuple], index: int, archive: str) -> Iterator
             other.append({"rec_type": "member", "member_index": e[1], "member": name, "format": e[3], "codec": e[4]})
         elif e[0] == "binary":
             other.append({"rec_type": "binary", "member_index": e[1], "member": name, "byte_offset": e[2]})
+        elif e[0] == "beside":
+            yield from flush()
+            yield _lines_batch([(e[1], name, e[2])], own | {"beside": True})
+        elif e[0] == "range":
+            other.append({"rec_type": "range", "member_index": 0, "member": "", "line_no": e[2], "byte_offset": e[3], "n": e[4], "muted": e[5]})
         elif e[0] == "hits":
             other.append({"rec_type": "hits", "member_index": e[1], "member": name, "n_lines": e[2], "n": e[3]})
         elif e[0] == "size":
@@ -117,9 +123,11 @@ def event_batches(events: Iterator[tuple], index: int, archive: str) -> Iterator
 
 
 class _Input(InputPartition):
-    def __init__(self, item: Item):
+    """An input, or of a plain one a range: (number, start, stop)."""
+
+    def __init__(self, item: Item, part: tuple[int, int, int] | None = None):
         super().__init__(item.index)
-        self.item = item
+        self.item, self.part = item, part
 
 
 class ArchiveReader(DataSourceReader):
@@ -129,9 +137,14 @@ class ArchiveReader(DataSourceReader):
             self.names[i["index"]] = tuple(i.pop("names"))
             self.items.append(Item(**i))
         self.options = _options(json.loads(options.get("walk", "{}")))
+        self.split = {int(k): n for k, n in json.loads(options.get("split", "{}")).items()}
 
     def partitions(self):
-        return [_Input(i) for i in sorted(self.items, key=lambda i: -(i.size or 0))] or [_Input(Item(-1, "", ""))]
+        out = []
+        for i in sorted(self.items, key=lambda i: -(i.size or 0)):
+            step = self.split.get(i.index)
+            out += [_Input(i, (k, a, min(a + step, i.size))) for k, a in enumerate(range(0, i.size, step))] if step else [_Input(i)]
+        return out or [_Input(Item(-1, "", ""))]
 
     def read(self, partition):
         item = partition.item
@@ -146,6 +159,10 @@ class ArchiveReader(DataSourceReader):
             yield from event_batches(iter([("diag", None, "error", "OPEN_FAILED", str(e)), ("end", 0, 0, None)]), item.index, item.display)
             return
         with f:
+            if partition.part:
+                k, start, stop = partition.part
+                yield from event_batches(walk_range(f, k, start, stop, item.size, o), item.index, item.display, k)
+                return
             yield from event_batches(walk(f, os.fstat(f.fileno()).st_size if item.size is not None else None, o, stream=item.size is None), item.index, item.display)
 
 
@@ -167,19 +184,34 @@ class ArchiveSource(DataSource):
 
 
 def _options(d: dict) -> Options:
-    return Options(tuple(d.get("globs", ())), d.get("text", False), d.get("crlf", False), d.get("lines", True), tuple(d.get("names", ())), d.get("literal", "").encode(), Wanted.read(d.get("wanted")))
+    return Options(tuple(d.get("globs", ())), d.get("text", False), d.get("crlf", False), d.get("lines", True), tuple(d.get("names", ())), d.get("literal", "").encode(), Wanted.read(d.get("wanted")), d.get("around", 0))
 
 
 def _items_json(items: list[Item]) -> str:
     return json.dumps([vars(i) | {"names": i.names() if i.path != STDIN and i.display != "<stdin>" else []} for i in items])
 
 
+#: Plain inputs beyond this size are read in ranges of it, a task each.
+RANGE_BYTES = 64 << 20
+
+
+def in_ranges(item: Item, range_bytes: int | None = None) -> bool:
+    """Whether an input is plain and large enough to be read in ranges."""
+    if item.size is None or item.size <= (range_bytes or RANGE_BYTES):
+        return False
+    try:
+        with open(item.path, "rb") as f:
+            return splittable(f, item.size)
+    except OSError:
+        return False  # its task tells why
+
+
 #: What one cell of Spark's ``binaryFile`` source can hold.
 CELL_MOST = (1 << 31) - 1
 
 
 def scan(
-    spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True, literal: str = "", wanted: Wanted | None = None
+    spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True, literal: str = "", wanted: Wanted | None = None, around: int = 0, range_bytes: int | None = None
 ) -> tuple[DataFrame, Resolved]:
     """The tagged table of all inputs, and how the paths were resolved; with ``wanted`` it has only the lines that a search asks for."""
     found = resolve(paths, archive_globs, spark)
@@ -187,10 +219,12 @@ def scan(
         if item.path == STDIN:
             item.path = spool_stdin()
     spark.dataSource.register(ArchiveSource)
-    how = {"globs": list(globs or ()), "text": text, "crlf": crlf, "lines": lines, "literal": literal, "wanted": wanted and wanted.written()}
+    how = {"globs": list(globs or ()), "text": text, "crlf": crlf, "lines": lines, "literal": literal, "wanted": wanted and wanted.written(), "around": around}
     remote = [i for i in found.items if i.remote]
     own = [i for i in found.items if not i.remote]
-    scanned = spark.read.format("archive").option("items", _items_json(own)).option("walk", json.dumps(how)).load()
+    step = range_bytes or RANGE_BYTES
+    split = {i.index: step for i in own if wanted and not wanted.limit and in_ranges(i, step)}
+    scanned = spark.read.format("archive").option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).load()
     if remote:
         through = _through_spark(spark, remote, _options(how))
         scanned = scanned.unionByName(through) if own else through

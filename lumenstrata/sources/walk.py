@@ -49,6 +49,8 @@ class Options:
     literal: bytes = b""
     #: What of the lines is wanted; None: all of them, unsearched.
     wanted: Wanted | None = None
+    #: Lines that a window reaches to either side.
+    around: int = 0
 
 
 class Lines(NamedTuple):
@@ -180,14 +182,18 @@ def _decoded(chunks: Iterator[bytes]) -> Iterator[bytes]:
     yield from chunks
 
 
-def lines_of(chunks: Iterator[bytes], index: int, o: Options, search: Selection | None = None) -> Iterator[tuple]:
-    """A member's lines in blocks, or what is wanted of them, then where it turned out binary and how much it was."""
+def lines_of(chunks: Iterator[bytes], index: int, o: Options, search: Selection | None = None, cutter: _Cutter | None = None) -> Iterator[tuple]:
+    """A member's lines in blocks, or what is wanted of them, then where it turned out binary and how much it was.
+
+    ``cutter`` goes on inside a member, where no mark can stand.
+    """
     if search:
         search.member()
         if search.done:
             return
-    cutter, parts, held, fill = _Cutter(o), [], 0, FIRST_FILL
-    first = True
+    first = cutter is None or not cutter.offset
+    chunks = _decoded(iter(chunks)) if cutter is None else iter(chunks)
+    cutter, parts, held, fill = cutter or _Cutter(o), [], 0, FIRST_FILL
 
     def cut(last: bool):
         nonlocal first
@@ -202,7 +208,7 @@ def lines_of(chunks: Iterator[bytes], index: int, o: Options, search: Selection
             yield "lines", index, int(found.numbers[0]), found
 
     try:
-        for chunk in _decoded(iter(chunks)):
+        for chunk in chunks:
             parts.append(chunk)
             held += len(chunk)
             if held >= fill:
@@ -358,6 +364,119 @@ def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tupl
     yield "end", seen, read, unverified
 
 
+def splittable(f, size: int) -> bool:
+    """Whether an input is lines from its first byte to its last, so that ranges of it can be read apart."""
+    s = Stream(file_chunks(f))
+    head = s.peek(SNIFF_LENGTH)
+    return sniff(head) == "plain" and not any(head.startswith(mark) for _, mark in MARKS) and not zips.ends_as_zip(f, size) and not _is_tar(_reread(f))
+
+
+def _reread(f) -> Stream:
+    f.seek(0)
+    return Stream(file_chunks(f))
+
+
+def _between(f, start: int, stop: int) -> Iterator[bytes]:
+    """The bytes from ``start`` to the end of the line that holds the byte before ``stop``."""
+    f.seek(start)
+    while start < stop - 1 and (chunk := f.read(min(CHUNK, stop - 1 - start))):
+        start += len(chunk)
+        yield chunk
+    while chunk := f.read(CHUNK):
+        end = chunk.find(b"\n") + 1
+        yield chunk[:end] if end else chunk
+        if end:
+            return
+
+
+def _beside(f, at: int, n: int, o: Options, search: Selection, before: bool, number: int) -> Lines | None:
+    """The ``n`` lines before or behind a place where a line begins."""
+    data, step = b"", CHUNK
+    while data.count(b"\n") <= n:
+        if before:
+            start = max(0, at - step)
+            f.seek(start)
+            data = f.read(at - start)
+            if not start:
+                break
+        else:
+            f.seek(at)
+            data = f.read(step)
+            if len(data) < step:
+                break
+        if step > 2 * LINE_MOST and data.count(b"\n") <= 1:
+            break  # lines of that length end the search anyway
+        step *= 2
+    if before and len(data) < at:
+        data = data[data.find(b"\n") + 1 :]
+    cutter = _Cutter(o)
+    cutter.number, cutter.offset = number, at - len(data) if before else at
+    found = cutter.cut(data, True)
+    if not found:
+        return None
+    pick = np.arange(max(0, len(found) - n), len(found)) if before else np.arange(min(n, len(found)))
+    found = found.taken(pick)
+    if before:
+        found = Lines(number - len(pick) + np.arange(len(pick)), *found[1:])
+    return search.take(found)
+
+
+def walk_range(f, part: int, start: int, stop: int, size: int, o: Options) -> Iterator[tuple]:
+    """One range of a plain input: the lines that begin in it, numbered from one, and its part in the input's figures.
+
+    Where windows are asked for, the lines around the range are given as
+    ("beside", index, ``Lines``).  ("range", part, lines, bytes, offset of a NUL, failed) comes last.
+    """
+    search, cutter = Selection(o.wanted), _Cutter(o)
+    globs = Globs(list(o.globs)) if o.globs else None
+    if globs and o.names and not any(globs.match(n) for n in o.names):
+        if not part:
+            yield "end", 0, 0, None
+        return
+    around = o.around if o.wanted.what == "whole" else 0
+    n_bytes, failed = 0, False
+    if not part:
+        yield "member", 0, "", "plain", ""
+    try:
+        at = start
+        if start:
+            f.seek(start - 1)
+            at = start - 1
+            while at < stop - 1 and (chunk := f.read(min(CHUNK, stop - 1 - at))):
+                feed = chunk.find(b"\n")
+                at += feed + 1 if feed >= 0 else len(chunk)
+                if feed >= 0:
+                    break
+            else:
+                at = stop
+        if at < stop:
+            if around and at:
+                found = _beside(f, at, around, o, search, True, 1)
+                if found:
+                    yield "beside", 0, found
+            cutter.offset = at
+            for e in lines_of(_between(f, at, stop), 0, o, search, cutter):
+                if e[0] != "size":
+                    yield e
+            n_bytes = cutter.offset - at
+            if around and not search.done:
+                found = _beside(f, cutter.offset, around, o, search, False, cutter.number)
+                if found:
+                    yield "beside", 0, found
+        now = f.seek(0, 2)
+        if start <= now < stop and now < size:
+            yield "diag", 0, "error", "SHRANK", "the file got shorter while it was read"
+    except ReadError as e:
+        failed = True
+        yield "diag", None, "error", e.code, str(e)
+    except OSError as e:
+        failed = True
+        yield "diag", None, "error", "READ_FAILED", str(e)
+    yield "range", part, cutter.number - 1, n_bytes, cutter.binary, failed
+    if not part:
+        yield "end", 1, 1, None
+
+
 def _zip_chunks(z: zips.Zip, info) -> Iterator[bytes]:
     yield from z.content(info)
 
@@ -383,4 +502,4 @@ def read_all(f, size: int | None = None, o: Options | None = None, stream: bool
     return list(walk(f, size, o or Options(), stream))
 
 
-__all__ = ["CHUNK", "Options", "lines_of", "read_all", "walk"]
+__all__ = ["CHUNK", "Options", "lines_of", "read_all", "splittable", "walk", "walk_range"]
