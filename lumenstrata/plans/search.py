@@ -160,5 +160,5 @@ def search(spark: SparkSession, spec: SearchSpec, range_bytes: int | None = None
         patterns = dict(patterns=m.patterns, fixed=m.fixed, ignore_case=m.ignore_case, smart_case=m.smart_case, word=m.word, invert=m.invert, crlf=m.crlf)
         wanted = Wanted(**patterns, what=spec.what, spans=spec.spans, limit=spec.max_count, together=spec.mode == "quiet")
     scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "", wanted=wanted, around=max(spec.lines_before, spec.lines_after), range_bytes=range_bytes)
-    ranged = wanted is not None and not wanted.limit and any(archive.in_ranges(i, range_bytes) for i in found.items if not i.remote)
+    ranged = wanted is not None and not wanted.limit and any(archive.in_ranges(i, range_bytes) for i in found.items if not i.remote or archive.reachable(i.path))
     return Run(spec, found, scanned, ranged)

@@ -5,7 +5,7 @@ an end row for every input that was walked to its end - from which ``members``,
 ``lines`` and ``diagnostics`` are filters.  Inputs on a file system that the
 executors mount are read by a Python data source, one partition an input,
 largest first, streaming in Arrow batches; a search of large plain inputs has one
-partition a range; inputs whose paths have a scheme go
+partition a range; stores that Arrow knows are read in ranges by the same source; all other inputs whose paths have a scheme go
 through Spark's ``binaryFile`` source and the same walker.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .matching import Wanted
+from .ranged import opened, reachable
 from .resolve import STDIN, Item, Resolved, has_scheme, resolve, spool_stdin
 from .walk import Lines, Options, splittable, walk, walk_range
 
@@ -154,7 +155,7 @@ class ArchiveReader(DataSourceReader):
         if o.globs:
             o = replace(o, names=self.names[item.index])
         try:
-            f = open(item.path, "rb")  # noqa: SIM115
+            f = opened(item.path)
         except OSError as e:
             yield from event_batches(iter([("diag", None, "error", "OPEN_FAILED", str(e)), ("end", 0, 0, None)]), item.index, item.display)
             return
@@ -163,7 +164,8 @@ class ArchiveReader(DataSourceReader):
                 k, start, stop = partition.part
                 yield from event_batches(walk_range(f, k, start, stop, item.size, o), item.index, item.display, k)
                 return
-            yield from event_batches(walk(f, os.fstat(f.fileno()).st_size if item.size is not None else None, o, stream=item.size is None), item.index, item.display)
+            size = None if item.size is None else item.size if item.remote else os.fstat(f.fileno()).st_size
+            yield from event_batches(walk(f, size, o, stream=item.size is None), item.index, item.display)
 
 
 class ArchiveSource(DataSource):
@@ -200,7 +202,7 @@ def in_ranges(item: Item, range_bytes: int | None = None) -> bool:
     if item.size is None or item.size <= (range_bytes or RANGE_BYTES):
         return False
     try:
-        with open(item.path, "rb") as f:
+        with opened(item.path) as f:
             return splittable(f, item.size)
     except OSError:
         return False  # its task tells why
@@ -220,8 +222,8 @@ def scan(
             item.path = spool_stdin()
     spark.dataSource.register(ArchiveSource)
     how = {"globs": list(globs or ()), "text": text, "crlf": crlf, "lines": lines, "literal": literal, "wanted": wanted and wanted.written(), "around": around}
-    remote = [i for i in found.items if i.remote]
-    own = [i for i in found.items if not i.remote]
+    remote = [i for i in found.items if i.remote and not reachable(i.path)]
+    own = [i for i in found.items if i not in remote]
     step = range_bytes or RANGE_BYTES
     split = {i.index: step for i in own if wanted and not wanted.limit and in_ranges(i, step)}
     scanned = spark.read.format("archive").option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).load()

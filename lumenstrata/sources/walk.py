@@ -100,7 +100,7 @@ class _Cutter:
 
     def cut(self, data: bytes, last: bool) -> Lines | None:
         data = self.rest + data
-        end = len(data) if last else data.rfind(b"\n") + 1
+        end = len(data) if last else max(data.rfind(b"\n"), -1 if self.o.text else data.rfind(b"\0")) + 1
         self.rest, data = data[end:], data[:end]
         if len(self.rest) > LINE_MOST:
             raise ReadError("SEARCH_FAILED", "a line is longer than 16 MiB")
@@ -131,24 +131,28 @@ class _Cutter:
 
     def _with_nuls(self, data: bytes) -> Lines:
         """NULs end lines too; the first one mutes."""
-        texts, ends, muted, offsets = [], [], [], []
-        for text, end in re.findall(rb"([^\n\0]*)([\n\0]|\Z)", data):
-            if not text and not end:
-                break
-            if len(text) > LINE_MOST:
-                raise ReadError("SEARCH_FAILED", "a line is longer than 16 MiB")
-            if end == b"\0" and not self.muted:
-                self.muted, self.binary = True, self.offset + len(text) if self.binary is None else self.binary
-            offsets.append(self.offset)
-            muted.append(self.muted)
-            self.offset += len(text) + len(end)
-            if self.o.crlf and end == b"\n" and text.endswith(b"\r"):
-                text, end = text[:-1], b"\r\n"
-            texts.append(text)
-            ends.append(end)
-        numbers = self.number + np.arange(len(texts))
-        self.number += len(texts)
-        return Lines(numbers, np.array(offsets, np.int64), pa.array(texts, pa.binary()), ends, muted)
+        raw = np.frombuffer(data, np.uint8)
+        stops = np.flatnonzero((raw == 10) | (raw == 0))
+        nul = raw[stops] == 0
+        ends = [b"\0" if x else b"\n" for x in nul.tolist()]
+        if not len(stops) or stops[-1] < len(data) - 1:
+            stops, nul = np.append(stops, len(data)), np.append(nul, False)
+            ends.append(b"")
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        if (stops - starts).max() > LINE_MOST:
+            raise ReadError("SEARCH_FAILED", "a line is longer than 16 MiB")
+        if self.binary is None and nul.any():
+            self.binary = self.offset + int(stops[nul.argmax()])
+        muted = np.full(len(stops), True) if self.muted else np.cumsum(nul) > 0
+        self.muted = bool(muted[-1])
+        numbers, offsets = self.number + np.arange(len(stops)), self.offset + starts
+        lines = _binary(raw[(raw != 10) & (raw != 0)].tobytes(), np.concatenate([[0], np.cumsum(stops - starts)]))
+        self.number, self.offset = self.number + len(stops), self.offset + len(data)
+        if self.o.crlf:
+            ended = pc.and_(pc.ends_with(lines, b"\r"), pa.array([e == b"\n" for e in ends]))
+            lines = pc.if_else(ended, pc.binary_slice(lines, 0, -1), lines)
+            ends = [b"\r\n" if x else e for x, e in zip(ended.to_pylist(), ends)]
+        return Lines(numbers, offsets, lines, ends, muted.tolist())
 
 
 def _holding(data: bytes, literal: bytes, stops: np.ndarray) -> np.ndarray:

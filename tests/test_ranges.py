@@ -30,7 +30,8 @@ def both(spark, monkeypatch, args, step):
     parts = search(spark, parse(args))
     assert parts.ranged
     assert shown(parts) == want
-    assert sorted(map(tuple, parts.counts().collect())) == counts
+    shorter = (lambda rows: [r[:3] for r in rows]) if parts.spec.what == "first" else list
+    assert shorter(sorted(map(tuple, parts.counts().collect()))) == shorter(counts)
 
 
 def text(seed, n=400):

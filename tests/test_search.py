@@ -95,6 +95,13 @@ def test_binary_notice(run):
     assert run("-c", "NEEDLE", "b")[1] == "b:1\n"
 
 
+def test_runs_of_zeros_are_no_long_line(run):
+    put("b", b"NEEDLE\n" + bytes(17 << 20) + b"NEEDLE\n")
+    code, out, err = run("-c", "NEEDLE", "b")
+    assert (code, out, err) == (0, "b:2\n", "")
+    assert run("absent", "b")[0] == 1
+
+
 def test_json(run):
     put("x.zip", zip_([("a", "é NEEDLE NEEDLE\nx\n".encode()), ("b", b"\xff NEEDLE\n")]))
     code, out, _ = run("--json", "NEEDLE", "x.zip")
@@ -205,17 +212,70 @@ def test_resolution(tmp_path):
     assert sorted(c for c, _ in r.errors) == ["PATH_MISSING", "WALK_ERROR", "WALK_ERROR"]
 
 
-def test_both_readers_agree(spark, tmp_path):
+def test_all_readers_agree(spark, tmp_path, monkeypatch):
     put(str(tmp_path / "x.tgz"), gzip.compress(tar([("a.log", LOG)])))
+    put(str(tmp_path / "y.zip"), zip_([("a.log", LOG)]))
+    cols = ["rec_type", "member_index", "member", "line_no", "byte_offset", "line"]
+    rows = lambda df: sorted(map(repr, df.select(cols).collect()))
     a, _ = archive.scan(spark, [str(tmp_path)])
     b, _ = archive.scan(spark, [f"file://{tmp_path}"])
-    cols = ["rec_type", "member_index", "member", "line_no", "byte_offset", "line"]
-    assert sorted(map(repr, a.select(cols).collect())) == sorted(map(repr, b.select(cols).collect()))
-    out = archive.outcomes(a).first()
+    assert "binaryFile" not in b._jdf.queryExecution().toString() and rows(a) == rows(b)
+    monkeypatch.setattr(archive, "reachable", lambda path: False)
+    c, _ = archive.scan(spark, [f"file://{tmp_path}"])
+    assert rows(a) == rows(c)
+    out = archive.outcomes(a).filter("archive like '%x.tgz'").first()
     assert out["walked"] and out["members_seen"] == 1 and out["n_errors"] == 0
     assert spark.read.format("archive").load(str(tmp_path / "x.tgz")).filter("rec_type = 'line'").count() == 6
 
 
+def test_ranged_files(tmp_path, monkeypatch):
+    from lumenstrata.sources import ranged
+
+    monkeypatch.setattr(ranged, "BLOCK", 1000)
+    body = os.urandom(50_500)
+    put(str(tmp_path / "a b"), body)
+    f = ranged.opened(f"file://{tmp_path}/a b")
+    assert f.read() == body and f.seek(-10, 2) == 50_490 and f.read(4) == body[50_490:50_494] and f.seek(999) == 999 and f.read(3) == body[999:1002]
+    assert len(f.raw._blocks) <= ranged.BLOCKS
+    monkeypatch.setattr(ranged, "BLOCK", 4096)
+    entries = [(f"m{i}", os.urandom(20_000)) for i in range(200)]
+    put(str(tmp_path / "z.zip"), zip_(entries))
+    import zipfile
+
+    g = ranged.opened(f"file:{tmp_path}/z.zip")
+    with zipfile.ZipFile(g) as z:
+        assert z.read("m77") == entries[77][1]
+    assert g.raw.fetched < os.path.getsize(tmp_path / "z.zip") / 10
+    assert ranged.reachable(f"file://{tmp_path}/z.zip") and not ranged.reachable(f"file://{tmp_path}/none") and not ranged.reachable("nosuch://x/y")
+
+
+def test_a_large_file_of_a_store_takes_little_memory(tmp_path):
+    """Three gibibytes behind a URI, most of them a hole, through the walker in a process of its own."""
+    import subprocess
+
+    path = tmp_path / "big.tar"
+    head = tar([("a.log", LOG)])[:1024]
+    import tarfile
+
+    info = tarfile.TarInfo("hole.bin")
+    info.size = 3 << 30
+    with open(path, "wb") as f:
+        f.write(head + info.tobuf(tarfile.USTAR_FORMAT))
+        f.seek(len(head) + 512 + info.size)
+        f.write(tar([("z.log", LOG)]))
+    code = f"""
+import resource
+from lumenstrata.sources.ranged import opened
+from lumenstrata.sources.walk import Options, walk
+from lumenstrata.sources.matching import Wanted
+f = opened("file://{path}")
+n = [e[2] for e in walk(f, f.raw.size, Options(("*.log",), wanted=Wanted(("NEEDLE",), what="count"))) if e[0] in ("hits", "diag", "end")]
+assert n == [1, 1, 2], n
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 500_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+
+
 def test_matches_of_the_first_lines(run):
     put("x.log", b"a a\na a a\nb\na\n")
     assert run("-c", "-o", "-m", "1", "a", "x.log")[1] == "x.log:2\n"
