@@ -79,14 +79,20 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         escape = spec.escape == "always" or spec.escape == "auto" and terminal
         spec.painted = color = spec.color == "always" or spec.color == "auto" and terminal
         run = search(spark, spec)
-        closed = lost = False
+        lost = False
         chunks = output(run, escape, raw_names=spec.escape == "never", color=color)
         try:
             for chunk in chunks:
                 out.write(chunk)
+                if not chunk:
+                    out.flush()
             out.flush()
         except BrokenPipeError:
-            closed = True
+            run.segments.cancel()  # nobody reads on: the inputs need not be read either
+            os.dup2(os.open(os.devnull, os.O_WRONLY), 1)
+            for _, message in run.resolved.errors:
+                say(message)
+            return 2 if run.resolved.errors or run.told_errors else 0  # what was written counts
         except OSError as e:
             say(f"WRITE_FAILED: the output could not be written: {e.strerror}")
             lost = True
@@ -95,8 +101,6 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             say(message)
         for r in run.diagnostics().orderBy("item_index", "member_index").toLocalIterator():
             say(f"{r['archive']}: {r['message']}")
-        if closed:
-            os.dup2(os.open(os.devnull, os.O_WRONLY), 1)
         return 2 if lost else verdict["exit_code"]
     except OSError as e:
         say(str(e))

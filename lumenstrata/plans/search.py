@@ -8,6 +8,7 @@ was.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -19,7 +20,8 @@ from ..sources import archive
 from ..sources.matching import Wanted
 from ..sources.resolve import Resolved
 from ..sources.walk import FIRST_FILL
-from .scratch import remove, written
+from .scratch import remove
+from .segments import Segments
 from .select import select_lines
 from .spec import SearchSpec
 
@@ -63,8 +65,11 @@ class Run:
     spec: SearchSpec
     resolved: Resolved
     scanned: DataFrame
-    #: Some inputs are read in ranges.
+    #: Some inputs are read in ranges; all partitions of the scan are inputs, in order, or ranges of such.
     ranged: bool = False
+    streams: bool = False
+    #: Errors of the inputs whose rows have been given.
+    told_errors: int = 0
 
     def display(self, sep: str | None = None) -> Column:
         return display_path(F.col("archive"), F.col("member"), sep or self.spec.separator)
@@ -76,20 +81,47 @@ class Run:
             return select_lines(self.scanned, "hit", s.lines_before, s.lines_after, s.max_count or None)
         return self.scanned.drop("hit").withColumns({"kind": F.when(F.col("rec_type").isin("line", "hits"), "match"), "group_break": F.lit(False)})
 
+    @cached_property
+    def segments(self) -> Segments:
+        """The run itself: from here on it reads."""
+        return Segments(self.selected(), "run")
+
     @cached_property
     def table(self) -> DataFrame:
-        """What ``selected`` gives, written once."""
-        out, self._path = written(self.selected(), "run")
+        """All that ``selected`` gives, written once."""
+        out = self.segments.finish()
         return joined_ranges(out, self.spec.what == "whole") if self.ranged else out
 
+    def rows(self) -> Iterator[list[dict]]:
+        """The table's rows in batches, an input's together, while other inputs are still read; an empty batch ends a segment.
+
+        Inputs come in their order, or as they end if the run is not to be sorted.
+        Where Spark's own reader takes part, they come in order when all is read.
+        """
+        columns = ["rec_type", *MEMBER, "archive", "member", "line_no", "byte_offset", "line", "eol", "muted", "severity", "spans", "n_lines", "n", "part", "kind", "group_break"]
+        if self.streams:
+            yield from self.segments.rows(columns, self.spec.sort)
+            return
+        batch: list[dict] = []
+        for r in self.segments.finish().select(columns).orderBy(*MEMBER, "line_no").toLocalIterator(True):
+            batch.append(r.asDict())
+            if len(batch) == 1024:
+                yield batch
+                batch = []
+        yield batch
+        yield []
+
     def close(self) -> None:
         """Remove what the run has written, the copy of standard input included."""
+        if "segments" in self.__dict__:
+            if self.segments.error is None:
+                self.segments.cancel()
+            remove(self.scanned.sparkSession, self.segments.path)
+            del self.segments
+            self.__dict__.pop("table", None)
         for item in self.resolved.items:
             if item.display == "<stdin>" and os.path.exists(item.path):
                 os.unlink(item.path)
-        if "table" in self.__dict__:
-            remove(self.scanned.sparkSession, self._path)
-            del self.table
 
     def hits(self) -> DataFrame:
         """Lines to show, in no order: kind, group_break, display and the rest of the line's columns."""
@@ -159,6 +191,6 @@ def search(spark: SparkSession, spec: SearchSpec, range_bytes: int | None = None
     if not spec.list_members:
         patterns = dict(patterns=m.patterns, fixed=m.fixed, ignore_case=m.ignore_case, smart_case=m.smart_case, word=m.word, invert=m.invert, crlf=m.crlf)
         wanted = Wanted(**patterns, what=spec.what, spans=spec.spans, limit=spec.max_count, together=spec.mode == "quiet")
-    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "", wanted=wanted, around=max(spec.lines_before, spec.lines_after), range_bytes=range_bytes)
+    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "", wanted=wanted, around=max(spec.lines_before, spec.lines_after), range_bytes=range_bytes, ordered=spec.sort)
     ranged = wanted is not None and not wanted.limit and any(archive.in_ranges(i, range_bytes) for i in found.items if not i.remote or archive.reachable(i.path))
-    return Run(spec, found, scanned, ranged)
+    return Run(spec, found, scanned, ranged, all(not i.remote or archive.reachable(i.path) for i in found.items))

@@ -25,22 +25,97 @@ def _name(text: str, raw: bool) -> bytes:
 
 
 def output(run: Run, escape: bool = False, raw_names: bool = False, color: bool = False) -> Iterator[bytes]:
-    """Chunks of standard output in the run's mode."""
+    """Chunks of standard output in the run's mode, each as soon as its input is read and those before it are told; an empty chunk where the next may take a while."""
     s = run.spec
-    order = [*MEMBER, "line_no"] if s.mode in ("lines", "json") else MEMBER
     clean = escape_bytes if escape else lambda b: b
     if s.mode == "quiet":
         return
+    name = lambda r: clean(_name(_display(r, s.separator), raw_names))
     if s.mode == "list":
-        for r in run.members().orderBy(*MEMBER).toLocalIterator(True):
-            yield clean(_name(r["display"], raw_names)) + b"\n"
+        for r in _told(run):
+            if r is None:
+                yield b""
+            elif r["rec_type"] == "member":
+                yield name(r) + b"\n"
     elif s.mode in ("files", "count"):
-        for r in run.counts().orderBy(*order).toLocalIterator(True):
-            yield clean(_name(r["display"], raw_names)) + (b":%d\n" % r["n"] if s.mode == "count" else b"\n")
+        yield from _counts(run, name)
     elif s.mode == "json":
         yield from _json(run, escape)
     else:
-        yield from _lines(run, clean, raw_names, color)
+        yield from _lines(run, clean, name, color)
+
+
+def _display(r: dict, separator: str) -> str:
+    return r["archive"] + separator + r["member"] if r["member"] else r["archive"]
+
+
+def _key(r: dict) -> tuple:
+    return r["item_index"], r["member_index"]
+
+
+def _told(run: Run) -> Iterator[dict | None]:
+    """The run's rows, None after each input; the ranges of an input are put together as they come."""
+    item, base, muted, gone, last = None, 0, False, False, None
+    for batch in _by_part(run):
+        if batch is None:
+            yield None
+            continue
+        rows, end = batch
+        first = True
+        if rows and rows[0]["item_index"] != item:
+            item, base, muted, gone, last = rows[0]["item_index"], 0, False, False, None
+        for r in rows:
+            if r["part"] is not None:
+                if gone and r["rec_type"] not in ("member", "end") or r["rec_type"] == "binary" and muted:
+                    continue
+                if r["rec_type"] == "line":
+                    r["line_no"] += base
+                    r["muted"] |= muted
+                    if first and last is not None and (run.spec.lines_before or run.spec.lines_after):
+                        r["group_break"] = r["line_no"] - last > 1
+                    first, last = False, r["line_no"]
+            run.told_errors += r["rec_type"] == "diag" and r["severity"] == "error"
+            yield r
+        if end is not None:
+            base, muted, gone = base + end["line_no"], muted or end["n"] is not None, gone or bool(end["muted"])
+
+
+def _by_part(run: Run) -> Iterator[tuple[list[dict], dict | None] | None]:
+    """Batches of rows, with the figures of a range in the last one of it; None after each segment that ends an input."""
+    figures, part = None, None
+    for rows in run.rows():
+        if not rows:
+            if figures is not None:
+                yield [], figures
+            yield None
+            figures = None
+            continue
+        for r in rows:
+            if r["rec_type"] == "range":
+                figures = r
+        yield [r for r in rows if r["rec_type"] != "range"], None
+
+
+def _counts(run: Run, name) -> Iterator[bytes]:
+    """A row a member with a match; the ranges of a plain input are one member."""
+    s, held = run.spec, None
+    for r in _told(run):
+        if r is None:
+            if held and held[3]:
+                yield held[1] + (b":%d\n" % held[2] if s.mode == "count" else b"\n")
+                held = None
+            yield b""
+        if r is None or r["kind"] != "match":
+            continue
+        n = r["n"] if s.only_matching and not s.invert else r["n_lines"]
+        if held and held[0] == _key(r):
+            held[2] += n
+            continue
+        if held:
+            yield held[1] + (b":%d\n" % held[2] if s.mode == "count" else b"\n")
+        held = [_key(r), name(r), n, r["part"] is None]
+    if held:
+        yield held[1] + (b":%d\n" % held[2] if s.mode == "count" else b"\n")
 
 
 def standard(run: Run) -> DataFrame:
@@ -51,36 +126,47 @@ def standard(run: Run) -> DataFrame:
     return run.hits().filter("not muted").select(*MEMBER, "line_no", text.alias("text"), "group_break")
 
 
-def _lines(run: Run, clean, raw_names: bool, color: bool) -> Iterator[bytes]:
+def _lines(run: Run, clean, name, color: bool) -> Iterator[bytes]:
     s = run.spec
     only = s.only_matching and not s.invert
-    hits = run.hits().filter("not muted")
-    if only:
-        hits = hits.filter("kind = 'match'")
-    notices = run.binary_matches().orderBy(*MEMBER).toLocalIterator()
-    waiting = next(notices, None)
     context = s.lines_before or s.lines_after
-    rows = (hits.orderBy(*MEMBER, "line_no") if s.sort else hits.sortWithinPartitions(*MEMBER, "line_no")).toLocalIterator(True)
     previous, printed = None, False
     paint = (lambda b, c: c + b + RESET) if color else (lambda b, c: b)
     eol = b"\r\n" if s.crlf else b"\n"
-
-    def notice(upto) -> Iterator[bytes]:
-        nonlocal waiting
-        while waiting is not None and (upto is None or (waiting["item_index"], waiting["member_index"]) < upto):
-            yield clean(_name(waiting["display"], raw_names)) + b': binary file matches (found "\\0" byte around offset %d)\n' % waiting["offset"]
-            waiting = next(notices, None)
-
-    for r in rows:
-        key = (r["item_index"], r["member_index"])
-        yield from notice(key)
+    offsets: dict[tuple, int] = {}  # where members turned binary, until they are behind us
+    hidden = None  # the member whose hits are not shown
+
+    def notice() -> Iterator[bytes]:
+        nonlocal hidden
+        if hidden is not None:
+            yield name(hidden) + b': binary file matches (found "\\0" byte around offset %d)\n' % offsets.pop(_key(hidden), 0)
+            hidden = None
+
+    for r in _told(run):
+        if r is None:
+            if hidden is not None and hidden["part"] is None:
+                yield from notice()
+            yield b""
+            continue
+        if r["rec_type"] == "binary":
+            offsets.setdefault(_key(r), r["byte_offset"])
+        if r["rec_type"] != "line":
+            continue
+        key = _key(r)
+        if hidden is not None and _key(hidden) != key:
+            yield from notice()
+        if r["muted"]:
+            hidden = r if r["kind"] == "match" else hidden
+            continue
+        if only and r["kind"] != "match":
+            continue
         if context and (previous is not None and previous != key and printed or r["group_break"]):
             yield b"--" + eol
         previous, printed = key, True
         mark = b":" if r["kind"] == "match" else b"-"
-        head = paint(clean(_name(r["display"], raw_names)), PATH) + mark + (paint(b"%d" % r["line_no"], NUMBER) + mark if s.line_numbers else b"")
-        ending = bytes(r["eol"]) if r["eol"] and b"\n" in bytes(r["eol"]) else b"\n"
-        line, found = bytes(r["line"]), [(a, z) for a, z in _spans(r) if a < z]
+        head = paint(name(r), PATH) + mark + (paint(b"%d" % r["line_no"], NUMBER) + mark if s.line_numbers else b"")
+        ending = r["eol"] if r["eol"] and b"\n" in r["eol"] else b"\n"
+        line, found = r["line"], [(a, z) for a, z in _spans(r) if a < z]
         if only:
             bodies = [paint(clean(line[a:z]), MATCH) for a, z in found]
         elif color and r["kind"] == "match" and found:
@@ -93,10 +179,10 @@ def _lines(run: Run, clean, raw_names: bool, color: bool) -> Iterator[bytes]:
             yield head + body + ending
             if s.spaced:
                 yield ending
-    yield from notice(None)
+    yield from notice()
 
 
-def _spans(r) -> list[tuple[int, int]]:
+def _spans(r: dict) -> list[tuple[int, int]]:
     """Start and end of the matches in a row's line."""
     flat = r["spans"] or []
     return list(zip(flat[::2], flat[1::2]))
@@ -118,31 +204,30 @@ def _json(run: Run, escape: bool) -> Iterator[bytes]:
         total["bytes_printed"] += len(out)
         return out
 
-    rows = run.hits().orderBy(*MEMBER, "line_no")
-    binary = run.table.filter("rec_type = 'binary'").select(*MEMBER, "byte_offset").orderBy(*MEMBER).toLocalIterator()
-    mark = next(binary, None)
     key, stats, total, began = None, None, {"bytes_printed": 0}, time.monotonic()
+    offsets: dict[tuple, int] = {}
 
     def end():
-        nonlocal mark
-        while mark is not None and (mark[0], mark[1]) < key:
-            mark = next(binary, None)
-        binary_offset = mark[2] if mark is not None and (mark[0], mark[1]) == key else None
-        return dump({"type": "end", "data": {"path": _text(stats["path"]), "binary_offset": binary_offset, "stats": {"matched_lines": stats["lines"], "matches": stats["matches"]}}})
-
-    for r in rows.toLocalIterator(True):
-        own = (r["item_index"], r["member_index"])
-        path = r["display"].encode("utf-8", "surrogateescape")
+        return dump({"type": "end", "data": {"path": _text(stats["path"]), "binary_offset": offsets.pop(key, None), "stats": {"matched_lines": stats["lines"], "matches": stats["matches"]}}})
+
+    for r in _told(run):
+        if r is None:
+            yield b""
+        elif r["rec_type"] == "binary":
+            offsets.setdefault(_key(r), r["byte_offset"])
+        if r is None or r["rec_type"] != "line":
+            continue
+        own, path = _key(r), _display(r, s.separator).encode("utf-8", "surrogateescape")
         if own != key:
             if stats:
                 yield end()
             key, stats = own, {"path": path, "lines": 0, "matches": 0}
             yield dump({"type": "begin", "data": {"path": _text(path)}})
-        line = bytes(r["line"])
+        line = r["line"]
         subs = [{"match": _text(line[a:z]), "start": a, "end": z} for a, z in _spans(r)] if r["kind"] == "match" else []
         stats["lines"] += r["kind"] == "match"
         stats["matches"] += len(subs)
-        data = {"path": _text(path), "lines": _text(line + bytes(r["eol"] or b"")), "line_number": r["line_no"], "absolute_offset": r["byte_offset"], "submatches": subs}
+        data = {"path": _text(path), "lines": _text(line + (r["eol"] or b"")), "line_number": r["line_no"], "absolute_offset": r["byte_offset"], "submatches": subs}
         yield dump({"type": r["kind"], "data": data})
     if stats:
         yield end()

@@ -4,7 +4,7 @@
 an end row for every input that was walked to its end - from which ``members``,
 ``lines`` and ``diagnostics`` are filters.  Inputs on a file system that the
 executors mount are read by a Python data source, one partition an input,
-largest first, streaming in Arrow batches; a search of large plain inputs has one
+in their order or the largest first, streaming in Arrow batches; a search of large plain inputs has one
 partition a range; stores that Arrow knows are read in ranges by the same source; all other inputs whose paths have a scheme go
 through Spark's ``binaryFile`` source and the same walker.
 """
@@ -138,11 +138,12 @@ class ArchiveReader(DataSourceReader):
             self.names[i["index"]] = tuple(i.pop("names"))
             self.items.append(Item(**i))
         self.options = _options(json.loads(options.get("walk", "{}")))
+        self.ordered = options.get("ordered") == "true"
         self.split = {int(k): n for k, n in json.loads(options.get("split", "{}")).items()}
 
     def partitions(self):
         out = []
-        for i in sorted(self.items, key=lambda i: -(i.size or 0)):
+        for i in self.items if self.ordered else sorted(self.items, key=lambda i: -(i.size or 0)):
             step = self.split.get(i.index)
             out += [_Input(i, (k, a, min(a + step, i.size))) for k, a in enumerate(range(0, i.size, step))] if step else [_Input(i)]
         return out or [_Input(Item(-1, "", ""))]
@@ -213,7 +214,7 @@ CELL_MOST = (1 << 31) - 1
 
 
 def scan(
-    spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True, literal: str = "", wanted: Wanted | None = None, around: int = 0, range_bytes: int | None = None
+    spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True, literal: str = "", wanted: Wanted | None = None, around: int = 0, range_bytes: int | None = None, ordered: bool = False
 ) -> tuple[DataFrame, Resolved]:
     """The tagged table of all inputs, and how the paths were resolved; with ``wanted`` it has only the lines that a search asks for."""
     found = resolve(paths, archive_globs, spark)
@@ -226,7 +227,7 @@ def scan(
     own = [i for i in found.items if i not in remote]
     step = range_bytes or RANGE_BYTES
     split = {i.index: step for i in own if wanted and not wanted.limit and in_ranges(i, step)}
-    scanned = spark.read.format("archive").option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).load()
+    scanned = spark.read.format("archive").option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).option("ordered", ordered).load()
     if remote:
         through = _through_spark(spark, remote, _options(how))
         scanned = scanned.unionByName(through) if own else through
