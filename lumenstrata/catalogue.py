@@ -110,6 +110,13 @@ def match_crlf(spark, sf_dir):
 
 
 
+@query(_match_sql("regexp_matches(line, '[a-z][a-z]ation|^[A-Z][a-z]*[.]$')"))
+def match_many(spark, sf_dir):
+    """Several hundred patterns at once"""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return L.match_lines(_docs(spark, sf_dir), ["doc_id"], Match.of(*(a + b + "ation" for a in letters for b in letters), "^[A-Z][a-z]*[.]$"))
+
+
 @query(_match_sql("false"))
 def match_nothing(spark, sf_dir):
     return L.max_count(_docs(spark, sf_dir), ["doc_id"], Match.of("tion"), 0)

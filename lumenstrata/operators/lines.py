@@ -83,7 +83,11 @@ def lines_from_text(df: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 
 def match_lines(df: DataFrame, keys: list[str], m: Match, text: str = "text") -> DataFrame:
-    """(keys, line_no, line) of the selected lines."""
+    """(keys, line_no, line) of the selected lines; a literal is looked for in generated code, a pattern by ``spans``."""
+    if not m.literal:
+        from .spans import selected_lines
+
+        return selected_lines(df, keys, m, text)
     return lines_from_text(prefiltered(df, m, text), keys, text).filter(m.hit(F.col("line")))
 
 

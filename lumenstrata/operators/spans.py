@@ -51,6 +51,23 @@ def matches_of(lines: pa.BinaryArray, spans: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([text, pa.array(start), pa.array(end)], names=["text", "start", "end"]))
 
 
+def selected_lines(df: DataFrame, keys: list[str], m: Match, text: str = "text") -> DataFrame:
+    """(keys, line_no, line) of the selected lines, the inversion included."""
+    rows = prefiltered(df, m, text).filter(df[text] != "").select(*keys, text)
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = matcher(m.patterns, m.fixed, m.ignore_case, m.smart_case, m.word)
+        for batch in batches:
+            row, number, _, lines = cut_lines(batch.column(len(keys)).cast(pa.binary()))
+            bodies = pc.if_else(pc.ends_with(lines, b"\r"), pc.binary_slice(lines, 0, -1), lines) if m.crlf else lines
+            at = np.flatnonzero(engine.hits(bodies) != m.invert)
+            own = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(len(keys))), pa.array(number[at]), lines.take(pa.array(at)).cast(pa.string())], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
 def matching_lines(df: DataFrame, keys: list[str], m: Match, text: str = "text", totals: bool = False) -> DataFrame:
     """(keys, line_no, byte_offset, line, matches): every line with a match, and all its matches, empty ones included.
 

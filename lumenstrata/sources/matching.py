@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..functions.automaton import Matcher
+from ..functions.automaton import Many, Matcher, matcher_of
 
 if TYPE_CHECKING:
     from .walk import Lines
@@ -50,8 +50,8 @@ class Wanted:
 
 
 @lru_cache(maxsize=16)
-def matcher(patterns: tuple[str, ...], fixed: bool, ignore_case: bool, smart_case: bool, word: bool) -> Matcher:
-    return Matcher(list(patterns), fixed, ignore_case, smart_case, word)
+def matcher(patterns: tuple[str, ...], fixed: bool, ignore_case: bool, smart_case: bool, word: bool) -> Matcher | Many:
+    return matcher_of(list(patterns), fixed, ignore_case, smart_case, word)
 
 
 class Selection:
