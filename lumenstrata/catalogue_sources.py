@@ -127,6 +127,13 @@ def source_plain(spark, sf_dir):
     return named(r.hits()).select("k", "line_no", F.col("line").cast("string").alias("line"))
 
 
+@query(_hits_sql("regexp_matches(line, '[a-z]+ation')"))
+def source_zip_runs(spark, sf_dir):
+    """Zips in runs of entries, a task each"""
+    folder = pack(_docs(spark, sf_dir), scratch_path(spark, "archives").removeprefix("file://"), "zip")
+    return shown(search(spark, parse(["[a-z]+ation", folder]), range_bytes=10_000))
+
+
 _JOINED = "p AS (SELECT doc_id // 64 AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY ALL), "
 
 
@@ -448,4 +455,23 @@ def source_stream(spark, sf_dir):
     return named(spark.read.parquet(out)).select("doc_id", "line_no", F.col("line").cast("string").alias("line"))
 
 
+@query(ORACLES["source_plain"])
+def source_follow(spark, sf_dir):
+    """Plain files that grow while they are followed: one half of each, then the rest, over a restart"""
+    from .operators.lines import Match
+    from .streaming.follow import follow
+
+    folder, out = scratch_path(spark, "archives").removeprefix("file://"), scratch_path(spark, "stream")
+    for grown in (lambda b: b[: len(b) // 2], lambda b: b + b"\n"):
+        pack(_docs(spark, sf_dir), folder, "plain", around=grown)
+        stream = follow(spark, folder, Match.of("ation")).filter("rec_type = 'line'").writeStream.format("parquet")
+        q = stream.option("path", out).option("checkpointLocation", f"{out}-state").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    found = spark.read.parquet(out).withColumn("member", F.lit(""))
+    return named(found).select("k", "line_no", F.col("line").cast("string").alias("line"))
+
+
 __all__ = ["pack", "run", "sources"]

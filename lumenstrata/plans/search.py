@@ -164,8 +164,8 @@ class Run:
         total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
         return self.table.agg(
             F.coalesce(F.bool_or(hit), F.lit(False)).alias("matched"), F.count_if((F.col("rec_type") == "diag") & (F.col("severity") == "error")).alias("errors"), F.count_if(end).alias("ends"),
-            F.count_if(F.col("rec_type") == "member").alias("members"), total(F.when(end, F.col("seen"))).alias("seen"), (F.count_if(hit) if s.list_members else total(F.when(hit, F.col("n_lines")))).alias("matched_lines"), total(F.when(F.col("kind") == "match", F.col("n"))).alias("matches"),
-            F.count_distinct(F.when(F.col("kind") == "match", F.struct(*MEMBER))).alias("searches_with_match"), total(F.when(end | (F.col("rec_type") == "range"), F.col("byte_offset"))).alias("bytes_searched"),
+            F.count_if(F.col("rec_type") == "member").alias("members"), total("seen").alias("seen"), (F.count_if(hit) if s.list_members else total(F.when(hit, F.col("n_lines")))).alias("matched_lines"), total(F.when(F.col("kind") == "match", F.col("n"))).alias("matches"),
+            F.count_distinct(F.when(F.col("kind") == "match", F.struct(*MEMBER))).alias("searches_with_match"), total(F.when(F.col("rec_type").isin("end", "part", "range"), F.col("byte_offset"))).alias("bytes_searched"),
         )
 
     def verdict(self) -> dict:

@@ -5,7 +5,7 @@ an end row for every input that was walked to its end - from which ``members``,
 ``lines`` and ``diagnostics`` are filters.  Inputs on a file system that the
 executors mount are read by a Python data source, one partition an input,
 in their order or the largest first, streaming in Arrow batches; a search of large plain inputs has one
-partition a range; stores that Arrow knows are read in ranges by the same source; all other inputs whose paths have a scheme go
+partition a range, a large zip one a run of entries; stores that Arrow knows are read in ranges by the same source; all other inputs whose paths have a scheme go
 through Spark's ``binaryFile`` source and the same walker.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .matching import Wanted
 from .ranged import opened, reachable
 from .resolve import STDIN, Item, Resolved, has_scheme, resolve, spool_stdin
-from .walk import Lines, Options, splittable, walk, walk_range
+from .walk import Lines, Options, entry_runs, splittable, walk, walk_range
 
 SCHEMA = (
     "rec_type string, item_index long, archive string, member_index long, member string, format string, codec string, "
@@ -110,6 +110,8 @@ def event_batches(events: Iterator[tuple], index: int, archive: str, part: int |
             yield _lines_batch([(e[1], name, e[2])], own | {"beside": True})
         elif e[0] == "range":
             other.append({"rec_type": "range", "member_index": 0, "member": "", "line_no": e[2], "byte_offset": e[3], "n": e[4], "muted": e[5]})
+        elif e[0] == "part":
+            other.append({"rec_type": "part", "seen": e[1], "searched": e[2], "byte_offset": n_bytes})
         elif e[0] == "hits":
             other.append({"rec_type": "hits", "member_index": e[1], "member": name, "n_lines": e[2], "n": e[3]})
         elif e[0] == "size":
@@ -124,11 +126,11 @@ def event_batches(events: Iterator[tuple], index: int, archive: str, part: int |
 
 
 class _Input(InputPartition):
-    """An input, or of a plain one a range: (number, start, stop)."""
+    """An input, or a range of a plain one or a run of a zip's entries: (number, start, stop)."""
 
-    def __init__(self, item: Item, part: tuple[int, int, int] | None = None):
+    def __init__(self, item: Item, part: tuple[int, int, int] | None = None, run: tuple[int, int, int] | None = None):
         super().__init__(item.index)
-        self.item, self.part = item, part
+        self.item, self.part, self.run = item, part, run
 
 
 class ArchiveReader(DataSourceReader):
@@ -139,12 +141,16 @@ class ArchiveReader(DataSourceReader):
             self.items.append(Item(**i))
         self.options = _options(json.loads(options.get("walk", "{}")))
         self.ordered = options.get("ordered") == "true"
+        self.runs = {int(k): r for k, r in json.loads(options.get("runs", "{}")).items()}
         self.split = {int(k): n for k, n in json.loads(options.get("split", "{}")).items()}
 
     def partitions(self):
         out = []
         for i in self.items if self.ordered else sorted(self.items, key=lambda i: -(i.size or 0)):
-            step = self.split.get(i.index)
+            step, runs = self.split.get(i.index), self.runs.get(i.index)
+            if runs:
+                out += [_Input(i, run=(k, a, b)) for k, (a, b) in enumerate(zip(runs, runs[1:]))]
+                continue
             out += [_Input(i, (k, a, min(a + step, i.size))) for k, a in enumerate(range(0, i.size, step))] if step else [_Input(i)]
         return out or [_Input(Item(-1, "", ""))]
 
@@ -166,7 +172,7 @@ class ArchiveReader(DataSourceReader):
                 yield from event_batches(walk_range(f, k, start, stop, item.size, o), item.index, item.display, k)
                 return
             size = None if item.size is None else item.size if item.remote else os.fstat(f.fileno()).st_size
-            yield from event_batches(walk(f, size, o, stream=item.size is None), item.index, item.display)
+            yield from event_batches(walk(f, size, o, stream=item.size is None, run=partition.run), item.index, item.display)
 
 
 class ArchiveSource(DataSource):
@@ -194,7 +200,7 @@ def _items_json(items: list[Item]) -> str:
     return json.dumps([vars(i) | {"names": i.names() if i.path != STDIN and i.display != "<stdin>" else []} for i in items])
 
 
-#: Plain inputs beyond this size are read in ranges of it, a task each.
+#: Plain inputs beyond this size are read in ranges of it, zips in runs of entries that hold so much, a task each.
 RANGE_BYTES = 64 << 20
 
 
@@ -209,6 +215,17 @@ def in_ranges(item: Item, range_bytes: int | None = None) -> bool:
         return False  # its task tells why
 
 
+def zip_runs(item: Item, run_bytes: int) -> list[int] | None:
+    """A large zip's entries as runs, by its directory."""
+    if item.size is None or item.size <= run_bytes:
+        return None
+    try:
+        with opened(item.path) as f:
+            return entry_runs(f, item.size, run_bytes)
+    except OSError:
+        return None
+
+
 #: What one cell of Spark's ``binaryFile`` source can hold.
 CELL_MOST = (1 << 31) - 1
 
@@ -227,7 +244,8 @@ def scan(
     own = [i for i in found.items if i not in remote]
     step = range_bytes or RANGE_BYTES
     split = {i.index: step for i in own if wanted and not wanted.limit and in_ranges(i, step)}
-    scanned = spark.read.format("archive").option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).option("ordered", ordered).load()
+    runs = {i.index: r for i in own if (r := zip_runs(i, step))}
+    scanned = spark.read.format("archive").option("runs", json.dumps(runs)).option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).option("ordered", ordered).load()
     if remote:
         through = _through_spark(spark, remote, _options(how))
         scanned = scanned.unionByName(through) if own else through
@@ -272,7 +290,7 @@ def diagnostics(scanned: DataFrame) -> DataFrame:
 def outcomes(scanned: DataFrame, items: int | None = None) -> DataFrame:
     """One row an input: members seen and searched, errors and notes, and whether it was walked to its end."""
     return scanned.groupBy("item_index", "archive").agg(
-        F.max("seen").alias("members_seen"), F.max("searched").alias("members_searched"), F.count_if((F.col("rec_type") == "diag") & (F.col("severity") == "error")).alias("n_errors"),
+        F.sum("seen").alias("members_seen"), F.sum("searched").alias("members_searched"), F.count_if((F.col("rec_type") == "diag") & (F.col("severity") == "error")).alias("n_errors"),
         F.count_if((F.col("rec_type") == "diag") & (F.col("severity") == "note")).alias("n_notes"), F.max(F.when(F.col("rec_type") == "end", F.col("message"))).alias("unverified_end"),
         F.bool_or(F.col("rec_type") == "end").alias("walked"),
     )

@@ -291,8 +291,13 @@ def _member(index: int, name: str, s: Stream, o: Options, diag: _Diagnostics, ou
     return whole
 
 
-def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tuple]:
-    """All events of one open binary file; ``stream``: it can't be sought."""
+def walk(f, size: int | None, o: Options, stream: bool = False, run: tuple[int, int, int] | None = None) -> Iterator[tuple]:
+    """All events of one open binary file; ``stream``: it can't be sought.
+
+    ``run`` (number, first, stop) walks these entries of a zip only.  The first
+    run has the audit of the whole file; the others end with ("part", members
+    seen, members searched) in place of ("end", ...).
+    """
     globs = Globs(list(o.globs)) if o.globs else None
     diag = _Diagnostics()
     search = Selection(o.wanted) if o.wanted else None
@@ -312,6 +317,8 @@ def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tupl
                 raise ReadError("ZIP_ON_PIPE", "a zip is read from its end, which a pipe does not have yet")
             z, failed = zips.Zip(f, size), 0
             for k, info in enumerate(z.members()):
+                if run and not run[1] <= k < run[2]:
+                    continue
                 seen += 1
                 if globs and not globs.match(info.filename):
                     continue
@@ -321,7 +328,7 @@ def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tupl
                 if failed >= zips.GAVE_UP:
                     yield from diag("error", "ZIP_GAVE_UP", "a thousand entries in a row could not be read")
                     break
-            for e in z.audit():
+            for e in z.audit() if not run or not run[0] else ():
                 yield from diag("error", e.code, str(e))
         else:
             if kind.startswith("unreadable:"):
@@ -365,7 +372,24 @@ def walk(f, size: int | None, o: Options, stream: bool = False) -> Iterator[tupl
     except OSError as e:
         yield from diag("error", "OPEN_FAILED" if not seen else "READ_FAILED", str(e))
     yield from diag.rest()
-    yield "end", seen, read, unverified
+    if run and run[0]:
+        yield "part", seen, read
+    else:
+        yield "end", seen, read, unverified
+
+
+def entry_runs(f, size: int, run_bytes: int) -> list[int] | None:
+    """The first entries of runs of a zip that hold about so many packed bytes each, and the number of entries; None if it is no zip, or one run."""
+    head = f.read(SNIFF_LENGTH)
+    if sniff(head) != "zip" and not (sniff(head) == "plain" and zips.ends_as_zip(f, size)):
+        return None
+    try:
+        packed = np.cumsum([info.compress_size for info in zips.Zip(f, size).members()])
+    except ReadError:
+        return None
+    run = packed // run_bytes if len(packed) else packed
+    firsts = np.flatnonzero(np.diff(run, prepend=-1)).tolist()
+    return [*firsts, len(packed)] if len(firsts) > 1 else None
 
 
 def splittable(f, size: int) -> bool:
@@ -506,4 +530,4 @@ def read_all(f, size: int | None = None, o: Options | None = None, stream: bool
     return list(walk(f, size, o or Options(), stream))
 
 
-__all__ = ["CHUNK", "Options", "lines_of", "read_all", "splittable", "walk", "walk_range"]
+__all__ = ["CHUNK", "Options", "entry_runs", "lines_of", "read_all", "splittable", "walk", "walk_range"]

@@ -77,6 +77,34 @@ def test_what_is_not_split(spark, tmp_path, monkeypatch):
     assert archive.in_ranges(archive.resolve([str(tmp_path / "p")]).items[0])
 
 
+def damaged(zipped, kind):
+    """A zip with something wrong in it."""
+    return {
+        "whole": zipped, "more": zipped + b"and more", "cut": zipped[: len(zipped) * 2 // 3], "prefix": b"#!/bin/sh\n" + zipped,
+        "flipped": zipped[:3000] + bytes(x ^ 255 for x in zipped[3000:3050]) + zipped[3050:],
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["whole", "more", "cut", "prefix", "flipped"])
+def test_zips_in_runs_of_entries(spark, tmp_path, kind):
+    from lumenstrata.render import output
+    from lumenstrata.sources.build import zip_
+
+    rng = random.Random(3)
+    members = [(f"logs/{k}.{'log' if k % 3 else 'txt'}", b"".join(rng.choice([b"NEEDLE\n", b"x%d\n" % rng.randrange(10**9), b"y\n"]) for _ in range(rng.randrange(400)))) for k in range(60)]
+    (tmp_path / "a.zip").write_bytes(damaged(zip_(members), kind))
+    for args in (["NEEDLE"], ["-c", "-g", "*.log", "NEEDLE"], ["-T", "-g", "!*/7.log"], ["--json", "-C1", "NEEDLE"], ["-g", "*.none", "x"]):
+        whole, parts = (search(spark, parse([*args, str(tmp_path)]), range_bytes=n) for n in (1 << 40, 4000))
+        if kind != "cut":
+            assert parts.scanned.rdd.getNumPartitions() > 5 and whole.scanned.rdd.getNumPartitions() == 1
+        said = [sorted((r["code"], r["member"] or "", r["message"]) for r in x.diagnostics().collect()) for x in (whole, parts)]
+        assert said[0] == said[1] and (kind not in ("more", "cut") or said[0])
+        told = [[c for c in b"".join(output(x)).splitlines() if b'"summary"' not in c] for x in (whole, parts)]
+        assert told[0] == told[1]
+        assert whole.verdict() == parts.verdict()
+        assert sorted(map(tuple, whole.outcomes().collect())) == sorted(map(tuple, parts.outcomes().collect()))
+
+
 def test_many_tasks_read_one_log(spark, tmp_path, monkeypatch):
     path = tmp_path / "big.log"
     with open(path, "wb") as f:
