@@ -255,6 +255,13 @@ def alias_dedup(spark, sf_dir):
     return L.first_of_identity(items, ["k"], "doc_id", "source").withColumn("aliases", F.array_join("aliases", ","))
 
 
+@query("SELECT doc_id, source, min(doc_id) OVER w AS first_position, first_value(source) OVER (PARTITION BY text ORDER BY doc_id) AS first_name, count(*) OVER w AS n_names FROM documents WINDOW w AS (PARTITION BY text)")
+def alias_rows(spark, sf_dir):
+    """Names of one identity as rows in place of an array"""
+    items = _docs(spark, sf_dir).select(F.sha2(F.encode("text", "UTF-8"), 256).alias("k"), "doc_id", "source")
+    return L.identity_rows(items, ["k"], "doc_id", "source").drop("k")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN source ELSE source || ':' || 'doc/' || doc_id::VARCHAR END AS display FROM documents")
 def display_path(spark, sf_dir):
     member = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))

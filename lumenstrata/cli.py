@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import sys
 
+from pyspark.errors import PySparkException
+
 from .functions.escapes import escape_text
 from .functions.globs import BadGlob
 from .functions.regex_dialect import BadPattern
@@ -102,6 +104,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for r in run.diagnostics().orderBy("item_index", "member_index").toLocalIterator():
             say(f"{r['archive']}: {r['message']}")
         return 2 if lost else verdict["exit_code"]
+    except PySparkException as e:  # a task was lost for good: what was told stands, and not all was read
+        say(f"WORKER_DIED: an input was not walked to its end: {str(e).splitlines()[0]}")
+        return 2
     except OSError as e:
         say(str(e))
         return 2

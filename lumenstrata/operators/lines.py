@@ -214,6 +214,19 @@ def capped(df: DataFrame, keys: list[str], order: list[str], limit: int = 100) -
     return joined.withColumn("more", F.greatest(F.col("_c") - limit, F.lit(0)).cast("long")).drop("_c")
 
 
+def identity_rows(items: DataFrame, identity: list[str], position: str, name: str) -> DataFrame:
+    """Every item with the first of its identity, in columns (first_position, first_name), and how many items there are of it.
+
+    A row an item, so an identity of any number of names holds no more than its
+    smallest item and a count; a null identity is one like any other.
+    """
+    taken = [f"_{c}" for c in identity]
+    first = items.groupBy(*identity).agg(F.min(F.struct(position, name)).alias("_f"), F.count(F.lit(1)).alias("n_names"))
+    first = first.select(*(F.col(c).alias(t) for c, t in zip(identity, taken)), F.col("_f")[position].alias("first_position"), F.col("_f")[name].alias("first_name"), "n_names")
+    same = [items[c].eqNullSafe(first[t]) for c, t in zip(identity, taken)]
+    return items.join(first, same).drop(*taken)
+
+
 def first_of_identity(items: DataFrame, identity: list[str], position: str, name: str) -> DataFrame:
     """Items that are the first of their identity, with the other names of it as ``aliases``."""
     groups = items.groupBy(*identity).agg(F.array_sort(F.collect_list(F.struct(position, name))).alias("g"))

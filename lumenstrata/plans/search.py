@@ -120,8 +120,8 @@ class Run:
             del self.segments
             self.__dict__.pop("table", None)
         for item in self.resolved.items:
-            if item.display == "<stdin>" and os.path.exists(item.path):
-                os.unlink(item.path)
+            if item.display == "<stdin>":
+                remove(self.scanned.sparkSession, item.path if item.remote else f"file://{item.path}")
 
     def hits(self) -> DataFrame:
         """Lines to show, in no order: kind, group_break, display and the rest of the line's columns."""

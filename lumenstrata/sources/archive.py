@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans.scratch import scratch_root
 from .matching import Wanted
 from .ranged import opened, reachable
 from .resolve import STDIN, Item, Resolved, has_scheme, resolve, spool_stdin
@@ -237,7 +238,7 @@ def scan(
     found = resolve(paths, archive_globs, spark)
     for item in found.items:
         if item.path == STDIN:
-            item.path = spool_stdin()
+            item.path = spool_stdin(scratch_root(spark))
     spark.dataSource.register(ArchiveSource)
     how = {"globs": list(globs or ()), "text": text, "crlf": crlf, "lines": lines, "literal": literal, "wanted": wanted and wanted.written(), "around": around}
     remote = [i for i in found.items if i.remote and not reachable(i.path)]

@@ -90,6 +90,12 @@ def reachable(uri: str) -> bool:
         return False
 
 
+def created(uri: str):
+    """A new file of a store, to be written."""
+    store, path = _located(uri)
+    return store.open_output_stream(path)
+
+
 def opened(path: str):
     """A local path or a URI as an open binary file."""
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path):
@@ -97,4 +103,4 @@ def opened(path: str):
     return open(path, "rb")
 
 
-__all__ = ["Ranged", "opened", "reachable"]
+__all__ = ["Ranged", "created", "opened", "reachable"]

@@ -10,6 +10,7 @@ import re
 import stat
 import sys
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from ..functions.globs import Globs, archive_globs_match
@@ -158,9 +159,21 @@ def resolve(paths: list[str], archive_globs: list[str] | None = None, spark=None
 
 
 def spool_stdin(folder: str | None = None) -> str:
-    """Standard input as a file; the caller removes it."""
+    """Standard input as a file below ``folder``, which all tasks see; the caller removes it."""
+    data = iter(lambda: sys.stdin.buffer.read(1 << 20), b"")
+    if folder and has_scheme(folder) and not folder.startswith("file:"):
+        from .ranged import created
+
+        path = f"{folder}/stdin-{uuid.uuid4().hex}"
+        with created(path) as f:
+            for chunk in data:
+                f.write(chunk)
+        return path
+    if folder:
+        folder = re.sub("^file:/+", "/", folder)
+        os.makedirs(folder, exist_ok=True)
     fd, path = tempfile.mkstemp(prefix="stdin-", dir=folder)
     with os.fdopen(fd, "wb") as f:
-        while chunk := sys.stdin.buffer.read(1 << 20):
+        for chunk in data:
             f.write(chunk)
     return path

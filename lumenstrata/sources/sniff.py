@@ -73,7 +73,7 @@ def _lzma(head: bytes) -> str | None:
     if len(head) < 14:
         return None
     properties, dictionary, size, coder = struct.unpack_from("<BIQB", head)
-    usual = properties == 3 + 9 * (0 + 5 * 2) and dictionary in LZMA_DICTIONARIES and coder == 0
+    usual = properties == 0x5D and dictionary in LZMA_DICTIONARIES and coder == 0
     return "unreadable:lzma" if usual and (size == 2**64 - 1 or size < 2**40) else None
 
 

@@ -68,3 +68,11 @@ def test_long_members(spark):
     assert L.context_lines(df, ["k"], Match.of("hit"), 2, 2).count() == 1200 * 5 - 2
     assert L.byte_offsets(df, ["k"]).count() == 60_000
     assert time.time() - began < 90
+
+
+def test_identities_as_rows(spark):
+    items = spark.createDataFrame([(3, "c", "x"), (1, "a", "x"), (2, "b", None), (5, "e", None), (4, "d", "y")], "pos int, name string, k string")
+    got = sorted((r["pos"], r["name"], r["first_position"], r["first_name"], r["n_names"]) for r in L.identity_rows(items, ["k"], "pos", "name").collect())
+    assert got == [(1, "a", 1, "a", 2), (2, "b", 2, "b", 2), (3, "c", 1, "a", 2), (4, "d", 4, "d", 1), (5, "e", 2, "b", 2)]
+    many = spark.range(300_000).select(F.lit("same").alias("k"), F.col("id").alias("pos"), F.concat(F.lit("n"), "id").alias("name"))
+    assert L.identity_rows(many, ["k"], "pos", "name").filter("first_name = 'n0' and n_names = 300000").count() == 300_000

@@ -191,6 +191,32 @@ def test_stdin(run, monkeypatch):
     assert run("NEEDLE", "-")[:2] == (0, "<stdin>:2:NEEDLE one\n")
 
 
+def test_standard_input_goes_where_tasks_see_it(run, spark, monkeypatch):
+    from lumenstrata.plans.scratch import scratch_root
+
+    monkeypatch.setattr(sys, "stdin", type("S", (), {"buffer": io.BytesIO(LOG)})())
+    r = search(spark, parse(["NEEDLE", "-"]))
+    assert r.resolved.items[0].path.startswith(scratch_root(spark).removeprefix("file://")) and r.hits().count() == 1
+    path = r.resolved.items[0].path
+    r.close()
+    assert not os.path.exists(path)
+
+
+def test_a_lost_task_is_no_success(run, monkeypatch):
+    put("a.log", LOG)
+    put("b.log", LOG)
+    from lumenstrata.plans import segments
+
+    def fails(self, df):
+        from pyspark.errors import PySparkException
+
+        self.error = PySparkException("a task failed four times\nand more")
+
+    monkeypatch.setattr(segments.Segments, "_write", fails)
+    code, out, err = run("NEEDLE", "a.log", "b.log")
+    assert code == 2 and "WORKER_DIED" in err and "and more" not in err
+
+
 def test_help_and_usage(run):
     assert run("--help")[0] == run("--examples")[0] == run("-V")[0] == 0
     for bad in (["-T", "-c", "x"], ["--spaced", "-c", "p", "x"], ["p"], [], ["--nope", "p", "x"], ["-m", "x", "p", "x"], ["--archive-sep", "ab", "p", "x"], ["--color", "x", "p", "f"]):
