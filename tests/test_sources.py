@@ -270,3 +270,37 @@ def test_stdlib_tars_of_all_formats():
     for fmt in (tarfile.USTAR_FORMAT, tarfile.GNU_FORMAT, tarfile.PAX_FORMAT):
         evs = events(tar([("é/" + "x" * 90 + "/" + "y" * 40, b"NEEDLE\n")], format=fmt))
         assert codes(evs) == [] and [e[2] for e in evs if e[0] == "member"] == ["é/" + "x" * 90 + "/" + "y" * 40]
+
+
+def packed_zip(entries):
+    """A zip of (name, method, packed bytes, body)."""
+    import struct
+    import zlib
+
+    out, directory = b"", b""
+    for name, method, packed, body in entries:
+        n, crc = name.encode(), zlib.crc32(body)
+        directory += struct.pack("<4s6H3I5H2I", b"PK\x01\x02", 63, 63, 0, method, 0, 0x21, crc, len(packed), len(body), len(n), 0, 0, 0, 0, 0, len(out)) + n
+        out += struct.pack("<4s5H3I2H", b"PK\x03\x04", 63, 0, method, 0, 0x21, crc, len(packed), len(body), len(n), 0) + n + packed
+    return out + directory + struct.pack("<4s4H2IH", b"PK\x05\x06", 0, 0, len(entries), len(entries), len(directory), len(out), 0)
+
+
+def test_zip_entries_in_xz_and_zstd():
+    import io
+    import lzma
+
+    import zstandard
+
+    from lumenstrata.sources.walk import read_all
+
+    body = b"NEEDLE in a zip\n" * 20_000
+    xz, zstd = lzma.compress(body), zstandard.compress(body)
+    good = [("a", 95, xz, body), ("b", 93, zstd, body), ("c", 20, zstd, body), ("d", 95, lzma.compress(b""), b"")]
+    data = packed_zip(good)
+    events = read_all(io.BytesIO(data), len(data))
+    assert [e for e in events if e[0] == "diag"] == [] and events[-1][1:3] == (4, 4)
+    assert [sum(len(e[3]) for e in events if e[0] == "lines" and e[1] == k) for k in range(4)] == [20_000, 20_000, 20_000, 0]
+    bad = [("cut", 95, xz[:-30], body), ("other", 93, zstd, body[:-1] + b"x"), ("longer", 95, xz, body + b"x"), ("junk", 93, b"junk", body), ("ok", 95, xz, body)]
+    data = packed_zip(bad)
+    events = read_all(io.BytesIO(data), len(data))
+    assert [(e[1], e[3]) for e in events if e[0] == "diag"] == [(0, "ZIP_ENTRY"), (1, "ZIP_ENTRY"), (2, "ZIP_ENTRY"), (3, "ZIP_ENTRY")] and events[-1][1:3] == (5, 1)
