@@ -8,11 +8,12 @@ import zlib
 from collections.abc import Iterator
 
 from . import codecs
+from .deflate64 import inflate64
 from .streams import CHUNK, ReadError, Stream
 
 GAVE_UP, GAPS_SHOWN = 1000, 5
 #: Methods of entries that the standard library does not read, and the codec of their data.
-METHODS = {93: "zstd", 20: "zstd", 95: "xz"}
+METHODS = {9: "deflate64", 93: "zstd", 20: "zstd", 95: "xz"}
 LOCAL, CENTRAL, END, DESCRIPTOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x07\x08"
 
 
@@ -99,7 +100,8 @@ class Zip:
     def _decoded(self, info: zipfile.ZipInfo) -> Iterator[bytes]:
         total = crc = 0
         try:
-            for chunk in codecs.decode(METHODS[info.compress_type], Stream(self._packed(info))):
+            codec, packed = METHODS[info.compress_type], self._packed(info)
+            for chunk in inflate64(packed) if codec == "deflate64" else codecs.decode(codec, Stream(packed)):
                 total, crc = total + len(chunk), zlib.crc32(chunk, crc)
                 if total > info.file_size:
                     break

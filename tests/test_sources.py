@@ -304,3 +304,70 @@ def test_zip_entries_in_xz_and_zstd():
     data = packed_zip(bad)
     events = read_all(io.BytesIO(data), len(data))
     assert [(e[1], e[3]) for e in events if e[0] == "diag"] == [(0, "ZIP_ENTRY"), (1, "ZIP_ENTRY"), (2, "ZIP_ENTRY"), (3, "ZIP_ENTRY")] and events[-1][1:3] == (5, 1)
+
+
+def deflated(body, level=9):
+    """Plain deflate without the one code that means something else in Deflate64."""
+    import zlib
+
+    c = zlib.compressobj(level, zlib.DEFLATED, -15)
+    return c.compress(body) + c.flush()
+
+
+class Writer:
+    """Bits in the order of deflate, with the fixed codes."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def plain(self, value, n):
+        self.bits += f"{value:0{n}b}"[::-1] if n else ""
+        return self
+
+    def literal(self, symbol):
+        code, n = (0x30 + symbol, 8) if symbol < 144 else (0x190 + symbol - 144, 9) if symbol < 256 else (symbol - 256, 7) if symbol < 280 else (0xC0 + symbol - 280, 8)
+        self.bits += f"{code:0{n}b}"
+        return self
+
+    def distance(self, code, value, extra):
+        self.bits += f"{code:05b}"
+        return self.plain(value, extra)
+
+    def done(self):
+        bits = self.bits + "0" * (-len(self.bits) % 8)
+        return bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8))
+
+
+def test_deflate64():
+    import io
+    import random
+
+    from lumenstrata.sources.deflate64 import inflate64
+    from lumenstrata.sources.walk import read_all
+
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    text = b"".join(rng.choice(words) + rng.choice([b" ", b"\n"]) for _ in range(60_000))
+    for body in (b"", b"a", text, bytes(rng.randrange(256) for _ in range(70_000)), bytes(range(256)) * 2):
+        for level in (0, 1, 9):
+            packed = deflated(body, level)
+            assert b"".join(inflate64(iter([packed[k : k + 777] for k in range(0, len(packed), 777)]))) == body
+    # a length of its long code, and distances beyond 32 KiB
+    w = Writer().plain(1, 1).plain(1, 2)
+    for c in b"NEEDLE ":
+        w.literal(c)
+    w.literal(285).plain(60_000 - 3, 16).distance(5, 0, 1)
+    want = bytearray(b"NEEDLE ")
+    want += (b"NEEDLE " * 9000)[:60_000]
+    w.literal(10).literal(285).plain(5000 - 3, 16).distance(31, 50_001 - 49_153, 14)
+    want += b"\n"
+    start = len(want) - 50_001
+    want += want[start : start + 5000]
+    w.literal(257).distance(30, 40_000 - 32_769, 14)
+    want += want[len(want) - 40_000 : len(want) - 40_000 + 3]
+    packed = w.literal(256).done()
+    assert b"".join(inflate64(iter([packed]))) == bytes(want)
+    data = packed_zip([("a", 9, deflated(text), text), ("b", 9, packed, bytes(want)), ("cut", 9, deflated(text)[:-20], text), ("crc", 9, packed, bytes(want[:-1]) + b"?"), ("junk", 9, b"\x07", b"x")])
+    events = read_all(io.BytesIO(data), len(data))
+    assert [(e[1], e[3]) for e in events if e[0] == "diag"] == [(2, "ZIP_ENTRY"), (3, "ZIP_ENTRY"), (4, "ZIP_ENTRY")] and events[-1][1:3] == (5, 2)
+    assert b"".join(x for e in events if e[0] == "lines" and e[1] == 0 for x in (line + end for _, line, end, _ in e[3])) == text
