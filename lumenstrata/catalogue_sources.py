@@ -257,7 +257,7 @@ def source_json_spans(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_lines()}, t AS (SELECT doc_id, line_no, regexp_extract_all(line, '[\pL\pM\p{{Nd}}\p{{Pc}}]+|[^\pL\pM\p{{Nd}}\p{{Pc}}]+') AS p FROM l WHERE contains(line, 'on') OR contains(line, 'ré')),
+    rf"""WITH {_lines()}, t AS (SELECT doc_id, line_no, regexp_extract_all(line, '[\pL\pM\p{{Nd}}\p{{Pc}}]+|[^\pL\pM\p{{Nd}}\p{{Pc}}]+') AS p FROM l WHERE contains(line, 'on') OR contains(line, 'ré')),
     x AS (SELECT doc_id, line_no, generate_subscripts(p, 1) AS k, unnest(p) AS piece FROM t), y AS (SELECT *, sum(strlen(piece)) OVER (PARTITION BY doc_id, line_no ORDER BY k)::BIGINT AS e FROM x)
     SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) AS match_no, e - strlen(piece) AS start, e AS "end" FROM y WHERE piece IN ('on', 'ré')"""
 )
