@@ -36,7 +36,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 """
 
 BYTES = r"""
-WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')::BLOB) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 w AS (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT rid, doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE doc_id IS NOT NULL)),
 gone AS (SELECT rid, p FROM (SELECT rid, p, doc_id, min(doc_id) OVER (PARTITION BY g) AS earliest FROM w) WHERE earliest < doc_id),
 runs AS (SELECT rid, p, p - coalesce(lag(p) OVER (PARTITION BY rid ORDER BY p), -1000) > 50 AS fresh FROM gone),
