@@ -65,7 +65,7 @@ class Run:
     spec: SearchSpec
     resolved: Resolved
     scanned: DataFrame
-    #: Some inputs are read in ranges; all partitions of the scan are inputs, in order, or ranges of such.
+    #: Some inputs are read in ranges; all partitions of the scan hold inputs, in order, or ranges of such.
     ranged: bool = False
     streams: bool = False
     #: Errors of the inputs whose rows have been given.
@@ -93,14 +93,14 @@ class Run:
         return joined_ranges(out, self.spec.what == "whole") if self.ranged else out
 
     def rows(self) -> Iterator[list[dict]]:
-        """The table's rows in batches, an input's together, while other inputs are still read; an empty batch ends a segment.
+        """The table's rows in batches, an input's together, while other inputs are still read; an empty batch ends an input or a range of one.
 
-        Inputs come in their order, or as they end if the run is not to be sorted.
+        Inputs come in their order, or as they end if the run is not to be sorted and none is read in ranges.
         Where Spark's own reader takes part, they come in order when all is read.
         """
         columns = ["rec_type", *MEMBER, "archive", "member", "line_no", "byte_offset", "line", "eol", "muted", "severity", "spans", "n_lines", "n", "part", "kind", "group_break"]
         if self.streams:
-            yield from self.segments.rows(columns, self.spec.sort)
+            yield from self.segments.rows(columns, self.spec.sort or self.ranged)
             return
         batch: list[dict] = []
         for r in self.segments.finish().select(columns).orderBy(*MEMBER, "line_no").toLocalIterator(True):

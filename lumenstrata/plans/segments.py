@@ -1,4 +1,4 @@
-"""A run's table while it is being written: one segment an input, or a range of one, published as its task ends.
+"""A run's table while it is being written: a segment is what one task reads - inputs, or ranges of such - and published as the task ends.
 
 The write goes on in a thread of its own.  Tasks move their file to its place
 when they commit, under a name with the number of their partition, so what is
@@ -13,6 +13,8 @@ import threading
 import time
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -73,11 +75,16 @@ class Segments:
             raise self.error
 
     def rows(self, columns: list[str], ordered: bool) -> Iterator[list[dict]]:
-        """Rows in batches, those of a segment together and in order; an empty batch ends a segment."""
+        """Rows in batches, those of an input or range together and in order; an empty batch ends what is of one."""
         for file in self.files(ordered):
+            last = None
             with opened(re.sub("^file:/+", "/", file)) as f:
                 for batch in pq.ParquetFile(f).iter_batches(BATCH, columns=columns):
-                    yield batch.to_pylist()
+                    for own, rows in groupby(batch.to_pylist(), key=itemgetter("item_index", "part")):
+                        if last not in (None, own):
+                            yield []
+                        last = own
+                        yield list(rows)
             yield []
 
     def cancel(self) -> None:

@@ -1,6 +1,6 @@
 """The lines of a scan that a search shows, found while the lines stream by.
 
-A member's lines arrive together and in order, so limits and context windows
+A member's lines, or those in a range of a plain input, arrive together and in order, so limits and context windows
 need neither a shuffle nor more memory than a window.
 """
 
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -22,13 +23,13 @@ class _Member:
         self.waiting: pa.RecordBatch | None = None  # lines that a hit to come may show as its context
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Stretches of one member's lines."""
-    a, b = batch.column("item_index").to_numpy(zero_copy_only=False), batch.column("member_index").to_numpy(zero_copy_only=False)
-    edges = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(a)]
+def _stretches(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of rows that are alike in some columns of whole numbers."""
+    columns = [pc.fill_null(batch.column(n), -1).to_numpy(zero_copy_only=False) for n in names if n in batch.schema.names]
+    edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist(), len(batch)]
     for start, end in zip(edges, edges[1:]):
         if end > start:
-            yield (int(a[start]), int(b[start])), batch.slice(start, end - start)
+            yield tuple(int(c[start]) for c in columns), batch.slice(start, end - start)
 
 
 def select_lines(rows: DataFrame, hit: str, before: int, after: int, limit: int | None) -> DataFrame:
@@ -76,13 +77,13 @@ def select_lines(rows: DataFrame, hit: str, before: int, after: int, limit: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = None
-        for batch in batches:
-            is_line = np.array(batch.column("rec_type").to_pylist(), object) == "line"
-            if not is_line.all():
-                other = batch.filter(pa.array(~is_line))
+        for _, batch in (x for b in batches for x in _stretches(b, "item_index", "part")):
+            is_line = pc.equal(batch.column("rec_type"), "line")
+            if pc.any(pc.invert(is_line)).as_py():
+                other = batch.filter(pc.invert(is_line))
                 nulls = [pa.nulls(other.num_rows, pa.string()), pa.nulls(other.num_rows, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(other.column(n) for n in names), *nulls], names=[*names, "kind", "group_break"])
-            for key, part in _pieces(batch.filter(pa.array(is_line))):
+            for key, part in _stretches(batch.filter(is_line), "item_index", "part", "member_index"):
                 if member is None or member.key != key:
                     member = _Member(key)
                 out = shown(member, part)

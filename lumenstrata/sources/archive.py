@@ -3,9 +3,10 @@
 ``scan`` reads inputs into one tagged table - members, lines, diagnostics and
 an end row for every input that was walked to its end - from which ``members``,
 ``lines`` and ``diagnostics`` are filters.  Inputs on a file system that the
-executors mount are read by a Python data source, one partition an input,
-in their order or the largest first, streaming in Arrow batches; a search of large plain inputs has one
-partition a range, a large zip one a run of entries; stores that Arrow knows are read in ranges by the same source; all other inputs whose paths have a scheme go
+executors mount are read by a Python data source, in their order or the largest first, streaming in Arrow
+batches; a search of large plain inputs reads ranges of them, a large zip is read in runs of entries.  An input,
+a range or a run is a partition of its own, or if there are many small ones, as many as come to a partition's
+bytes; stores that Arrow knows are read in ranges by the same source; all other inputs whose paths have a scheme go
 through Spark's ``binaryFile`` source and the same walker.
 """
 
@@ -17,6 +18,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import replace
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,8 @@ _FIELDS = [
 ARROW = pa.schema(_FIELDS)
 
 
-#: Lines that one batch holds at least, unless it is the last.
-BATCH_LINES = 1 << 14
+#: Lines that one batch holds at least, unless it is the last or holds so many bytes.
+BATCH_LINES, BATCH_BYTES = 1 << 14, 16 << 20
 
 
 def _constant(value, kind: pa.DataType, n: int) -> pa.Array:
@@ -61,119 +63,186 @@ def _batch(size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
 
 
-def _lines_batch(blocks: list[tuple[int, str, Lines]], own: dict) -> pa.RecordBatch:
+class _Block(NamedTuple):
+    """Lines of one member, and whose they are."""
+
+    whose: int
+    own: dict
+    index: int
+    name: str
+    lines: Lines
+    beside: bool | None = None
+
+
+def _lines_batch(blocks: list[_Block]) -> pa.RecordBatch:
     """Blocks of several members' lines as one batch."""
-    sizes = [len(x) for _, _, x in blocks]
+    lines = [x.lines for x in blocks]
+    sizes = [len(x) for x in lines]
     which = pa.array(np.repeat(np.arange(len(blocks)), sizes))
-    names = pa.array([name for _, name, _ in blocks], pa.string()).take(which)
+    each = lambda values, kind: pa.array(values, kind).take(which)
+    own = {c: each([x.own[c] for x in blocks], kind) for c, kind in _OWN}
     found = {}
-    if blocks[0][2].hits is not None:
-        hits = np.concatenate([x.hits for _, _, x in blocks])
+    if lines[0].hits is not None:
+        hits = np.concatenate([x.hits for x in lines])
         found = {"hit": hits, "n_lines": pa.array(hits.astype(np.int64)), "n": pa.array(hits.astype(np.int64))}
-    if blocks[0][2].spans is not None:
-        spans = pa.concat_arrays([x.spans for _, _, x in blocks])
+    if lines[0].spans is not None:
+        spans = pa.concat_arrays([x.spans for x in lines])
         found |= {"spans": spans, "n": pc.cast(pc.divide(spans.value_lengths(), 2), pa.int64())}
     return _batch(
-        sum(sizes), rec_type="line", **own, member_index=np.repeat([k for k, _, _ in blocks], sizes), member=names, line_no=np.concatenate([x.numbers for _, _, x in blocks]),
-        byte_offset=np.concatenate([x.offsets for _, _, x in blocks]), line=pa.concat_arrays([x.lines for _, _, x in blocks]), eol=list(chain.from_iterable(x.ends for _, _, x in blocks)),
-        muted=list(chain.from_iterable(x.muted for _, _, x in blocks)), **found,
+        sum(sizes), rec_type="line", **own, member_index=each([x.index for x in blocks], pa.int64()), member=each([x.name for x in blocks], pa.string()), line_no=np.concatenate([x.numbers for x in lines]),
+        byte_offset=np.concatenate([x.offsets for x in lines]), line=pa.concat_arrays([x.lines for x in lines]), eol=list(chain.from_iterable(x.ends for x in lines)),
+        muted=list(chain.from_iterable(x.muted for x in lines)), beside=each([x.beside for x in blocks], pa.bool_()), **found,
     )
 
 
+_OWN = [("item_index", pa.int64()), ("archive", pa.string()), ("part", pa.int64())]
+
+
 def event_batches(events: Iterator[tuple], index: int, archive: str, part: int | None = None) -> Iterator[pa.RecordBatch]:
-    """The walker's events as rows of ``SCHEMA``: a member's lines stay together and in order, other rows come before or after them."""
-    name, own = "", {"item_index": index, "archive": archive, "part": part}
-    blocks: list[tuple[int, str, Lines]] = []
+    """The walker's events as rows of ``SCHEMA``."""
+    return input_batches(iter([(index, archive, part, events)]))
+
+
+def input_batches(inputs: Iterator[tuple[int, str, int | None, Iterator[tuple]]]) -> Iterator[pa.RecordBatch]:
+    """The events of (index, archive, part, events) as rows of ``SCHEMA``: what is of one input or range stays together, a member's lines in order, other rows before or after them."""
+    blocks: list[_Block] = []
     other: list[dict] = []
-    held = n_bytes = 0
+    told: list[int] = []  # whose the other rows are
+    held = held_bytes = 0
 
     def flush():
-        nonlocal held
-        if other:
-            yield _batch(len(other), **own, **{c: [x.get(c) for x in other] for c in dict.fromkeys(chain.from_iterable(other))})
-            other.clear()
+        nonlocal held, held_bytes
+        batches = [_batch(len(other), **{c: [x.get(c) for x in other] for c in dict.fromkeys(chain.from_iterable(other))})] if other else []
         if blocks:
-            yield _lines_batch(blocks, own)
-            blocks.clear()
-        held = 0
-
-    for e in events:
-        if e[0] == "lines":
-            blocks.append((e[1], name, e[3]))
-            held += len(e[3])
-        elif e[0] == "member":
-            name = e[2]
-            other.append({"rec_type": "member", "member_index": e[1], "member": name, "format": e[3], "codec": e[4]})
-        elif e[0] == "binary":
-            other.append({"rec_type": "binary", "member_index": e[1], "member": name, "byte_offset": e[2]})
-        elif e[0] == "beside":
-            yield from flush()
-            yield _lines_batch([(e[1], name, e[2])], own | {"beside": True})
-        elif e[0] == "range":
-            other.append({"rec_type": "range", "member_index": 0, "member": "", "line_no": e[2], "byte_offset": e[3], "n": e[4], "muted": e[5]})
-        elif e[0] == "part":
-            other.append({"rec_type": "part", "seen": e[1], "searched": e[2], "byte_offset": n_bytes})
-        elif e[0] == "hits":
-            other.append({"rec_type": "hits", "member_index": e[1], "member": name, "n_lines": e[2], "n": e[3]})
-        elif e[0] == "size":
-            n_bytes += e[3]
-        elif e[0] == "diag":
-            other.append({"rec_type": "diag", "member_index": e[1], "member": name if e[1] is not None else None, "severity": e[2], "code": e[3], "message": e[4]})
-        else:
-            other.append({"rec_type": "end", "seen": e[1], "searched": e[2], "message": e[3], "byte_offset": n_bytes})
-        if held >= BATCH_LINES or len(other) >= BATCH_LINES:
-            yield from flush()
+            batches.append(_lines_batch(blocks))
+        if len(batches) == 2 and told[0] != whose:
+            order = np.argsort(np.concatenate([told, np.repeat([x.whose for x in blocks], [len(x.lines) for x in blocks])]), kind="stable")
+            batches = pa.Table.from_batches(batches).take(pa.array(order)).combine_chunks().to_batches()
+        yield from batches
+        other.clear(), told.clear(), blocks.clear()
+        held = held_bytes = 0
+
+    for whose, (index, archive, part, events) in enumerate(inputs):
+        name, own, n_bytes = "", {"item_index": index, "archive": archive, "part": part}, 0
+        for e in events:
+            if e[0] in ("lines", "beside"):
+                blocks.append(_Block(whose, own, e[1], name, e[3]) if e[0] == "lines" else _Block(whose, own, e[1], name, e[2], True))
+                held += len(blocks[-1].lines)
+                held_bytes += blocks[-1].lines.lines.nbytes
+            elif e[0] == "member":
+                name = e[2]
+                other.append(own | {"rec_type": "member", "member_index": e[1], "member": name, "format": e[3], "codec": e[4]})
+            elif e[0] == "binary":
+                other.append(own | {"rec_type": "binary", "member_index": e[1], "member": name, "byte_offset": e[2]})
+            elif e[0] == "range":
+                other.append(own | {"rec_type": "range", "member_index": 0, "member": "", "line_no": e[2], "byte_offset": e[3], "n": e[4], "muted": e[5]})
+            elif e[0] == "part":
+                other.append(own | {"rec_type": "part", "seen": e[1], "searched": e[2], "byte_offset": n_bytes})
+            elif e[0] == "hits":
+                other.append(own | {"rec_type": "hits", "member_index": e[1], "member": name, "n_lines": e[2], "n": e[3]})
+            elif e[0] == "size":
+                n_bytes += e[3]
+            elif e[0] == "diag":
+                other.append(own | {"rec_type": "diag", "member_index": e[1], "member": name if e[1] is not None else None, "severity": e[2], "code": e[3], "message": e[4]})
+            else:
+                other.append(own | {"rec_type": "end", "seen": e[1], "searched": e[2], "message": e[3], "byte_offset": n_bytes})
+            told += [whose] * (len(other) - len(told))
+            if held >= BATCH_LINES or held_bytes >= BATCH_BYTES or len(other) >= BATCH_LINES:
+                yield from flush()
     yield from flush()
 
 
-class _Input(InputPartition):
-    """An input, or a range of a plain one or a run of a zip's entries: (number, start, stop)."""
+class _Piece(NamedTuple):
+    """An input, or a range of a plain one (``part``) or a run of a zip's entries: (number, start, stop)."""
+
+    item: Item
+    names: tuple[str, ...]
+    size: int | None
+    part: tuple[int, int, int] | None = None
+    run: tuple[int, int, int] | None = None
+
 
-    def __init__(self, item: Item, part: tuple[int, int, int] | None = None, run: tuple[int, int, int] | None = None):
-        super().__init__(item.index)
-        self.item, self.part, self.run = item, part, run
+class _Pieces(InputPartition):
+    """What a task reads."""
+
+    def __init__(self, pieces: list[_Piece]):
+        super().__init__(None)
+        self.pieces = pieces
+
+
+#: Bytes that a task reads at least where there are more inputs than tasks asked for, and what it takes to open one, as bytes.
+TASK_BYTES, OPEN_BYTES = 32 << 20, 64 << 10
+
+
+def grouped(pieces: list[_Piece], tasks: int) -> list[list[_Piece]]:
+    """Pieces that follow one another, of about as many bytes together; one each up to ``tasks`` of them.  What has no size, as a pipe, stays alone."""
+    if len(pieces) <= tasks:
+        return [[p] for p in pieces]
+    share = min(TASK_BYTES, sum((p.size or 0) + OPEN_BYTES for p in pieces) / tasks)
+    out, held = [], share
+    for p in pieces:
+        cost = share if p.size is None else p.size + OPEN_BYTES
+        if held + cost > share:
+            out.append([])
+            held = 0
+        out[-1].append(p)
+        held += cost
+    return out
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.names, self.items = {}, []
-        for i in json.loads(options["items"]):
-            self.names[i["index"]] = tuple(i.pop("names"))
-            self.items.append(Item(**i))
         self.options = _options(json.loads(options.get("walk", "{}")))
-        self.ordered = options.get("ordered") == "true"
-        self.runs = {int(k): r for k, r in json.loads(options.get("runs", "{}")).items()}
-        self.split = {int(k): n for k, n in json.loads(options.get("split", "{}")).items()}
+        self.plan = dict(options)
+
+    def __getstate__(self) -> dict:
+        return {"options": self.options}  # tasks get their inputs with their partitions, not the list of all
 
     def partitions(self):
-        out = []
-        for i in self.items if self.ordered else sorted(self.items, key=lambda i: -(i.size or 0)):
-            step, runs = self.split.get(i.index), self.runs.get(i.index)
+        names, items = {}, []
+        for i in json.loads(self.plan["items"]):
+            names[i["index"]] = tuple(i.pop("names"))
+            items.append(Item(**i))
+        all_runs = {int(k): r for k, r in json.loads(self.plan.get("runs", "{}")).items()}
+        split = {int(k): n for k, n in json.loads(self.plan.get("split", "{}")).items()}
+        pieces = []
+        for i in items if self.plan.get("ordered") == "true" else sorted(items, key=lambda i: -(i.size or 0)):
+            own, step, runs = names[i.index], split.get(i.index), all_runs.get(i.index)
             if runs:
-                out += [_Input(i, run=(k, a, b)) for k, (a, b) in enumerate(zip(runs, runs[1:]))]
-                continue
-            out += [_Input(i, (k, a, min(a + step, i.size))) for k, a in enumerate(range(0, i.size, step))] if step else [_Input(i)]
-        return out or [_Input(Item(-1, "", ""))]
+                pieces += [_Piece(i, own, i.size // (len(runs) - 1), run=(k, a, b)) for k, (a, b) in enumerate(zip(runs, runs[1:]))]
+            elif step:
+                pieces += [_Piece(i, own, min(step, i.size - a), part=(k, a, min(a + step, i.size))) for k, a in enumerate(range(0, i.size, step))]
+            else:
+                pieces.append(_Piece(i, own, i.size))
+        return [_Pieces(p) for p in grouped(pieces, int(self.plan.get("tasks", len(pieces))))] or [_Pieces([])]
 
     def read(self, partition):
-        item = partition.item
-        if item.index < 0:
-            return
-        o = self.options
-        if o.globs:
-            o = replace(o, names=self.names[item.index])
+        return input_batches(self._inputs(partition.pieces))
+
+    def _inputs(self, pieces: list[_Piece]) -> Iterator[tuple[int, str, int | None, Iterator[tuple]]]:
+        f = path = None
         try:
-            f = opened(item.path)
-        except OSError as e:
-            yield from event_batches(iter([("diag", None, "error", "OPEN_FAILED", str(e)), ("end", 0, 0, None)]), item.index, item.display)
-            return
-        with f:
-            if partition.part:
-                k, start, stop = partition.part
-                yield from event_batches(walk_range(f, k, start, stop, item.size, o), item.index, item.display, k)
-                return
-            size = None if item.size is None else item.size if item.remote else os.fstat(f.fileno()).st_size
-            yield from event_batches(walk(f, size, o, stream=item.size is None, run=partition.run), item.index, item.display)
+            for p in pieces:
+                item, o = p.item, replace(self.options, names=p.names) if self.options.globs else self.options
+                if path is None or path != item.path or item.size is None:
+                    if f:
+                        f.close()
+                    f = path = None
+                    try:
+                        f, path = opened(item.path), item.path
+                    except OSError as e:
+                        yield item.index, item.display, None, iter([("diag", None, "error", "OPEN_FAILED", str(e)), ("end", 0, 0, None)])
+                        continue
+                else:
+                    f.seek(0)
+                if p.part:
+                    yield item.index, item.display, p.part[0], walk_range(f, *p.part, item.size, o)
+                    continue
+                size = None if item.size is None else item.size if item.remote else os.fstat(f.fileno()).st_size
+                yield item.index, item.display, None, walk(f, size, o, stream=item.size is None, run=p.run)
+        finally:
+            if f:
+                f.close()
 
 
 class ArchiveSource(DataSource):
@@ -201,8 +270,10 @@ def _items_json(items: list[Item]) -> str:
     return json.dumps([vars(i) | {"names": i.names() if i.path != STDIN and i.display != "<stdin>" else []} for i in items])
 
 
-#: Plain inputs beyond this size are read in ranges of it, zips in runs of entries that hold so much, a task each.
+#: Plain inputs beyond this size are read in ranges of it, zips in runs of entries that hold so much.
 RANGE_BYTES = 64 << 20
+#: Tasks that a scan has at least, if it has so many inputs, ranges and runs.
+TASKS_A_CORE = 4
 
 
 def in_ranges(item: Item, range_bytes: int | None = None) -> bool:
@@ -246,7 +317,7 @@ def scan(
     step = range_bytes or RANGE_BYTES
     split = {i.index: step for i in own if wanted and not wanted.limit and in_ranges(i, step)}
     runs = {i.index: r for i in own if (r := zip_runs(i, step))}
-    scanned = spark.read.format("archive").option("runs", json.dumps(runs)).option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).option("ordered", ordered).load()
+    scanned = spark.read.format("archive").option("runs", json.dumps(runs)).option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).option("ordered", ordered).option("tasks", TASKS_A_CORE * spark.sparkContext.defaultParallelism).load()
     if remote:
         through = _through_spark(spark, remote, _options(how))
         scanned = scanned.unionByName(through) if own else through

@@ -114,3 +114,31 @@ def test_many_tasks_read_one_log(spark, tmp_path, monkeypatch):
     r = search(spark, parse(["-n", "99999 of", str(path)]))
     assert r.scanned.rdd.getNumPartitions() >= 9
     assert sorted((x["line_no"], bytes(x["line"]).split()[1]) for x in r.hits().collect()) == [(n + 1, str(n).encode()) for n in range(99_999, 2_000_000, 100_000)]
+
+
+def test_many_small_inputs_share_tasks(spark, tmp_path, monkeypatch):
+    """Tasks grow with the bytes of the inputs, not with their number, and what a task carries doesn't grow with the inputs of others."""
+    import pickle
+
+    from lumenstrata.render import output
+    from lumenstrata.sources.build import archive as packed_as
+
+    rng = random.Random(5)
+    for k in range(36):
+        body = b"".join(rng.choice([b"NEEDLE\n", b"x%d\n" % rng.randrange(10**9), b"y\n"]) for _ in range(rng.randrange(60, 90))) + (b"NEEDLE \0 end\n" if k % 9 == 0 else b"")
+        how = ("log", "zip", "tar.gz")[k % 3]
+        (tmp_path / f"{k:03d}.{how}").write_bytes(body if how == "log" else packed_as([("a.log", body), ("b.log", body[::-1])], how))
+    reader = archive.ArchiveReader({"items": archive._items_json(archive.resolve([str(tmp_path)]).items)})
+    assert len(pickle.dumps(reader)) < 2000
+    for args in (["NEEDLE"], ["-C2", "NEEDLE"], ["-c", "--no-sort", "NEEDLE"]):
+        ran = []
+        for tasks in (1, 1000):
+            monkeypatch.setattr(archive, "TASKS_A_CORE", tasks)
+            ran.append(search(spark, parse([*args, str(tmp_path)]), range_bytes=200))
+        few, each = ran
+        assert few.scanned.rdd.getNumPartitions() <= 9 < 50 < each.scanned.rdd.getNumPartitions()
+        told = [b"".join(output(x)).splitlines() for x in ran]
+        assert told[0] and (told[0] == told[1] if "--no-sort" not in args else sorted(told[0]) == sorted(told[1]))
+        assert few.verdict() == each.verdict()
+        shown = [sorted((r["item_index"], r["member_index"], r["line_no"], bytes(r["line"]), r["kind"], r["group_break"]) for r in x.hits().collect()) for x in ran]
+        assert shown[0] == shown[1]
