@@ -129,7 +129,7 @@ def source_plain(spark, sf_dir):
 
 @query(_hits_sql("regexp_matches(line, '[a-z]+ation')"))
 def source_zip_runs(spark, sf_dir):
-    """Zips in runs of entries, a task each"""
+    """Zips in runs of entries"""
     folder = pack(_docs(spark, sf_dir), scratch_path(spark, "archives").removeprefix("file://"), "zip")
     return shown(search(spark, parse(["[a-z]+ation", folder]), range_bytes=10_000))
 
@@ -250,8 +250,11 @@ def source_json_spans(spark, sf_dir):
     """--json: submatches of five patterns"""
     folder, out = scratch_path(spark, "archives").removeprefix("file://"), None
     pack(_docs(spark, sf_dir), folder, "tar.zst")
-    for name, pattern in SPANNED.items():
-        found = _events(search(spark, parse(["--json", "-e", pattern, folder]))).withColumn("name", F.lit(name))
+    runs = {name: search(spark, parse(["--json", "-e", pattern, folder])) for name, pattern in SPANNED.items()}
+    for r in runs.values():
+        r.segments  # noqa: B018  all begin to read
+    for name, r in runs.items():
+        found = _events(r).withColumn("name", F.lit(name))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.scratch import scratch_root
-from .matching import Wanted
+from .matching import Selection, Wanted
 from .ranged import opened, reachable
 from .resolve import STDIN, Item, Resolved, has_scheme, resolve, spool_stdin
 from .walk import Lines, Options, entry_runs, splittable, walk, walk_range
@@ -74,37 +74,45 @@ class _Block(NamedTuple):
     beside: bool | None = None
 
 
-def _lines_batch(blocks: list[_Block]) -> pa.RecordBatch:
-    """Blocks of several members' lines as one batch."""
+def _lines_batch(blocks: list[_Block], search: Selection | None) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Blocks of several members' lines as one batch, or what is wanted of them, and whose each line is."""
     lines = [x.lines for x in blocks]
-    sizes = [len(x) for x in lines]
-    which = pa.array(np.repeat(np.arange(len(blocks)), sizes))
-    each = lambda values, kind: pa.array(values, kind).take(which)
+    which = np.repeat(np.arange(len(blocks)), [len(x) for x in lines])
+    numbers = np.concatenate([x.numbers for x in lines])
+    every = Lines(
+        np.arange(len(which)), np.concatenate([x.offsets for x in lines]), pa.concat_arrays([x.lines for x in lines]), list(chain.from_iterable(x.ends for x in lines)), list(chain.from_iterable(x.muted for x in lines)),
+        None if lines[0].hits is None else np.concatenate([x.hits for x in lines]), None if lines[0].spans is None else pa.concat_arrays([x.spans for x in lines]),
+    )
+    if search:
+        every = search.take(every) or every.taken(np.empty(0, np.int64))
+    numbers, which = numbers[every.numbers], which[every.numbers]
+    each = lambda values, kind: pa.array(values, kind).take(pa.array(which))
     own = {c: each([x.own[c] for x in blocks], kind) for c, kind in _OWN}
     found = {}
-    if lines[0].hits is not None:
-        hits = np.concatenate([x.hits for x in lines])
-        found = {"hit": hits, "n_lines": pa.array(hits.astype(np.int64)), "n": pa.array(hits.astype(np.int64))}
-    if lines[0].spans is not None:
-        spans = pa.concat_arrays([x.spans for x in lines])
-        found |= {"spans": spans, "n": pc.cast(pc.divide(spans.value_lengths(), 2), pa.int64())}
-    return _batch(
-        sum(sizes), rec_type="line", **own, member_index=each([x.index for x in blocks], pa.int64()), member=each([x.name for x in blocks], pa.string()), line_no=np.concatenate([x.numbers for x in lines]),
-        byte_offset=np.concatenate([x.offsets for x in lines]), line=pa.concat_arrays([x.lines for x in lines]), eol=list(chain.from_iterable(x.ends for x in lines)),
-        muted=list(chain.from_iterable(x.muted for x in lines)), beside=each([x.beside for x in blocks], pa.bool_()), **found,
+    if every.hits is not None:
+        found = {"hit": every.hits, "n_lines": pa.array(every.hits.astype(np.int64)), "n": pa.array(every.hits.astype(np.int64))}
+    if every.spans is not None:
+        found |= {"spans": every.spans, "n": pc.cast(pc.divide(every.spans.value_lengths(), 2), pa.int64())}
+    batch = _batch(
+        len(which), rec_type="line", **own, member_index=each([x.index for x in blocks], pa.int64()), member=each([x.name for x in blocks], pa.string()), line_no=numbers,
+        byte_offset=every.offsets, line=every.lines, eol=every.ends, muted=every.muted, beside=each([x.beside for x in blocks], pa.bool_()), **found,
     )
+    return batch, np.array([x.whose for x in blocks])[which]
 
 
 _OWN = [("item_index", pa.int64()), ("archive", pa.string()), ("part", pa.int64())]
 
 
-def event_batches(events: Iterator[tuple], index: int, archive: str, part: int | None = None) -> Iterator[pa.RecordBatch]:
+def event_batches(events: Iterator[tuple], index: int, archive: str, part: int | None = None, search: Selection | None = None) -> Iterator[pa.RecordBatch]:
     """The walker's events as rows of ``SCHEMA``."""
-    return input_batches(iter([(index, archive, part, events)]))
+    return input_batches(iter([(index, archive, part, events)]), search)
+
 
+def input_batches(inputs: Iterator[tuple[int, str, int | None, Iterator[tuple]]], search: Selection | None = None) -> Iterator[pa.RecordBatch]:
+    """The events of (index, archive, part, events) as rows of ``SCHEMA``: what is of one input or range stays together, a member's lines in order, other rows before or after them.
 
-def input_batches(inputs: Iterator[tuple[int, str, int | None, Iterator[tuple]]]) -> Iterator[pa.RecordBatch]:
-    """The events of (index, archive, part, events) as rows of ``SCHEMA``: what is of one input or range stays together, a member's lines in order, other rows before or after them."""
+    ``search`` is done here, over the lines of many members at once, where the walk left it to its caller.
+    """
     blocks: list[_Block] = []
     other: list[dict] = []
     told: list[int] = []  # whose the other rows are
@@ -114,10 +122,11 @@ def input_batches(inputs: Iterator[tuple[int, str, int | None, Iterator[tuple]]]
         nonlocal held, held_bytes
         batches = [_batch(len(other), **{c: [x.get(c) for x in other] for c in dict.fromkeys(chain.from_iterable(other))})] if other else []
         if blocks:
-            batches.append(_lines_batch(blocks))
-        if len(batches) == 2 and told[0] != whose:
-            order = np.argsort(np.concatenate([told, np.repeat([x.whose for x in blocks], [len(x.lines) for x in blocks])]), kind="stable")
-            batches = pa.Table.from_batches(batches).take(pa.array(order)).combine_chunks().to_batches()
+            lines, of = _lines_batch(blocks, search)
+            batches += [lines] if len(lines) else []
+            if len(batches) == 2 and told[0] != whose:
+                order = np.argsort(np.concatenate([told, of]), kind="stable")
+                batches = pa.Table.from_batches(batches).take(pa.array(order)).combine_chunks().to_batches()
         yield from batches
         other.clear(), told.clear(), blocks.clear()
         held = held_bytes = 0
@@ -217,7 +226,7 @@ class ArchiveReader(DataSourceReader):
         return [_Pieces(p) for p in grouped(pieces, int(self.plan.get("tasks", len(pieces))))] or [_Pieces([])]
 
     def read(self, partition):
-        return input_batches(self._inputs(partition.pieces))
+        return input_batches(self._inputs(partition.pieces), self.options.left())
 
     def _inputs(self, pieces: list[_Piece]) -> Iterator[tuple[int, str, int | None, Iterator[tuple]]]:
         f = path = None
@@ -263,7 +272,7 @@ class ArchiveSource(DataSource):
 
 
 def _options(d: dict) -> Options:
-    return Options(tuple(d.get("globs", ())), d.get("text", False), d.get("crlf", False), d.get("lines", True), tuple(d.get("names", ())), d.get("literal", "").encode(), Wanted.read(d.get("wanted")), d.get("around", 0))
+    return Options(tuple(d.get("globs", ())), d.get("text", False), d.get("crlf", False), d.get("lines", True), tuple(d.get("names", ())), d.get("literal", "").encode(), Wanted.read(d.get("wanted")), d.get("around", 0), later=True)
 
 
 def _items_json(items: list[Item]) -> str:
@@ -337,7 +346,7 @@ def _through_spark(spark: SparkSession, items: list[Item], o: Options) -> DataFr
                     events = walk(io.BytesIO(data), len(data), replace(o, names=(display,)) if o.globs else o)
                 else:
                     events = iter([("diag", None, "error", "OPEN_FAILED", f"{length} bytes are more than Spark reads at once"), ("end", 0, 0, None)])
-                yield from event_batches(events, k, display)
+                yield from event_batches(events, k, display, search=o.left())
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load([i.path for i in items])
     fits = F.col("length") <= CELL_MOST

@@ -51,6 +51,13 @@ class Options:
     wanted: Wanted | None = None
     #: Lines that a window reaches to either side.
     around: int = 0
+    #: Lines are given unsearched where the caller can search those of many members at once.
+    later: bool = False
+
+    def left(self) -> Selection | None:
+        """The search that is left to the caller."""
+        w = self.wanted
+        return Selection(w) if self.later and w and w.what in ("lines", "whole") and w.limit is None else None
 
 
 class Lines(NamedTuple):
@@ -195,6 +202,7 @@ def lines_of(chunks: Iterator[bytes], index: int, o: Options, search: Selection
         search.member()
         if search.done:
             return
+    left = o.left() is not None
     first = cutter is None or not cutter.offset
     chunks = _decoded(iter(chunks)) if cutter is None else iter(chunks)
     cutter, parts, held, fill = cutter or _Cutter(o), [], 0, FIRST_FILL
@@ -207,7 +215,7 @@ def lines_of(chunks: Iterator[bytes], index: int, o: Options, search: Selection
             first = False
         found = cutter.cut(data, last)
         if found and search:
-            found = search.take(found) if len(found) else None
+            found = None if not len(found) else found if left else search.take(found)
         if found:
             yield "lines", index, int(found.numbers[0]), found
 
@@ -446,7 +454,7 @@ def _beside(f, at: int, n: int, o: Options, search: Selection, before: bool, num
     found = found.taken(pick)
     if before:
         found = Lines(number - len(pick) + np.arange(len(pick)), *found[1:])
-    return search.take(found)
+    return found if o.left() else search.take(found)
 
 
 def walk_range(f, part: int, start: int, stop: int, size: int, o: Options) -> Iterator[tuple]:
