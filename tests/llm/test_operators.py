@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import BASE, base_spans, contamination, grams, jaccard_classes, luhn, quality, sha, space_words, substring
 from pyspark.sql import functions as F
@@ -218,6 +219,23 @@ def test_connected_parts(spark):
     assert got == {v: r for v, r in want.items() if v != r}
 
 
+@pytest.mark.parametrize("threshold, shared, union", [(2 / 3, 2, 3), (0.8, 4, 5), (5 / 6, 5, 6), (0.8004, 4, 5)])
+def test_pairs_at_the_threshold_are_linked(threshold, shared, union):
+    """A threshold that is no multiple of a thousandth is not rounded, up or down."""
+    grams = np.arange(union, dtype=np.uint64)
+    counts, low = ngram_join.neighbours([grams[:shared], grams], np.array([3, 2]), np.array([7, 9]), threshold)
+    assert (counts.tolist(), low.tolist()) == (([2, 3], [7, 7]) if shared / union >= threshold else ([0, 0], [7, 9]))
+    data = pack_through(ngram_join, [grams[:shared]], [grams], threshold)
+    assert data == ([(7, 2, 7), (9, 3, 7)] if shared / union >= threshold else [])
+
+
+def pack_through(module, first, second, threshold):
+    """What two blocks of one set each say of one another."""
+    a, b = (module.pack(sets, np.array([copies]), np.array([rep])) for sets, copies, rep in ((first, 3, 7), (second, 2, 9)))
+    batch = pa.RecordBatch.from_arrays([pa.array([a], pa.binary()), pa.array([b], pa.binary())], names=["other", "data"])
+    return [tuple(r.values()) for out in module._compare(threshold)([batch]) for r in out.to_pylist()]
+
+
 def test_blocks_pack():
     sets = [np.unique(np.random.default_rng(i).integers(0, 90, 40, dtype=np.uint64)) for i in range(9)]
     s, c, r = ngram_join.unpack(ngram_join.pack(sets, np.arange(9), np.arange(9) * 7))
