@@ -371,3 +371,49 @@ def test_deflate64():
     events = read_all(io.BytesIO(data), len(data))
     assert [(e[1], e[3]) for e in events if e[0] == "diag"] == [(2, "ZIP_ENTRY"), (3, "ZIP_ENTRY"), (4, "ZIP_ENTRY")] and events[-1][1:3] == (5, 2)
     assert b"".join(x for e in events if e[0] == "lines" and e[1] == 0 for x in (line + end for _, line, end, _ in e[3])) == text
+
+
+def test_lzw_takes_a_few_steps_a_byte():
+    import random
+    import time
+
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b"etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(3000)]
+    data = b" ".join(rng.choices(words, k=120_000))
+
+    def took(f):
+        t = time.process_time()
+        f()
+        return time.process_time() - t
+
+    def steps():
+        table, n = {0: 0}, 0
+        for c in data:
+            n = table.get(n, n) ^ c
+
+    packed = lzw.encode(data)
+    assert b"".join(lzw.decode(Stream(iter([packed])))) == data
+    step = min(took(steps) for _ in range(3))
+    assert min(took(lambda: b"".join(lzw.decode(Stream(iter([packed]))))) for _ in range(3)) < 2.6 * step
+    assert min(took(lambda: lzw.encode(data)) for _ in range(3)) < 6 * step
+
+
+def test_lzw_codes_that_clear_the_table():
+    def packed(codes, most):
+        """By the rules of compress: a change of width, and a clear code, fill up to eight codes."""
+        out, n, width, group, first = bytearray(b"\x1f\x9d" + bytes([0x80 | most])), 257, 9, [], True
+        for c in [*codes, None]:
+            if c is not None:
+                group.append(c)
+                n, first = (257, True) if c == 256 else (n if first else min(n + 1, 1 << most), False)
+            grown = n >= 1 << width and width < most
+            if c in (None, 256) or grown or len(group) == 8:
+                out += sum(x << k * width for k, x in enumerate(group)).to_bytes(width * bool(group), "little")
+                group.clear()
+            width = 9 if c == 256 else width + grown
+        return bytes(out)
+
+    for most in (9, 10, 12):
+        codes = [256 if k % 701 == 700 else k * 7 % 251 for k in range(9000)]
+        got = b"".join(lzw.decode(Stream(iter([packed(codes, most)]))))
+        assert got.rstrip(b"\0") == bytes(c for c in codes if c != 256).rstrip(b"\0")
