@@ -853,3 +853,21 @@ def test_helpers():
     assert fresh(["A", "b_"], "a", "b", "b") == ["a_", "b", "b__"]
     assert list(slices(np.array([5, 5, 50, 1]), 10)) == [(0, 2), (2, 3), (3, 4)] and list(slices(np.array([]))) == []
     assert grams("a b") == {("a", "b")}
+
+
+def test_pairs_of_full_blocks_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.97], rng.integers(0, 1 << 60, 3).astype(np.uint64)])) for _ in range(2 * ngram_join.BLOCK_DOCS)]
+    d, split, reps = len(sets), ngram_join.BLOCK_DOCS, rng.permutation(2 * ngram_join.BLOCK_DOCS)
+    tracemalloc.start()
+    counts, low = ngram_join.neighbours(sets, np.ones(d, np.int64), reps, 0.8, split)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for k in (0, 127, 128, split - 1, split, d - 1):
+        others = range(split, d) if k < split else range(split)
+        linked = [j for j in others if len(np.intersect1d(sets[k], sets[j])) >= 0.8 * len(np.union1d(sets[k], sets[j]))]
+        assert counts[k] == len(linked) and low[k] == min([reps[k], *reps[linked]])
