@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX_B, WordHasher, drop_table, map_text, materialize, release, rolled, scratch_path, slices
+from .common import MIX_B, drop_table, hashed_words, map_text, materialize, release, rolled, scratch_path, slices
 
 WINDOW, GRAM = 20, 8
 #: Ingested batches, and runs from which they are compacted.
@@ -77,14 +77,12 @@ def sketch(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) -> D
     """(id, t, n_words, whole, kept, grams): digests of the whole word sequence and the document's fingerprints, those at several places twice."""
 
     def make():
-        hasher = WordHasher()
-
         def each(texts, _):
             import xxhash
 
-            words, first = split_words(texts)
-            joined = [b" ".join(words[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            starts, at, g = minimizers(hasher(words), first, window, gram)
+            h, first = hashed_words(texts)
+            joined = [b" ".join(x.split()) if x else b"" for x in texts]
+            starts, at, g = minimizers(h, first, window, gram)
             new = np.flatnonzero(np.diff(at, prepend=-1))  # places never decrease along a text's windows
             g, owner = g[new], np.searchsorted(first, at[new], "right") - 1
             order = np.lexsort((g, owner))
@@ -256,13 +254,11 @@ def _windows(window: int, gram: int):
     """Rows of the windows under a repeated fingerprint, once a document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             texts = batch.column(1)
             for a, b in slices(np.array([len(x.as_buffer()) for x in texts])):
                 ords, own, gs = (c.slice(a, b - a) for c in batch.columns)
-                words, first = split_words([x.as_buffer().to_pybytes() for x in own])
-                h = hasher(words)
+                h, first = hashed_words([x.as_buffer().to_pybytes() for x in own])
                 starts, at, g = minimizers(h, first, window, gram)
                 edge = np.searchsorted(starts, first)
                 flagged = gs.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -293,11 +289,9 @@ def _grouped(x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cutter(window: int):
     def make():
-        hasher = WordHasher()
-
         def each(texts, batch):
             words, first = split_words(texts)
-            h = hasher(words)
+            h, _ = hashed_words(texts)
             n = np.maximum(np.diff(first) - window + 1, 0)
             own = np.repeat(np.arange(len(texts)), n)
             starts = np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())

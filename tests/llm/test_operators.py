@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+import time
 import zlib
 
 import duckdb
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenstrata.llm import decontaminate, html_extract, langid, ngram_join, pieces, pii, queries, substring_dedup, token_rollup, toxicity
 from lumenstrata.llm import quality as quality_op
-from lumenstrata.llm.common import WordHasher, fresh, rolled, slices, windows
+from lumenstrata.llm.common import WordHasher, fresh, hashed_words, rolled, slices, windows
 
 SF = "/root/testdata/sf0.001"
 MODEL = f"{queries.TOKENIZERS}/{queries.PIECE_MODEL}"
@@ -162,6 +163,30 @@ def test_repeats_across_calls(spark, docs, tmp_path):
     assert want[2001][1] == 21 and want[2002][1] == 40 and want[3001][1] == 22
 
 
+def test_hashes_of_words_are_those_of_their_bytes():
+    odd = [None, b"", b" ", b"a", b"a\x0bb\x0cc\x1cd\xc2\x85e", b"x" * 8, b" " + b"x" * 9 + b"\r\n", b"x" * 64 + b"\t" + b"x" * 65, b"\0 \0\0", b"abcdefgh abcdefghi a x" + b"y" * 200]
+    for texts in (odd, odd[::-1], [], [None], [b" ".join(x or b"" for x in odd)]):
+        words, first = substring_dedup.split_words(texts)
+        h, begins = hashed_words(texts)
+        assert begins.tolist() == first.tolist() and len(h) == len(words)
+        assert len(set(h.tolist())) == len(set(words)) == len(set(zip(words, h.tolist())))
+    assert dict(zip(words, h.tolist())) == dict(zip(*(x if isinstance(x, list) else x.tolist() for x in (substring_dedup.split_words(odd)[0], hashed_words(odd)[0]))))
+
+
+def test_a_sketch_of_many_distinct_words_takes_no_longer():
+    def seconds(texts):
+        best = math.inf
+        for _ in range(3):
+            start = time.process_time()
+            list(run(iter([batch(texts)])))
+            best = min(best, time.process_time() - start)
+        return best
+
+    batch = lambda texts: pa.RecordBatch.from_pydict({"ord": [0], "text": texts, "gs": [[1]]})
+    run = substring_dedup._windows(substring_dedup.WINDOW, substring_dedup.GRAM)
+    assert seconds([" ".join(f"{k:07d}" for k in range(300_000))]) < 2.5 * seconds(["0000000 " * 300_000])
+
+
 def test_equal_windows_have_equal_minimizers():
     texts = [" ".join(PROSE * 9).encode(), None, b"too short", " ".join(PROSE * 2).encode()]
     words, first = substring_dedup.split_words(texts)
