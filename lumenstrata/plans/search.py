@@ -22,7 +22,6 @@ from ..sources.resolve import Resolved
 from ..sources.walk import FIRST_FILL
 from .scratch import remove
 from .segments import Segments
-from .select import select_lines
 from .spec import SearchSpec
 
 MEMBER = ["item_index", "member_index"]
@@ -78,7 +77,7 @@ class Run:
         """``scanned`` with kind and group_break, without the lines that are not shown; ``n_lines`` and ``n`` are the lines and matches that a row stands for."""
         s = self.spec
         if s.what == "whole":
-            return select_lines(self.scanned, "hit", s.lines_before, s.lines_after, s.max_count or None)
+            return self.scanned  # its reader has left out the others
         return self.scanned.drop("hit").withColumns({"kind": F.when(F.col("rec_type").isin("line", "hits"), "match"), "group_break": F.lit(False)})
 
     @cached_property
@@ -191,6 +190,6 @@ def search(spark: SparkSession, spec: SearchSpec, range_bytes: int | None = None
     if not spec.list_members:
         patterns = dict(patterns=m.patterns, fixed=m.fixed, ignore_case=m.ignore_case, smart_case=m.smart_case, word=m.word, invert=m.invert, crlf=m.crlf)
         wanted = Wanted(**patterns, what=spec.what, spans=spec.spans, limit=spec.max_count, together=spec.mode == "quiet")
-    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "", wanted=wanted, around=max(spec.lines_before, spec.lines_after), range_bytes=range_bytes, ordered=spec.sort)
+    scanned, found = archive.scan(spark, spec.paths, spec.archive_globs, spec.globs, spec.text, spec.crlf, lines=not spec.list_members, literal=literal or "", wanted=wanted, around=max(spec.lines_before, spec.lines_after), range_bytes=range_bytes, ordered=spec.sort, windows=(spec.lines_before, spec.lines_after, spec.max_count or None) if wanted and spec.what == "whole" else None)
     ranged = wanted is not None and not wanted.limit and any(archive.in_ranges(i, range_bytes) for i in found.items if not i.remote or archive.reachable(i.path))
     return Run(spec, found, scanned, ranged, all(not i.remote or archive.reachable(i.path) for i in found.items))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.scratch import scratch_root
+from ..plans.select import shown_lines
 from .matching import Selection, Wanted
 from .ranged import opened, reachable
 from .resolve import STDIN, Item, Resolved, has_scheme, resolve, spool_stdin
@@ -44,6 +45,8 @@ _FIELDS = [
     ("message", pa.string()), ("seen", pa.int64()), ("searched", pa.int64()), ("hit", pa.bool_()), ("spans", pa.list_(pa.int64())), ("n_lines", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("beside", pa.bool_()),
 ]
 ARROW = pa.schema(_FIELDS)
+#: Where windows or a limit are asked for, the reader leaves out the lines that are not shown, and tells what the others are.
+SHOWN = SCHEMA.replace("hit boolean, ", "") + ", kind string, group_break boolean"
 
 
 #: Lines that one batch holds at least, unless it is the last or holds so many bytes.
@@ -202,10 +205,11 @@ def grouped(pieces: list[_Piece], tasks: int) -> list[list[_Piece]]:
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = _options(json.loads(options.get("walk", "{}")))
+        self.windows = json.loads(options.get("windows", "null"))
         self.plan = dict(options)
 
     def __getstate__(self) -> dict:
-        return {"options": self.options}  # tasks get their inputs with their partitions, not the list of all
+        return {"options": self.options, "windows": self.windows}  # tasks get their inputs with their partitions, not the list of all
 
     def partitions(self):
         names, items = {}, []
@@ -226,7 +230,7 @@ class ArchiveReader(DataSourceReader):
         return [_Pieces(p) for p in grouped(pieces, int(self.plan.get("tasks", len(pieces))))] or [_Pieces([])]
 
     def read(self, partition):
-        return input_batches(self._inputs(partition.pieces), self.options.left())
+        return _shown(input_batches(self._inputs(partition.pieces), self.options.left()), self.windows)
 
     def _inputs(self, pieces: list[_Piece]) -> Iterator[tuple[int, str, int | None, Iterator[tuple]]]:
         f = path = None
@@ -262,7 +266,7 @@ class ArchiveSource(DataSource):
         return "archive"
 
     def schema(self):
-        return SCHEMA
+        return SHOWN if json.loads(self.options.get("windows", "null")) else SCHEMA
 
     def reader(self, schema):
         options = dict(self.options)
@@ -271,6 +275,10 @@ class ArchiveSource(DataSource):
         return ArchiveReader(options)
 
 
+def _shown(batches: Iterator[pa.RecordBatch], windows: list | None) -> Iterator[pa.RecordBatch]:
+    return shown_lines(batches, "hit", *windows) if windows else batches
+
+
 def _options(d: dict) -> Options:
     return Options(tuple(d.get("globs", ())), d.get("text", False), d.get("crlf", False), d.get("lines", True), tuple(d.get("names", ())), d.get("literal", "").encode(), Wanted.read(d.get("wanted")), d.get("around", 0), later=True)
 
@@ -312,9 +320,10 @@ CELL_MOST = (1 << 31) - 1
 
 
 def scan(
-    spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True, literal: str = "", wanted: Wanted | None = None, around: int = 0, range_bytes: int | None = None, ordered: bool = False
+    spark: SparkSession, paths: list[str], archive_globs: list[str] | None = None, globs: list[str] | None = None, text: bool = False, crlf: bool = False, lines: bool = True, literal: str = "", wanted: Wanted | None = None, around: int = 0, range_bytes: int | None = None, ordered: bool = False,
+    windows: tuple[int, int, int | None] | None = None,
 ) -> tuple[DataFrame, Resolved]:
-    """The tagged table of all inputs, and how the paths were resolved; with ``wanted`` it has only the lines that a search asks for."""
+    """The tagged table of all inputs, and how the paths were resolved; with ``wanted`` it has only the lines that a search asks for, with ``windows`` (lines before and after a hit, most hits of a member) those around its hits."""
     found = resolve(paths, archive_globs, spark)
     for item in found.items:
         if item.path == STDIN:
@@ -322,18 +331,19 @@ def scan(
     spark.dataSource.register(ArchiveSource)
     how = {"globs": list(globs or ()), "text": text, "crlf": crlf, "lines": lines, "literal": literal, "wanted": wanted and wanted.written(), "around": around}
     remote = [i for i in found.items if i.remote and not reachable(i.path)]
-    own = [i for i in found.items if i not in remote]
+    theirs = {i.index for i in remote}
+    own = [i for i in found.items if i.index not in theirs]
     step = range_bytes or RANGE_BYTES
     split = {i.index: step for i in own if wanted and not wanted.limit and in_ranges(i, step)}
     runs = {i.index: r for i in own if (r := zip_runs(i, step))}
-    scanned = spark.read.format("archive").option("runs", json.dumps(runs)).option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).option("ordered", ordered).option("tasks", TASKS_A_CORE * spark.sparkContext.defaultParallelism).load()
+    scanned = spark.read.format("archive").option("runs", json.dumps(runs)).option("items", _items_json(own)).option("walk", json.dumps(how)).option("split", json.dumps(split)).option("ordered", ordered).option("windows", json.dumps(windows)).option("tasks", TASKS_A_CORE * spark.sparkContext.defaultParallelism).load()
     if remote:
-        through = _through_spark(spark, remote, _options(how))
+        through = _through_spark(spark, remote, _options(how), windows)
         scanned = scanned.unionByName(through) if own else through
     return scanned, found
 
 
-def _through_spark(spark: SparkSession, items: list[Item], o: Options) -> DataFrame:
+def _through_spark(spark: SparkSession, items: list[Item], o: Options, windows: tuple | None = None) -> DataFrame:
     """The rows of inputs in a store that only Spark opens: a file is one cell, and a larger one than a cell holds is reported as not read."""
     index = {i.path: (i.index, i.display) for i in items}
 
@@ -346,14 +356,14 @@ def _through_spark(spark: SparkSession, items: list[Item], o: Options) -> DataFr
                     events = walk(io.BytesIO(data), len(data), replace(o, names=(display,)) if o.globs else o)
                 else:
                     events = iter([("diag", None, "error", "OPEN_FAILED", f"{length} bytes are more than Spark reads at once"), ("end", 0, 0, None)])
-                yield from event_batches(events, k, display, search=o.left())
+                yield from _shown(event_batches(events, k, display, search=o.left()), windows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load([i.path for i in items])
     fits = F.col("length") <= CELL_MOST
     whole = files.filter(fits).select("path", "content", "length")
     if any((i.size or 0) > CELL_MOST for i in items):
         whole = whole.unionByName(files.filter(~fits).select("path", F.lit(None).cast("binary").alias("content"), "length"))
-    return whole.mapInArrow(run, SCHEMA)
+    return whole.mapInArrow(run, SHOWN if windows else SCHEMA)
 
 
 def members(scanned: DataFrame) -> DataFrame:
