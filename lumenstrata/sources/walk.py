@@ -117,6 +117,8 @@ class _Cutter:
 
     def _plain(self, data: bytes) -> Lines:
         """Lines between line feeds only."""
+        if self.o.literal and not self.o.crlf and len(data) <= LINE_MOST:
+            return self._few(data)
         feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
         open_end = not data.endswith(b"\n")
         stops = np.append(feeds, len(data)) if open_end else feeds  # where each line's text ends
@@ -136,6 +138,24 @@ class _Cutter:
             numbers, offsets, lines, ends = numbers[pick], offsets[pick], lines.take(pa.array(pick)), [ends[k] for k in pick.tolist()]
         return Lines(numbers, offsets, lines, ends, [self.muted] * len(numbers))
 
+    def _few(self, data: bytes) -> Lines:
+        """Of at most so many bytes as a line may have, the lines that hold the literal; the others are only counted."""
+        literal, numbers, offsets, lines, ends = self.o.literal, [], [], [], []
+        number, start = self.number, 0  # of the line that begins there
+        at = data.find(literal)
+        while at >= 0:
+            number += data.count(b"\n", start, at)
+            start = data.rfind(b"\n", start, at) + 1 or start
+            stop = data.find(b"\n", at)
+            numbers.append(number)
+            offsets.append(self.offset + start)
+            lines.append(data[start:stop] if stop >= 0 else data[start:])
+            ends.append(b"\n" if stop >= 0 else b"")
+            at = data.find(literal, stop) if stop >= 0 else -1
+        self.number += data.count(b"\n") + (not data.endswith(b"\n"))
+        self.offset += len(data)
+        return Lines(np.array(numbers, np.int64), np.array(offsets, np.int64), pa.array(lines, pa.binary()), ends, [self.muted] * len(lines))
+
     def _with_nuls(self, data: bytes) -> Lines:
         """NULs end lines too; the first one mutes."""
         raw = np.frombuffer(data, np.uint8)
